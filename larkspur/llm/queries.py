@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filter", "record_files")
+_MODULES = ("url_filter", "record_files", "repetition")
 
 
 def _found(prefix: str):
