@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filter", "record_files", "repetition")
+_MODULES = ("url_filter", "record_files", "repetition", "mixing", "fm_quality")
 
 
 def _found(prefix: str):
