@@ -47,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids of 8 bytes: a table of at most so many is broadcast, a larger one is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def near(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids that is cut or cheap to read, marked for broadcast if a count shows that it is small enough."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/larkspur-{what}-{uuid.uuid4().hex[:12]}"
 

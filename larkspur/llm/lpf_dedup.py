@@ -144,29 +144,43 @@ class Block:
         return tuple(x[keep] for x in (key, print_, a, head, tail)), (head[rest], tail[rest])
 
 
-def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) -> blocks.  Block ids: the task's partition and a running number."""
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary()), ("rest", pa.binary())])
+BLOCK_SQL = "block bigint, ids binary, sizes binary, blob binary, rest binary"
+
+
+def pack_blocks(batches: Iterator[pa.RecordBatch], with_rest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, other columns) -> blocks.  Block ids: the task's partition and a running number."""
     from pyspark import TaskContext
 
     part, k = TaskContext.get().partitionId(), 0
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary())])
     pack = zstandard.ZstdCompressor(level=3)
-    ids, raws, size = [], [], 0
-
-    def done():
-        nonlocal ids, raws, size, k
-        row = batch_of(schema, [(part << 32) | k], [np.array(ids, "<i8").tobytes()], [np.array([len(r) for r in raws], "<i8").tobytes()], [pack.compress(b"".join(raws))])
-        ids, raws, size, k = [], [], 0, k + 1
-        return row
+    ids, raws, rest, size = [], [], [], 0
+
+    def done() -> pa.RecordBatch:
+        blob = pack.compress(b"".join(raws))
+        others = b""
+        if with_rest:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema) as w:
+                for r in rest:
+                    w.write_batch(r)
+            others = pack.compress(sink.getvalue().to_pybytes())
+        return batch_of(BLOCK, [(part << 32) | k], [np.array(ids, "<i8").tobytes()], [np.array([len(r) for r in raws], "<i8").tobytes()], [blob], [others])
 
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+        others, begin = b.select(b.schema.names[2:]), 0
+        for n, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()))):
             raw = t.as_py()
             if ids and (size + len(raw) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
+                if n > begin:
+                    rest.append(others.slice(begin, n - begin))
                 yield done()
+                ids, raws, rest, size, k, begin = [], [], [], 0, k + 1, n
             ids.append(NO_ID if i is None else i)
             raws.append(raw)
             size += len(raw)
+        if b.num_rows > begin:
+            rest.append(others.slice(begin))
     if ids:
         yield done()
 
@@ -318,26 +332,37 @@ def covered(block: Block, places: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-RESULT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+RESULT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def kept_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-    for b in batches:
-        for *row, places in zip(*(c.to_pylist() for c in b.columns)):
-            block = Block(*row)
-            gone = covered(block, np.frombuffer(places or b"", "<i8"))
-            n_gone = np.r_[0, np.cumsum(gone)]
-            rows = []
-            for i, s, e in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist()):
-                removed = int(n_gone[e] - n_gone[s])
-                raw, spans = block.raw[s:e], 0
-                if removed:
-                    g = gone[s:e]
-                    spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-                    raw = block.data[s:e][~g].tobytes()
-                rows.append((None if i == NO_ID else i, e - s, removed, spans, hashlib.sha256(raw).hexdigest(), (whole_points(block.data[s:e], gone[s:e]) if removed else raw) if with_text else None))
-            yield batch_of(schema, *zip(*rows))
+def digest(block: Block, gone: np.ndarray) -> pa.RecordBatch:
+    n_gone = np.r_[0, np.cumsum(gone)]
+    rows = []
+    for i, s, e in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist()):
+        removed = int(n_gone[e] - n_gone[s])
+        raw, spans = block.raw[s:e], 0
+        if removed:
+            g = gone[s:e]
+            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
+            raw = block.data[s:e][~g].tobytes()
+        rows.append((None if i == NO_ID else i, e - s, removed, spans, hashlib.sha256(raw).hexdigest()))
+    return batch_of(RESULT, *zip(*rows))
+
+
+def rewritten(block: Block, gone: np.ndarray, rest: bytes, names: list[str], null_text: str | None) -> pa.RecordBatch:
+    """The block's rows as they came, without the removed bytes."""
+    others = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest, max_output_size=1 << 31) if rest else b"").read_all().combine_chunks()
+    text = [(whole_points(block.data[s:e], gone[s:e]) if gone[s:e].any() else block.raw[s:e]).decode("utf-8", "replace") for s, e in zip(block.starts.tolist(), block.ends.tolist())]
+    columns = {n: others.column(n).combine_chunks() if others.num_rows else pa.array([]) for n in others.schema.names}
+    if null_text is not None:
+        text = [None if x else t for x, t in zip(columns.pop(null_text).to_pylist(), text)]
+    if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
+        old = columns["n_chars"].to_pylist()
+        columns["n_chars"] = pa.array([n if n is None or t is None else len(t) for n, t in zip(old, text)], columns["n_chars"].type)
+    columns["text"] = pa.array(text, pa.string())
+    arrays = [columns[n].combine_chunks() if isinstance(columns[n], pa.ChunkedArray) else columns[n] for n in names]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def whole_points(data: np.ndarray, gone: np.ndarray) -> bytes:
@@ -374,19 +399,38 @@ def asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from stretch_batches([pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(asked, pa.binary())], names=b.schema.names)])
 
 
-def place_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def place_batches(batches: Iterator[pa.RecordBatch], names: list[str] | None) -> Iterator[pa.RecordBatch]:
+    """Blocks with their removed windows -> digests, or with names the rows that stay, with these columns."""
     for b in batches:
-        lists = b.column(b.num_columns - 1)
-        places = [lists.slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes() if lists[i].is_valid else b"" for i in range(b.num_rows)]
-        yield from kept_batches([pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(places, pa.binary())], names=b.schema.names)], with_text)
+        for k in range(b.num_rows):
+            row, rest, places = [b.column(i)[k].as_py() for i in range(4)], b.column(4)[k].as_py(), b.column(5)[k]
+            block = Block(*row)
+            gone = covered(block, places.values.to_numpy(zero_copy_only=False) if places.is_valid else np.zeros(0, np.int64))
+            yield digest(block, gone) if names is None else rewritten(block, gone, rest, names, MISSING)
+
+
+#: Marks null texts on their way through the blocks.
+MISSING = "__larkspur_null_text"
+
+
+def judged_blocks(rows: DataFrame, with_rest: bool) -> DataFrame:
+    blocks = cut(rows.mapInArrow(lambda it: pack_blocks(it, with_rest), BLOCK_SQL))
+    gone = removed_windows(blocks.drop("rest")).groupBy("block").agg(F.collect_list("place").alias("places"))
+    return blocks.join(gone, "block", "left").select(*blocks.columns, "places")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return judged_blocks(texts(docs), False).mapInArrow(lambda it: place_batches(it, None), RESULT_SQL)
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; kept: the bytes that stay, if with_text."""
-    blocks = cut(texts(docs).mapInArrow(pack_blocks, "block bigint, ids binary, sizes binary, blob binary"))
-    gone = removed_windows(blocks).groupBy("block").agg(F.collect_list("place").alias("places"))
-    return blocks.join(gone, "block", "left").select(*blocks.columns, "places").mapInArrow(lambda it: place_batches(it, with_text), RESULT_SQL)
+def remove(docs: DataFrame) -> DataFrame:
+    """The documents without the bytes that also start earlier, with all their columns; n_chars, where there is one, follows the text."""
+    names = docs.columns
+    others = [F.col(f"`{c}`") for c in names if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("__larkspur_id"), F.coalesce("text", F.lit("")).alias("__larkspur_text"), *others, F.col("text").isNull().alias(MISSING))
+    return judged_blocks(rows, True).mapInArrow(lambda it: place_batches(it, names), docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return dedup(table(spark, sf_dir, "documents"))
