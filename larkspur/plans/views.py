@@ -82,7 +82,7 @@ HISTORY_COLUMNS = {
     "seq": "event_id",
     "loss": "CASE WHEN event_id % 37 = 0 THEN NULL ELSE value END",
     "eval_loss": "CASE WHEN event_id % 50 = 0 THEN value * 1.1 END",
-    "learning_rate": "CASE WHEN event_id % 37 = 0 AND event_id % 2 = 0 THEN NULL ELSE 0.001 / (1 + event_id % 10) END",
+    "learning_rate": "CASE WHEN event_id % 37 = 0 AND event_id % 2 = 0 THEN NULL ELSE CAST(0.001 AS DOUBLE) / (1 + event_id % 10) END",
     "grad_norm": "value / 3",
     "mean_token_accuracy": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE 1 / (1 + abs(value)) END",
 }
