@@ -32,8 +32,9 @@ FIT_ROWS, FIT_STEPS = 16_384, 8
 #: Share of the neighbours within the sample that the probed lists must hold, and the sample's queries for that.
 SHARE, TRIALS, NEED = 0.98, 512, 400
 PART = 4096
-BLOCK, EPSILON = 16, 2.6
-QUERIES_AT_ONCE = 256
+#: Columns in a block, confidence of the test, and the share of candidates above which a block is one matrix product.
+BLOCK, EPSILON, DENSE = 16, 2.6, 0.02
+QUERIES_AT_ONCE = 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -83,51 +84,60 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: the largest score, then the smaller id."""
-    if len(score) > k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= edge)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))][:k]
-
-
-def scan(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, turn: np.ndarray) -> tuple[list, list, list]:
-    """The k best of one part for each query: query ids, vector ids, scores."""
-    d = x.shape[1]
+def scan(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one part for each query: query ids, vector ids, scores.  All queries of a slice go through a block at once."""
+    d, n = x.shape[1], len(x)
     rx, rq = x @ turn, q @ turn
     cuts = list(range(0, d, BLOCK)) + [d]
     upto_x = np.stack([(rx[:, :c] ** 2).sum(1) for c in cuts])
     upto_q = np.stack([(rq[:, :c] ** 2).sum(1) for c in cuts])
-    out_q, out_i, out_s = [], [], []
+    reach = [(c / d) * (1 + (EPSILON / np.sqrt(c) if 0 < c < d else 0)) ** 2 for c in cuts]
     first = np.ascontiguousarray(rx[:, : cuts[1]])
+    found = []
     for begin in range(0, len(q), QUERIES_AT_ONCE):
-        products = rq[begin : begin + QUERIES_AT_ONCE, : cuts[1]] @ first.T
-        for row in range(products.shape[0]):
-            j = begin + row
-            alive = np.flatnonzero(ids != qids[j])
-            if len(alive) > k:
-                product = products[row, alive]
-                norms = upto_q[-1, j] + upto_x[-1, alive]
-                # Exact scores of the most promising set the mark to reach.
-                guess = norms - (upto_q[1, j] + upto_x[1, alive] - 2 * product) * (d / cuts[1])
-                seed = alive[np.argpartition(guess, len(guess) - k)[len(guess) - k :]]
-                mark = (x[seed] * q[j]).sum(1).min()
-                most = np.maximum(norms - 2 * mark, 0) + 1e-11 * norms
-                for b in range(1, len(cuts)):
-                    c = cuts[b]
-                    far = upto_q[b, j] + upto_x[b, alive] - 2 * product
-                    stay = far <= most * (c / d) * (1 + (EPSILON / np.sqrt(c) if c < d else 0)) ** 2 + 1e-12 * norms
-                    alive, product, most, norms = alive[stay], product[stay], most[stay], norms[stay]
-                    if c < d:
-                        product = product + rx[alive, c : cuts[b + 1]] @ rq[j, c : cuts[b + 1]]
-            exact = (x[alive] * q[j]).sum(1)
-            best = top(exact, ids[alive], k)
-            out_q += [qids[j]] * len(best)
-            out_i += ids[alive[best]].tolist()
-            out_s += exact[best].tolist()
-    return out_q, out_i, out_s
+        some = slice(begin, begin + QUERIES_AT_ONCE)
+        own = ids[None, :] == qids[some, None]
+        if n <= k + 1:
+            row, at = np.nonzero(~own)
+            row += begin
+        else:
+            product = rq[some, : cuts[1]] @ first.T
+            norms = upto_q[-1, some, None] + upto_x[-1][None, :]
+            far = upto_q[1, some, None] + upto_x[1][None, :] - 2 * product
+            far[own] = np.inf
+            # Exact scores of the most promising set the mark to reach.
+            seed = np.argpartition(far * (d / cuts[1]) - norms, k - 1, axis=1)[:, :k]
+            score = (x[seed] * q[some, None, :]).sum(2)
+            score[np.take_along_axis(own, seed, axis=1)] = -np.inf
+            most = np.maximum(norms - 2 * score.min(1)[:, None], 0) + 1e-11 * norms
+            stay = far <= most * reach[1] + 1e-12 * norms
+            b = 2
+            # While many stay, a block of columns is one matrix product; then the few that are left go on alone.
+            while b < len(cuts) and np.count_nonzero(stay) > DENSE * stay.size:
+                product += rq[some, cuts[b - 1] : cuts[b]] @ rx[:, cuts[b - 1] : cuts[b]].T
+                far = upto_q[b, some, None] + upto_x[b][None, :] - 2 * product
+                stay &= far <= most * reach[b] + 1e-12 * norms
+                b += 1
+            if b == len(cuts):
+                # All columns are in: what is below the k-th best product, by more than rounding, is out.
+                full = np.where(stay, product, -np.inf)
+                stay &= full >= np.partition(full, n - k, axis=1)[:, n - k, None] - 1e-9 * (1 + norms)
+            row, at = np.nonzero(stay)
+            product, most, norms = product[row, at], most[row, at], norms[row, at]
+            row += begin
+            for b in range(b, len(cuts)):
+                product = product + np.einsum("ij,ij->i", rx[at, cuts[b - 1] : cuts[b]], rq[row, cuts[b - 1] : cuts[b]])
+                far = upto_q[b, row] + upto_x[b, at] - 2 * product
+                keep = far <= most * reach[b] + 1e-12 * norms
+                row, at, product, most, norms = row[keep], at[keep], product[keep], most[keep], norms[keep]
+        exact = (x[at] * q[row]).sum(1)
+        order = np.lexsort((ids[at], -exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        head = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        rank = np.arange(len(row)) - np.maximum.accumulate(np.where(head, np.arange(len(row)), 0)) if len(row) else row
+        best = rank < k
+        found.append((qids[row[best]], ids[at[best]], exact[best]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def matrix(values: pd.Series) -> np.ndarray:
