@@ -88,9 +88,9 @@ def plan(counted: DataFrame, entropy: float | None = ENTROPY, max_repeats: float
     sources, rows = shares.agg(F.coalesce(F.max("sources"), F.lit(0)), F.count(F.lit(1))).first()
     a = find_exponent(shares, sources, entropy, max_repeats, 1.0 if budget_ratio is None else budget_ratio)
     raw = F.when(F.col("log_share").isNotNull(), F.exp(F.lit(a) * F.col("log_share"))).otherwise(F.lit(0.0))
-    total = shares.agg(F.sum(raw).alias("z"), F.max(F.col("tokens") / raw).alias("need"), F.max("total").alias("all_tokens"))
-    goal = F.col("need") * F.col("z") if budget_ratio is None else F.lit(float(budget_ratio)) * F.col("all_tokens")
-    weight = raw / F.col("z")
+    total = shares.agg(F.sum(raw).alias("z"), F.max(F.try_divide(F.col("tokens").cast("double"), raw)).alias("need"), F.max("total").alias("all_tokens"))
+    goal = F.coalesce(F.col("need") * F.col("z"), F.lit(0.0)) if budget_ratio is None else F.lit(float(budget_ratio)) * F.col("all_tokens")
+    weight = F.coalesce(F.try_divide(raw, F.col("z")), F.lit(0.0))
     # A relative 1e-9 keeps a budget of exactly so many passes from losing its last document to rounding.
     budget = F.floor(weight * goal * F.lit(1 + 1e-9) + F.lit(0.5)).cast("bigint")
     return shares.join(F.broadcast(total)).select("mix_source", "tokens", "docs", F.lit(a).alias("exponent"), weight.alias("weight"), budget.alias("budget")), rows
