@@ -40,11 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: it outlives executors and goes when nothing refers to it."""
+    """A reliable checkpoint in the shared folder: it outlives executors and goes when nothing refers to it.
+
+    A checkpointed frame carries the size estimate and constraints of its plan.  The estimate of a join is a product, so
+    over the turns of a loop its digits double each time; the frame is therefore made anew from the checkpoint's rows.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 #: Ids of 8 bytes: a table of at most so many is broadcast, a larger one is joined by a shuffle.
