@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, table, texts
+from .common import batch_of, cut, freed, table, texts
 
 L, K = 100, 32
 BLOCK_BYTES, BLOCK_DOCS = 2_000_000, 8192
@@ -376,7 +376,7 @@ def whole_points(data: np.ndarray, gone: np.ndarray) -> bytes:
 
 def removed_windows(blocks: DataFrame) -> DataFrame:
     """(block, place) of the windows that also start earlier, as far as a block alone does not settle it."""
-    rows = blocks.mapInArrow(anchor_batches, ANCHOR_SQL)
+    rows = blocks.mapInArrow(freed(anchor_batches), ANCHOR_SQL)
     same = Window.partitionBy("key", "print").orderBy("doc", "block", "place")
     of_key = Window.partitionBy("key")
     judged = rows.withColumn("n", F.row_number().over(same)).withColumn("first_of_print", (F.col("n") == 1).cast("int")).withColumn("prints", F.sum("first_of_print").over(of_key))
@@ -385,9 +385,9 @@ def removed_windows(blocks: DataFrame) -> DataFrame:
     # Stretches of 24 bytes for each anchor of a block: at most the block's size in windows.
     asked = judged.where("n = 1").select("block", "key", "place", (F.col("prints") > HOT).cast("bigint").alias("hot"))
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("key", "place", "hot")).alias("asked"))
-    stretches = blocks.join(asked, "block").select(*blocks.columns, "asked").mapInArrow(asked_batches, STRETCH_SQL)
+    stretches = blocks.join(asked, "block").select(*blocks.columns, "asked").mapInArrow(freed(asked_batches), STRETCH_SQL)
     ordered = stretches.repartition("key").sortWithinPartitions("key", "doc", "block", "place")
-    rims = ordered.mapInArrow(resolve_batches, "block bigint, place bigint")
+    rims = ordered.mapInArrow(freed(resolve_batches), "block bigint, place bigint")
     return copies.unionByName(rims)
 
 
@@ -414,14 +414,14 @@ MISSING = "__larkspur_null_text"
 
 
 def judged_blocks(rows: DataFrame, with_rest: bool) -> DataFrame:
-    blocks = cut(rows.mapInArrow(lambda it: pack_blocks(it, with_rest), BLOCK_SQL))
+    blocks = cut(rows.mapInArrow(freed(lambda it: pack_blocks(it, with_rest)), BLOCK_SQL))
     gone = removed_windows(blocks.drop("rest")).groupBy("block").agg(F.collect_list("place").alias("places"))
     return blocks.join(gone, "block", "left").select(*blocks.columns, "places")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    return judged_blocks(texts(docs), False).mapInArrow(lambda it: place_batches(it, None), RESULT_SQL)
+    return judged_blocks(texts(docs), False).mapInArrow(freed(lambda it: place_batches(it, None)), RESULT_SQL)
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -429,7 +429,7 @@ def remove(docs: DataFrame) -> DataFrame:
     names = docs.columns
     others = [F.col(f"`{c}`") for c in names if c != "text"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("__larkspur_id"), F.coalesce("text", F.lit("")).alias("__larkspur_text"), *others, F.col("text").isNull().alias(MISSING))
-    return judged_blocks(rows, True).mapInArrow(lambda it: place_batches(it, names), docs.schema)
+    return judged_blocks(rows, True).mapInArrow(freed(lambda it: place_batches(it, names)), docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table, texts
+from .common import cut, freed, slices, table, texts
 
 GIANT, CHUNK, PAD = 60_000, 16_384, 32
 #: Words and pairs in a generation of what a worker remembers; two generations are held.
@@ -373,17 +373,17 @@ def encode_giants(giants: DataFrame, path: str) -> DataFrame:
     pad = F.least(begin, F.lit(PAD))
     chunks = chunked.where(F.col("k") < count).select("uid", "k", pad.cast("int").alias("pad"), (end - begin).cast("int").alias("size"), F.substring("s", (begin - pad + 1).cast("int"), (end - begin + pad + PAD).cast("int")).alias("piece"))
     chunks = cut(chunks.repartition("uid", "k"))
-    matrices = chunks.mapInArrow(lambda it: matrix_batches(it, path), "uid bigint, k int, height int, matrix binary")
+    matrices = chunks.mapInArrow(freed(lambda it: matrix_batches(it, path)), "uid bigint, k int, height int, matrix binary")
     picks = matrices.groupBy("uid").applyInPandas(combine, "uid bigint, k int, a int, b int")
-    traced = chunks.join(picks, ["uid", "k"]).select(*chunks.columns, "a", "b").mapInArrow(lambda it: trace_batches(it, path), "uid bigint, k int, ids binary")
+    traced = chunks.join(picks, ["uid", "k"]).select(*chunks.columns, "a", "b").mapInArrow(freed(lambda it: trace_batches(it, path)), "uid bigint, k int, ids binary")
     whole = traced.groupBy("uid").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    return rows.join(whole, "uid").select("doc_id", "text", "parts").mapInArrow(lambda it: decode_batches(it, path), ENCODED_SQL)
+    return rows.join(whole, "uid").select("doc_id", "text", "parts").mapInArrow(freed(lambda it: decode_batches(it, path)), ENCODED_SQL)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (int32, little-endian) and whether decoding gives the text back, of every document."""
     rows = texts(docs)
-    small = rows.where(F.length("text") <= GIANT).mapInArrow(lambda it: encode_batches(it, path), ENCODED_SQL)
+    small = rows.where(F.length("text") <= GIANT).mapInArrow(freed(lambda it: encode_batches(it, path)), ENCODED_SQL)
     return small.unionByName(encode_giants(rows.where(F.length("text") > GIANT), path))
 
 
