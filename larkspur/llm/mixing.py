@@ -2,8 +2,8 @@
 
 A source with share p of all tokens gets the weight p^a / sum(p^a).  The exponent a lies in [0, 1]: 1 keeps the shares,
 0 makes all sources equal.  It is bisected to the largest a whose weights have the target entropy (a share of
-log(number of sources)), or to the least a under which no source is repeated more often than a limit.  Each step of
-the search looks at 2^LEVELS parts of the bracket in one aggregation over the sources, that is LEVELS bisections at once.
+log(number of sources)), or to the least a under which no source is repeated more often than a limit at the budget that
+really goes out.  Each step of the search looks at 2^LEVELS parts of the bracket in one aggregation over the sources, that is LEVELS bisections at once.
 
 The budget is `budget_ratio` times the tokens there are, or with None what the weights need for every source to be
 used once at least.  A source whose budget is e times its tokens goes out in floor(e) whole permutations and a part of
@@ -49,17 +49,17 @@ def source_shares(counted: DataFrame) -> DataFrame:
 
 
 def bracket(shares: DataFrame, low: float, high: float) -> list:
-    """Entropy and largest repetition (per budget of all tokens) at 2^LEVELS + 1 exponents; one aggregation over the sources."""
+    """Entropy, largest repetition per budget of all tokens, and that under the covering budget, at 2^LEVELS + 1 exponents; one aggregation over the sources."""
     n = 1 << LEVELS
     grid = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.lit(low) + k * F.lit((high - low) / n))
     x = F.col("a") * F.col("log_share")
     e = shares.where("log_share is not null").select("log_share", F.explode(grid).alias("a"))
-    s = e.groupBy("a").agg(F.sum(F.exp(x)).alias("z"), F.sum(F.exp(x) * x).alias("zx"), F.max(x - F.col("log_share")).alias("worst"))
-    return s.select("a", (F.log("z") - F.col("zx") / F.col("z")).alias("entropy"), (F.exp("worst") / F.col("z")).alias("repeats")).orderBy("a").collect()
+    s = e.groupBy("a").agg(F.sum(F.exp(x)).alias("z"), F.sum(F.exp(x) * x).alias("zx"), F.max(x - F.col("log_share")).alias("worst"), F.max(F.col("log_share") - x).alias("need"))
+    return s.select("a", (F.log("z") - F.col("zx") / F.col("z")).alias("entropy"), (F.exp("worst") / F.col("z")).alias("repeats"), F.exp(F.col("worst") + F.col("need")).alias("covering_repeats")).orderBy("a").collect()
 
 
-def find_exponent(shares: DataFrame, sources: int, entropy: float | None, max_repeats: float | None, ratio: float) -> float:
-    """The largest exponent that reaches the entropy, raised as far as the repetition limit asks."""
+def find_exponent(shares: DataFrame, sources: int, entropy: float | None, max_repeats: float | None, ratio: float | None) -> float:
+    """The largest exponent that reaches the entropy, raised as far as the repetition limit asks; ratio None is the covering budget."""
     found = []
     for limit in ("entropy", "repeats"):
         if (entropy if limit == "entropy" else max_repeats) is None or sources < 2:
@@ -72,7 +72,7 @@ def find_exponent(shares: DataFrame, sources: int, entropy: float | None, max_re
                 fine = [r.a for r in rows if r.entropy >= entropy * math.log(sources) - 1e-12]
                 edge = max(fine, default=low)
             else:
-                fine = [r.a for r in rows if r.repeats * ratio <= max_repeats + 1e-12]
+                fine = [r.a for r in rows if (r.covering_repeats if ratio is None else r.repeats * ratio) <= max_repeats + 1e-12]
                 edge = min(fine, default=high)
             step = (high - low) / (1 << LEVELS)
             low, high = (edge, min(high, edge + step)) if limit == "entropy" else (max(low, edge - step), edge)
@@ -86,7 +86,7 @@ def plan(counted: DataFrame, entropy: float | None = ENTROPY, max_repeats: float
     """A row for each source (mix_source, tokens, docs, exponent, weight, budget: the tokens to go out), and their number."""
     shares = cut(source_shares(counted))
     sources, rows = shares.agg(F.coalesce(F.max("sources"), F.lit(0)), F.count(F.lit(1))).first()
-    a = find_exponent(shares, sources, entropy, max_repeats, 1.0 if budget_ratio is None else budget_ratio)
+    a = find_exponent(shares, sources, entropy, max_repeats, budget_ratio)
     raw = F.when(F.col("log_share").isNotNull(), F.exp(F.lit(a) * F.col("log_share"))).otherwise(F.lit(0.0))
     total = shares.agg(F.sum(raw).alias("z"), F.max(F.try_divide(F.col("tokens").cast("double"), raw)).alias("need"), F.max("total").alias("all_tokens"))
     goal = F.coalesce(F.col("need") * F.col("z"), F.lit(0.0)) if budget_ratio is None else F.lit(float(budget_ratio)) * F.col("all_tokens")

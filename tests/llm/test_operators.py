@@ -138,6 +138,21 @@ def test_mixing(spark, odd_df):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_covering_budget_keeps_the_repetition_limit(spark):
+    counts = {"hot": 9_000, **{f"m{k}": 960 for k in range(15)}, "s0": 900, "s1": 840, "s2": 270, "s3": 90}
+    rows = [(s, n) for s, n in counts.items()]
+    tokens = spark.createDataFrame(rows, "mix_source string, mix_tokens bigint")
+    p = {s: n / sum(counts.values()) for s, n in counts.items()}
+    worst = lambda a: max(x ** (a - 1) for x in p.values()) * max(x ** (1 - a) for x in p.values())
+    got = mixing.plan(tokens, 0.97, 4.0, None)[0].collect()
+    a = got[0].exponent
+    assert all(r.tokens <= r.budget <= 4 * r.tokens + 1 for r in got), {r.mix_source: r.budget / r.tokens for r in got}
+    assert worst(a) <= 4 + 1e-9 and worst(a - 1e-6) > 4
+    docs = spark.createDataFrame([(i, "w " * 30, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n // 30))], "doc_id bigint, text string, source string")
+    times = mixing.mix(docs, entropy=0.97, max_repeats=4.0, budget_ratio=None).groupBy("doc_id").count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first()
+    assert times.n == docs.count() and times.most <= 4
+
+
 def test_factorisation_machine(spark, odd_df):
     r = random.Random(1)
     texts = [" ".join(r.choice(["good", "fine", "nice"] if k % 2 else ["bad##", "JUNK!!", "worse$$"]) for _ in range(30)) for k in range(200)]
