@@ -9,8 +9,8 @@ and word shapes (case and character classes, hashed likewise), structure statist
 digits, capitals, repeated words and lines, word and line lengths) and, as metadata, the bin of n_chars where there is
 that column.  doc_id, lang, source and labels are no features.
 
-The model is fitted on the driver with a bounded sample: at most FIT_ROWS labelled rows, chosen by a hash of doc_id, with
-at most FIT_WORDS distinct words each.  It has BUCKETS * (RANK + 1) numbers, which is what is broadcast.  Scoring reads
+The model is fitted on the driver with a bounded sample: at most FIT_ROWS labelled rows, chosen by a hash of doc_id, each
+with all its words, as in scoring.  It has BUCKETS * (RANK + 1) numbers, which is what is broadcast.  Scoring reads
 every text whole, in one pass, without a shuffle.
 
 Defined results: null and empty texts have structure features alone and get a score; repeated rows get equal
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 BUCKETS, RANK = 1 << 15, 8
-FIT_ROWS, FIT_WORDS = 12_000, 600
+FIT_ROWS = 12_000
 EPOCHS, RATE, DECAY, BATCH = 4, 0.08, 2e-6, 256
 SYMBOLS = frozenset("#*$%&|<>!@^~_=+{}[]\\")
 EDGES = np.array([0.0, 0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95])
@@ -100,7 +100,7 @@ def structure(text: str, n_words: int, distinct: int, odd_words: int, upper_word
     return out
 
 
-def features(text: str, n_chars: int | None, most_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     count: dict[str, int] = {}
     for w in words:
@@ -110,16 +110,15 @@ def features(text: str, n_chars: int | None, most_words: int | None = None) -> t
     shapes: dict[int, int] = {}
     odd = upper = 0
     of = _WORDS.of
-    for k, (w, c) in enumerate(count.items()):
+    for w, c in count.items():
         b, s, kind = of(w)
         shapes[s] = shapes.get(s, 0) + c
         if kind == 2:
             odd += c
         elif kind == 1:
             upper += c
-        if most_words is None or k < most_words:
-            idx.append(b)
-            val.append(c)
+        idx.append(b)
+        val.append(c)
     v = np.log1p(np.array(val)) if val else np.zeros(0)
     v /= np.sqrt((v * v).sum()) or 1.0
     sv = np.sqrt(np.array(list(shapes.values()), float) / max(1, len(words))) if shapes else np.zeros(0)
@@ -176,8 +175,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 
 
 def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [features(t, n, FIT_WORDS) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    for b in slices(batches, most=1_000_000):
+        got = [features(t, n) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary())], names=["label", "idx", "val"])
 
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,19 @@ def test_factorisation_machine(spark, odd_df):
     assert len(scored) == odd_df.count() and all(abs(s.score - 0.5) < 1e-6 for s in scored)
 
 
+def test_quality_is_learned_from_whole_texts(spark):
+    # The first 700 distinct words are the same in all texts; what tells them apart comes after.
+    head = " ".join(f"w{k}" for k in range(700))
+    rows = [(i, head + " " + " ".join(f"{'good' if i % 2 else 'poor'}{k}" for k in range(300)), i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    scores = {r.doc_id: r.score for r in fm_quality.score(df, fm_quality.train(df.where("doc_id < 900"), df.select("doc_id", "quality").where("doc_id < 900"))).collect()}
+    assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(900, 1000))
+    part = pa.RecordBatch.from_pydict({"text": [rows[0][1]], "n_chars": pa.array([None], pa.int64()), "label": [0.0]})
+    fitted = next(fm_quality.fit_batches(iter([part])))
+    idx, val = fm_quality.features(rows[0][1], None)
+    assert fitted.column(1)[0].as_py() == idx.tobytes() and fitted.column(2)[0].as_py() == val.tobytes()
+
+
 def test_quality_is_learned(spark, sf_dir):
     out = fm_quality.op5_fm_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert ((out.predicted == 1) == (out.quality == 1)).mean() > 0.85
