@@ -51,12 +51,23 @@ def tail_statistics(rows: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def ewma(rows: DataFrame, by: str, value: str, order: str, span: int) -> DataFrame:
-    """Exponentially weighted mean with alpha = 2 / (span + 1), started at the first value; one array fold for each series."""
+    """Exponentially weighted mean with alpha = 2 / (span + 1), started at the first value, over whole series.
+
+    y_k = sum over j <= k of (1 - alpha)^(k - j) b_j is summed by doubling: after the step with distance h it holds the last 2 h
+    terms.  It ends when (1 - alpha)^h is 0 as a double.  The windows share one sort and hold no series in memory.
+    """
     a = 2.0 / (span + 1)
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x)
-    folded = F.aggregate(F.col("xs"), F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value]).otherwise(F.lit(a) * x[value] + F.lit(1 - a) * F.element_at(acc, -1)))))
-    s = rows.groupBy(by).agg(xs.alias("xs")).select(by, "xs", folded.alias("smooth"))
-    return s.select(by, F.explode(F.arrays_zip(F.transform("xs", lambda x: x[order]).alias(order), F.col("smooth").alias("smooth"))).alias("z")).select(by, F.col(f"z.{order}").alias(order), F.col("z.smooth").alias("smooth"))
+    w = Window.partitionBy(by).orderBy(order, value)
+    x = rows.select(by, order, F.col(value).cast("double").alias("_x"), F.row_number().over(w).alias("_k"))
+    w = Window.partitionBy(by).orderBy("_k")
+    # What is not finite stays in the mean for ever.
+    odd = F.sum(F.when(~is_finite(F.col("_x")), F.col("_x"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("_odd", odd).withColumn("smooth", F.when(F.col("_k") == 1, F.col("_x")).otherwise(F.lit(a) * F.col("_x")))
+    h = 1
+    while (1 - a) ** h > 0:
+        x = x.withColumn("smooth", F.col("smooth") + F.lit((1 - a) ** h) * F.lag("smooth", h, 0.0).over(w))
+        h *= 2
+    return x.select(by, order, F.coalesce("_odd", "smooth").alias("smooth"))
 
 
 def health(rows: DataFrame, by: str, n: int = 100) -> DataFrame:

@@ -44,6 +44,12 @@ def smoothed_losses(spark, d):
     return timeseries.ewma(h, "variant", "loss", "step", 10).withColumn("smooth", F.round("smooth", 8))
 
 
+@query("smoothed_losses_whole")
+def smoothed_losses_whole(spark, d):
+    """Every step of every series; the recursive SQL of smoothed_losses ends at step 200."""
+    return timeseries.ewma(history(spark, d).where("loss is not null"), "variant", "loss", "step", 10).withColumn("smooth", F.round("smooth", 8))
+
+
 @query("training_health", f"WITH {HISTORY_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM history WHERE loss IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY loss) - 1 AS r FROM t WHERE k <= 100), g AS (SELECT variant, count(*) AS n, median(loss) AS loss_median, max(loss) AS loss_max, max(loss) FILTER (r = CAST(round_even(99 * 0.95, 0) AS INT)) AS loss_p95, median(mean_token_accuracy) AS accuracy_median, max(grad_norm) AS g FROM o GROUP BY variant) SELECT variant, n, loss_median, loss_max, loss_p95, accuracy_median, array_to_string(list_filter([CASE WHEN g > 100 THEN 'gradient_norm_above_100' END, CASE WHEN loss_median < 1e-4 AND accuracy_median > 0.999 THEN 'training_distribution_saturated' END, CASE WHEN loss_median > 0 AND loss_max / loss_median > 1000 THEN 'loss_outlier_above_1000x_median' END], lambda x: x IS NOT NULL), ',') AS alerts, CASE WHEN g > 100 OR (loss_median < 1e-4 AND accuracy_median > 0.999) OR (loss_median > 0 AND loss_max / loss_median > 1000) THEN 'warning' ELSE 'ok' END AS severity FROM g")
 def training_health(spark, d):
     return timeseries.health(history(spark, d), "variant")

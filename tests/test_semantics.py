@@ -20,6 +20,30 @@ def test_holm(spark):
     assert [round(r.p_holm, 9) for r in inference.holm(t, ["family"]).orderBy("ordinal").collect()] == [0.03, 0.06, 0.5]
 
 
+def test_whole_series_are_smoothed(spark, sf_dir):
+    from larkspur.plans import registry
+    from larkspur.plans.views import history
+
+    def brute(xs):
+        y = xs[:1]
+        for v in xs[1:]:
+            y.append(2.0 / 11 * v + (1 - 2.0 / 11) * y[-1])
+        return y
+
+    # sf0.001 has about 200 steps a series: a longer one, of 9,000 steps from a large first value, and odd ones.
+    series = {"long": [1e12, *((7919 * k % 1009) / 7 for k in range(9000))], "nan": [1.0, float("nan"), *[2.0] * 5000], "inf": [1.0, float("inf"), *[2.0] * 5000], "one": [3.0]}
+    rows = spark.createDataFrame([(n, k, v) for n, xs in series.items() for k, v in enumerate(xs)], "variant string, step int, loss double")
+    got = {(r.variant, r.step): r.smooth for r in timeseries.ewma(rows, "variant", "loss", "step", 10).collect()}
+    assert len(got) == rows.count()
+    assert all(got[n, k] == pytest.approx(v, rel=1e-9, nan_ok=True) for n, xs in series.items() for k, v in enumerate(brute(xs)))
+    h = history(spark, sf_dir).where("loss is not null").orderBy("variant", "step").collect()
+    out = {(r.variant, r.step): r.smooth for r in registry.queries()["smoothed_losses_whole"](spark, sf_dir).collect()}
+    for n in {r.variant for r in h}:
+        mine = [r for r in h if r.variant == n]
+        assert [out.pop((n, r.step)) for r in mine] == pytest.approx(brute([r.loss for r in mine]), abs=1e-7)
+    assert not out
+
+
 def test_interaction(spark):
     v = spark.createDataFrame([("paired_evidence", 0.9), ("paired_answer", 0.6), ("independent_evidence", 0.7), ("independent_answer", 0.5)], "run_name string, value double")
     w = inference.weights(spark, [c for c in inference.contrasts_two_by_two() if "interaction" in c[0]])
