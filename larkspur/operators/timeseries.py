@@ -89,13 +89,22 @@ def completeness(rows: DataFrame, by: str, expected: int) -> DataFrame:
     return gaps.unionByName(short).unionByName(odd)
 
 
-def metric_matrix_problems(rows: DataFrame, by: list[str], steps: int, metric: str) -> DataFrame:
-    """Expected (by, step) cells that are missing, or whose metric is missing, not finite or not positive."""
-    series = rows.select(*by).distinct()
-    want = series.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    got = want.join(rows.select(*by, "step", F.col(metric).alias("m"), F.lit(True).alias("there")), [*by, "step"], "left")
-    rule = F.when(F.col("there").isNull(), "missing").when(~is_finite(F.col("m")), "not_finite").when(F.col("m") <= 0, "not_positive")
-    return got.withColumn("rule", rule).where("rule is not null").select(*by, "step", "rule")
+def metric_matrix_problems(rows: DataFrame, by: list[str], steps: int | None, metric: str) -> DataFrame:
+    """Violations (by, step, rule) over every row: a metric that is missing, not finite or not positive, a step outside 1..steps,
+    a step that comes more than once, and expected steps that are missing.  With steps None the largest step of any series is expected."""
+    x = rows.select(*by, "step", F.col(metric).alias("m"))
+    top = rows.agg(F.max("step").alias("top")) if steps is None else None
+    want = rows.select(*by).distinct()
+    # The largest step is one row.
+    want = want.withColumn("top", F.lit(steps)) if top is None else want.crossJoin(F.broadcast(top))
+    want = want.where("top >= 1").select(*by, F.explode(F.sequence(F.lit(1), F.col("top"))).alias("step"))
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"x.{c}")) for c in by] + [F.col("w.step") == F.col("x.step")]
+    missing = want.alias("w").join(x.alias("x"), same, "left_anti").select(*by, "step", F.lit("missing").alias("rule"))
+    bad = F.when(~is_finite(F.col("m")), "not_finite").when(F.col("m") <= 0, "not_positive")
+    out_of_range = F.col("step").isNull() | (F.col("step") < 1) | (F.lit(False) if steps is None else F.col("step") > steps)
+    found = x.select(*by, "step", F.explode(F.array_compact(F.array(bad, F.when(out_of_range, "unexpected_step")))).alias("rule"))
+    again = x.groupBy(*by, "step").count().where("count > 1").select(*by, "step", F.lit("duplicate_step").alias("rule"))
+    return missing.unionByName(found).unionByName(again)
 
 
 def schedule_differences(rows: DataFrame, step: str = "step", tolerance: float = 1e-12) -> DataFrame:

@@ -62,7 +62,17 @@ def history_completeness(spark, d):
 
 @query("metric_matrix", f"WITH {HISTORY_SQL}, w AS (SELECT DISTINCT variant, unnest(range(1, 501)) AS step FROM history) SELECT w.variant, CAST(w.step AS INT) AS step, CASE WHEN h.variant IS NULL THEN 'missing' WHEN h.loss IS NULL THEN 'not_finite' ELSE 'not_positive' END AS rule FROM w LEFT JOIN history h ON h.variant = w.variant AND h.step = w.step WHERE h.variant IS NULL OR h.loss IS NULL OR h.loss <= 0")
 def metric_matrix(spark, d):
-    return timeseries.metric_matrix_problems(history(spark, d), ["variant"], 500, "loss")
+    # The SQL reads these steps only.
+    return timeseries.metric_matrix_problems(history(spark, d).where("step <= 500"), ["variant"], 500, "loss")
+
+
+WHOLE_MATRIX_SQL = f"WITH {HISTORY_SQL}, n AS (SELECT max(step) AS top FROM history), w AS (SELECT variant, unnest(range(1, (SELECT top FROM n) + 1)) AS step FROM (SELECT DISTINCT variant FROM history)) SELECT coalesce(w.variant, h.variant) AS variant, CAST(coalesce(w.step, h.step) AS INT) AS step, CASE WHEN h.variant IS NULL THEN 'missing' WHEN h.loss IS NULL THEN 'not_finite' ELSE 'not_positive' END AS rule FROM w FULL JOIN history h ON h.variant = w.variant AND h.step = w.step WHERE h.variant IS NULL OR h.loss IS NULL OR h.loss <= 0"
+
+
+@query("metric_matrix_whole", WHOLE_MATRIX_SQL)
+def metric_matrix_whole(spark, d):
+    """Every row; each series is held against the longest."""
+    return timeseries.metric_matrix_problems(history(spark, d), ["variant"], None, "loss")
 
 
 @query("schedule_differences", f"WITH {HISTORY_SQL} SELECT step, CAST(round(max(learning_rate) - min(learning_rate), 12) AS DOUBLE) AS spread FROM history GROUP BY step HAVING max(learning_rate) - min(learning_rate) > 1e-12")

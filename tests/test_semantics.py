@@ -44,6 +44,19 @@ def test_whole_series_are_smoothed(spark, sf_dir):
     assert not out
 
 
+def test_metric_matrix_reads_every_row(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1, 1.0), ("a", 2, 0.0), ("a", 3, 1.0), ("a", 4, None), ("a", 5, 2.0), ("b", 1, nan), ("b", 3, 1.0), ("b", 3, 1.0), ("b", 0, -1.0), ("b", None, inf)]
+    x = spark.createDataFrame(rows, "variant string, step int, loss double")
+    got = sorted((tuple(r) for r in timeseries.metric_matrix_problems(x, ["variant"], 3, "loss").collect()), key=str)
+    a = [("a", 2, "not_positive"), ("a", 4, "not_finite"), ("a", 4, "unexpected_step"), ("a", 5, "unexpected_step")]
+    b = [("b", 1, "not_finite"), ("b", 2, "missing"), ("b", 3, "duplicate_step"), ("b", 0, "not_positive"), ("b", 0, "unexpected_step"), ("b", None, "not_finite"), ("b", None, "unexpected_step")]
+    assert got == sorted(a + b, key=str)
+    longest = {tuple(r) for r in timeseries.metric_matrix_problems(x, ["variant"], None, "loss").collect()}
+    assert longest >= {("b", 4, "missing"), ("b", 5, "missing"), ("a", 4, "not_finite")} and ("a", 5, "unexpected_step") not in longest
+    assert timeseries.metric_matrix_problems(x.limit(0), ["variant"], None, "loss").count() == 0
+
+
 def test_interaction(spark):
     v = spark.createDataFrame([("paired_evidence", 0.9), ("paired_answer", 0.6), ("independent_evidence", 0.7), ("independent_answer", 0.5)], "run_name string, value double")
     w = inference.weights(spark, [c for c in inference.contrasts_two_by_two() if "interaction" in c[0]])
