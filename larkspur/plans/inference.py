@@ -10,7 +10,8 @@ from .cells import SQL_GAP
 from .registry import query
 from .views import GRID_SQL, HISTORY_SQL, RESULTS_SQL, grid, history, results, table
 
-B, SEED = 100, 7
+#: Replicates of the queries that have SQL, and of those named *_2000, as many as the original takes.
+B, WHOLE_B, SEED = 100, 2000, 7
 STRATUM = "concat_ws(':', task, filler_type, cast(target_tokens AS STRING))"
 
 
@@ -35,13 +36,13 @@ SQL_BOOT = f"""{GRID_SQL}, s AS (SELECT {SQL_STRATUM} AS stratum, unit, run_name
  st AS (SELECT replicate, run_name, unnest(['worst', 'gap']) AS statistic, unnest([round(avg(w), 12), round(avg(g), 12)]) AS value FROM k GROUP BY replicate, run_name)"""
 
 
-def replicate_statistics(spark, d):
+def replicate_statistics(spark, d, b=B):
     """Statistics of every run on all units (replicate -1) and on each replicate, from one wide row for each unit."""
     g = grid(spark, d).withColumn("stratum", F.expr(STRATUM))
     names = {f"h_{r}_{p}": (r, p) for r in range(len(RUNS)) for p in range(len(GRID))}
     hit = F.col("correct").cast("int")
     wide = g.groupBy("stratum", "unit").agg(*(F.sum(F.when((F.col("run_name") == RUNS[r]) & (F.col("position_label") == GRID[p]), hit).otherwise(0)).alias(n) for n, (r, p) in names.items()), F.lit(1).alias("n"))
-    drawn = inference.resample(wide, "stratum", "unit", ["stratum"], [*names, "n"], B, SEED)
+    drawn = inference.resample(wide, "stratum", "unit", ["stratum"], [*names, "n"], b, SEED)
     point = wide.groupBy("stratum").agg(*(F.sum(v).alias(v) for v in (*names, "n"))).withColumn("replicate", F.lit(-1))
     both = drawn.unionByName(point)
     long = both.select("replicate", "stratum", "n", F.explode(F.array(*(F.struct(F.lit(RUNS[r]).alias("run_name"), F.lit(GRID[p]).alias("position_label"), F.col(n).alias("hits")) for n, (r, p) in names.items()))).alias("x")).select("replicate", "stratum", "n", "x.*")
@@ -49,8 +50,8 @@ def replicate_statistics(spark, d):
 
 
 @query("bootstrap_runs", f"WITH {SQL_BOOT} SELECT run_name, statistic, round(max(value) FILTER (replicate = -1), 9) AS estimate, round(quantile_cont(value, 0.025) FILTER (replicate >= 0), 9) AS low, round(quantile_cont(value, 0.975) FILTER (replicate >= 0), 9) AS high FROM st GROUP BY run_name, statistic")
-def bootstrap_runs(spark, d):
-    st = replicate_statistics(spark, d)
+def bootstrap_runs(spark, d, b=B):
+    st = replicate_statistics(spark, d, b)
     return inference.summarize(st.where("replicate = -1").drop("replicate"), st.where("replicate >= 0"), ["run_name", "statistic"], "value").drop("p")
 
 
@@ -62,8 +63,8 @@ def contrast_query(definitions):
  SELECT statistic, contrast, round(estimate, 9) AS estimate, round(low, 9) AS low, round(high, 9) AS high, round(p, 9) AS p, round(max(step) OVER (PARTITION BY statistic ORDER BY p, ordinal ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM h"""
 
 
-def contrasts_of(spark, d, definitions):
-    x = inference.weighted(replicate_statistics(spark, d), ["replicate", "statistic"], "value", inference.weights(spark, definitions)).withColumn("value", F.round("value", 12))
+def contrasts_of(spark, d, definitions, b=B):
+    x = inference.weighted(replicate_statistics(spark, d, b), ["replicate", "statistic"], "value", inference.weights(spark, definitions)).withColumn("value", F.round("value", 12))
     by = ["statistic", "ordinal", "contrast"]
     point, reps = x.where("replicate = -1").drop("replicate"), x.where("replicate >= 0")
     t = inference.holm(inference.summarize(point, reps, by, "value"), ["statistic"])
@@ -71,13 +72,13 @@ def contrasts_of(spark, d, definitions):
 
 
 @query("bootstrap_contrasts", contrast_query(inference.contrasts_two_by_three()))
-def bootstrap_contrasts(spark, d):
-    return contrasts_of(spark, d, inference.contrasts_two_by_three())
+def bootstrap_contrasts(spark, d, b=B):
+    return contrasts_of(spark, d, inference.contrasts_two_by_three(), b)
 
 
 @query("bootstrap_contrasts_two_by_two", contrast_query(inference.contrasts_two_by_two()))
-def bootstrap_contrasts_two_by_two(spark, d):
-    return contrasts_of(spark, d, inference.contrasts_two_by_two())
+def bootstrap_contrasts_two_by_two(spark, d, b=B):
+    return contrasts_of(spark, d, inference.contrasts_two_by_two(), b)
 
 
 SQL_CLUSTER = f"""{GRID_SQL}, s AS (SELECT task AS stratum, cluster AS unit, run_name, sum(CAST(correct AS INT)) AS hits, count(*) AS m, sum(CAST(score > 0.5 AS INT)) AS quotes FROM grid GROUP BY ALL), {draws_sql('s', 'stratum', 'unit')},
@@ -85,18 +86,18 @@ SQL_CLUSTER = f"""{GRID_SQL}, s AS (SELECT task AS stratum, cluster AS unit, run
  st AS (SELECT replicate, run_name, unnest(['answer', 'quote', 'recovery']) AS statistic, unnest([answer, quote, quote - answer]) AS value FROM c)"""
 
 
-def cluster_statistics(spark, d):
+def cluster_statistics(spark, d, b=B):
     g = grid(spark, d)
     s = g.groupBy(F.col("task").alias("stratum"), F.col("cluster").alias("unit"), "run_name").agg(F.sum(F.col("correct").cast("int")).alias("hits"), F.count(F.lit(1)).alias("m"), F.sum((F.col("score") > 0.5).cast("int")).alias("quotes"))
     v = ["hits", "m", "quotes"]
-    both = inference.resample(s, "stratum", "unit", ["run_name"], v, B, SEED).unionByName(s.groupBy("run_name").agg(*(F.sum(c).alias(c) for c in v)).withColumn("replicate", F.lit(-1)))
+    both = inference.resample(s, "stratum", "unit", ["run_name"], v, b, SEED).unionByName(s.groupBy("run_name").agg(*(F.sum(c).alias(c) for c in v)).withColumn("replicate", F.lit(-1)))
     x = both.select("replicate", "run_name", (F.col("hits") / F.col("m")).alias("answer"), (F.col("quotes") / F.col("m")).alias("quote"))
     return x.withColumn("recovery", F.col("quote") - F.col("answer")).unpivot(["replicate", "run_name"], ["answer", "quote", "recovery"], "statistic", "value")
 
 
 @query("bootstrap_clusters", f"WITH {SQL_CLUSTER} SELECT run_name, statistic, round(max(value) FILTER (replicate = -1), 9) AS estimate, round(quantile_cont(value, 0.025) FILTER (replicate >= 0), 9) AS low, round(quantile_cont(value, 0.975) FILTER (replicate >= 0), 9) AS high FROM st GROUP BY run_name, statistic")
-def bootstrap_clusters(spark, d):
-    st = cluster_statistics(spark, d)
+def bootstrap_clusters(spark, d, b=B):
+    st = cluster_statistics(spark, d, b)
     return inference.summarize(st.where("replicate = -1").drop("replicate"), st.where("replicate >= 0"), ["run_name", "statistic"], "value").drop("p")
 
 
@@ -105,21 +106,21 @@ SQL_EFFECTS = f"""{SQL_CLUSTER}, e AS (SELECT t.replicate, t.run_name, t.statist
  q AS (SELECT run_name, statistic, {p_sql()} AS p FROM e WHERE replicate >= 0 GROUP BY ALL)"""
 
 
-def effects(spark, d):
-    st = cluster_statistics(spark, d)
+def effects(spark, d, b=B):
+    st = cluster_statistics(spark, d, b)
     base = st.where("run_name = 'base'").select("replicate", "statistic", F.col("value").alias("base_value"))
     e = st.where("run_name <> 'base'").join(base, ["replicate", "statistic"]).select("replicate", "run_name", "statistic", F.round(F.col("value") - F.col("base_value"), 12).alias("value"))
     return inference.summarize(e.where("replicate = -1").drop("replicate"), e.where("replicate >= 0"), ["run_name", "statistic"], "value")
 
 
 @query("effects_vs_base", f"WITH {SQL_EFFECTS}, h AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY statistic) - row_number() OVER (PARTITION BY statistic ORDER BY round(p, 9), run_name) + 1) * round(p, 9)) AS step FROM r JOIN q USING (run_name, statistic)) SELECT run_name, statistic, round(estimate, 9) AS estimate, round(low, 9) AS low, round(high, 9) AS high, round(p, 9) AS p, round(max(step) OVER (PARTITION BY statistic ORDER BY round(p, 9), run_name ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM h")
-def effects_vs_base(spark, d):
-    return inference.holm(effects(spark, d), ["statistic"], order="run_name").withColumn("p_holm", F.round("p_holm", 9))
+def effects_vs_base(spark, d, b=B):
+    return inference.holm(effects(spark, d, b), ["statistic"], order="run_name").withColumn("p_holm", F.round("p_holm", 9))
 
 
 @query("non_inferiority", f"WITH {SQL_EFFECTS} SELECT run_name, round(estimate, 9) AS estimate, round(low, 9) AS low, round(low, 9) > -0.02 AS non_inferior FROM r WHERE statistic = 'answer'")
-def non_inferiority(spark, d):
-    return inference.non_inferior(effects(spark, d).where("statistic = 'answer'"), 0.02).select("run_name", "estimate", "low", "non_inferior")
+def non_inferiority(spark, d, b=B):
+    return inference.non_inferior(effects(spark, d, b).where("statistic = 'answer'"), 0.02).select("run_name", "estimate", "low", "non_inferior")
 
 
 SQL_SLICE = f"""{GRID_SQL}, g AS (SELECT *, task || ':' || CASE WHEN target_tokens < 9000 THEN 'short' ELSE 'long' END AS stratum FROM grid WHERE position_label = 'p050'), s AS (SELECT stratum, task, unit, run_name, CAST(round(score * 1000) AS BIGINT) AS milli FROM g), {draws_sql('s', 'stratum', 'unit')},
@@ -128,11 +129,11 @@ SQL_SLICE = f"""{GRID_SQL}, g AS (SELECT *, task || ':' || CASE WHEN target_toke
 
 
 @query("bootstrap_slices", f"WITH {SQL_SLICE} SELECT run_name, slice, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM st GROUP BY run_name, slice")
-def bootstrap_slices(spark, d):
+def bootstrap_slices(spark, d, b=B):
     g = grid(spark, d).where("position_label = 'p050'").withColumn("stratum", F.concat_ws(":", "task", F.when(F.col("target_tokens") < 9000, "short").otherwise("long")))
     s = g.select("stratum", "task", "unit", "run_name", F.round(F.col("score") * 1000).cast("bigint").alias("milli"), F.lit(1).alias("n"))
     # A draw is summed by stratum first; slices are unions of strata.
-    r = inference.resample(s, "stratum", "unit", ["run_name", "task", "stratum"], ["milli", "n"], B, SEED)
+    r = inference.resample(s, "stratum", "unit", ["run_name", "task", "stratum"], ["milli", "n"], b, SEED)
     x = r.select("replicate", "run_name", "milli", "n", F.explode(F.array(F.lit("overall"), F.concat(F.lit("task:"), "task"), F.concat(F.lit("stratum:"), "stratum"))).alias("slice"))
     v = x.groupBy("replicate", "run_name", "slice").agg((F.sum("milli") / F.sum("n") / 1000).alias("value"))
     return v.groupBy("run_name", "slice").agg(*(F.round(c, 9).alias(n) for c, n in zip(inference.interval("value"), ("low", "high"))))
@@ -142,21 +143,30 @@ SQL_RATIO = f"s AS (SELECT CAST(p_size AS BIGINT) % 3 + 1 AS stratum, p_partkey
 
 
 @query("bootstrap_ratio", f"WITH {SQL_RATIO}, c AS (SELECT dr.replicate, sum(num) / sum(den) AS instruction, avg(CAST(num = den AS INT)) AS prompt FROM dr JOIN u USING (stratum, idx) JOIN s USING (stratum, unit) GROUP BY ALL) SELECT round(quantile_cont(instruction, 0.025), 9) AS instruction_low, round(quantile_cont(instruction, 0.975), 9) AS instruction_high, round(quantile_cont(prompt, 0.025), 9) AS prompt_low, round(quantile_cont(prompt, 0.975), 9) AS prompt_high FROM c")
-def bootstrap_ratio(spark, d):
+def bootstrap_ratio(spark, d, b=B):
     s = table(spark, d, "part").selectExpr("CAST(p_size AS BIGINT) % 3 + 1 AS stratum", "p_partkey AS unit", "CAST(p_size AS BIGINT) % 3 + 1 AS den", "CAST(p_partkey * 7 % (p_size % 3 + 2) AS BIGINT) AS num").selectExpr("*", "CAST(num = den AS INT) AS full_", "1 AS one")
-    r = inference.resample(s, "stratum", "unit", [], ["num", "den", "full_", "one"], B, SEED).selectExpr("num / den AS instruction", "full_ / one AS prompt")
+    r = inference.resample(s, "stratum", "unit", [], ["num", "den", "full_", "one"], b, SEED).selectExpr("num / den AS instruction", "full_ / one AS prompt")
     p = lambda c, q: F.round(F.percentile(c, F.lit(q)), 9)
     return r.agg(p("instruction", 0.025).alias("instruction_low"), p("instruction", 0.975).alias("instruction_high"), p("prompt", 0.025).alias("prompt_low"), p("prompt", 0.975).alias("prompt_high"))
 
 
 @query("bootstrap_draws", f"WITH {SQL_RATIO} SELECT stratum, replicate, count(*) AS draws, count(DISTINCT idx) AS distinct_units, CAST(sum(idx) AS BIGINT) AS index_sum FROM dr GROUP BY stratum, replicate")
-def bootstrap_draws(spark, d):
+def bootstrap_draws(spark, d, b=B):
     """The index log that a bootstrap writes, summed by stratum and replicate."""
     s = table(spark, d, "part").selectExpr("CAST(p_size AS BIGINT) % 3 + 1 AS stratum", "p_partkey AS unit")
-    x = inference.draws(inference.ordinals(s, "stratum", "unit"), "stratum", B, SEED)
+    x = inference.draws(inference.ordinals(s, "stratum", "unit"), "stratum", b, SEED)
     return x.groupBy("stratum", "replicate").agg(F.sum("times").alias("draws"), F.count(F.lit(1)).alias("distinct_units"), F.sum(F.col("times") * F.col("idx")).alias("index_sum"))
 
 
+def _register_whole():
+    """The same code with the whole number of replicates.  No SQL: it is held against SQL at B."""
+    for f in (bootstrap_runs, bootstrap_contrasts, bootstrap_contrasts_two_by_two, bootstrap_clusters, effects_vs_base, non_inferiority, bootstrap_slices, bootstrap_ratio, bootstrap_draws):
+        query(f"{f.__name__}_{WHOLE_B}")(lambda spark, d, f=f: f(spark, d, WHOLE_B))
+
+
+_register_whole()
+
+
 @query("cluster_integrity", f"WITH {GRID_SQL}, g AS (SELECT unit, count(DISTINCT cluster) AS c, count(DISTINCT task) AS s FROM grid GROUP BY unit), k AS (SELECT cluster, count(DISTINCT filler_type) AS s FROM grid GROUP BY cluster) SELECT 'group_not_constant' AS rule, CAST(unit AS VARCHAR) AS key, greatest(c, s) AS detail FROM g WHERE c > 1 OR s > 1 UNION ALL SELECT 'cluster_in_several_strata', CAST(cluster AS VARCHAR), s FROM k WHERE s > 1 UNION ALL SELECT 'number_of_clusters', '*', n FROM (SELECT count(DISTINCT cluster) AS n FROM grid) WHERE n < 2 OR n <> 31")
 def cluster_integrity(spark, d):
     return inference.cluster_problems(grid(spark, d), "cluster", "filler_type", "unit", expected=31)

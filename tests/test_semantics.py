@@ -57,6 +57,20 @@ def test_metric_matrix_reads_every_row(spark):
     assert timeseries.metric_matrix_problems(x.limit(0), ["variant"], None, "loss").count() == 0
 
 
+def test_whole_replicates_can_reach_significance(spark, sf_dir):
+    from larkspur.plans import registry
+
+    q = registry.queries()
+    names = ("bootstrap_runs", "bootstrap_contrasts", "bootstrap_contrasts_two_by_two", "bootstrap_clusters", "effects_vs_base", "non_inferiority", "bootstrap_slices", "bootstrap_ratio", "bootstrap_draws")
+    assert all(f"{n}_2000" in q for n in names)
+    log = q["bootstrap_draws_2000"](spark, sf_dir).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min("replicate").alias("low"), F.max("replicate").alias("high")).collect()
+    assert log and all((r.n, r.low, r.high) == (2000, 0, 1999) for r in log)
+    few, many = ({(r.run_name, r.statistic): r for r in q[n](spark, sf_dir).collect()} for n in ("effects_vs_base", "effects_vs_base_2000"))
+    assert few.keys() == many.keys() and all(few[k].estimate == many[k].estimate for k in few)
+    # 2 (k + 1) / (B + 1), over six runs: at 100 replicates no adjusted p is below 0.118.
+    assert min(r.p_holm for r in few.values()) > 0.1 and min(r.p_holm for r in many.values()) < 0.05
+
+
 def test_interaction(spark):
     v = spark.createDataFrame([("paired_evidence", 0.9), ("paired_answer", 0.6), ("independent_evidence", 0.7), ("independent_answer", 0.5)], "run_name string, value double")
     w = inference.weights(spark, [c for c in inference.contrasts_two_by_two() if "interaction" in c[0]])
