@@ -4,21 +4,22 @@ The model file is a BPE one.  Its encoding of a text is the only path of pieces
 neighbours are compatible: merging their joint characters by the model's rules gives these two pieces again.  So encoding is
 a best-path problem whose weights are 0 (compatible) or -inf, and gives the ids of the sentencepiece library.
 
-A document of up to GIANT characters is one chunk.  A longer one is cut every CHUNK characters, its chunks are rows dealt out over the
+A document is cut every CHUNK characters (a rest of under half a chunk goes with the chunk before it).  What is one chunk then is encoded
+where it lies.  The chunks of a longer document are rows dealt out over the
 tasks, each with PAD characters of its neighbours.  The state at a cut is the piece that ends there or spans it; both
 sides list the same states from those characters.  A chunk yields its transfer matrix, the weight of the best path from
 each left to each right state.  The matrices of a document are combined by max-plus products, in a tree, upwards and
 downwards again, which gives the state at every cut on the best path.  Then each chunk is traced back alone from its two states.
 
 Pieces hold a blank only in front, so no piece spans the place between another character and a blank, nor a newline's sides.  There
-paths are cut in any case: a chunk's matrix depends on its ends alone, and words between such places are
-encoded once and remembered.
+paths are cut in any case: a chunk's matrix depends on its ends alone, and the distinct segments between such places are encoded
+once for a batch, all at a time: in each turn every segment takes its best merge.  Nothing of it outlives the batch.
 
-Decoding joins the pieces' bytes and drops the blank that encoding puts in front.
+Decoding joins the pieces' bytes and drops the blank that encoding puts in front.  Each chunk is decoded and held against its text.
 
 Defined results: a null text is empty and has no ids; U+2581 counts as a blank, as in the library, so that alone does not come
-back from decoding; repeated rows are encoded each (giant rows that share a doc_id and text once per row); rows of one doc_id stay
-apart; an empty table gives no rows; other columns are ignored unless named.
+back from decoding; equal texts of a batch are encoded once and give a row each; rows of one doc_id, or with a null one, stay
+apart; a text of any length is as many chunks as it needs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +30,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, freed, slices, table, texts
-
-GIANT, CHUNK, PAD = 60_000, 16_384, 32
-#: Words and pairs in a generation of what a worker remembers; two generations are held.
-MEMO, PAIR_MEMO = 500_000, 400_000
+from .common import cut, freed, near, slices, table, texts
+
+CHUNK, PAD = 16_384, 32
+#: Segments of up to so many characters take the model's merges (quadratic), longer ones the path of compatible pieces (linear).
+SHORT = 48
+#: Pairs in a generation of what a worker remembers of compatibility; two generations are held.
+PAIR_MEMO = 50_000
+#: Bytes of text that are encoded at a time.
+BATCH = 4_000_000
+#: Stands between segments in the text that is split; texts that hold it are split one by one.
+SEP = "\x01"
+#: Tokens from here on are characters that are no pieces.
+LOOSE = 1 << 21
 BLANK = "▁"
 NEVER = -np.inf
 
@@ -64,8 +74,7 @@ class Model:
         self.longest = max(map(len, self.id))
         assert 2 * self.longest <= PAD and not any(" " in p.lstrip(" ") or "\n" in p for p in self.id)
         self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
-        self.memo: dict[str, bytes] = {}
-        self.old_memo: dict[str, bytes] = {}
+        self._tables()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.old_pairs: dict[tuple[str, str], bool] = {}
 
@@ -73,16 +82,20 @@ class Model:
 
     def merge(self, text: str) -> list[str]:
         """The model's merges of a short text: always the best-scored pair, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = NEVER, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and s > best:
-                    best, at = s, k
-            if at < 0:
+        parts, get = list(text), self.score.get
+        scores = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            k = scores.index(best)
+            both = parts[k] + parts[k + 1]
+            parts[k : k + 2] = [both]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + both, NEVER)
+            if k < len(scores):
+                scores[k] = get(both + parts[k + 1], NEVER)
         return parts
 
     def fits(self, left: str, right: str) -> bool:
@@ -135,54 +148,157 @@ class Model:
                 out.append(i)
         return out
 
-    # --- words between forced cuts
+    # --- segments between forced cuts
+
+    def _tables(self) -> None:
+        """Pieces by character, merges by pair of tokens in a hash table, and the pieces' bytes, as arrays."""
+        token = lambda t: self.id[t] if t in self.id else LOOSE + ord(t) if len(t) == 1 else None
+        self.char = np.arange(LOOSE, LOOSE + 0x110000, dtype=np.int64)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        merges = {}
+        for p, score in self.score.items():
+            for k in range(1, len(p)):
+                x, y = token(p[:k]), token(p[k:])
+                if x is not None and y is not None:
+                    merges[x << 22 | y] = (self.id[p], score)
+        keys = np.array(list(merges), np.int64)
+        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.slot_key, self.slot_row = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        row, at = np.arange(len(keys)), self.slot(keys)
+        while len(row):
+            _, first = np.unique(at, return_index=True)
+            first = first[self.slot_key[at[first]] < 0]
+            self.slot_key[at[first]], self.slot_row[at[first]] = keys[row[first]], row[first]
+            rest = np.ones(len(row), bool)
+            rest[first] = False
+            row, at = row[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+        self.merged, self.merged_score = (np.array([m[j] for m in merges.values()], t) for j, t in ((0, np.int64), (1, np.float64)))
+        self.piece_size = np.array([len(x) for x in self.bytes], np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rows of merged and merged_score for pairs of tokens, -1 for those that do not merge."""
+        keys = left << 22 | right
+        at, out = self.slot(keys), np.full(len(keys), -1, np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            there = self.slot_key[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.slot_row[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+        return out
 
-    def word(self, k: str) -> bytes:
-        """Ids of one blank and k, which has no blank."""
-        got = self.old_memo.get(k)
-        if got is None:
-            got = self.spaced(" " + k)
-        if len(k) <= 64:
-            if len(self.memo) >= MEMO:
-                self.old_memo, self.memo = self.memo, {}
-            self.memo[k] = got
-        return got
+    def merge_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short texts by the model's merges, one of each text in a turn: all ids, and how many each text has."""
+        size = np.array([len(t) for t in texts], np.int64)
+        tok = self.char[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        text = np.repeat(np.arange(len(texts)), size)
+        row = np.full(len(tok), -1, np.int64)  # the merge of a token with the next one of its text
+        inner = np.flatnonzero(text[:-1] == text[1:])
+        row[inner] = self.look(tok[inner], tok[inner + 1])
+        done_tok, done_text = [], []
+        while len(tok):
+            score = np.where(row >= 0, self.merged_score[row], NEVER)
+            begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            best = np.maximum.reduceat(score, begin)
+            count = np.diff(np.r_[begin, len(tok)])
+            alive = np.repeat(best > NEVER, count)
+            if not alive.all():
+                done_tok.append(tok[~alive])
+                done_text.append(text[~alive])
+                tok, text, row, score = tok[alive], text[alive], row[alive], score[alive]
+                best, count = best[best > NEVER], count[best > NEVER]
+                if not len(tok):
+                    break
+            at = np.flatnonzero(score == np.repeat(best, count))
+            at = at[np.r_[True, text[at[1:]] != text[at[:-1]]]]
+            tok[at] = self.merged[row[at]]
+            stay = np.ones(len(tok), bool)
+            stay[at + 1] = False
+            tok, text, row = tok[stay], text[stay], row[stay]
+            at -= np.arange(len(at))
+            row[at] = -1
+            for k in (at[at > 0] - 1, at):
+                k = k[k + 1 < len(tok)]
+                k = k[text[k] == text[k + 1]]
+                row[k] = self.look(tok[k], tok[k + 1])
+        if not done_tok:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        tok, text = np.concatenate(done_tok), np.concatenate(done_text)
+        order = np.argsort(text, kind="stable")
+        tok, text = tok[order], text[order]
+        loose = np.flatnonzero(tok >= LOOSE)
+        if len(loose):
+            # Characters that are no pieces go out as the pieces of their bytes.
+            ids = [[self.byte_id[x] for x in chr(c - LOOSE).encode("utf-8", "surrogatepass")] for c in tok[loose].tolist()]
+            many = np.ones(len(tok), np.int64)
+            many[loose] = [len(x) for x in ids]
+            tok, text = np.repeat(tok, many), np.repeat(text, many)
+            tok[tok >= LOOSE] = [i for x in ids for i in x]
+        return tok, np.bincount(text, minlength=len(texts))
+
+    def long_segment(self, s: str) -> bytes:
+        """Ids of any number of blanks and what follows up to the next blank or newline."""
+        parts = scan_text(self, s, CHUNK) if len(s) > CHUNK else self.trace(self.chain(s, 0, len(s), None), 0, len(s))
+        return np.array(self.ids_of(parts), "<i4").tobytes()
+
+    def segments(self, values: list[str]) -> pa.Array:
+        """Ids of distinct segments, as binary."""
+        long = [k for k, s in enumerate(values) if len(s) > SHORT]
+        tok, count = self.merge_all([("" if len(s) > SHORT else s) for s in values] if long else values)
+        ids = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer((4 * np.r_[0, np.cumsum(count)]).astype("<i4").tobytes()), pa.py_buffer(tok.astype("<i4").tobytes())])
+        if long:
+            mask = np.zeros(len(values), bool)
+            mask[long] = True
+            ids = pa.compute.replace_with_mask(ids, pa.array(mask), pa.array([self.long_segment(values[k]) for k in long], pa.binary()))
+        return ids
+
+    def plain_many(self, texts: pa.Array) -> pa.Array:
+        """Ids of texts in which blanks stand for U+2581 and that begin and end at a forced cut; texts of about BATCH bytes at most."""
+        c = pa.compute
+        odd = c.or_(c.match_substring(texts, "  "), c.match_substring(texts, SEP)).to_pylist()
+        split = c.split_pattern(c.replace_substring(c.replace_substring(texts, "\n", SEP + "\n" + SEP), " ", SEP + " "), SEP)
+        if any(odd):
+            split = pa.array([SEGMENT.findall(t) if o else x for o, t, x in zip(odd, texts.to_pylist(), split.to_pylist())], pa.list_(pa.string()))
+        flat = split.flatten().dictionary_encode()
+        ids = self.segments(flat.dictionary.to_pylist()).take(flat.indices)
+        ends = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, "<i4")
+        at = np.r_[0, np.cumsum(c.list_value_length(split).to_numpy(zero_copy_only=False))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[at], "<i4").tobytes()), ids.buffers()[2] or pa.py_buffer(b"")])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian int32."""
-        return self.plain(" " + text.replace(BLANK, " ")) if text else b""
-
-    def plain(self, s: str) -> bytes:
-        """Ids of a text in which blanks stand for U+2581 and that begins and ends at a forced cut."""
-        if not s:
-            return b""
-        words = s.split(" ")
-        if words[0] == "" and "" not in words[1:]:
-            del words[0]
-            got = list(map(self.memo.get, words))
-            if None in got:
-                got = [self.word(k) if g is None else g for k, g in zip(words, got)]
-            return b"".join(got)
-        return b"".join(map(self.spaced, UNIT.findall(s)))
-
-    def spaced(self, w: str) -> bytes:
-        """Ids of a unit: any number of blanks and what follows up to the next."""
-        ids: list[int] = []
-        for s in SEGMENT.findall(w):
-            if s == "\n":
-                ids.append(self.byte_id[10])
-            elif len(s) > CHUNK:
-                ids += self.ids_of(scan_text(self, s, CHUNK))
-            else:
-                ids += self.ids_of(self.trace(self.chain(s, 0, len(s), None), 0, len(s)))
-        return np.array(ids, "<i4").tobytes()
+        return self.encode_many(pa.array([text]))[0].as_py()
+
+    def encode_many(self, texts: pa.Array) -> pa.Array:
+        c = pa.compute
+        spaced = c.binary_join_element_wise(" ", c.replace_substring(texts, BLANK, " "), "")
+        return self.plain_many(c.if_else(c.equal(texts, ""), "", spaced))
+
+    def raw_many(self, ids: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The bytes of all pieces, and where those of each row begin and end."""
+        size = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1]
+        flat = np.frombuffer(ids.buffers()[2], "<i4", (size[-1] - size[0]) // 4, size[0]) if size[-1] > size[0] else np.zeros(0, "<i4")
+        n = self.piece_size[flat]
+        end = np.r_[0, np.cumsum(n)]
+        data = self.piece_bytes[np.arange(end[-1]) + np.repeat(self.piece_start[flat] - end[:-1], n)]
+        return data.tobytes(), end[(size - size[0]) // 4]
+
+    def raw(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:].decode("utf-8", "replace")
+        return self.raw(ids)[1:].decode("utf-8", "replace")
 
 
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
-UNIT = re.compile(r" *[^ ]+| +")
 
 
 def forced(s: str, p: int) -> bool:
@@ -278,20 +394,19 @@ def best_states(matrices: list[np.ndarray]) -> list[int]:
     return [j for _, j in ends[:-1]]
 
 
-def trace_chunk(model: Model, s: str, p: int, q: int, left: tuple[int, int], right: tuple[int, int]) -> bytes:
-    """Ids of the pieces that begin in the chunk, between its two states."""
+def trace_chunk(model: Model, s: str, p: int, q: int, left: tuple[int, int], right: tuple[int, int]) -> tuple[bytes, str, bytes]:
+    """The pieces that begin in the chunk, between its two states: ids up to its first forced cut, the text up to its last one, ids from there."""
     start, stop, before = p + left[1], q + right[1], piece(s, p, left)
     first = first_forced(s, start, stop) if before is None else first_forced(s, start + (0 if forced(s, start) else 1), stop)
     ids = lambda a, b, u: np.array(model.ids_of(model.trace(model.chain(s, a, b, u), a, b)), "<i4").tobytes()
     if first is None or (last := last_forced(s, first, stop)) is None:
-        return ids(start, stop, before)
-    middle = model.plain(s[first:last])
-    return (ids(start, first, before) if start < first else b"") + middle + (ids(last, stop, None) if last < stop else b"")
+        return ids(start, stop, before), "", b""
+    return (ids(start, first, before) if start < first else b""), s[first:last], (ids(last, stop, None) if last < stop else b"")
 
 
 def scan_text(model: Model, s: str, size: int) -> list[str]:
     """The pieces of one long string by the chunked scan, in one process."""
-    cuts = [*range(0, len(s) - size // 2, size), len(s)]
+    cuts = cuts_of(len(s), size)
     if len(cuts) < 3:
         return model.trace(model.chain(s, 0, len(s), None), 0, len(s))
     found = [states(model, s, p) for p in cuts]
@@ -313,21 +428,51 @@ def model_of(path: str) -> Model:
 
 
 ENCODED_SQL = "doc_id bigint, ids binary, round_trip boolean"
+CHUNK_SQL = "uid bigint, doc_id bigint, k int, pad int, size int, piece string"
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = model_of(path)
-    for b in slices(batches, most=2_000_000):
-        values = b.column(1).to_pylist()
-        ids = [model.encode(t) for t in values]
-        back = [model.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, values)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(back)], names=["doc_id", "ids", "round_trip"])
+    for b in slices(batches, most=BATCH):
+        coded = b.column(1).dictionary_encode()  # copies that a mixture took several times lie side by side
+        ids = model.encode_many(coded.dictionary)
+        raw, at = model.raw_many(ids)
+        back = [raw[i + 1 : j] == t.replace(BLANK, " ").encode() for i, j, t in zip(at.tolist(), at[1:].tolist(), coded.dictionary.to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), ids.take(coded.indices), pa.array(back, pa.bool_()).take(coded.indices)], names=["doc_id", "ids", "round_trip"])
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> the chunks of each row, under an id of the row."""
+    from pyspark import TaskContext
+
+    uid = TaskContext.get().partitionId() << 33
+    names = ["uid", "doc_id", "k", "pad", "size", "piece"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    for b in slices(batches):
+        rows = []
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            s = " " + text.replace(BLANK, " ")
+            cuts = cuts_of(len(s), size)
+            for k, (p, q) in enumerate(zip(cuts, cuts[1:])):
+                pad = min(p, PAD)
+                rows.append((uid, doc_id, k, pad, q - p, s[p - pad : q + PAD]))
+                if len(rows) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            uid += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
+def cuts_of(n: int, size: int) -> list[int]:
+    """Where a string is cut; one chunk has under one and a half times the size."""
+    return [*range(0, max(1, n - size // 2), size), n]
 
 
 def matrix_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(uid, k, pad, piece) -> (uid, k, rows, matrix)."""
+    """(uid, k, pad, size, piece) -> (uid, k, height, matrix)."""
     model = model_of(path)
-    for b in batches:
+    for b in slices(batches, "piece"):
         uid, k, pad, size, text = b.columns
         m = [transfer(model, t, p, p + n) for p, n, t in zip(pad.to_pylist(), size.to_pylist(), text.to_pylist())]
         yield pa.RecordBatch.from_arrays([uid, k, pa.array([x.shape[0] for x in m], pa.int32()), pa.array([x.tobytes() for x in m], pa.binary())], names=["uid", "k", "height", "matrix"])
@@ -342,49 +487,45 @@ def combine(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def trace_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Chunks with their states -> ids of the pieces that begin in them, and whether these decode to the text between the states."""
     model = model_of(path)
-    for b in batches:
-        uid, k, pad, size, text, left, right = b.columns
-        ids = []
+    for b in slices(batches, "piece", BATCH):
+        uid, doc_id, k, pad, size, text, left, right = b.columns
+        parts, inner = [], []
         for p, n, t, i, j in zip(pad.to_pylist(), size.to_pylist(), text.to_pylist(), left.to_pylist(), right.to_pylist()):
-            ids.append(trace_chunk(model, t, p, p + n, states(model, t, p)[i], states(model, t, p + n)[j]))
-        yield pa.RecordBatch.from_arrays([uid, k, pa.array(ids, pa.binary())], names=["uid", "k", "ids"])
+            x, y = states(model, t, p)[i], states(model, t, p + n)[j]
+            parts.append(trace_chunk(model, t, p, p + n, x, y))
+            inner.append(t[p + x[1] : p + n + y[1]].encode())
+        middle = model.plain_many(pa.array([m for _, m, _ in parts], pa.string())).to_pylist()
+        ids = [a + m + z for (a, _, z), m in zip(parts, middle)]
+        fine = [model.raw(i) == t for i, t in zip(ids, inner)]
+        yield pa.RecordBatch.from_arrays([uid, doc_id, k, pa.array(ids, pa.binary()), pa.array(fine, pa.bool_())], names=["uid", "doc_id", "k", "ids", "fine"])
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    model = model_of(path)
+def join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, parts, fine): the parts in the order of their chunks, as one."""
     for b in batches:
-        doc, text, parts = b.columns
-        ids = [b"".join(p["ids"] for p in sorted(x, key=lambda p: p["k"])) for x in parts.to_pylist()]
-        back = [model.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, text.to_pylist())]
-        yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), pa.array(back)], names=["doc_id", "ids", "round_trip"])
-
-
-def encode_giants(giants: DataFrame, path: str) -> DataFrame:
-    """giants: doc_id, text.  Their chunks are encoded wherever they lie."""
-    # A row of its own for each document, kept: ids of rows must not change between the two scans.
-    rows = cut(giants.withColumn("uid", F.monotonically_increasing_id()))
-    s = F.concat(F.lit(" "), F.translate("text", BLANK, " "))
-    n = F.length("text") + 1
-    chunked = rows.select("uid", s.alias("s"), n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("k"))
-    # A rest of under half a chunk goes with the chunk before it.
-    count = F.greatest(F.lit(1), F.floor((F.col("n") + CHUNK // 2) / CHUNK)).cast("int")
-    begin, end = F.col("k") * CHUNK, F.when(F.col("k") == count - 1, F.col("n")).otherwise((F.col("k") + 1) * CHUNK)
-    pad = F.least(begin, F.lit(PAD))
-    chunks = chunked.where(F.col("k") < count).select("uid", "k", pad.cast("int").alias("pad"), (end - begin).cast("int").alias("size"), F.substring("s", (begin - pad + 1).cast("int"), (end - begin + pad + PAD).cast("int")).alias("piece"))
-    chunks = cut(chunks.repartition("uid", "k"))
-    matrices = chunks.mapInArrow(freed(lambda it: matrix_batches(it, path)), "uid bigint, k int, height int, matrix binary")
-    picks = matrices.groupBy("uid").applyInPandas(combine, "uid bigint, k int, a int, b int")
-    traced = chunks.join(picks, ["uid", "k"]).select(*chunks.columns, "a", "b").mapInArrow(freed(lambda it: trace_batches(it, path)), "uid bigint, k int, ids binary")
-    whole = traced.groupBy("uid").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    return rows.join(whole, "uid").select("doc_id", "text", "parts").mapInArrow(freed(lambda it: decode_batches(it, path)), ENCODED_SQL)
-
-
-def encode(docs: DataFrame, path: str) -> DataFrame:
+        doc, parts, fine = b.columns
+        ids = [b"".join(p["ids"] for p in sorted(parts[i].as_py(), key=lambda p: p["k"])) for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), fine], names=["doc_id", "ids", "round_trip"])
+
+
+def encode_chunked(rows: DataFrame, path: str, size: int) -> DataFrame:
+    """rows: doc_id, text.  Their chunks are encoded wherever they lie; texts travel once, as chunks."""
+    # The checkpoint holds the ids of rows, which name a row for what follows.
+    chunks = cut(rows.mapInArrow(freed(lambda it: chunk_batches(it, size)), CHUNK_SQL).repartition("uid", "k"))
+    matrices = chunks.select("uid", "k", "pad", "size", "piece").mapInArrow(freed(lambda it: matrix_batches(it, path)), "uid bigint, k int, height int, matrix binary")
+    picks = near(cut(matrices.groupBy("uid").applyInPandas(combine, "uid bigint, k int, a int, b int")))
+    traced = chunks.join(picks, ["uid", "k"]).select(*chunks.columns, "a", "b").mapInArrow(freed(lambda it: trace_batches(it, path)), "uid bigint, doc_id bigint, k int, ids binary, fine boolean")
+    whole = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids")).alias("parts"), F.min("fine").alias("fine"))
+    return whole.select("doc_id", "parts", "fine").mapInArrow(freed(join_batches), ENCODED_SQL)
+
+
+def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     """doc_id, ids (int32, little-endian) and whether decoding gives the text back, of every document."""
     rows = texts(docs)
-    small = rows.where(F.length("text") <= GIANT).mapInArrow(freed(lambda it: encode_batches(it, path)), ENCODED_SQL)
-    return small.unionByName(encode_giants(rows.where(F.length("text") > GIANT), path))
+    one = F.length("text") + 1 <= size + size // 2  # a single chunk, with the blank in front
+    return rows.where(one).mapInArrow(freed(lambda it: encode_batches(it, path)), ENCODED_SQL).unionByName(encode_chunked(rows.where(~one), path, size))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

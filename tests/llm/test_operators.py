@@ -203,16 +203,17 @@ def test_sentencepiece_equals_the_library():
         assert model.ids_of(spm_scan.scan_text(model, " " + t, 64)) == sp.encode(t)
 
 
-def test_giant_documents(odd, odd_df, monkeypatch):
+@pytest.mark.parametrize("size", [128, spm_scan.CHUNK])
+def test_sentencepiece_frames(spark, odd, size):
     import sentencepiece
 
-    monkeypatch.setattr(spm_scan, "GIANT", 500)
-    monkeypatch.setattr(spm_scan, "CHUNK", 128)
+    rows = [*odd, (300, "again and\n again  " * 40, "a"), (300, "again and\n again  " * 40, "a"), (300, "other", "a"), (None, "no id", "a"), (None, None, None), (301, "x y" * 20_000, "a"), (302, "▁ a▁", "a")]
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = {r.doc_id: (np.frombuffer(r.ids, "<i4").tolist(), r.round_trip) for r in spm_scan.encode(odd_df, path).collect()}
-    assert got == {i: (sp.encode(t or ""), True) for i, t, _ in odd}
-    assert spm_scan.encode(empty(odd_df), path).count() == 0
+    got = [(r.doc_id, np.frombuffer(r.ids, "<i4").tolist(), r.round_trip) for r in spm_scan.encode(documents(spark, rows), path, size).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted(((i, sp.encode(t or ""), True) for i, t, _ in rows), key=key)
+    assert spm_scan.encode(empty(documents(spark, rows)), path).count() == 0
 
 
 def brute_removed(rows, length=100):
