@@ -58,6 +58,7 @@ def safe_context(columns, always_hashed=()) -> list[Column]:
 
 #: Fixed patterns: what a release may not hold, and ordered rewrites of machine paths.
 CREDENTIAL = r"(?i)(?:api[_-]?key|secret|token|password)\s*[=:]\s*\S+"
+PRIVATE_KEY = r"BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY"
 REWRITES = ((r"/home/[A-Za-z0-9_.-]+", "<home>"), (r"/root\b", "<root>"), (r"/mnt/[A-Za-z0-9_.-]+", "<mount>"))
 ABSOLUTE = r"(?:^|\s)/(?:home|root|mnt|Users)/"
 
@@ -68,5 +69,5 @@ def sanitize(c: Column) -> tuple[Column, Column, Column]:
     for pattern, new in REWRITES:
         count = count + F.regexp_count(text, F.lit(pattern))
         text = F.regexp_replace(text, pattern, new)
-    refused = c.rlike(CREDENTIAL) | text.rlike(ABSOLUTE)
+    refused = c.rlike(CREDENTIAL) | c.rlike(PRIVATE_KEY) | text.rlike(ABSOLUTE)
     return F.when(~refused, text), count, refused

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,24 @@ def chat_tokens(system: Column, user: Column) -> Column:
     return token_count(F.concat(system, F.lit("\n\n"), user))
 
 
+#: Ways to count tokens by name; register() adds one, such as a model's tokenizer behind a UDF of the caller's.
+COUNTERS: dict[str, Callable[[Column], Column]] = {
+    "words_and_marks": token_count,
+    "blanks": lambda c: F.regexp_count(c, F.lit(r"[^ \t\r\n]+")),
+    "quarter_characters": lambda c: F.ceil(F.length(c) / 4).cast("int"),
+}
+
+
+def register_counter(name: str, count: Callable[[Column], Column]) -> None:
+    COUNTERS[name] = count
+
+
+def count_tokens(name: str, c: Column) -> Column:
+    if name not in COUNTERS:
+        raise ValueError(f"unknown token counter: {name}")
+    return COUNTERS[name](c)
+
+
 def option_letter(parsed_answer: Column, generated: Column) -> tuple[Column, Column]:
     """An option A-D and where it was found: parsed JSON, JSON in the raw text, a bare letter, one explicit phrase."""
     text = F.coalesce(generated, F.lit(""))
@@ -98,6 +118,7 @@ def render_document(i: Column, text: Column) -> Column:
     return F.concat(F.lit("[Document "), i, F.lit("]\n"), text)
 
 
+# The template of a prompt, which split_prompt reads again.
 def render_prompt(documents: Column, query: Column) -> Column:
     body = F.array_join(F.transform(documents, lambda x: render_document(x["id"], x["text"])), "\n\n")
     return F.concat(F.lit("<context>\n"), body, F.lit("\n</context>\n\nQuestion: "), query, F.lit("\nResponse:"))

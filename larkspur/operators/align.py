@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach(rows: DataFrame, source: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """1:1 join with source metadata, and the violations (rule, key): ids missing on either side, repeated, or in conflict."""
-    both = rows.join(source, key)
-    missing = rows.join(source, key, "left_anti").select(F.lit("missing_in_source").alias("rule"), F.col(key).cast("string").alias("key"))
-    extra = source.join(rows, key, "left_anti").select(F.lit("missing_in_rows").alias("rule"), F.col(key).cast("string").alias("key"))
-    return both, missing.unionByName(extra)
+def attach(rows: DataFrame, source: DataFrame, key: str, field: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Join of rows with the metadata of a source, and the violations (rule, key).
+
+    Violations: ids missing on either side, ids that the source repeats, rows without an id, and with `field` rows whose own
+    value of that field is not null and differs from the source's.  Ids that the source repeats are not joined.
+    """
+    name = lambda x, rule: x.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+    counted = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    once = source.join(counted.where("_n = 1").select(key), key, "left_semi")
+    bad = name(rows.join(source, key, "left_anti"), "missing_in_source").unionByName(name(source.join(rows, key, "left_anti"), "missing_in_rows")).unionByName(name(counted.where("_n > 1"), "repeated_in_source"))
+    if field is None:
+        return rows.join(once, key), bad
+    theirs = once.withColumnRenamed(field, "_theirs")
+    both = rows.join(theirs, key)
+    clash = F.col(field).isNotNull() & ~F.col(field).eqNullSafe(F.col("_theirs"))
+    return both.withColumn(field, F.col("_theirs")).drop("_theirs"), bad.unionByName(name(both.where(clash), "conflict"))
+
+
+def look_up(rows: DataFrame, source: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Many-to-one: fields of the source's row with that key, null where it has none; a key that the source repeats is an error."""
+    one = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *(F.first(f).alias(f) for f in fields))
+    checked = [F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string")))).otherwise(F.col(f)).alias(f) for f in fields]
+    return rows.join(one.select(key, *checked), key, "left")
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:

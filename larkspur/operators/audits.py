@@ -17,7 +17,7 @@ def violations(rows: DataFrame, key: str, **rules: Column) -> DataFrame:
 def raw_samples(samples: DataFrame, length_error: float = 0.02, position_error: float = 0.03) -> DataFrame:
     """Length and position errors, evidence in the prompt, and the invariants of a group."""
     ids = F.forall("evidence", lambda e: F.contains(F.col("prompt"), render_document(e["id"], e["text"])))
-    one = violations(samples, "sample_id", length_error=F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= length_error * F.col("target_tokens"), position_error=F.abs(F.col("actual_position") - F.col("target_position")) <= position_error, evidence_in_prompt=ids)
+    one = violations(samples, "sample_id", length_error=F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= length_error * F.col("target_tokens"), position_error=F.abs(F.col("actual_position") - F.col("target_position")) <= position_error, evidence_in_prompt=ids, room_for_fillers=F.col("base_tokens") < F.col("target_tokens"))
     same = {c: F.count_distinct(c) == 1 for c in ("answer", "filler_fingerprint", "task", "filler_type", "target_tokens")}
     g = samples.groupBy("group_id").agg(*(v.alias(k) for k, v in same.items()), (F.count_distinct("position_label") == F.count(F.lit(1))).alias("labels"))
     return one.unionByName(violations(g, "group_id", **{f"one_{c}": F.col(c) for c in same}, unique_labels=F.col("labels")))
@@ -30,12 +30,29 @@ def matched_bank(samples: DataFrame, fact: str, replica: str) -> DataFrame:
     return violations(g, fact, one_grid=F.col("grids") == 1, one_answer=F.col("answers") == 1, distinct_fillers=F.col("fillers") == F.col("replicas"))
 
 
-def chat_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Roles are system, user, assistant; the assistant's text is a JSON object of the four fields."""
+#: The fields of an assistant's payload, and whether ids and quotes are given under each supervision.
+PAYLOAD = ("answer", "confidence", "evidence_ids", "evidence_quotes")
+SUPERVISED = {"answer": (False, False), "evidence_id": (True, False), "evidence": (True, True)}
+
+
+def chat_rows(rows: DataFrame, key: str, supervision: Column | None = None) -> DataFrame:
+    """Roles are system, user, assistant; ids are unique; the assistant's text is a JSON object of the four fields and no others.
+
+    With a supervision mode, evidence ids and quotes are there exactly where the mode says so; an unknown mode is a violation.
+    """
     roles = F.transform("messages", lambda m: m["role"]) == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
-    v = F.try_parse_json(F.element_at("messages", -1)["content"])
-    fields = [F.try_variant_get(v, f"$.{f}", "string").isNotNull() for f in ("answer", "confidence", "evidence_ids", "evidence_quotes")]
-    return violations(rows, key, roles=roles, payload=fields[0] & fields[1] & fields[2] & fields[3])
+    content = F.element_at("messages", -1)["content"]
+    v = F.try_parse_json(content)
+    exact = v.isNotNull() & (F.array_sort(F.json_object_keys(content)) == F.array(*map(F.lit, PAYLOAD)))
+    rules = {"roles": roles, "payload": exact}
+    if supervision is not None:
+        some = lambda f: F.coalesce(F.json_array_length(F.get_json_object(content, f"$.{f}")), F.lit(0)) > 0
+        fits = F.lit(False)
+        for mode, (ids, quotes) in SUPERVISED.items():
+            fits = fits | ((supervision == mode) & (some("evidence_ids") == ids) & (some("evidence_quotes") == quotes))
+        rules["supervision"] = ~F.coalesce(exact, F.lit(False)) | fits
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return violations(rows, key, **rules).unionByName(violations(again, key, unique_id=F.col("n") == 1))
 
 
 def matched_design(rows: DataFrame, key: str) -> DataFrame:
@@ -47,6 +64,77 @@ def matched_design(rows: DataFrame, key: str) -> DataFrame:
     return a.unionByName(violations(f, "fact", equal_exposures=F.col("n") == 1, independent_has_one_position=F.col("ind") == 1))
 
 
+def matched_cells(rows: DataFrame, fact: str, variants: int, tokens: str, filler: str, most_gap: float) -> DataFrame:
+    """The variant matrix of a matched design: every (fact, replica) in every variant, fillers equal across variants, token sums within a gap."""
+    g = rows.groupBy(fact, "replica").agg(F.count_distinct("variant").alias("v"), F.count_distinct(filler).alias("f")).withColumn("cell", F.concat_ws("/", fact, "replica"))
+    t = rows.groupBy("variant").agg(F.sum(tokens).alias("t")).agg(((F.max("t") - F.min("t")) / F.greatest(F.avg("t"), F.lit(1.0))).alias("gap")).withColumn("all", F.lit("*"))
+    return violations(g, "cell", every_variant=F.col("v") == variants, same_fillers=F.col("f") == 1).unionByName(violations(t, "all", token_gap=F.col("gap") <= most_gap))
+
+
+def siblings(rows: DataFrame, key: list[str], fields: list[str], modes: int) -> DataFrame:
+    """A realized subset: rows that differ in supervision only have one value of each field, and every mode once."""
+    g = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("supervision").alias("m"), *(F.count_distinct(f).alias(f"d_{f}") for f in fields)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in key)))
+    return violations(g, "k", every_mode_once=(F.col("n") == modes) & (F.col("m") == modes), **{f"same_{f}": F.col(f"d_{f}") == 1 for f in fields})
+
+
+def pairing_comparison(rows: DataFrame, fact: str, position: str, tokens: str, most_gap: float = 0.02) -> DataFrame:
+    """By supervision: whether both pairings have the same facts, exposures and positions, their token gap, and all of it together.
+
+    Rows are counted by (supervision, fact, position) once; both pairings stand side by side in it.
+    """
+    of = lambda p, c: F.sum(F.when(F.col("pairing") == p, c).otherwise(0))
+    one = F.lit(1)
+    cell = rows.groupBy("supervision", fact, position).agg(of("paired", one).alias("p"), of("independent", one).alias("i"), of("paired", F.col(tokens)).alias("pt"), of("independent", F.col(tokens)).alias("it"))
+    by_fact = cell.groupBy("supervision", fact).agg(*(F.sum(c).alias(c) for c in ("p", "i", "pt", "it")))
+    by_position = cell.groupBy("supervision", position).agg(F.sum("p").alias("p"), F.sum("i").alias("i")).groupBy("supervision").agg(F.bool_and(F.col("p") == F.col("i")).alias("same_positions"))
+    gap = F.abs(F.sum("pt") - F.sum("it")) / F.greatest((F.sum("pt") + F.sum("it")) / 2, F.lit(1.0))
+    g = by_fact.groupBy("supervision").agg(F.bool_and((F.col("p") > 0) == (F.col("i") > 0)).alias("same_facts"), F.bool_and(F.col("p") == F.col("i")).alias("same_exposures"), F.round(gap, 9).alias("token_gap"))
+    x = g.join(by_position, "supervision")
+    return x.withColumn("strict", F.col("same_facts") & F.col("same_exposures") & F.col("same_positions") & (F.col("token_gap") <= most_gap))
+
+
+def selected_summary(rows: DataFrame, by: list[str], ids: str, mask: str) -> DataFrame:
+    """Token lengths of selected rows: rows, tokens, completion tokens, least and most, and masks that are no suffix of ones."""
+    from ..functions.text import is_suffix_mask
+
+    n = F.size(ids).cast("bigint")
+    ones = F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("bigint")
+    fine = (F.size(mask) == F.size(ids)) & is_suffix_mask(F.col(mask))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(n).alias("tokens"), F.sum(ones).alias("completion_tokens"), F.min(n).alias("least"), F.max(n).alias("most"), F.count_if(~F.coalesce(fine, F.lit(False))).alias("bad_masks"))
+
+
+def balanced_prefix(rows: DataFrame, cell: list[str], cap: str, sample: str) -> DataFrame:
+    """Cap diagnostics: one row for each (cap, cell), the same sample in a cell under every cap, and no fewer tokens under a larger cap."""
+    caps = rows.select(cap).distinct().agg(F.count(F.lit(1)).alias("caps"))
+    g = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cap).alias("c"), F.count_distinct(sample).alias("s"), F.array_sort(F.collect_set(F.struct(F.col(cap).alias("cap"), F.col("output_tokens").alias("t")))).alias("by_cap"))
+    rising = F.transform("by_cap", lambda x: x["t"]) == F.array_sort(F.transform("by_cap", lambda x: x["t"]))
+    x = g.crossJoin(F.broadcast(caps)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in cell)))  # one row
+    return violations(x, "k", one_row_a_cap=(F.col("n") == F.col("caps")) & (F.col("c") == F.col("caps")), one_sample=F.col("s") == 1, tokens_rise_with_cap=rising)
+
+
+def forbidden_keys(rows: DataFrame, key: str, json: str, names) -> DataFrame:
+    """(key, name) of forbidden field names at any depth of JSON texts.  Every string of a text is read in turn; those before a colon are names."""
+    strings = F.regexp_extract_all(F.col(json), F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    found = F.transform(F.filter(strings, lambda x: F.endswith(x, F.lit(":"))), lambda x: F.regexp_extract(x, r'^"(.*)"\s*:\z', 1))
+    return rows.select(key, F.explode(F.array_intersect(found, F.array(*map(F.lit, names)))).alias("name"))
+
+
+def chat_protocol(rows: DataFrame) -> DataFrame:
+    """By tokenizer, from renderings (tokenizer, protocol, prompt_ids, full_ids, text, sentinels): the first protocol that passes.
+
+    A protocol passes if the prompt's ids are a prefix of the whole's and every sentinel is in the text once at least.
+    `native` is preferred to `merge_system`; with neither the tokenizer fails.
+    """
+    n = F.size("prompt_ids")
+    prefix = (n <= F.size("full_ids")) & (F.slice("full_ids", F.lit(1), n) == F.col("prompt_ids"))
+    kept = F.forall("sentinels", lambda x: F.contains(F.col("text"), x))
+    x = rows.select("tokenizer", "protocol", F.coalesce(prefix & kept, F.lit(False)).alias("ok"), (F.size("full_ids") - n).alias("completion_tokens"))
+    ok = lambda p: F.coalesce(F.bool_or((F.col("protocol") == p) & F.col("ok")), F.lit(False))
+    g = x.groupBy("tokenizer").agg(ok("native").alias("native"), ok("merge_system").alias("merged"), F.max(F.when((F.col("protocol") == "native") & F.col("ok"), F.col("completion_tokens"))).alias("n1"), F.max(F.when((F.col("protocol") == "merge_system") & F.col("ok"), F.col("completion_tokens"))).alias("n2"))
+    chosen = F.when(F.col("native"), "native").when(F.col("merged"), "merge_system")
+    return g.select("tokenizer", F.when(chosen.isNull(), "failed").otherwise("passed").alias("status"), chosen.alias("selected_protocol"), F.when(F.col("native"), "passed").otherwise("failed").alias("native_status"), F.when(F.col("native"), F.col("n1")).otherwise(F.col("n2")).alias("completion_tokens"))
+
+
 def blocks(rows: DataFrame, stratum: list[str], fact: str, replica: str, replicas: int, k: int) -> DataFrame:
     """Facts without every replica once, and strata with fewer than k facts."""
     f = rows.groupBy(*stratum, fact).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(replica).alias("d"))

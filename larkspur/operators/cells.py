@@ -144,3 +144,9 @@ def execution_report(rows: DataFrame, batch: int = 8) -> DataFrame:
     """By run: generation seconds (a batch's wall time shared by its rows), per row, rates and token counts."""
     wall = F.sum(F.col("batch_wall_seconds") / batch)
     return rows.groupBy("run_name").agg(F.count(F.lit(1)).alias("n"), F.round(wall, 6).alias("seconds"), F.round(wall / F.count(F.lit(1)), 9).alias("seconds_per_row"), F.avg(hit("valid_json")).alias("valid_json"), F.avg((F.coalesce("finish_reason", F.lit("unknown")) == "length").cast("int")).alias("length_stop_rate"), F.max("output_tokens").alias("max_tokens"), F.avg("output_tokens").alias("mean_tokens"))
+
+
+def gate_metrics(rows: DataFrame, cap: str, fields: list[str]) -> DataFrame:
+    """By cap: rows, length stops, valid share, and a hash of the rows that does not hang on their order and is summed where they lie."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *fields), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(F.col(cap).alias("cap")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "length").alias("length_stops"), F.avg(F.col("valid_json").cast("int")).alias("valid_rate"), F.sum(h).cast("string").alias("rows_hash"))

@@ -54,11 +54,14 @@ def latin_assignment(rows: DataFrame, stratum: list[str], fact: str, replica: st
     """
     quoted = [F.concat(F.lit("'"), F.col(c), F.lit("'")) if dict(rows.dtypes)[c] == "string" else F.col(c).cast("string") for c in stratum]
     text = F.concat(F.lit(f"{seed}:("), F.concat_ws(", ", *quoted), F.lit("):"), F.col(fact).cast("string"))
-    w = Window.partitionBy(*stratum)
-    x = rows.withColumn("_h", F.sha2(text, 256)).withColumn("_f", F.dense_rank().over(w.orderBy("_h", fact)) - 1)
-    x = x.withColumn("_r", F.dense_rank().over(Window.partitionBy(*stratum, fact).orderBy(replica)) - 1)
+    # Facts are ranked, not rows: a stratum has one row a fact there.
+    facts = rows.select(*stratum, fact).distinct().withColumn("_h", F.sha2(text, 256))
+    facts = facts.withColumn("_f", F.row_number().over(Window.partitionBy(*stratum).orderBy("_h", fact)) - 1).drop("_h")
+    x = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy(*stratum, fact).orderBy(replica)) - 1)
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*stratum, fact)]
     label = lambda k: F.element_at(F.array(*map(F.lit, positions)), (k % len(positions) + 1).cast("int"))
-    return x.withColumn("independent_position", label(F.col("_f"))).withColumn("paired_position", label(F.col("_r"))).drop("_h", "_f", "_r")
+    joined = x.alias("x").join(facts.alias("f"), same)
+    return joined.select(*(F.col(f"x.{c}") for c in rows.columns), label(F.col("_f")).alias("independent_position"), label(F.col("_r")).alias("paired_position"))
 
 
 def quota(total: int, keys: int, rank: Column) -> Column:
@@ -66,10 +69,17 @@ def quota(total: int, keys: int, rank: Column) -> Column:
     return F.lit(total // keys) + (rank < total % keys).cast("int")
 
 
-def to_chat(rows: DataFrame, variant: str) -> DataFrame:
-    """Chat training rows: id = variant:sample_id, three messages, nested metadata."""
+def to_chat(rows: DataFrame, variant: str, matched: bool = False) -> DataFrame:
+    """Chat training rows: id = variant:sample_id, three messages, nested metadata.
+
+    matched: rows of the matched design (v2), whose variant is <pairing>_<supervision> and which name fact and replica.
+    """
     m = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    return rows.select(F.lit("position-sft-v1").alias("schema_version"), F.concat_ws(":", F.lit(variant), "sample_id").alias("id"), F.array(m("system", "system_prompt"), m("user", "prompt"), m("assistant", "answer")).alias("messages"), F.struct(F.lit(variant).alias("variant"), F.col("sample_id").alias("raw_sample_id"), "group_id", "position_label").alias("metadata"))
+    if matched:
+        more = [F.col("fact_id"), F.col("replica_index"), F.lit(variant.split("_", 1)[0]).alias("pairing_mode"), F.lit(variant.split("_", 1)[1]).alias("supervision_mode"), F.lit("matched-position-v1").alias("training_design")]
+    else:
+        more = []
+    return rows.select(F.lit("position-sft-v2" if matched else "position-sft-v1").alias("schema_version"), F.concat_ws(":", F.lit(variant), "sample_id").alias("id"), F.array(m("system", "system_prompt"), m("user", "prompt"), m("assistant", "answer")).alias("messages"), F.struct(F.lit(variant).alias("variant"), F.col("sample_id").alias("raw_sample_id"), "group_id", "position_label", *more).alias("metadata"))
 
 
 def factors(run: str = "run_name") -> list[Column]:
@@ -93,6 +103,26 @@ def design_summary(rows: DataFrame, by: str, fact: str, tokens: str) -> DataFram
     return e.groupBy(by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("facts"), F.min("n").alias("min_exposures"), F.max("n").alias("max_exposures"), F.sum("t").alias("tokens"))
 
 
+def design_histograms(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Rows by variant and by each value of some columns, in one aggregation over all of them."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return rows.select(by, each.alias("x")).groupBy(by, "x.field", "x.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def choice_prompts(rows: DataFrame, i: Column, question: Column, choices: Column, answer: Column) -> DataFrame:
+    """Padded id, the question with lettered choices, and the letter of the answer, which counts from 0."""
+    letters = F.array(*map(F.lit, "ABCDEFGHIJ"))
+    lines = F.array_join(F.transform(F.arrays_zip(F.slice(letters, F.lit(1), F.size(choices)).alias("l"), choices.alias("c")), lambda x: F.concat(x["l"], F.lit(". "), x["c"])), "\n")
+    return rows.select(F.format_string("%05d", i).alias("id"), F.concat(question, F.lit("\n"), lines).alias("prompt"), F.element_at(letters, (answer + 1).cast("int")).alias("answer"))
+
+
+def in_lists(rows: DataFrame, wanted: dict[str, list]) -> DataFrame:
+    """Rows whose columns have one of the values wanted; an empty list asks for nothing."""
+    for c, values in wanted.items():
+        rows = rows.where(F.col(c).isin(values)) if values else rows
+    return rows
+
+
 def budget_gap(rows: DataFrame, by: str, tokens: str, most: float) -> DataFrame:
     """Relative gap of the variants' token sums, and whether it is within the limit."""
     s = rows.groupBy(by).agg(F.sum(tokens).alias("t"))
@@ -100,6 +130,14 @@ def budget_gap(rows: DataFrame, by: str, tokens: str, most: float) -> DataFrame:
     return s.agg(F.round(gap, 9).alias("gap"), (gap <= most).alias("within"))
 
 
+def short_datasets(rows: DataFrame, dataset: str, answers: str, n: int) -> DataFrame:
+    """Violations of a source: fewer than n rows, or rows without an answer."""
+    from .audits import violations
+
+    g = rows.groupBy(dataset).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.trim(answers), F.lit("")) == "").alias("empty"))
+    return violations(g, dataset, enough_rows=F.col("n") >= n, answers_given=F.col("empty") == 0)
+
+
 def first_per_dataset(rows: DataFrame, dataset: str, order: str, n: int) -> DataFrame:
     return ranked(rows, [dataset], order).where(F.col("rank") <= n)
 
@@ -108,6 +146,11 @@ def family_histogram(rows: DataFrame, lists: str) -> DataFrame:
     return rows.select(F.explode(lists).alias("i")).groupBy(F.split_part("i", F.lit(":"), F.lit(1)).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def repeated_cases(cases: DataFrame) -> DataFrame:
+    """Case ids that occur more than once."""
+    return cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def expand_cases(needles: DataFrame) -> DataFrame:
     """Every question and test of each needle (nested maps), with {i} placeholders filled in; leftovers come back flagged."""
     q = needles.select("id", "needle", F.explode("questions").alias("question_type", "question"), "tests")

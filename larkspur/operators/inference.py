@@ -1,8 +1,9 @@
 """Bootstrap, contrasts, multiple testing, non-inferiority and seed-level intervals.
 
 A bootstrap never replays rows.  Each resampling unit is one row of sums; a draw picks units within a stratum, all runs
-share it, and statistics are taken on sums of picked rows.  A draw is a hash of (seed, replicate, stratum, number), so any engine
-gives the same.  Draws are rows dealt out over the cluster; the aggregation by replicate combines before its shuffle.
+share it, and statistics are taken on sums of picked rows.  Draws come from hashes of (seed, replicate, stratum, number), so any
+engine gives the same.  They are made where they are used: (stratum, replicate) pairs are dealt out over the cluster, meet the
+units in a broadcast join if a count shows that these are few, and are summed by replicate before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw
 from ..schemas import RUNS
 
 #: The 97.5 % points of Student's t for 1 to 10 degrees of freedom; beyond, 1.96.
@@ -19,14 +19,22 @@ SUPERVISIONS = ("answer", "evidence_id", "evidence")
 PRIMARY = ("confirmatory", "corrective")
 
 
+def signed(name: str, factor: dict[str, float]) -> list[tuple[str, str, float]]:
+    return [(name, run, w) for run, w in factor.items() if w]
+
+
 def contrasts_two_by_three() -> list[tuple[str, str, float]]:
-    """(contrast, run, weight): each run against base, pairing at each supervision and in the mean, supervision steps and their interactions."""
-    out = [(f"{r}_minus_base", x, w) for r in RUNS[1:] for x, w in ((r, 1.0), ("base", -1.0))]
-    out += [(f"paired_minus_independent_at_{s}", f"{p}_{s}", w) for s in SUPERVISIONS for p, w in (("paired", 1.0), ("independent", -1.0))]
-    out += [("paired_minus_independent_main_effect", f"{p}_{s}", w / 3) for s in SUPERVISIONS for p, w in (("paired", 1.0), ("independent", -1.0))]
-    for high, low in (("evidence_id", "answer"), ("evidence", "evidence_id"), ("evidence", "answer")):
-        out += [(f"{high}_minus_{low}_main_effect", f"{p}_{s}", w) for p in ("paired", "independent") for s, w in ((high, 0.5), (low, -0.5))]
-        out += [(f"pairing_x_{high}_vs_{low}", f"{p}_{s}", w * v) for p, v in (("paired", 1.0), ("independent", -1.0)) for s, w in ((high, 1.0), (low, -1.0))]
+    """(contrast, run, weight), as products of a pairing factor and a supervision factor: each run against base, pairing at each
+    supervision and in the mean, supervision steps and their interactions with pairing."""
+    cell = lambda pairing, level: {f"{p}_{s}": a * b for p, a in pairing.items() for s, b in level.items()}
+    difference, mean = {"paired": 1.0, "independent": -1.0}, {"paired": 0.5, "independent": 0.5}
+    at = lambda **weight: {s: weight.get(s, 0.0) for s in SUPERVISIONS}
+    out = [c for r in RUNS[1:] for c in signed(f"{r}_minus_base", {r: 1.0, "base": -1.0})]
+    out += [c for s in SUPERVISIONS for c in signed(f"paired_minus_independent_at_{s}", cell(difference, at(**{s: 1.0})))]
+    out += signed("paired_minus_independent_main_effect", cell(difference, dict.fromkeys(SUPERVISIONS, 1 / 3)))
+    for low, high in (("answer", "evidence_id"), ("evidence_id", "evidence"), ("answer", "evidence")):
+        step = at(**{high: 1.0, low: -1.0})
+        out += signed(f"{high}_minus_{low}_main_effect", cell(mean, step)) + signed(f"pairing_x_{high}_vs_{low}", cell(difference, step))
     return out
 
 
@@ -78,19 +86,34 @@ def ordinals(units: DataFrame, stratum: str, unit: str) -> DataFrame:
     return u.withColumn("idx", (F.row_number().over(w.orderBy(unit)) - 1).cast("bigint")).withColumn("n_units", F.count(F.lit(1)).over(w))
 
 
+#: Draws from one hash, and the hex digits of each (60 bits).
+DRAWS_A_HASH, DIGITS = 4, 15
+
+
 def draws(numbered: DataFrame, stratum: str, replicates: int, seed: int) -> DataFrame:
-    """replicate, stratum, idx and how often it was picked."""
-    each = numbered.select(stratum, F.col("idx").alias("draw"), "n_units")
-    x = each.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    picked = x.withColumn("idx", draw(F.col("n_units"), F.lit(str(seed)), F.col("replicate").cast("string"), F.col(stratum).cast("string"), F.col("draw").cast("string")))
-    return picked.groupBy("replicate", stratum, "idx").agg(F.count(F.lit(1)).alias("times"))
+    """replicate, stratum and idx of every draw: as many in a replicate as the stratum has units."""
+    strata = numbered.groupBy(stratum).agg(F.max("n_units").alias("n_units"))
+    each = strata.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(stratum, "replicate")
+    blocks = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_units") - 1) / DRAWS_A_HASH))))
+    hashed = blocks.withColumn("hash", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(stratum).cast("string"), F.col("block").cast("string")), 256))
+    number = lambda k: F.pmod(F.conv(F.substring("hash", 1 + DIGITS * k, DIGITS), 16, 10).cast("bigint"), F.col("n_units"))
+    picked = F.array(*(F.when(F.col("block") * DRAWS_A_HASH + k < F.col("n_units"), number(k)) for k in range(DRAWS_A_HASH)))
+    return hashed.select("replicate", stratum, F.explode(picked).alias("idx")).where("idx is not null")
+
+
+#: Numbers in a table of units up to which it is broadcast (32 MB).
+BROADCAST_NUMBERS = 4_000_000
 
 
 def resample(sums: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
     """Sums of `values` over the picked units by replicate and keys.  sums: a row for each (stratum, unit, keys)."""
     numbered = ordinals(sums, stratum, unit)
-    drawn = draws(numbered, stratum, replicates, seed).join(numbered.select(stratum, unit, "idx"), [stratum, "idx"])
-    x = drawn.join(sums, [stratum, unit])
+    placed = sums.join(numbered.select(stratum, unit, "idx"), [stratum, unit]).select(stratum, "idx", *(k for k in keys if k != stratum), *values)
+    drawn = draws(numbered, stratum, replicates, seed)
+    if sums.count() * (len(values) + len(keys)) <= BROADCAST_NUMBERS:
+        x = drawn.withColumn("times", F.lit(1)).join(F.broadcast(placed), [stratum, "idx"])
+    else:
+        x = drawn.groupBy("replicate", stratum, "idx").agg(F.count(F.lit(1)).cast("int").alias("times")).join(placed, [stratum, "idx"])
     return x.groupBy("replicate", *keys).agg(*(F.sum(F.col("times") * F.col(v)).alias(v) for v in values))
 
 
@@ -174,6 +197,17 @@ def unmatched_estimands(values: DataFrame, by: list[str]) -> DataFrame:
     return values.groupBy("family", *by).agg(F.count_distinct("seed").alias("n")).join(seeds, "family").where("n <> seeds")
 
 
+def display_points(c: Column) -> Column:
+    """A difference of shares in percentage points, with its sign."""
+    return F.format_string("%+.1f", F.round(c * 100, 6))
+
+
+def display_interval(low: Column, high: Column) -> Column:
+    """[low, high] in percentages, cut to 0..100."""
+    cut = lambda x: display(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.concat(F.lit("["), cut(low), F.lit(", "), cut(high), F.lit("]"))
+
+
 def display(c: Column) -> Column:
     """A share as a percentage with one place, halves rounded up."""
     return F.format_string("%.1f", F.round(c * 100, 6))

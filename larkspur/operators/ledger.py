@@ -16,8 +16,13 @@ def unique_events(events: DataFrame, key: str, fields: list[str]) -> tuple[DataF
 
 
 def compute_ledger(events: DataFrame, key: str, kind: str, seconds: str, rate: float) -> DataFrame:
-    """Sums by kind after copies are dropped: events, copies dropped, seconds, hours, cost."""
-    g = events.groupBy(key).agg(F.min(kind).alias(kind), F.min(seconds).alias(seconds), F.count(F.lit(1)).alias("copies"))
+    """Sums by kind after copies are dropped: events, copies dropped, seconds, hours, cost.
+
+    An id whose copies disagree counts under none: unique_events names it.
+    """
+    lo, hi = F.min(F.struct(kind, seconds)), F.max(F.struct(kind, seconds))
+    g = events.groupBy(key).agg(lo.alias("lo"), hi.alias("hi"), F.count(F.lit(1)).alias("copies")).where(F.col("lo").eqNullSafe(F.col("hi")))
+    g = g.select(F.col(f"lo.{kind}").alias(kind), F.col(f"lo.{seconds}").alias(seconds), "copies")
     s = F.sum(seconds)
     return g.groupBy(kind).agg(F.count(F.lit(1)).alias("events"), (F.sum("copies") - F.count(F.lit(1))).alias("duplicates"), F.round(s, 6).alias("seconds"), F.round(s / 3600, 9).alias("hours"), F.round(s / 3600 * rate, 6).alias("cost"))
 
@@ -53,12 +58,16 @@ def projection(rate: DataFrame, samples: Column, tokens_ratio: Column, fixed_sec
 
 
 def order_statistics(rows: DataFrame, by: str, tokens: str, key: str) -> DataFrame:
-    """Least, upper median, 95 % by lower index, and largest prompt with its id: order statistics, not interpolated."""
-    xs = F.sort_array(F.collect_list(F.struct(F.col(tokens).alias("t"), F.col(key).alias("k"))))
-    n = F.size("xs")
-    at = lambda i: F.get("xs", i.cast("int"))
-    x = rows.groupBy(by).agg(xs.alias("xs"))
-    return x.select(by, n.alias("n"), at(F.lit(0))["t"].alias("least"), at(F.floor(n / 2))["t"].alias("median"), at(F.floor(F.lit(0.95) * (n - 1)))["t"].alias("p95"), at(n - 1)["t"].alias("most"), at(n - 1)["k"].alias("longest"))
+    """Least, upper median, 95 % by lower index, and largest prompt with its id: order statistics, not interpolated.
+
+    Counts by length come first, so what is ordered are the distinct lengths of a group and never its rows.
+    """
+    lengths = rows.groupBy(by, tokens).agg(F.count(F.lit(1)).alias("c"), F.max(key).alias("k"))
+    w = Window.partitionBy(by)
+    x = lengths.withColumn("upto", F.sum("c").over(w.orderBy(F.asc_nulls_first(tokens)).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
+    t = F.col(tokens)
+    at = lambda i: F.min(F.when(F.col("upto") > i, t))
+    return x.groupBy(by).agg(F.max("n").cast("int").alias("n"), F.min(t).alias("least"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(0.95) * (F.col("n") - 1))).alias("p95"), F.max(t).alias("most"), F.max_by("k", t).alias("longest"))
 
 
 def progress(counts: DataFrame, by: list[str], done: str, expected: str) -> DataFrame:
@@ -81,6 +90,11 @@ def timestamp(c: Column) -> Column:
     return F.when(ok, F.try_to_timestamp(c))
 
 
+def finished_at(c: Column) -> Column:
+    """The ISO timestamp after finished_at= in a status text."""
+    return timestamp(F.regexp_extract(c, r"\bfinished_at=([^\s,;]+)", 1))
+
+
 def log_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(c, r"(\d{8}T\d{6})Z", 1), F.lit("yyyyMMdd'T'HHmmss"))
 

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import is_finite
 
 
+def nearest_rank_of(rows: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
+    """The order statistic at rank (n - 1) p, rounded half to even, of each group, over counts of equal values."""
+    w = Window.partitionBy(by)
+    c = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    x = c.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("_c").over(w))
+    return x.groupBy(by).agg(F.min(F.when(F.col("_upto") > F.bround((F.col("_n") - 1) * F.lit(p)), F.col(value))).alias(name))
+
+
 def nearest_rank(value, p: float) -> Column:
-    """The order statistic at rank (n - 1) p, rounded half to even."""
+    """The same within an aggregation over few rows, such as a tail: it gathers them."""
     xs = F.sort_array(F.collect_list(value))
     k = F.least(F.size(xs), F.bround((F.size(xs) - 1) * F.lit(p)).cast("int") + 1)
     return F.try_element_at(xs, k)
@@ -80,13 +88,20 @@ def health(rows: DataFrame, by: str, n: int = 100) -> DataFrame:
     return g.select(by, "n", "loss_median", "loss_max", "loss_p95", "accuracy_median", F.array_join(alerts, ",").alias("alerts"), severity.alias("severity"))
 
 
-def completeness(rows: DataFrame, by: str, expected: int) -> DataFrame:
-    """Violations (rule, key, detail) of a trainer history: missing steps, non-finite losses, and warnings on its tail."""
+def completeness(rows: DataFrame, by: str, expected: int, tail: int = 100) -> DataFrame:
+    """Violations (rule, key, detail) of a trainer history: missing steps, another last step, losses that are not finite, repeated
+    steps, and warnings on the medians of the last rows that have a loss (below 1e-4) or a token accuracy (above 0.999)."""
     x = keep_last(rows, [by, "step"], "seq")
-    gaps = missing_steps(x, by).groupBy(by).agg(F.count(F.lit(1)).alias("detail")).select(F.lit("missing_steps").alias("rule"), F.col(by).alias("key"), "detail")
-    short = x.groupBy(by).agg(F.max("step").cast("bigint").alias("detail")).where(F.col("detail") != expected).select(F.lit("last_step").alias("rule"), F.col(by).alias("key"), "detail")
-    odd = x.where(F.col("loss").isNotNull() & ~is_finite(F.col("loss"))).groupBy(by).agg(F.count(F.lit(1)).alias("detail")).select(F.lit("non_finite_loss").alias("rule"), F.col(by).alias("key"), "detail")
-    return gaps.unionByName(short).unionByName(odd)
+    named = lambda y, rule: y.select(F.lit(rule).alias("rule"), F.col(by).alias("key"), F.col("detail").cast("bigint").alias("detail"))
+    count = F.count(F.lit(1)).alias("detail")
+    out = named(missing_steps(x, by).groupBy(by).agg(count), "missing_steps")
+    out = out.unionByName(named(x.groupBy(by).agg(F.max("step").alias("detail")).where(F.col("detail") != expected), "last_step"))
+    out = out.unionByName(named(x.where(F.col("loss").isNotNull() & ~is_finite(F.col("loss"))).groupBy(by).agg(count), "non_finite_loss"))
+    out = out.unionByName(named(duplicates(rows, by, "step").where("duplicates > 0").withColumn("detail", F.col("duplicates")), "repeated_steps"))
+    for metric, rule, bad in (("loss", "saturated_loss", F.col("m") < 1e-4), ("mean_token_accuracy", "saturated_accuracy", F.col("m") > 0.999)):
+        t = last_n(x.where(F.col(metric).isNotNull()), [by], tail)
+        out = out.unionByName(named(t.groupBy(by).agg(F.median(metric).alias("m"), count).where(bad), rule))
+    return out
 
 
 def metric_matrix_problems(rows: DataFrame, by: list[str], steps: int | None, metric: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, design, failures
 from ..schemas import GRID, RUNS
+from ..sources import files
 from .registry import query
 from .views import GRID_SQL, RESULTS_SQL, grid, results, table
 
@@ -87,10 +88,10 @@ def attached_metadata(spark, d):
     return both.select(F.col("o_orderkey").alias("key"), F.lit("joined").alias("status")).unionByName(lost.select(F.col("o_orderkey").alias("key"), F.lit("missing_in_source").alias("status")))
 
 
-@query("metadata_violations", "SELECT 'missing_in_rows' AS rule, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'missing_in_source', count(*) FROM (SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)) UNION ALL SELECT 'missing_in_rows', 0 WHERE false".replace("SELECT 'missing_in_rows' AS rule, count(*) AS n FROM customer WHERE", "SELECT 'missing_in_rows' AS rule, count(*) AS n FROM customer WHERE c_custkey % 10 <> 0 AND"))
+@query("metadata_violations", "SELECT 'missing_in_rows' AS rule, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'missing_in_source', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def metadata_violations(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    _, bad = align.attach(o, table(spark, d, "customer").select("c_custkey").where("c_custkey % 10 <> 0"), "c_custkey")
+    _, bad = align.attach(o, table(spark, d, "customer").select("c_custkey"), "c_custkey")
     rules = spark.createDataFrame([("missing_in_rows",), ("missing_in_source",)], "rule string")
     return rules.join(bad.groupBy("rule").agg(F.count(F.lit(1)).alias("m")), "rule", "left").select("rule", F.coalesce("m", F.lit(0)).alias("n"))
 
@@ -117,13 +118,14 @@ def run_set_differences(spark, d):
     return align.set_differences(r, "group_id", r.where("target_tokens = 8192"))
 
 
-@query("variant_cell_differences", f"WITH {GRID_SQL}, a AS (SELECT unit, position_label, correct FROM grid WHERE run_name = 'paired_answer' AND unit % 10 <> 0), b AS (SELECT unit, position_label, correct FROM grid WHERE run_name = 'independent_answer' AND unit % 10 <> 1) SELECT unit, position_label, CASE WHEN a.correct IS NULL THEN 'only_right' WHEN b.correct IS NULL THEN 'only_left' ELSE 'differs' END AS kind FROM a FULL JOIN b USING (unit, position_label) WHERE a.correct IS DISTINCT FROM b.correct")
+@query("variant_cell_differences", f"WITH {GRID_SQL}, a AS (SELECT unit, position_label, correct FROM grid WHERE run_name = 'paired_answer'), b AS (SELECT unit, position_label, correct FROM grid WHERE run_name = 'independent_answer') SELECT unit, position_label, CASE WHEN a.correct IS NULL THEN 'only_right' WHEN b.correct IS NULL THEN 'only_left' ELSE 'differs' END AS kind FROM a FULL JOIN b USING (unit, position_label) WHERE a.correct IS DISTINCT FROM b.correct")
 def variant_cell_differences(spark, d):
     g = grid(spark, d)
-    return align.cell_differences(g.where("run_name = 'paired_answer' AND unit % 10 <> 0"), g.where("run_name = 'independent_answer' AND unit % 10 <> 1"), ["unit", "position_label"], ["correct"])
+    return align.cell_differences(g.where("run_name = 'paired_answer'"), g.where("run_name = 'independent_answer'"), ["unit", "position_label"], ["correct"])
 
 
-MECH = "SELECT run_name, CAST(unit AS STRING) || CASE WHEN m = 'free' THEN '' ELSE '@diag-' || m END AS group_id, m AS evaluation_mode, position_label, correct AS answer_correct, score > 0.5 AS evidence_quotes_correct, score > 0.2 AS all_predicted_quotes_supported"
+MECH_COLUMNS = ("run_name", "CAST(unit AS STRING) || CASE WHEN m = 'free' THEN '' ELSE '@diag-' || m END AS group_id", "m AS evaluation_mode", "position_label", "correct AS answer_correct", "score > 0.5 AS evidence_quotes_correct", "score > 0.2 AS all_predicted_quotes_supported")
+MECH = "SELECT " + ", ".join(MECH_COLUMNS)
 MECH_WHERE = "m IN ('free', 'locate_only') OR position_label = 'p000'"
 SQL_MECH = f"""{GRID_SQL}, mr AS ({MECH} FROM grid, (SELECT unnest(['free', 'locate_only', 'oracle_long', 'oracle_short']) AS m) WHERE {MECH_WHERE}),
  f AS (SELECT run_name, group_id, sum(CAST(answer_correct AS INT)) / 7 AS free_answer, sum(CAST(evidence_quotes_correct AS INT)) / 7 AS free_quote, CAST(bool_and(answer_correct) AS INT) AS free_worst_answer FROM mr WHERE evaluation_mode = 'free' GROUP BY ALL HAVING count(*) = 7),
@@ -136,8 +138,7 @@ SQL_MECH = f"""{GRID_SQL}, mr AS ({MECH} FROM grid, (SELECT unnest(['free', 'loc
 @query("mechanism_records", f"WITH {SQL_MECH}")
 def mechanism_records(spark, d):
     modes = spark.createDataFrame([(m,) for m in ("free", "locate_only", "oracle_long", "oracle_short")], "m string")
-    grid(spark, d).crossJoin(F.broadcast(modes)).createOrReplaceTempView("larkspur_mechanism_input")
-    rows = spark.sql(f"{MECH} FROM larkspur_mechanism_input WHERE {MECH_WHERE}")
+    rows = grid(spark, d).crossJoin(F.broadcast(modes)).where(MECH_WHERE).selectExpr(*MECH_COLUMNS)
     x = align.with_derived(align.mechanism_records(rows))
     return x.withColumn("residual_reasoning_error", F.col("residual_reasoning_error").cast("double"))
 
@@ -162,7 +163,7 @@ def pending_samples(spark, d):
 @query("selected_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
 def selected_rows(spark, d):
     ids = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(ids, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
+    return files.select_rows(table(spark, d, "orders"), ids, "o_custkey").select("o_orderkey", "o_totalprice")
 
 
 @query("condition_axes", "SELECT * FROM (SELECT unnest(['kv', 'two_hop']) AS task), (SELECT unnest(['neutral', 'same_format', 'answer_bearing']) AS filler_type), (SELECT unnest([8192, 32768]) AS target_tokens), (SELECT unnest(range(4)) AS replica), (SELECT n_nationkey AS book FROM nation)")
@@ -173,10 +174,7 @@ def condition_axes(spark, d):
 
 @query("in_list_filter", f"WITH {RESULTS_SQL} SELECT run_name, task, count(*) AS n FROM results WHERE task IN ('A', 'N') AND target_tokens IN (8192) AND position_label IN ('p000', 'p050') GROUP BY ALL")
 def in_list_filter(spark, d):
-    wanted = {"task": ["A", "N"], "target_tokens": [8192], "position_label": ["p000", "p050"], "filler_type": []}
-    x = results(spark, d)
-    for c, values in wanted.items():
-        x = x.where(F.col(c).isin(values)) if values else x
+    x = design.in_lists(results(spark, d), {"task": ["A", "N"], "target_tokens": [8192], "position_label": ["p000", "p050"], "filler_type": []})
     return x.groupBy("run_name", "task").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -260,9 +258,9 @@ def dataset_prefix(spark, d):
 @query("choice_prompts", "SELECT printf('%05d', p_partkey) AS id, 'Q ' || p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'C. ' || p_size || chr(10) || 'D. none' AS prompt, ['A', 'B', 'C', 'D'][p_partkey % 4 + 1] AS answer, len(string_split(p_name, ' ')) AS words FROM part")
 def choice_prompts(spark, d):
     choices = F.array("p_brand", "p_type", F.col("p_size").cast("string"), F.lit("none"))
-    letters = F.array(*map(F.lit, "ABCD"))
-    lines = F.array_join(F.transform(F.arrays_zip(letters.alias("l"), choices.alias("c")), lambda x: F.concat(x["l"], F.lit(". "), x["c"])), "\n")
-    return table(spark, d, "part").select(F.format_string("%05d", "p_partkey").alias("id"), F.concat(F.lit("Q "), "p_name", F.lit("\n"), lines).alias("prompt"), F.element_at(letters, (F.col("p_partkey") % 4 + 1).cast("int")).alias("answer"), F.size(F.split("p_name", " ")).cast("bigint").alias("words"))
+    p = table(spark, d, "part")
+    out = design.choice_prompts(p.withColumn("words", F.size(F.split("p_name", " ")).cast("bigint")), F.col("p_partkey"), F.concat(F.lit("Q "), "p_name"), choices, F.col("p_partkey") % 4)
+    return out.join(p.select(F.format_string("%05d", "p_partkey").alias("id"), F.size(F.split("p_name", " ")).cast("bigint").alias("words")), "id")
 
 
 @query("instruction_families", "SELECT split_part(i, ':', 1) AS family, count(*) AS n FROM (SELECT unnest([event_type || ':a', props || 'x']) AS i FROM events) GROUP BY 1")

@@ -9,6 +9,7 @@ from ..functions.hashing import ALPHABET, random_code
 from ..operators import audits, generate
 from ..schemas import GRID
 from .registry import query
+from .scoring import TOKEN_SQL
 from .views import GRID_SQL, RESULTS_SQL, grid, results, table
 
 
@@ -38,7 +39,7 @@ def random_codes(spark, d):
     return table(spark, d, "part").select("p_partkey", random_code("KEY", 10, seed, F.lit("KEY")).alias("code"))
 
 
-@query("task_facts", f"SELECT CAST(p_partkey AS VARCHAR) AS group_id, CASE WHEN p_partkey % 2 = 0 THEN {code_sql('VALUE', 8, FACT_SEED, chr(39) + 'VALUE' + chr(39))} END AS kv_answer, CASE WHEN p_partkey % 2 = 0 THEN 'What is the lookup value for ' || {code_sql('KEY', 10, FACT_SEED, chr(39) + 'KEY' + chr(39))} || '?' ELSE 'What display color is associated with ' || {code_sql('ENTITY', 8, FACT_SEED, chr(39) + 'ENTITY' + chr(39))} || '?' END AS query, CAST(1 + p_partkey % 2 AS INT) AS documents FROM part")
+@query("task_facts", f"SELECT CAST(p_partkey AS VARCHAR) AS group_id, CASE WHEN p_partkey % 2 = 0 THEN {code_sql('VALUE', 8, FACT_SEED, chr(39) + 'VALUE' + chr(39))} END AS kv_answer, CASE WHEN p_partkey % 2 = 0 THEN 'Which value does the register hold for ' || {code_sql('KEY', 10, FACT_SEED, chr(39) + 'KEY' + chr(39))} || '?' ELSE 'Which shade belongs to ' || {code_sql('ENTITY', 8, FACT_SEED, chr(39) + 'ENTITY' + chr(39))} || '?' END AS query, CAST(1 + p_partkey % 2 AS INT) AS documents FROM part")
 def task_facts(spark, d):
     f = generate.facts(groups(spark, d))
     return f.select("group_id", F.when(F.col("task") == "kv", F.col("answer")).alias("kv_answer"), "query", F.size("evidence").alias("documents"))
@@ -50,30 +51,89 @@ def budget_cuts(spark, d):
     return generate.fit_budget(c, "o_custkey", "base", "target").select("o_custkey", F.col("idx").alias("o_orderkey"), F.col("upto").cast("bigint").alias("upto"))
 
 
+POINTS = (0.0, 0.25, 0.5, 1.0)
+
+
 def samples(spark, d):
-    return generate.position_groups(groups(spark, d), (0.0, 0.25, 0.5, 1.0))
+    return generate.position_groups(groups(spark, d), POINTS)
+
+
+def tokens_sql(c: str) -> str:
+    return f"CAST(len(regexp_extract_all({c}, {TOKEN_SQL})) AS BIGINT)"
+
+
+def pick_sql(values, *parts: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[CAST(CAST('0x' || substr(sha256(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT) % {len(values)} + 1 AS INT)]"
+
+
+def filler_sql(prefix: str, width: int) -> str:
+    return code_sql(prefix, width, "filler_seed", "idx", f"'{prefix}'")
 
 
-@query("position_groups")
+def samples_sql() -> str:
+    """The same samples: facts, candidates, the budget cut, places and prompts, one CTE each."""
+    code = lambda prefix, width: code_sql(prefix, width, "fact_seed", f"'{prefix}'")
+    doc = lambda i, t: f"'[Document ' || {i} || ']' || chr(10) || {t}"
+    holds = lambda k, v: f"'In the register ' || {k} || ' holds ' || {v} || '.'"
+    filed = lambda e, b: f"{e} || ' is filed under ' || {b} || '.'"
+    carries = lambda b, c: f"'Whatever is filed under ' || {b} || ' carries the shade ' || {c} || '.'"
+    bears = lambda c: f"CASE WHEN filler_type = 'answer_bearing' AND idx % 3 = 0 THEN answer ELSE {c} END"
+    kv = "task = 'kv'"
+    words = " || ' ' || ".join(pick_sql(generate.WORDS, "filler_seed", "idx", f"'{k}'") for k in range(1, 13))
+    shade = f"{pick_sql(generate.COLORS, 'filler_seed', 'idx', chr(39) + 'color' + chr(39))} || '-' || {filler_sql('SHADE', 4)}"
+    chain = f"'Index page ' || idx || '. ' || {filed(filler_sql('ENTITY', 8), filler_sql('BRIDGE', 8))} || ' ' || {carries(filler_sql('BRIDGE', 8), bears(shade))} || ' Remarks: '"
+    prompt = lambda docs: f"'<context>' || chr(10) || array_to_string({docs}, chr(10) || chr(10)) || chr(10) || '</context>' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Response:'"
+    whole = lambda p: f"'{generate.SYSTEM}' || chr(10) || chr(10) || {p}"
+    return f"""g AS (SELECT CAST(p_partkey AS VARCHAR) AS group_id, CASE WHEN p_partkey % 2 = 0 THEN 'kv' ELSE 'two_hop' END AS task, (['neutral', 'same_format', 'answer_bearing'])[CAST(p_size % 3 + 1 AS INT)] AS filler_type, CASE WHEN p_retailprice < 1400 THEN 384 ELSE 512 END AS target_tokens, {FACT_SEED} AS fact_seed, 'filler-' || p_partkey AS filler_seed FROM part),
+ c AS (SELECT *, {code('KEY', 10)} AS k, {code('VALUE', 8)} AS v, {code('ENTITY', 8)} AS e, {code('BRIDGE', 8)} AS b, {pick_sql(generate.COLORS, 'fact_seed', chr(39) + 'color' + chr(39))} || '-' || {code('SHADE', 4)} AS s, substr(sha256(fact_seed), 1, 10) AS tag FROM g),
+ f AS (SELECT *, CASE WHEN {kv} THEN v ELSE s END AS answer, CASE WHEN {kv} THEN 'Which value does the register hold for ' || k || '?' ELSE 'Which shade belongs to ' || e || '?' END AS query, CASE WHEN {kv} THEN 'evidence-' ELSE 'evidence-a-' END || tag AS first_id,
+  CASE WHEN {kv} THEN [{doc("'evidence-' || tag", holds('k', 'v'))}] ELSE [{doc("'evidence-a-' || tag", filed('e', 'b'))}, {doc("'evidence-b-' || tag", carries('b', 's'))}] END AS evidence FROM c),
+ f2 AS (SELECT *, {tokens_sql(whole(prompt('evidence')))} AS base FROM f),
+ t AS (SELECT *, CASE WHEN filler_type = 'neutral' THEN 'Logbook page ' || idx || '. ' || w || '. Nothing on this page is about registers or shades.' WHEN {kv} THEN 'Register page ' || idx || '. ' || {holds(filler_sql('KEY', 10), bears(filler_sql('VALUE', 8)))} || ' Remarks: ' || w || '.' ELSE {chain} || w || '.' END AS body FROM (SELECT *, {words} AS w FROM (SELECT *, unnest(range(40)) AS idx FROM f2))),
+ n AS (SELECT *, {tokens_sql('rendered')} AS tokens FROM (SELECT *, {doc("printf('filler-%05d', idx)", 'body')} AS rendered FROM t)),
+ u AS (SELECT *, base + sum(tokens) OVER (PARTITION BY group_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS upto FROM n),
+ taken AS (SELECT * FROM u WHERE upto <= target_tokens OR (upto - tokens <= target_tokens AND abs(upto - target_tokens) < abs(upto - tokens - target_tokens))),
+ d AS (SELECT group_id, list(rendered ORDER BY idx) AS filler, list(upto - base ORDER BY idx) AS sums FROM taken GROUP BY group_id),
+ p AS (SELECT f2.*, coalesce(filler, []) AS filler, coalesce(sums, []) AS sums, unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in POINTS)}]) AS target_position FROM f2 LEFT JOIN d USING (group_id)),
+ i AS (SELECT *, CASE WHEN target_position <= 0 THEN 0 WHEN target_position >= 1 THEN len(filler) ELSE list_position(list_transform(list_concat([0], sums), lambda x: abs(x - target_position * sums[-1])), list_min(list_transform(list_concat([0], sums), lambda x: abs(x - target_position * sums[-1])))) - 1 END AS spot FROM p),
+ r AS (SELECT *, {prompt('list_concat(list_concat(list_slice(filler, 1, spot), evidence), list_slice(filler, spot + 1, len(filler)))')} AS prompt FROM i),
+ sa AS (SELECT *, printf('p%03d', CAST(target_position * 100 AS INT)) AS position_label, {tokens_sql(whole('prompt'))} AS actual_tokens, {tokens_sql(f"substr({whole('prompt')}, 1, strpos({whole('prompt')}, '[Document ' || first_id || ']') - 1)")} / greatest({tokens_sql(whole('prompt'))}, 1) AS actual_position FROM r)"""
+
+
+SAMPLES_SQL = samples_sql()
+
+
+@query("position_groups", f"WITH {SAMPLES_SQL} SELECT group_id || '@' || position_label AS sample_id, group_id, task, filler_type, position_label, target_tokens, CAST(actual_tokens AS INT) AS actual_tokens, round(actual_position, 6) AS actual_position, CAST(len(filler) AS INT) AS filler_document_count, sha256(prompt) AS prompt_sha256 FROM sa")
 def position_groups(spark, d):
-    """Whole position groups; tested for their invariants."""
+    """Whole position groups."""
     s = samples(spark, d)
     return s.select("sample_id", "group_id", "task", "filler_type", "position_label", "target_tokens", "actual_tokens", F.round("actual_position", 6).alias("actual_position"), "filler_document_count", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query("raw_validation")
+@query("raw_validation", f"WITH {SAMPLES_SQL}, w AS (SELECT CASE WHEN CAST(group_id AS INT) % 10 = 0 THEN replace(prompt, answer, '') ELSE prompt END AS prompt, actual_tokens, target_tokens, actual_position, target_position, evidence FROM sa) SELECT 'length_error' AS rule, count(*) AS n FROM w WHERE abs(actual_tokens - target_tokens) > 0.02 * target_tokens HAVING count(*) > 0 UNION ALL SELECT 'position_error', count(*) FROM w WHERE abs(actual_position - target_position) > 0.03 HAVING count(*) > 0 UNION ALL SELECT 'evidence_in_prompt', count(*) FROM w WHERE NOT list_bool_and(list_transform(evidence, lambda x: contains(prompt, x))) HAVING count(*) > 0")
 def raw_validation(spark, d):
-    """Violations by rule, over all generated samples: only length and position errors of these short groups are expected."""
-    return audits.raw_samples(samples(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """Violations by rule over all generated samples, the answers of every tenth group being taken out of the prompts."""
+    s = samples(spark, d).withColumn("prompt", F.when(F.col("group_id").cast("int") % 10 == 0, F.replace("prompt", "answer", F.lit(""))).otherwise(F.col("prompt")))
+    return audits.raw_samples(s).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("matched_bank_audit")
-def matched_bank_audit(spark, d):
-    s = samples(spark, d).withColumn("bank_fact", F.concat_ws("/", "task", "fact_seed"))
-    return audits.matched_bank(s, "bank_fact", "group_id")
+BANK_SQL = "f AS (SELECT p_partkey AS k, 'fact-' || p_partkey AS key FROM part)"
 
 
-@query("diagnostic_rows")
+@query("matched_bank_audit", f"WITH {BANK_SQL} SELECT 'one_answer' AS rule, key FROM f WHERE k % 10 = 0 UNION ALL SELECT 'distinct_fillers', key FROM f WHERE k % 7 = 0 UNION ALL SELECT 'one_grid', key FROM f WHERE k % 11 = 0")
+def matched_bank_audit(spark, d):
+    """A bank of three replicas of each fact, with an answer, a filler view and a position changed in some."""
+    facts = table(spark, d, "part").select(F.concat(F.lit("fact-"), F.col("p_partkey").cast("string")).alias("fact_id"), F.when(F.col("p_partkey") % 2 == 0, "kv").otherwise("two_hop").alias("task"), F.lit("neutral").alias("filler_type"), F.lit(160).alias("target_tokens"))
+    bank = generate.replicas(facts, 3, 7)
+    s = generate.position_groups(bank, (0.0, 0.5, 1.0)).withColumn("fact_id", F.regexp_extract("group_id", r"^(fact-\d+)-", 1)).withColumn("replica", F.regexp_extract("group_id", r"rep-(\d+)$", 1).cast("int"))
+    k = F.regexp_extract("fact_id", r"(\d+)$", 1).cast("int")
+    last = F.col("replica") == 2
+    s = s.where(~(last & (k % 11 == 0) & (F.col("position_label") == "p050")))
+    s = s.withColumn("answer", F.when(last & (k % 10 == 0), F.lit("other")).otherwise(F.col("answer"))).withColumn("filler_fingerprint", F.when(k % 7 == 0, F.lit("same")).otherwise(F.col("filler_fingerprint")))
+    return audits.matched_bank(s, "fact_id", "replica")
+
+
+@query("diagnostic_rows", f"WITH n AS (SELECT count(*) AS g FROM part) SELECT 'locate_only' AS evaluation_mode, {len(POINTS)} * g AS n, {len(POINTS)} * g AS ids, 0::BIGINT AS with_oracle FROM n UNION ALL SELECT 'oracle_long', {len(POINTS)} * g, {len(POINTS)} * g, {len(POINTS)} * g FROM n UNION ALL SELECT 'oracle_short', g, g, g FROM n")
 def diagnostic_rows(spark, d):
     x = generate.derive(samples(spark, d))
     return x.groupBy("evaluation_mode").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("ids"), F.count_if(F.contains("prompt", F.lit("<oracle_evidence>"))).alias("with_oracle"))
@@ -93,7 +153,20 @@ def needle_round_trips(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.remove_needle(put, F.lit("#needle#")), 256).alias("restored_sha256"))
 
 
-@query("fitted_prefixes")
+def fitted_sql(target: int, needle: str) -> str:
+    """Three passes: the length, the text, its tokens, and the next length."""
+    cut = lambda n: f"array_to_string(w[1:greatest({n}, 1)], ' ')"
+    tokens = lambda n: tokens_sql(f"{cut(n)} || chr(10) || '{needle}'")
+    after = lambda n, c: f"CASE WHEN {c} <= {target} AND {n} > 0 THEN {n} ELSE {n} - greatest(1, {c} - {target} + 8) END"
+    return f"""WITH a AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+ b AS (SELECT *, least(len(w), greatest(1, {target} - {tokens_sql(f"'{needle}'")} - 16)) AS n1 FROM a), b1 AS (SELECT *, {tokens('n1')} AS c1 FROM b),
+ b2 AS (SELECT *, {after('n1', 'c1')} AS n2 FROM b1), b3 AS (SELECT *, {tokens('n2')} AS c2 FROM b2),
+ b4 AS (SELECT *, {after('n2', 'c2')} AS n3 FROM b3), b5 AS (SELECT *, {tokens('n3')} AS c3 FROM b4),
+ x AS (SELECT doc_id, CASE WHEN c1 <= {target} AND n1 > 0 THEN c1 WHEN c2 <= {target} AND n2 > 0 THEN c2 WHEN c3 <= {target} AND n3 > 0 THEN c3 END AS c FROM b5)
+ SELECT doc_id, c IS NOT NULL AS fits, CAST(c AS INT) AS tokens FROM x"""
+
+
+@query("fitted_prefixes", fitted_sql(256, "the needle is here"))
 def fitted_prefixes(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("words"), F.lit("the needle is here").alias("needle"))
     f = generate.fit_prefix(x, "words", "needle", 256)
@@ -105,9 +178,9 @@ def full_matrix_audit(spark, d):
     return audits.full_matrix(grid(spark, d).withColumn("group_id", F.col("unit")), ["task", "filler_type", "target_tokens", "position_label"], 84, 50)
 
 
-@query("coverage_audit", f"WITH {RESULTS_SQL}, r AS (SELECT run_name, count(DISTINCT task) AS t, count(DISTINCT position_label) AS p FROM results WHERE position_label <> 'p010' GROUP BY run_name) SELECT unnest(list_filter([CASE WHEN t < 2 THEN 'tasks' END, CASE WHEN p < 7 THEN 'positions' END], lambda x: x IS NOT NULL)) AS rule, run_name AS key FROM r")
+@query("coverage_audit", f"WITH {RESULTS_SQL}, r AS (SELECT run_name, count(DISTINCT task) AS t, count(DISTINCT position_label) AS p FROM results GROUP BY run_name) SELECT unnest(list_filter([CASE WHEN t < 4 THEN 'tasks' END, CASE WHEN p < 7 THEN 'positions' END], lambda x: x IS NOT NULL)) AS rule, run_name AS key FROM r")
 def coverage_audit(spark, d):
-    return audits.coverage(results(spark, d).where("position_label <> 'p010'"), 2, len(GRID))
+    return audits.coverage(results(spark, d), 4, len(GRID))
 
 
 @query("block_audit", "WITH f AS (SELECT l_returnflag, l_partkey, count(*) AS n, count(DISTINCT l_linenumber) AS dd FROM lineitem GROUP BY ALL), s AS (SELECT l_returnflag, count(*) AS facts FROM f GROUP BY 1) SELECT 'complete_block' AS rule, CAST(l_partkey AS VARCHAR) AS key FROM f WHERE NOT (n = 7 AND dd = 7) UNION ALL SELECT 'enough_facts', l_returnflag FROM s WHERE facts < 5000")
@@ -122,7 +195,7 @@ def matched_design_audit(spark, d):
     return audits.matched_design(x, "cell")
 
 
-@query("chat_audit", "WITH c AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS r, list(text ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id) SELECT unnest(list_filter([CASE WHEN r <> ['system', 'user', 'assistant'] THEN 'roles' END, CASE WHEN NOT json_valid(t[-1]) THEN 'payload' END], lambda x: x IS NOT NULL)) AS rule, CAST(conv_id AS VARCHAR) AS key FROM c")
+@query("chat_audit", "WITH c AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS r, list(text ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id) SELECT unnest(list_filter([CASE WHEN r <> ['system', 'user', 'assistant'] THEN 'roles' END, CASE WHEN NOT coalesce(list_sort(json_keys(CASE WHEN json_valid(t[-1]) THEN t[-1] END)) = ['answer', 'confidence', 'evidence_ids', 'evidence_quotes'], false) THEN 'payload' END], lambda x: x IS NOT NULL)) AS rule, CAST(conv_id AS VARCHAR) AS key FROM c")
 def chat_audit(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.expr("transform(array_sort(collect_list(struct(turn, role, text))), x -> named_struct('role', x.role, 'content', x.text))").alias("messages"))
     return audits.chat_rows(c, "conv_id")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, inference
+from ..operators import cells, inference, timeseries
 from ..schemas import GRID, RUNS
 from .cells import SQL_GAP
 from .registry import query
 from .views import GRID_SQL, HISTORY_SQL, RESULTS_SQL, grid, history, results, table
 
-#: Replicates of the queries that have SQL, and of those named *_2000, as many as the original takes.
-B, WHOLE_B, SEED = 100, 2000, 7
+#: Replicates of every bootstrap query.
+B, SEED = 2000, 7
 STRATUM = "concat_ws(':', task, filler_type, cast(target_tokens AS STRING))"
 
 
@@ -22,7 +22,8 @@ def sql_values(definitions) -> str:
 
 def draws_sql(source: str, stratum: str, unit: str) -> str:
     return f"""u AS (SELECT stratum, unit, row_number() OVER (PARTITION BY stratum ORDER BY unit) - 1 AS idx, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT DISTINCT {stratum} AS stratum, {unit} AS unit FROM {source})),
- dr AS (SELECT r.replicate, u.stratum, CAST('0x' || substr(sha256('{SEED}:' || r.replicate || ':' || u.stratum || ':' || u.idx), 1, 15) AS BIGINT) % u.n AS idx FROM u, (SELECT unnest(range({B})) AS replicate) r)"""
+ dh AS (SELECT replicate, stratum, n, block, sha256('{SEED}:' || replicate || ':' || stratum || ':' || block) AS h FROM (SELECT stratum, n, replicate, unnest(range((n + 3) // 4)) AS block FROM (SELECT stratum, max(n) AS n FROM u GROUP BY stratum), (SELECT unnest(range({B})) AS replicate) r)),
+ dr AS (SELECT replicate, stratum, CAST('0x' || substr(h, 1 + 15 * k, 15) AS BIGINT) % n AS idx FROM dh, (SELECT unnest(range(4)) AS k) WHERE block * 4 + k < n)"""
 
 
 def p_sql(v: str = "value") -> str:
@@ -30,8 +31,13 @@ def p_sql(v: str = "value") -> str:
 
 
 SQL_STRATUM = "task || ':' || filler_type || ':' || target_tokens"
+CELLS = {f"h_{r}_{p}": (run, place) for r, run in enumerate(RUNS) for p, place in enumerate(GRID)}
+SQL_WIDE = ", ".join(f"sum(hit) FILTER (run_name = '{r}' AND position_label = '{p}') AS {n}" for n, (r, p) in CELLS.items())
+SQL_SUMS = ", ".join(f"sum({n}) AS {n}" for n in CELLS)
 SQL_BOOT = f"""{GRID_SQL}, s AS (SELECT {SQL_STRATUM} AS stratum, unit, run_name, position_label, CAST(correct AS INT) AS hit FROM grid), {draws_sql('s', 'stratum', 'unit')},
- c AS (SELECT dr.replicate, s.stratum, run_name, position_label, sum(hit) / count(*) AS rate FROM dr JOIN u USING (stratum, idx) JOIN s USING (stratum, unit) GROUP BY ALL UNION ALL SELECT -1, stratum, run_name, position_label, sum(hit) / count(*) FROM s GROUP BY ALL),
+ wd AS (SELECT stratum, unit, {SQL_WIDE} FROM s GROUP BY stratum, unit),
+ b AS (SELECT dr.replicate, stratum, count(*) AS m, {SQL_SUMS} FROM dr JOIN u USING (stratum, idx) JOIN wd USING (stratum, unit) GROUP BY dr.replicate, stratum UNION ALL SELECT -1, stratum, count(*), {SQL_SUMS} FROM wd GROUP BY stratum),
+ c AS (SELECT replicate, stratum, unnest([{', '.join(repr(r) for r, _ in CELLS.values())}]) AS run_name, unnest([{', '.join(repr(p) for _, p in CELLS.values())}]) AS position_label, unnest([{', '.join(f'{n} / m' for n in CELLS)}]) AS rate FROM b),
  k AS (SELECT replicate, run_name, stratum, min(rate) AS w, max(rate) - min(rate) AS g FROM c GROUP BY ALL),
  st AS (SELECT replicate, run_name, unnest(['worst', 'gap']) AS statistic, unnest([round(avg(w), 12), round(avg(g), 12)]) AS value FROM k GROUP BY replicate, run_name)"""
 
@@ -39,13 +45,12 @@ SQL_BOOT = f"""{GRID_SQL}, s AS (SELECT {SQL_STRATUM} AS stratum, unit, run_name
 def replicate_statistics(spark, d, b=B):
     """Statistics of every run on all units (replicate -1) and on each replicate, from one wide row for each unit."""
     g = grid(spark, d).withColumn("stratum", F.expr(STRATUM))
-    names = {f"h_{r}_{p}": (r, p) for r in range(len(RUNS)) for p in range(len(GRID))}
     hit = F.col("correct").cast("int")
-    wide = g.groupBy("stratum", "unit").agg(*(F.sum(F.when((F.col("run_name") == RUNS[r]) & (F.col("position_label") == GRID[p]), hit).otherwise(0)).alias(n) for n, (r, p) in names.items()), F.lit(1).alias("n"))
-    drawn = inference.resample(wide, "stratum", "unit", ["stratum"], [*names, "n"], b, SEED)
-    point = wide.groupBy("stratum").agg(*(F.sum(v).alias(v) for v in (*names, "n"))).withColumn("replicate", F.lit(-1))
+    wide = g.groupBy("stratum", "unit").agg(*(F.sum(F.when((F.col("run_name") == r) & (F.col("position_label") == p), hit).otherwise(0)).alias(n) for n, (r, p) in CELLS.items()), F.lit(1).alias("n"))
+    drawn = inference.resample(wide, "stratum", "unit", ["stratum"], [*CELLS, "n"], b, SEED)
+    point = wide.groupBy("stratum").agg(*(F.sum(v).alias(v) for v in (*CELLS, "n"))).withColumn("replicate", F.lit(-1))
     both = drawn.unionByName(point)
-    long = both.select("replicate", "stratum", "n", F.explode(F.array(*(F.struct(F.lit(RUNS[r]).alias("run_name"), F.lit(GRID[p]).alias("position_label"), F.col(n).alias("hits")) for n, (r, p) in names.items()))).alias("x")).select("replicate", "stratum", "n", "x.*")
+    long = both.select("replicate", "stratum", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("run_name"), F.lit(p).alias("position_label"), F.col(n).alias("hits")) for n, (r, p) in CELLS.items()))).alias("x")).select("replicate", "stratum", "n", "x.*")
     return inference.position_statistics(long, ["replicate", "run_name"], ["stratum"])
 
 
@@ -123,22 +128,39 @@ def non_inferiority(spark, d, b=B):
     return inference.non_inferior(effects(spark, d, b).where("statistic = 'answer'"), 0.02).select("run_name", "estimate", "low", "non_inferior")
 
 
-SQL_SLICE = f"""{GRID_SQL}, g AS (SELECT *, task || ':' || CASE WHEN target_tokens < 9000 THEN 'short' ELSE 'long' END AS stratum FROM grid WHERE position_label = 'p050'), s AS (SELECT stratum, task, unit, run_name, CAST(round(score * 1000) AS BIGINT) AS milli FROM g), {draws_sql('s', 'stratum', 'unit')},
- c AS (SELECT dr.replicate, s.run_name, unnest(['overall', 'task:' || s.task, 'stratum:' || s.stratum]) AS slice, milli FROM dr JOIN u USING (stratum, idx) JOIN s USING (stratum, unit)),
- st AS (SELECT replicate, run_name, slice, sum(milli) / count(*) / 1000 AS value FROM c GROUP BY replicate, run_name, slice)"""
+SQL_MILLI = ", ".join(f"sum(round(score * 1000)) FILTER (run_name = '{r}') AS v_{i}, count(*) FILTER (run_name = '{r}') AS n_{i}" for i, r in enumerate(RUNS))
+SQL_SLICE = f"""{GRID_SQL}, s AS (SELECT task || ':' || CASE WHEN target_tokens < 9000 THEN 'short' ELSE 'long' END AS stratum, task, unit, {SQL_MILLI} FROM grid GROUP BY ALL), {draws_sql('s', 'stratum', 'unit')},
+ b AS (SELECT dr.replicate, stratum, task, {', '.join(f'sum(v_{i}) AS v_{i}, sum(n_{i}) AS n_{i}' for i in range(len(RUNS)))} FROM dr JOIN u USING (stratum, idx) JOIN s USING (stratum, unit) GROUP BY ALL),
+ c AS (SELECT replicate, unnest([{', '.join(repr(r) for r in RUNS)}]) AS run_name, unnest([{', '.join(f'v_{i}' for i in range(len(RUNS)))}]) AS v, unnest([{', '.join(f'n_{i}' for i in range(len(RUNS)))}]) AS n, stratum, task FROM b),
+ st AS (SELECT replicate, run_name, slice, sum(v) / sum(n) / 1000 AS value FROM (SELECT replicate, run_name, v, n, unnest(['overall', 'task:' || task, 'stratum:' || stratum]) AS slice FROM c) GROUP BY replicate, run_name, slice)"""
 
 
 @query("bootstrap_slices", f"WITH {SQL_SLICE} SELECT run_name, slice, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM st GROUP BY run_name, slice")
 def bootstrap_slices(spark, d, b=B):
-    g = grid(spark, d).where("position_label = 'p050'").withColumn("stratum", F.concat_ws(":", "task", F.when(F.col("target_tokens") < 9000, "short").otherwise("long")))
-    s = g.select("stratum", "task", "unit", "run_name", F.round(F.col("score") * 1000).cast("bigint").alias("milli"), F.lit(1).alias("n"))
-    # A draw is summed by stratum first; slices are unions of strata.
-    r = inference.resample(s, "stratum", "unit", ["run_name", "task", "stratum"], ["milli", "n"], b, SEED)
+    g = grid(spark, d).withColumn("stratum", F.concat_ws(":", "task", F.when(F.col("target_tokens") < 9000, "short").otherwise("long")))
+    of = lambda r, c: F.sum(F.when(F.col("run_name") == r, c).otherwise(0))
+    milli = F.round(F.col("score") * 1000).cast("bigint")
+    s = g.groupBy("stratum", "task", "unit").agg(*(of(r, milli).alias(f"v_{i}") for i, r in enumerate(RUNS)), *(of(r, F.lit(1)).alias(f"n_{i}") for i, r in enumerate(RUNS)))
+    # A draw is summed by stratum first, all runs side by side; slices are unions of strata.
+    r = inference.resample(s, "stratum", "unit", ["task", "stratum"], [f"{c}_{i}" for c in "vn" for i in range(len(RUNS))], b, SEED)
+    each = F.explode(F.array(*(F.struct(F.lit(run).alias("run_name"), F.col(f"v_{i}").alias("milli"), F.col(f"n_{i}").alias("n")) for i, run in enumerate(RUNS))))
+    r = r.select("replicate", "task", "stratum", each.alias("x")).select("replicate", "task", "stratum", "x.*")
     x = r.select("replicate", "run_name", "milli", "n", F.explode(F.array(F.lit("overall"), F.concat(F.lit("task:"), "task"), F.concat(F.lit("stratum:"), "stratum"))).alias("slice"))
     v = x.groupBy("replicate", "run_name", "slice").agg((F.sum("milli") / F.sum("n") / 1000).alias("value"))
     return v.groupBy("run_name", "slice").agg(*(F.round(c, 9).alias(n) for c, n in zip(inference.interval("value"), ("low", "high"))))
 
 
+SQL_SUBJECT = f"""{GRID_SQL}, s AS (SELECT p_brand AS stratum, unit, run_name, sum(CAST(correct AS INT)) AS hits, count(*) AS m FROM grid JOIN part ON p_partkey = unit GROUP BY ALL), {draws_sql('s', 'stratum', 'unit')}, c AS (SELECT dr.replicate, s.stratum, s.run_name, sum(hits) / sum(m) AS value FROM dr JOIN u USING (stratum, idx) JOIN s USING (stratum, unit) GROUP BY ALL)"""
+
+
+@query("bootstrap_subjects", f"WITH {SQL_SUBJECT} SELECT stratum AS subject, run_name, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM c GROUP BY ALL")
+def bootstrap_subjects(spark, d, b=B):
+    """Units are drawn within their subject; each subject has an interval of its own."""
+    s = grid(spark, d).groupBy(F.col("subject").alias("stratum"), "unit", "run_name").agg(F.sum(F.col("correct").cast("int")).alias("hits"), F.count(F.lit(1)).alias("m"))
+    r = inference.resample(s, "stratum", "unit", ["stratum", "run_name"], ["hits", "m"], b, SEED).withColumn("value", F.col("hits") / F.col("m"))
+    return r.groupBy(F.col("stratum").alias("subject"), "run_name").agg(*(F.round(c, 9).alias(n) for c, n in zip(inference.interval("value"), ("low", "high"))))
+
+
 SQL_RATIO = f"s AS (SELECT CAST(p_size AS BIGINT) % 3 + 1 AS stratum, p_partkey AS unit, CAST(p_size AS BIGINT) % 3 + 1 AS den, CAST(p_partkey * 7 % (p_size % 3 + 2) AS BIGINT) AS num FROM part), {draws_sql('s', 'stratum', 'unit')}"
 
 
@@ -155,16 +177,7 @@ def bootstrap_draws(spark, d, b=B):
     """The index log that a bootstrap writes, summed by stratum and replicate."""
     s = table(spark, d, "part").selectExpr("CAST(p_size AS BIGINT) % 3 + 1 AS stratum", "p_partkey AS unit")
     x = inference.draws(inference.ordinals(s, "stratum", "unit"), "stratum", b, SEED)
-    return x.groupBy("stratum", "replicate").agg(F.sum("times").alias("draws"), F.count(F.lit(1)).alias("distinct_units"), F.sum(F.col("times") * F.col("idx")).alias("index_sum"))
-
-
-def _register_whole():
-    """The same code with the whole number of replicates.  No SQL: it is held against SQL at B."""
-    for f in (bootstrap_runs, bootstrap_contrasts, bootstrap_contrasts_two_by_two, bootstrap_clusters, effects_vs_base, non_inferiority, bootstrap_slices, bootstrap_ratio, bootstrap_draws):
-        query(f"{f.__name__}_{WHOLE_B}")(lambda spark, d, f=f: f(spark, d, WHOLE_B))
-
-
-_register_whole()
+    return x.groupBy("stratum", "replicate").agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("idx").alias("distinct_units"), F.sum("idx").alias("index_sum"))
 
 
 @query("cluster_integrity", f"WITH {GRID_SQL}, g AS (SELECT unit, count(DISTINCT cluster) AS c, count(DISTINCT task) AS s FROM grid GROUP BY unit), k AS (SELECT cluster, count(DISTINCT filler_type) AS s FROM grid GROUP BY cluster) SELECT 'group_not_constant' AS rule, CAST(unit AS VARCHAR) AS key, greatest(c, s) AS detail FROM g WHERE c > 1 OR s > 1 UNION ALL SELECT 'cluster_in_several_strata', CAST(cluster AS VARCHAR), s FROM k WHERE s > 1 UNION ALL SELECT 'number_of_clusters', '*', n FROM (SELECT count(DISTINCT cluster) AS n FROM grid) WHERE n < 2 OR n <> 31")
@@ -187,10 +200,9 @@ def contrast_subset(spark, d):
 @query("percentiles", f"WITH {HISTORY_SQL}, o AS (SELECT variant, loss, row_number() OVER (PARTITION BY variant ORDER BY loss) - 1 AS k, count(*) OVER (PARTITION BY variant) AS n FROM history WHERE loss IS NOT NULL) SELECT variant, round(quantile_cont(loss, 0.025), 9) AS p025, round(quantile_cont(loss, 0.5), 9) AS p500, round(quantile_cont(loss, 0.975), 9) AS p975, round(max(loss) FILTER (k = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT)), 9) AS nearest_p95 FROM o GROUP BY variant")
 def percentiles(spark, d):
     h = history(spark, d).where("loss is not null")
-    from ..operators.timeseries import nearest_rank
-
     q = lambda p: F.round(F.percentile("loss", F.lit(p)), 9)
-    return h.groupBy("variant").agg(q(0.025).alias("p025"), q(0.5).alias("p500"), q(0.975).alias("p975"), F.round(nearest_rank("loss", 0.95), 9).alias("nearest_p95"))
+    by_rank = timeseries.nearest_rank_of(h, "variant", "loss", 0.95, "nearest_p95").withColumn("nearest_p95", F.round("nearest_p95", 9))
+    return h.groupBy("variant").agg(q(0.025).alias("p025"), q(0.5).alias("p500"), q(0.975).alias("p975")).join(by_rank, "variant")
 
 
 @query("holm_adjustment", "WITH t AS (SELECT o_orderpriority AS family, o_orderkey AS ordinal, o_totalprice / 600000 AS p FROM orders), s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, ordinal) + 1) * p) AS step FROM t) SELECT family, ordinal, round(max(step) OVER (PARTITION BY family ORDER BY p, ordinal ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM s")
@@ -274,7 +286,7 @@ def seed_profiles(spark, d):
     return inference.mean_intervals(x, keys)
 
 
-@query("display_rates", f"WITH {RESULTS_SQL} SELECT run_name, task, printf('%.1f', round(avg(CAST(answer_correct AS INT)) * 100, 6)) AS shown, greatest(0.0, least(1.0, avg(CAST(answer_correct AS INT)) * 1.5)) AS clipped FROM results GROUP BY run_name, task")
+@query("display_rates", f"WITH {RESULTS_SQL} SELECT run_name, task, printf('%.1f', round(avg(CAST(answer_correct AS INT)) * 100, 6)) AS shown, printf('%+.1f', round((avg(CAST(answer_correct AS INT)) - 0.5) * 100, 6)) AS points, '[' || printf('%.1f', round(greatest(0.0, avg(CAST(answer_correct AS INT)) - 0.6) * 100, 6)) || ', ' || printf('%.1f', round(least(1.0, avg(CAST(answer_correct AS INT)) + 0.6) * 100, 6)) || ']' AS clipped FROM results GROUP BY run_name, task")
 def display_rates(spark, d):
     a = F.avg(F.col("answer_correct").cast("int"))
-    return results(spark, d).groupBy("run_name", "task").agg(inference.display(a).alias("shown"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), a * 1.5)).alias("clipped"))
+    return results(spark, d).groupBy("run_name", "task").agg(inference.display(a).alias("shown"), inference.display_points(a - 0.5).alias("points"), inference.display_interval(a - 0.6, a + 0.6).alias("clipped"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger, timeseries
+from ..operators import audits, cells, ledger, timeseries
 from ..sources import files
 from .registry import query
 from .views import HISTORY_SQL, RESULTS_SQL, history, results, table
@@ -38,15 +38,17 @@ def missing_steps(spark, d):
     return timeseries.missing_steps(history(spark, d).where("loss is not null"), "variant")
 
 
-@query("smoothed_losses", f"WITH RECURSIVE {HISTORY_SQL}, h AS (SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY step) AS k, step, loss FROM history WHERE loss IS NOT NULL AND step <= 200), e AS (SELECT variant, k, step, loss AS smooth FROM h WHERE k = 1 UNION ALL SELECT h.variant, h.k, h.step, 2.0 / 11 * h.loss + (1 - 2.0 / 11) * e.smooth FROM e JOIN h ON h.variant = e.variant AND h.k = e.k + 1) SELECT variant, step, round(smooth, 8) AS smooth FROM e")
-def smoothed_losses(spark, d):
-    h = history(spark, d).where("loss is not null and step <= 200")
-    return timeseries.ewma(h, "variant", "loss", "step", 10).withColumn("smooth", F.round("smooth", 8))
+def ewma_sql(alpha: str, steps: int) -> str:
+    """The weighted mean by doubling: after a step with distance h it holds the last 2 h terms; beyond h = 4096 weights are 0."""
+    out = f"e0 AS (SELECT variant, step, k, CASE WHEN k = 1 THEN loss ELSE {alpha} * loss END AS s FROM h)"
+    for i in range(steps):
+        out += f", e{i + 1} AS (SELECT variant, step, k, s + pow(1 - {alpha}, {1 << i}) * coalesce(lag(s, {1 << i}) OVER (PARTITION BY variant ORDER BY k), 0) AS s FROM e{i})"
+    return out
 
 
-@query("smoothed_losses_whole")
-def smoothed_losses_whole(spark, d):
-    """Every step of every series; the recursive SQL of smoothed_losses ends at step 200."""
+@query("smoothed_losses", f"WITH {HISTORY_SQL}, h AS (SELECT variant, step, loss, row_number() OVER (PARTITION BY variant ORDER BY step) AS k FROM history WHERE loss IS NOT NULL), {ewma_sql('(2.0::DOUBLE / 11)', 13)} SELECT variant, step, round(s, 8) AS smooth FROM e13")
+def smoothed_losses(spark, d):
+    """Every step of every series."""
     return timeseries.ewma(history(spark, d).where("loss is not null"), "variant", "loss", "step", 10).withColumn("smooth", F.round("smooth", 8))
 
 
@@ -55,22 +57,16 @@ def training_health(spark, d):
     return timeseries.health(history(spark, d), "variant")
 
 
-@query("history_completeness", f"WITH {HISTORY_SQL}, x AS (SELECT * FROM history WHERE {SOME}), m AS (SELECT variant, max(step) AS top, count(*) AS n FROM x GROUP BY variant) SELECT 'missing_steps' AS rule, variant AS key, top - n AS detail FROM m WHERE top > n UNION ALL SELECT 'last_step', variant, CAST(top AS BIGINT) FROM m WHERE top <> 2000")
+@query("history_completeness", f"WITH {HISTORY_SQL}, x AS (SELECT * FROM history WHERE {SOME}), m AS (SELECT variant, max(step) AS top, count(*) AS n FROM x GROUP BY variant), t AS (SELECT variant, loss, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM x WHERE loss IS NOT NULL), a AS (SELECT variant, mean_token_accuracy AS c, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM x WHERE mean_token_accuracy IS NOT NULL) SELECT 'missing_steps' AS rule, variant AS key, top - n AS detail FROM m WHERE top > n UNION ALL SELECT 'last_step', variant, CAST(top AS BIGINT) FROM m WHERE top <> 2000 UNION ALL SELECT 'saturated_loss', variant, count(*) FROM t WHERE k <= 100 GROUP BY variant HAVING median(loss) < 1e-4 UNION ALL SELECT 'saturated_accuracy', variant, count(*) FROM a WHERE k <= 100 GROUP BY variant HAVING median(c) > 0.999")
 def history_completeness(spark, d):
     return timeseries.completeness(history(spark, d), "variant", 2000)
 
 
-@query("metric_matrix", f"WITH {HISTORY_SQL}, w AS (SELECT DISTINCT variant, unnest(range(1, 501)) AS step FROM history) SELECT w.variant, CAST(w.step AS INT) AS step, CASE WHEN h.variant IS NULL THEN 'missing' WHEN h.loss IS NULL THEN 'not_finite' ELSE 'not_positive' END AS rule FROM w LEFT JOIN history h ON h.variant = w.variant AND h.step = w.step WHERE h.variant IS NULL OR h.loss IS NULL OR h.loss <= 0")
-def metric_matrix(spark, d):
-    # The SQL reads these steps only.
-    return timeseries.metric_matrix_problems(history(spark, d).where("step <= 500"), ["variant"], 500, "loss")
-
-
 WHOLE_MATRIX_SQL = f"WITH {HISTORY_SQL}, n AS (SELECT max(step) AS top FROM history), w AS (SELECT variant, unnest(range(1, (SELECT top FROM n) + 1)) AS step FROM (SELECT DISTINCT variant FROM history)) SELECT coalesce(w.variant, h.variant) AS variant, CAST(coalesce(w.step, h.step) AS INT) AS step, CASE WHEN h.variant IS NULL THEN 'missing' WHEN h.loss IS NULL THEN 'not_finite' ELSE 'not_positive' END AS rule FROM w FULL JOIN history h ON h.variant = w.variant AND h.step = w.step WHERE h.variant IS NULL OR h.loss IS NULL OR h.loss <= 0"
 
 
-@query("metric_matrix_whole", WHOLE_MATRIX_SQL)
-def metric_matrix_whole(spark, d):
+@query("metric_matrix", WHOLE_MATRIX_SQL)
+def metric_matrix(spark, d):
     """Every row; each series is held against the longest."""
     return timeseries.metric_matrix_problems(history(spark, d), ["variant"], None, "loss")
 
@@ -98,9 +94,9 @@ def active_states(spark, d):
     return timeseries.active_state(table(spark, d, "events").selectExpr(*LINES.split(", CASE")[0].split(", "), "CASE" + LINES.split(", CASE")[1]), "event_type")
 
 
-@query("compute_ledger", "WITH e AS (SELECT user_id * 100 + event_id % 40 AS id, event_type AS kind, round(abs(value) * 10) AS s FROM events), g AS (SELECT id, min(kind) AS kind, min(s) AS s, count(*) AS c FROM e GROUP BY id) SELECT kind, count(*) AS events, CAST(sum(c) - count(*) AS BIGINT) AS duplicates, round(sum(s), 6) AS seconds, round(sum(s) / 3600, 9) AS hours, round(sum(s) / 3600 * 2.78, 6) AS cost FROM g GROUP BY kind")
+@query("compute_ledger", "WITH e AS (SELECT user_id * 100 + event_id % 40 AS id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'all' END AS kind, CASE WHEN event_id % 7 = 0 THEN round(abs(value) * 10) ELSE user_id::DOUBLE END AS s FROM events), g AS (SELECT id, min(kind) AS kind, min(s) AS s, count(*) AS c FROM e GROUP BY id HAVING count(DISTINCT (kind, s)) = 1) SELECT kind, count(*) AS events, CAST(sum(c) - count(*) AS BIGINT) AS duplicates, round(sum(s), 6) AS seconds, round(sum(s) / 3600, 9) AS hours, round(sum(s) / 3600 * 2.78, 6) AS cost FROM g GROUP BY kind")
 def compute_ledger(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 40).alias("id"), F.col("event_type").alias("kind"), F.round(F.abs("value") * 10).alias("s"))
+    e = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 40).alias("id"), F.expr("CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'all' END AS kind"), F.expr("CASE WHEN event_id % 7 = 0 THEN round(abs(value) * 10) ELSE CAST(user_id AS DOUBLE) END AS s"))
     return ledger.compute_ledger(e, "id", "kind", "s", 2.78)
 
 
@@ -156,16 +152,19 @@ def prompt_length_statistics(spark, d):
     return ledger.order_statistics(table(spark, d, "documents"), "lang", "n_chars", "doc_id")
 
 
-@query("token_length_totals", "SELECT source, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS tokens, min(len(string_split(text, ' '))) AS least, max(len(string_split(text, ' '))) AS most FROM documents GROUP BY source")
+@query("token_length_totals", "WITH x AS (SELECT source, doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents) SELECT source, count(*) AS rows, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n - n // 2) AS BIGINT) AS completion_tokens, min(n) AS least, max(n) AS most, count(*) FILTER (doc_id % 10 = 0 AND n > 1) AS bad_masks FROM x GROUP BY source")
 def token_length_totals(spark, d):
-    n = F.size(F.split("text", " ")).cast("bigint")
-    return table(spark, d, "documents").groupBy("source").agg(F.sum(n).alias("tokens"), F.min(n).alias("least"), F.max(n).alias("most"))
+    """Ids and completion masks of every text: the second half is the completion, and every tenth mask is turned round."""
+    n = F.size("ids")
+    x = table(spark, d, "documents").select("doc_id", "source", F.split("text", " ").alias("ids"))
+    head, tail = F.array_repeat(F.lit(0), F.floor(n / 2).cast("int")), F.array_repeat(F.lit(1), (n - F.floor(n / 2)).cast("int"))
+    x = x.withColumn("mask", F.when(F.col("doc_id") % 10 == 0, F.concat(tail, head)).otherwise(F.concat(head, tail)))
+    return audits.selected_summary(x, ["source"], "ids", "mask")
 
 
-@query("gate_metrics", f"WITH {RESULTS_SQL} SELECT target_tokens AS cap, count(*) AS n, count(*) FILTER (finish_reason = 'length') AS length_stops, avg(CAST(valid_json AS INT)) AS valid_rate, sha256(string_agg(DISTINCT run_name || ':' || task, '|' ORDER BY run_name || ':' || task)) AS rows_sha256 FROM results GROUP BY target_tokens")
+@query("gate_metrics", f"WITH {RESULTS_SQL} SELECT target_tokens AS cap, count(*) AS n, count(*) FILTER (finish_reason = 'length') AS length_stops, avg(CAST(valid_json AS INT)) AS valid_rate, CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws(chr(31), run_name, group_id, position_label, answer)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS rows_hash FROM results GROUP BY target_tokens")
 def gate_metrics(spark, d):
-    rows = F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "run_name", "task"))), "|")
-    return results(spark, d).groupBy(F.col("target_tokens").alias("cap")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "length").alias("length_stops"), F.avg(F.col("valid_json").cast("int")).alias("valid_rate"), F.sha2(rows, 256).alias("rows_sha256"))
+    return cells.gate_metrics(results(spark, d), "target_tokens", ["run_name", "group_id", "position_label", "answer"])
 
 
 @query("queue_progress", "WITH c AS (SELECT c_nationkey, c_custkey, count(o_orderkey) AS done FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) SELECT c_nationkey, CAST(sum(least(done, 12)) AS BIGINT) AS done, count(*) * 12 AS expected, round(sum(least(done, 12)) / (count(*) * 12), 9) AS fraction FROM c GROUP BY c_nationkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,30 +19,49 @@ def read_jsonl(spark: SparkSession, paths, schema=None) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, paths) -> DataFrame:
-    """path, byte-ordered line text of lines that are neither blank nor one JSON object."""
+    """path and text of lines that are neither blank nor one JSON object."""
     lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value").where(F.trim("value") != "")
     return lines.where(~is_json_object(F.col("value")))
 
 
+def numbered_bad_lines(spark: SparkSession, paths) -> DataFrame:
+    """The same with line numbers from 1.  A file is read as one row, so this is for the files that bad_lines names."""
+    whole = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = whole.select("path", (F.col("line") + 1).alias("line"), F.rtrim("value").alias("value")).where(F.trim("value") != "")
+    return lines.where(~is_json_object(F.col("value")))
+
+
 def read_tagged(spark: SparkSession, paths, tag: str, key: str = "sample_id") -> DataFrame:
-    """Records of one schema version; other tags, or keys that repeat, are an error."""
+    """Records of one schema version; other tags, keys that are missing, blank or repeated, are an error."""
     rows = read_jsonl(spark, paths, SCHEMAS[tag])
     wrong = rows.where(~F.col("schema_version").eqNullSafe(tag)).limit(1).count()
     if wrong:
         raise ValueError(f"a record is not tagged {tag}")
-    if rows.groupBy(key).count().where("count > 1").limit(1).count():
-        raise ValueError(f"{key} repeats")
+    refuse_keys(rows, [key])
     return rows
 
 
-def read_runs(spark: SparkSession, runs: dict[str, str], expected: set[str] | None = None, schema=None) -> DataFrame:
-    """Named inputs NAME -> path as one frame with run_name; the set of names may be fixed."""
+def refuse_keys(rows: DataFrame, keys: list[str]) -> None:
+    """An error if a key is null or blank, or if the keys of two rows are the same."""
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == "")
+    if rows.where(blank).limit(1).count():
+        raise ValueError(f"{', '.join(keys)}: a value is missing or blank")
+    if rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{', '.join(keys)}: repeats")
+
+
+def read_runs(spark: SparkSession, runs: dict[str, str], expected: set[str] | None = None, schema=None, key: str | None = None) -> DataFrame:
+    """Named inputs NAME -> path as one frame with run_name; the set of names may be fixed.  With a key, one that a run repeats or lacks is an error."""
     if expected is not None and set(runs) != expected:
         raise ValueError(f"runs differ from the expected set: {sorted(set(runs) ^ expected)}")
     out = None
     for name, path in runs.items():
         x = read_jsonl(spark, path, schema).withColumn("run_name", F.lit(name))
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
+    if key is not None and out is not None:
+        refuse_keys(out, ["run_name", key])
     return out
 
 
@@ -69,6 +89,11 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, blank_is_missing: bool = True) -> DataFrame:
+    """By a fixed schema; a file without one of its columns, or with a value of another type, is an error."""
+    wanted = {f.name for f in spark.createDataFrame([], schema).schema}
+    lacking = wanted - set(spark.read.option("header", True).csv(path).columns)
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(sorted(lacking))}")
     reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
     return (reader.option("nullValue", "") if blank_is_missing else reader).csv(path)
 
@@ -97,10 +122,10 @@ def manifest_totals(files: DataFrame) -> DataFrame:
 
 
 def folder_fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """One hash of a folder's manifest: relative paths and file hashes in order of path; an empty folder gives null."""
+    """One hash of a folder's manifest: relative paths and file hashes in order of path; an empty folder is an error when the row is read."""
     rel = F.replace("path", F.lit(root), F.lit(""))
     xs = F.array_sort(F.collect_list(F.struct(rel.alias("p"), "sha256")))
-    return files.agg(F.when(F.count(F.lit(1)) > 0, F.sha2(F.array_join(F.transform(xs, lambda x: F.concat(x["p"], F.lit("\x1f"), x["sha256"])), "\n"), 256)).alias("fingerprint"))
+    return files.agg(F.when(F.count(F.lit(1)) > 0, F.sha2(F.array_join(F.transform(xs, lambda x: F.concat(x["p"], F.lit("\x1f"), x["sha256"])), "\n"), 256)).otherwise(F.raise_error(F.lit(f"no files below {root}"))).alias("fingerprint"))
 
 
 def latest_checkpoint(files: DataFrame) -> DataFrame:
@@ -118,5 +143,8 @@ def write_report(path: str, frames: dict[str, DataFrame], most: int = 100_000) -
         if len(rows) > most:
             raise ValueError(f"{name} is no report table: it has over {most} rows")
         out[name] = [r.asDict(recursive=True) for r in rows]
-    with open(path, "w", encoding="utf-8") as f:
+    # Written beside its place and then renamed: a reader sees the old report or the new one.
+    part = f"{path}.{os.getpid()}.part"
+    with open(part, "w", encoding="utf-8") as f:
         f.write(json.dumps(out, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
+    os.replace(part, path)

@@ -28,3 +28,15 @@ def progress_counts(stream: DataFrame, by: str) -> DataFrame:
 def resume(stream: DataFrame, path: str, checkpoint: str):
     """Append what is new since the last call; each input file is handled once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_telemetry(stream: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str, by: str = "run_name", seconds: int = 5):
+    """Device and checkpoint telemetry (run_name, at, checkpoint, used_mb, busy): one record for each run and interval of some seconds.
+
+    at is the event time; records later than ten intervals are dropped, and so is the state of older ones.
+    """
+    late = f"{10 * seconds} seconds"
+    g = stream.withWatermark("at", late).groupBy(F.window("at", f"{seconds} seconds").alias("w"), by)
+    out = g.agg(F.max("checkpoint").alias("checkpoint"), F.max("used_mb").alias("used_mb"), F.avg("busy").alias("busy"), F.count(F.lit(1)).alias("records"))
+    flat = out.select(by, F.col("w.start").alias("at"), "checkpoint", "used_mb", "busy", "records")
+    return flat.writeStream.outputMode("append").foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,6 @@ duckdb = pytest.importorskip("duckdb")
 from larkspur.plans import registry  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"bootstrap_contrasts", "bootstrap_contrasts_two_by_two", "bootstrap_runs"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +29,7 @@ def plain(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, sf_dir, db, name):
     df = registry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

@@ -37,7 +37,7 @@ def test_whole_series_are_smoothed(spark, sf_dir):
     assert len(got) == rows.count()
     assert all(got[n, k] == pytest.approx(v, rel=1e-9, nan_ok=True) for n, xs in series.items() for k, v in enumerate(brute(xs)))
     h = history(spark, sf_dir).where("loss is not null").orderBy("variant", "step").collect()
-    out = {(r.variant, r.step): r.smooth for r in registry.queries()["smoothed_losses_whole"](spark, sf_dir).collect()}
+    out = {(r.variant, r.step): r.smooth for r in registry.queries()["smoothed_losses"](spark, sf_dir).collect()}
     for n in {r.variant for r in h}:
         mine = [r for r in h if r.variant == n]
         assert [out.pop((n, r.step)) for r in mine] == pytest.approx(brute([r.loss for r in mine]), abs=1e-7)
@@ -57,18 +57,23 @@ def test_metric_matrix_reads_every_row(spark):
     assert timeseries.metric_matrix_problems(x.limit(0), ["variant"], None, "loss").count() == 0
 
 
-def test_whole_replicates_can_reach_significance(spark, sf_dir):
+def test_replicates_can_reach_significance(spark, sf_dir):
     from larkspur.plans import registry
 
     q = registry.queries()
-    names = ("bootstrap_runs", "bootstrap_contrasts", "bootstrap_contrasts_two_by_two", "bootstrap_clusters", "effects_vs_base", "non_inferiority", "bootstrap_slices", "bootstrap_ratio", "bootstrap_draws")
-    assert all(f"{n}_2000" in q for n in names)
-    log = q["bootstrap_draws_2000"](spark, sf_dir).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min("replicate").alias("low"), F.max("replicate").alias("high")).collect()
+    log = q["bootstrap_draws"](spark, sf_dir).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min("replicate").alias("low"), F.max("replicate").alias("high")).collect()
     assert log and all((r.n, r.low, r.high) == (2000, 0, 1999) for r in log)
-    few, many = ({(r.run_name, r.statistic): r for r in q[n](spark, sf_dir).collect()} for n in ("effects_vs_base", "effects_vs_base_2000"))
-    assert few.keys() == many.keys() and all(few[k].estimate == many[k].estimate for k in few)
-    # 2 (k + 1) / (B + 1), over six runs: at 100 replicates no adjusted p is below 0.118.
-    assert min(r.p_holm for r in few.values()) > 0.1 and min(r.p_holm for r in many.values()) < 0.05
+    # 2 (k + 1) / (B + 1), over six runs: at 100 replicates no adjusted p would be below 0.118.
+    assert min(r.p_holm for r in q["effects_vs_base"](spark, sf_dir).collect()) < 0.05
+
+
+def test_resample_ways_agree(spark, monkeypatch):
+    s = spark.createDataFrame([("a" if k % 3 else "b", k, k * k, 1) for k in range(50)], "stratum string, unit int, v int, one int")
+    few = sorted(map(tuple, inference.resample(s, "stratum", "unit", ["stratum"], ["v", "one"], 30, 7).collect()))
+    monkeypatch.setattr(inference, "BROADCAST_NUMBERS", 0)
+    assert few == sorted(map(tuple, inference.resample(s, "stratum", "unit", ["stratum"], ["v", "one"], 30, 7).collect()))
+    sizes = {"a": 33, "b": 17}
+    assert len(few) == 60 and all(r[3] == sizes[r[1]] for r in few)
 
 
 def test_interaction(spark):
@@ -128,7 +133,33 @@ def test_keep_last(spark):
 def bank(spark):
     rows = [(f"{t}-{f}-{k}", t, f, 512, f"fact-{t}", f"fill-{t}-{f}-{k}") for t in ("kv", "two_hop") for f in ("neutral", "answer_bearing") for k in range(3)]
     g = spark.createDataFrame(rows, "group_id string, task string, filler_type string, target_tokens int, fact_seed string, filler_seed string")
-    return generate.position_groups(g, (0.0, 0.25, 0.5, 1.0), candidates=40).cache()
+    return generate.position_groups(g, (0.0, 0.25, 0.5, 1.0)).cache()
+
+
+@pytest.mark.parametrize("target", [8192, 32768])
+def test_groups_reach_any_budget(spark, target):
+    rows = [(f"{t}-{f}", t, f, target, f"fact-{t}", f"fill-{t}-{f}") for t in ("kv", "two_hop") for f in ("neutral", "same_format", "answer_bearing")]
+    g = spark.createDataFrame(rows, "group_id string, task string, filler_type string, target_tokens int, fact_seed string, filler_seed string")
+    out = generate.position_groups(g, (0.0, 0.5)).select("group_id", "task", "filler_type", "actual_tokens", "target_position", "actual_position", "prompt", "answer").collect()
+    assert len(out) == 12 and all(abs(r.actual_tokens - target) <= 0.02 * target and abs(r.actual_position - r.target_position) <= 0.03 for r in out)
+    assert all("filed under" in r.prompt for r in out if r.task == "two_hop") and not any("filed under" in r.prompt for r in out if r.task == "kv")
+    assert all((r.prompt.count(r.answer) > 10) == (r.filler_type == "answer_bearing") for r in out)
+
+
+def test_no_group_is_lost(spark):
+    g = spark.createDataFrame([("a", "kv", "neutral", 20, "f", "s"), ("b", "two_hop", "neutral", 300, "f", "s")], "group_id string, task string, filler_type string, target_tokens int, fact_seed string, filler_seed string")
+    s = generate.position_groups(g, (0.0, 1.0))
+    assert {(r.group_id, r.filler_document_count > 0) for r in s.collect()} == {("a", False), ("b", True)}
+    assert {r.key for r in audits.raw_samples(s).where("rule = 'room_for_fillers'").collect()} == {"a@p000", "a@p100"}
+
+
+def test_replicas_share_facts_only(spark):
+    f = spark.createDataFrame([("f1", "kv", "neutral", 200), ("f2", "two_hop", "same_format", 200)], "fact_id string, task string, filler_type string, target_tokens int")
+    bank = generate.replicas(f, 3, 7)
+    assert bank.select("group_id").distinct().count() == 6 and bank.select("fact_seed").distinct().count() == 2 and bank.select("filler_seed").distinct().count() == 6
+    s = generate.position_groups(bank, (0.0, 1.0)).withColumn("fact", F.substring("group_id", 1, 2))
+    assert audits.matched_bank(s, "fact", "group_id").count() == 0
+    assert {r.rule for r in audits.matched_bank(s.withColumn("filler_fingerprint", F.lit("x")), "fact", "group_id").collect()} == {"distinct_fillers"}
 
 
 def test_position_groups(bank):
