@@ -64,6 +64,19 @@ def near(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> DataFrame:
+    """The n rows with the least hash of some columns.
+
+    Their number, counted here if it is not given, tells which hashes can be among them; so all tasks send about 2 n rows in
+    all, and not n each.  Rows that are equal in the columns have one hash, so with very many of these there may be fewer than n.
+    """
+    rows = df.count() if rows is None else rows
+    h = F.xxhash64(*keys)
+    if rows > 2 * n:
+        df = df.where(h < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / rows))))
+    return df.orderBy(h, *keys).limit(n)
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/larkspur-{what}-{uuid.uuid4().hex[:12]}"
 

@@ -11,7 +11,8 @@ an interval gets the rules that are open there: the prefixes of its first key, j
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule; of rules that fit the
 longest string wins, then the longer host, then block before allow; repeated rules and pages are kept as they are
-(a page row stays one row); an empty rule table leaves the default verdict; other columns of either table are ignored.
+(a page row stays one row, also with a null page_id); a very long url is a key like any other and its path is compared as a whole; an
+empty rule table leaves the default verdict; other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, partitions, table
+from .common import batch_of, hash_sample, partitions, table
 
 #: Rules of the query: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -47,11 +48,11 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
 
 
-def split_points(keyed: DataFrame, n: int) -> list[tuple[str, str, int]]:
+def split_points(keyed: DataFrame, n: int, urls: int) -> list[tuple[str, str, int]]:
     """n - 1 or fewer keys that cut the urls into ranges of similar size, from SAMPLE * n rows taken by hash."""
     if n < 2:
         return []
-    pick = keyed.select("hkey", "path", "page_id").orderBy(F.xxhash64("page_id", "path")).limit(SAMPLE * n)
+    pick = hash_sample(keyed.select("hkey", "path", "page_id"), SAMPLE * n, "page_id", "path", rows=urls)
     rows = sorted((r[0], r[1], r[2] if r[2] is not None else -(1 << 63)) for r in pick.collect())
     return sorted({rows[i * len(rows) // n] for i in range(1, n)}) if rows else []
 
@@ -104,7 +105,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     keyed = urls.withColumn("hkey", host_key(F.col("host")))
     rule_rows = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null and host <> ''").withColumn("hkey", host_key(F.col("host")))
     n = partitions(spark)
-    points = split_points(keyed, n)
+    points = split_points(keyed, n, pages.count())
     cuts = spark.sparkContext.broadcast(points)  # at most one for each partition
 
     def pid_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
