@@ -9,12 +9,15 @@ found so far, |q - x| must not exceed some t.  After d of D columns the test is
 rotation it is near sqrt(d/D) |q - x|, and beyond sqrt(d/D) (1 + EPSILON / sqrt(d)) t the candidate is abandoned: its
 distance exceeds t with the confidence that EPSILON sets. What survives is scored exactly, in double precision on the original vectors.
 
-Lists are split by a hash of vec_id into parts of about PART vectors, so that a list with a third of all vectors is many
-parts and a task holds the vectors of one part.  Each part gives its k best for each query; a window over these takes the k best of all.
-
-Defined results: vectors that are null, zero, of another length than the first's, or with null or non-finite components
-take no part; a query has all candidates if there are no more than k; ties go to the smaller vec_id; rows that repeat
-a vec_id are candidates each, save for queries with that vec_id; an empty table gives no rows; other columns are ignored.
+Lists are split by a hash of vec_id into parts of about PART vectors, and the queries of a list by another into parts of about
+QUERY_PART, so that a list with a third of all vectors is many parts and a task holds one part of each.  Each pair of
+parts gives the k best for each query; a window over these takes the k best of all.  There are about sqrt(n) / 2 lists, but no
+more than a sixteenth of the sample: beyond 4 million vectors lists grow longer, and FIT_ROWS should grow with them.
+
+Defined results: vectors that are null, zero, of another length than most of the sample, or with null or non-finite components
+take no part, nor do rows with a null vec_id; a query has all candidates if there are no more than k; ties go to the smaller
+vec_id; rows that repeat a vec_id are candidates each, save for queries with that vec_id; query rows that are equal in vec_id and
+vector are one query, those with one vec_id and several vectors are ranked each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, hash_sample, table
 
 FIT_ROWS, FIT_STEPS = 16_384, 8
 #: Share of the neighbours within the sample that the probed lists must hold, and the sample's queries for that.
 SHARE, TRIALS, NEED = 0.98, 512, 400
-PART = 4096
+PART, QUERY_PART = 4096, 4096
 #: Columns in a block, confidence of the test, and the share of candidates above which a block is one matrix product.
 BLOCK, EPSILON, DENSE = 16, 2.6, 0.02
 QUERIES_AT_ONCE = 128
@@ -85,7 +88,7 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
 
 
 def scan(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one part for each query: query ids, vector ids, scores.  All queries of a slice go through a block at once."""
+    """The k best of one part for each query: rows of the queries, vector ids, scores.  All queries of a slice go through a block at once."""
     d, n = x.shape[1], len(x)
     rx, rq = x @ turn, q @ turn
     cuts = list(range(0, d, BLOCK)) + [d]
@@ -136,7 +139,7 @@ def scan(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int
         head = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
         rank = np.arange(len(row)) - np.maximum.accumulate(np.where(head, np.arange(len(row)), 0)) if len(row) else row
         best = rank < k
-        found.append((qids[row[best]], ids[at[best]], exact[best]))
+        found.append((row[best], ids[at[best]], exact[best]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -147,10 +150,11 @@ def matrix(values: pd.Series) -> np.ndarray:
 def scan_part(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_key": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         x = matrix(left["embedding"])
-        q, i, s = scan(left["vec_id"].to_numpy(), x, right["vec_id"].to_numpy(), matrix(right["embedding"]), k, rotation(x.shape[1]))
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
+        qids = right["vec_id"].to_numpy()
+        row, i, s = scan(left["vec_id"].to_numpy(), x, qids, matrix(right["embedding"]), k, rotation(x.shape[1]))
+        return pd.DataFrame({"query_id": qids[row], "query_key": right["query_key"].to_numpy()[row], "vec_id": i, "score": s})
 
     return run
 
@@ -160,7 +164,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | None
     spark = vectors.sparkSession
     good = usable(vectors)
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()
+    sample = hash_sample(good, FIT_ROWS, "vec_id").toPandas()
     if len(sample) == 0:
         return empty
     d = int(sample["embedding"].map(len).mode().iloc[0])
@@ -183,26 +187,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | None
     counts = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # a row for each list
         counts[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-counts // PART))
-    sent = spark.sparkContext.broadcast((counts, parts))
+    sent = spark.sparkContext.broadcast(counts)
 
-    @F.pandas_udf("array<struct<list:int,part:int>>")
+    @F.pandas_udf("array<int>")
     def probed(e: pd.Series) -> pd.Series:
-        size, n_parts = sent.value
+        size = sent.value
         out = []
         for row in matrix(e) @ centroids.value.T if len(e) else []:
             order = np.argsort(-row, kind="stable")
             held = np.cumsum(size[order])
             upto = max(probes, int(np.searchsorted(held, NEED + k + 1)) + 1)
-            out.append([{"list": int(c), "part": p} for c in order[:upto] for p in range(n_parts[c]) if size[c]])
+            out.append([int(c) for c in order[:upto] if size[c]])
         return pd.Series(out)
 
-    n_parts = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1)
-    base = placed.select("list", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("part"), "vec_id", "embedding")
-    asked = placed.where(is_query).select("vec_id", "embedding", F.explode(probed("embedding")).alias("at")).select("at.list", "at.part", "vec_id", "embedding")
-    schema = "query_id bigint, vec_id bigint, score double"
-    found = base.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(scan_part(k), schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    queries = placed.where(is_query).select("vec_id", "embedding").distinct()
+    asked = cut(queries.withColumn("query_key", F.xxhash64("embedding")).withColumn("lists", probed("embedding")))
+    queried = np.zeros(lists, np.int64)
+    for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # a row for each list
+        queried[r["list"]] = r["count"]
+    of = lambda n: F.element_at(F.array(*(F.lit(int(p)) for p in n)), F.col("list") + 1)
+    n_parts, n_slices = of(np.maximum(1, -(-counts // PART))), of(np.maximum(1, -(-queried // QUERY_PART)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = placed.select("list", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("part"), every(n_slices).alias("slice"), "vec_id", "embedding")
+    slice_of = F.pmod(F.xxhash64("vec_id", "query_key"), n_slices).cast("int")
+    dealt = asked.withColumn("list", F.explode("lists")).select("list", every(n_parts).alias("part"), slice_of.alias("slice"), "vec_id", "query_key", "embedding")
+    keys = ["list", "part", "slice"]
+    found = base.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(scan_part(k), "query_id bigint, query_key bigint, vec_id bigint, score double")
+    w = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
