@@ -3,10 +3,10 @@
     P(lang | page)  ~  P(text | lang) * P(declared | lang) * P(lang | host)
 
 P(text | lang) is a naive Bayes model over hashed character trigrams of words, fitted on at most FIT_DOCS documents with
-a known language, chosen by a hash of doc_id.  The log likelihood is a mean over the words times min(words, TEXT_WORDS), so that
-long pages do not drown the other evidence.  P(declared | lang) and P(lang | host) come from grouped aggregation of the
+a known language, chosen by a hash of doc_id.  Words of a page depend on each other, so its log likelihood is the mean over all its
+words times min(words, text_words): beyond that many words the text is as sure as it gets, and does not drown the other evidence.  P(declared | lang) and P(lang | host) come from grouped aggregation of the
 text posteriors of all pages.  The host prior is smoothed along a hierarchy: all pages -> suffix (last label of
-the host) -> domain (last two labels) -> host; a level with n pages weighs n against STRENGTH of the level above it.  A page's own
+the host) -> domain (last two labels) -> host; a level with n pages weighs n against `strength` of the level above it.  A page's own
 posterior is taken out of its host's sums, so no page is its own evidence.
 
 The aggregations have a row for each host at most and combine before their shuffle.  Joins back to the pages are by
@@ -14,7 +14,7 @@ host; Spark splits a host with many pages.  Text is read whole.
 
 Defined results: a null or empty page has no text evidence (a flat likelihood); a null url or one without :// has the
 host '' and only the priors of all pages; an unknown declared language counts as 'other', none as ''; repeated
-rows count each and get equal results up to rounding; without any labelled document the language is null; equal posteriors go to the
+rows count each (a copy is evidence for the other) and get equal results up to rounding; a very long page is read whole; without any labelled document the language is null; equal posteriors go to the
 language that is first by name; an empty table gives no rows; other columns are ignored.
 """
 
@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, freed, hash_sample, near, slices, table
 from .url_filter import url_host
 
 BUCKETS = 1 << 15
 FIT_DOCS = 3000
+#: Weight of the text, in words, and of a level's prior, in pages: defaults of `identify`.
 TEXT_WORDS = 40
 STRENGTH = 20.0
 MEMO = 300_000
@@ -62,7 +63,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by name, and log P(trigram | language) as an array (BUCKETS, languages)."""
     known = docs.where("lang is not null and text is not null")
-    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).distinct()
+    picked = hash_sample(known.select("doc_id"), FIT_DOCS, "doc_id").distinct()
     # At most FIT_DOCS ids are broadcast.
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id")
     sums: dict[str, np.ndarray] = {}
@@ -76,8 +77,8 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 class TextModel:
-    def __init__(self, logp: np.ndarray):
-        self.logp, self.memo = logp, {}
+    def __init__(self, logp: np.ndarray, most: int):
+        self.logp, self.most, self.memo = logp, most, {}
 
     def word(self, w: str) -> np.ndarray:
         got = self.memo.get(w)
@@ -91,11 +92,11 @@ class TextModel:
         words = WORDS.findall(text.lower())
         if not words:
             return np.zeros(self.logp.shape[1])
-        return np.sum([self.word(w) for w in words], axis=0) / len(words) * min(len(words), TEXT_WORDS)
+        return np.sum([self.word(w) for w in words], axis=0) / len(words) * min(len(words), self.most)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    model = TextModel(sent.value)
+def text_batches(batches: Iterator[pa.RecordBatch], sent, most: int) -> Iterator[pa.RecordBatch]:
+    model = TextModel(sent.value, most)
     for b in slices(batches):
         k = b.schema.get_field_index("text")
         ll = np.array([model.loglik(t) for t in b.column(k).to_pylist()]).reshape(b.num_rows, -1)
@@ -113,7 +114,7 @@ def declared(html: Column, langs: list[str]) -> Column:
     return F.when(found.isNull() | (found == ""), F.lit("")).when(found.isin(langs), found).otherwise(F.lit("other"))
 
 
-def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, text_words: int = TEXT_WORDS, strength: float = STRENGTH) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared of every page."""
     langs, logp = fit(docs)
     none = F.lit(None)
@@ -126,7 +127,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     light = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), F.coalesce(declared(F.col("html"), langs), F.lit("")).alias("declared"), F.coalesce(F.regexp_replace("html", MARKUP, " "), F.lit("")).alias("text"))
     light = light.withColumn("suffix", F.element_at(label, -1)).withColumn("domain", F.concat_ws(".", F.slice(F.reverse(label), 1, 2)))
     shape = "page_id bigint, host string, declared string, suffix string, domain string, " + ", ".join(f"{c}{i} double" for c in "lp" for i in range(n))
-    read = cut(light.select("page_id", "host", "declared", "text", "suffix", "domain").mapInArrow(lambda it: text_batches(it, sent), shape))
+    read = cut(light.select("page_id", "host", "declared", "text", "suffix", "domain").mapInArrow(freed(lambda it: text_batches(it, sent, text_words)), shape))
 
     each = range(n)
     hosts = read.groupBy("suffix", "domain", "host").agg(*(F.sum(f"p{i}").alias(f"h{i}") for i in each))
@@ -140,14 +141,15 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     kinds = n + 2
     said_log = {r["declared"]: [float(np.log((r[f"c{i}"] + 0.5) / (total[i] + 0.5 * kinds))) for i in each] for r in said}
 
-    levels = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix").select("host", *(f"{c}{i}" for c in "hds" for i in each))
+    # Suffixes are few in any collection: they are broadcast behind a count, or else joined, and Spark splits the common ones.
+    levels = hosts.join(domains, ["suffix", "domain"]).join(near(cut(suffixes)), "suffix").select("host", *(f"{c}{i}" for c in "hds" for i in each))
     x = read.join(levels, "host")
     # Sums without this page's own part, then the level above with weight STRENGTH.
     sums = {c: [F.greatest(F.col(f"{c}{i}") - F.col(f"p{i}"), F.lit(0.0)) for i in each] for c in "hds"}
     above: list[Column] = [F.lit(v) for v in prior]
     for c in "sdh":
-        size = sum(sums[c][1:], sums[c][0]) + F.lit(STRENGTH)
-        x = x.withColumns({f"prior_{c}{i}": (sums[c][i] + F.lit(STRENGTH) * above[i]) / size for i in each})
+        size = sum(sums[c][1:], sums[c][0]) + F.lit(strength)
+        x = x.withColumns({f"prior_{c}{i}": (sums[c][i] + F.lit(strength) * above[i]) / size for i in each})
         above = [F.col(f"prior_{c}{i}") for i in each]
 
     def of_declared(i: int) -> Column:
