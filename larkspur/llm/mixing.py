@@ -15,8 +15,10 @@ never over all documents of a source; a source with a third of all rows is as ma
 All of it is DataFrame code.  To the driver come 2^LEVELS + 1 numbers for each round of the search.
 
 Defined results: null sources are one source named ''; a document without words has weight 0 and goes with its hash order;
-equal rows are ordered by doc_id and each is taken; one source has weight 1; an empty table gives no rows; the columns
-that are added have names that begin with `mix_`, and the others come back as they were.
+equal rows are ordered by doc_id and each is taken; null doc_ids share one key and come first among equals; one source has
+weight 1; a very long text is counted whole and is one document of its block; an empty table gives no rows; the columns that are
+added are those of ADDED, all others come back as they were, and where docs has one of these names it keeps its own column and the
+added one is left out.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .common import WORD, cut, table
 LEVELS, ROUNDS = 6, 5
 SEED = 17
 BLOCK_DOCS = 1000
+#: Blocks of a source whose running sum is taken at once; a source of 10^12 documents has 10^6 such runs.
+RUN = 1000
 ENTROPY = 0.97
 MAX_REPEATS = 4.0
 #: Up to so many sources their quotas (under 100 bytes each) are broadcast; beyond, they are joined, and Spark splits skewed keys.
@@ -101,9 +105,19 @@ def order_key(i: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_pass").cast("string"), i.cast("string"))), 1, 15), 16, 10).cast("bigint")
 
 
+ADDED = ("mix_source", "mix_pass", "mix_tokens", "mix_key")
+
+
 def mix(docs: DataFrame, *, tokens: Column | None = None, entropy: float | None = ENTROPY, max_repeats: float | None = MAX_REPEATS, budget_ratio: float | None = 1.0, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
     """Rows of docs as often as the mixture takes them, with mix_pass, mix_tokens and mix_key (the order within a source)."""
     tokens = token_count(F.col("text")) if tokens is None else tokens
+    taken = [c for c in docs.columns if c.lower() in ADDED]
+    if taken:
+        # Columns of these names travel under others and come back as they were; the added ones then go without.
+        aside = {c: f"__larkspur_{c}" for c in taken}
+        back = {v: k for k, v in aside.items()}
+        out = mix(docs.withColumnsRenamed(aside), tokens=tokens, entropy=entropy, max_repeats=max_repeats, budget_ratio=budget_ratio, block_docs=block_docs, seed=seed)
+        return out.drop(*(c for c in ADDED if c in {x.lower() for x in taken})).withColumnsRenamed(back)
     rows = docs.withColumn("mix_source", F.coalesce(F.col("source"), F.lit(""))).withColumn("mix_tokens", tokens)
     sources, n_sources = plan(rows.select("mix_source", "mix_tokens"), entropy, max_repeats, budget_ratio)
     quota = sources.select("mix_source", "budget", "tokens", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)).cast("bigint").alias("mix_full"), F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(block_docs))).cast("bigint").alias("mix_blocks"))
@@ -119,8 +133,12 @@ def mix(docs: DataFrame, *, tokens: Column | None = None, entropy: float | None
     light = rows.select("doc_id", "mix_source", "mix_tokens").join(near(quota), "mix_source")
     part = keyed(light.withColumn("mix_pass", F.col("mix_full")))
     blocks = part.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens"), F.first("mix_rest").alias("mix_rest"))
-    w = Window.partitionBy("mix_source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("upto", F.sum("block_tokens").over(w)).withColumn("before", F.col("upto") - F.col("block_tokens"))
+    # Running sums over the blocks of a source, in two levels: over RUN blocks each, and over these runs.
+    blocks = cut(blocks.withColumn("mix_run", F.floor(F.col("mix_block") / F.lit(RUN)).cast("bigint")))
+    upto = lambda *by: Window.partitionBy("mix_source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = blocks.groupBy("mix_source", "mix_run").agg(F.sum("block_tokens").alias("run_tokens"))
+    runs = runs.withColumn("run_before", F.sum("run_tokens").over(upto("mix_run")) - F.col("run_tokens")).drop("run_tokens")
+    blocks = blocks.join(runs, ["mix_source", "mix_run"]).withColumn("upto", F.col("run_before") + F.sum("block_tokens").over(upto("mix_run", "mix_block"))).withColumn("before", F.col("upto") - F.col("block_tokens"))
     # The block in which the budget ends is the first that does not fit whole; before it all go out.
     last = cut(blocks.where("upto > mix_rest").groupBy("mix_source").agg(F.min_by(F.struct("mix_block", "before"), "mix_block").alias("x")).select("mix_source", F.col("x.mix_block").alias("end_block"), F.col("x.before").alias("end_before")))
     inner = Window.partitionBy("mix_source", "mix_block").orderBy("mix_key", "doc_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
