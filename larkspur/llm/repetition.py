@@ -7,7 +7,11 @@ maximal repeated substrings.  The span that a suffix shares with its better neig
 there; the union of these spans of `min_words` or more is what the document repeats.
 
 A document is rejected if that union covers more than `max_covered` of its words, or if the longest repeat has more than
-`max_longest` words.
+`max_longest` words.  Words in repeats of 8 lie in repeated windows of 3, so the base rule alone leaves a share of 0.5 at most.  The
+limits lie beyond clean documents: of 3,243 that are labelled good and pass the base rule, none repeats more than 0.29 of its words
+or more than 13 words in a row.
+
+A very long text is one string: 4 bytes for each word and doubling step, and as many steps as the longest repeat has binary digits.
 
 Defined results: a null or blank text has no words, counts 0, and fails the base rule; spans never cross documents;
 equal rows give equal rows; an empty table gives no rows; other columns pass through `judge` and are ignored by `measure`.
@@ -29,7 +33,7 @@ from .common import freed, slices, table, texts
 SYMBOL = re.compile(r"[#*$%&|<>]")
 SPACE = " \t\n\x0b\x0c\r"
 #: Limits of the query and of the pipeline's stage.
-LIMITS = {"min_words": 8, "max_covered": 0.5, "max_longest": 400}
+LIMITS = {"min_words": 8, "max_covered": 0.4, "max_longest": 100}
 FIELDS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "n_repeats")
 SCHEMA = ", ".join(f"{c} bigint" for c in FIELDS)
 
@@ -49,7 +53,8 @@ def suffix_order(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.
     first = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(first, np.diff(np.r_[first, n])) + 1
-    ranks, h = [rank], 1
+    # Ranks are below the number of words of a batch, which is cut by bytes.
+    ranks, h = [rank.astype(np.int32) if n < 1 << 31 else rank], 1
     while True:
         count = np.diff(np.r_[np.flatnonzero(new), n])
         tied = np.repeat(count > 1, count)
@@ -68,7 +73,7 @@ def suffix_order(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.
         begin = np.flatnonzero(fresh)
         rank = rank.copy()
         rank[i] = np.repeat(at[begin], np.diff(np.r_[begin, len(at)])) + 1
-        ranks.append(rank)
+        ranks.append(rank.astype(ranks[0].dtype))
         h *= 2
     return order, ranks
 
