@@ -9,16 +9,17 @@ vocabulary fits, else 4).  A checksum is the CRC-32 of the bytes, rotated right
 the checksum of data that holds checksums stays sound.  ``part-NNNNN.idx`` is the offset index: uint64 offset and uint64
 token start within the file for every frame, so that any record can be read by one seek.
 
-Documents are range-partitioned by doc_id, encoded and written by the tasks, each to a name of its own attempt that is
+Documents are range-partitioned by doc_id and a hash of the text, so the sample that finds the ranges holds 16 bytes a row and an id
+with very many rows is split.  The tasks encode and write them, each to a name of its own attempt that is
 then renamed: a task that runs again leaves the same files.  The folder lies in the shared folder of the cluster.
 
 Defined results: a null text is an empty document of only the end id; null doc_ids come first; rows with one doc_id
-stay separate records in the order of their texts; an empty table gives no files and no rows; other columns are ignored.
+stay separate records in the order of that hash; a very long text is one record; the model's added tokens are
+found in texts, as the library finds them; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -26,17 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, new_dir, partitions, slices, table, texts
+from .common import batch_of, freed, new_dir, partitions, slices, table, texts
 
 MASK_DELTA = 0xA282EAD8
 FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<qIB")
-#: Units whose ids a worker remembers; beyond that it starts anew.
-MEMO = 1_000_000
+#: Units of at most LONGEST characters in a generation of what a worker remembers; two are held, under 200 MB.
+MEMO, LONGEST = 400_000, 40
 #: Units that are encoded in one string.
 JOIN = 256
 NO_ID = -(1 << 63)
@@ -94,19 +96,22 @@ class Encoder:
 
     Byte-level BPE never joins what its splitting pattern sets apart, and the pattern always splits before a space that
     follows another character than white space.  So a text falls into units (a space and what follows up to the next
-    space) that are encoded alone, once each.  A text with a space before further white space is encoded in one piece.
+    space), and the distinct units of a batch are encoded alone.  A text with a space before further white space, or
+    with one of the added tokens, is encoded in one piece.
     """
 
-    odd = re.compile(r"[ ]\s")
+    #: White space of any kind, which may be more than the pattern's.
+    odd = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = ["\0", *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # Tokens that begin with a space: in a string of units, each unit has one, at its start.
         self.starts = np.zeros(self.tok.get_vocab_size(), bool)
         self.starts[[i for t, i in self.tok.get_vocab().items() if t[:1] == "\u0120"]] = True
@@ -128,32 +133,39 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, get, out, waiting, missing = self.memo, self.memo.get, [b""] * len(texts), [], set()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "\0" in t or self.odd.search(t):
-                out[i] = self._raw([t])[0]
-                continue
-            # The first unit has no space before it: it is told apart by a leading NUL.
-            units = t.split(" ")
-            units[0] = "\0" + units[0]
-            got = list(map(get, units))
-            if None in got:
-                missing.update(u for u, g in zip(units, got) if g is None)
-                waiting.append((i, units))
-            else:
-                out[i] = b"".join(got)
-        if missing:
-            first = [u for u in missing if u[:1] == "\0" or not u]
-            memo.update(zip(first, self._raw([u[1:] if u else " " for u in first])))
-            rest = list(missing.difference(first))
-            memo.update(zip(rest, self._spaced(rest)))
-            for i, units in waiting:
-                out[i] = b"".join(map(memo.__getitem__, units))
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units without their spaces; the first unit of a text has none and is told apart by a leading NUL."""
+        memo, old = self.memo, self.old.get
+        got = list(map(memo.get, units))
+        fresh = [k for k, g in enumerate(got) if g is None]
+        for k in fresh:
+            got[k] = old(units[k])
+        missing = [k for k in fresh if got[k] is None]
+        first = [k for k in missing if units[k][:1] == "\0" or not units[k]]
+        rest = [k for k in missing if units[k][:1] != "\0" and units[k]]
+        for at, ids in ((first, self._raw([units[k][1:] if units[k] else " " for k in first])), (rest, self._spaced([units[k] for k in rest]))):
+            for k, i in zip(at, ids):
+                got[k] = i
+        if len(memo) >= MEMO:
+            self.old, self.memo = memo, {}
+        self.memo.update((units[k], got[k]) for k in fresh if len(units[k]) <= LONGEST)
+        return got
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        c = pa.compute
+        whole = c.match_substring_regex(texts, self.odd)
+        for token in self.added:
+            whole = c.or_(whole, c.match_substring(texts, token))
+        split = c.split_pattern(c.binary_join_element_wise("\0", c.if_else(whole, "", texts), ""), " ")
+        flat = split.flatten().dictionary_encode()
+        ids = pa.array(self._units(flat.dictionary.to_pylist()), pa.binary()).take(flat.indices)
+        at = np.r_[0, np.cumsum(c.list_value_length(split).to_numpy(zero_copy_only=False))]
+        ends = np.r_[0, np.cumsum(c.binary_length(ids).to_numpy(zero_copy_only=False))][at].tolist()
+        raw = ids.buffers()[2].to_pybytes() if ids.buffers()[2] else b""
+        out = [raw[i:j] for i, j in zip(ends, ends[1:])]
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for k, i in zip(odd, self._raw([texts[k].as_py() for k in odd])):
+            out[k] = i
         return out
 
 
@@ -176,12 +188,12 @@ def write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, en
     name, attempt = f"{at}/part-{shard:05d}", f"{at}/_attempt-{shard:05d}-{uuid.uuid4().hex}"
     n_docs = n_tokens = offset = 0
     data = index = None
-    for b in slices(batches):
+    for b in slices(batches, most=8_000_000):
         if data is None:
             store.create_dir(at, recursive=True)
             data, index = store.open_output_stream(attempt + ".rec"), store.open_output_stream(attempt + ".idx")
         parts, where = [], []
-        for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+        for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
             ids += end
             n = len(ids) // enc.width
             f = frame(HEAD.pack(NO_ID if doc_id is None else doc_id, n, enc.width) + ids)
@@ -201,8 +213,9 @@ def write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, en
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Encode texts(docs) and write the files; a row for each file: shard, n_docs, n_tokens.  It runs when acted upon."""
     spark = docs.sparkSession
-    ordered = texts(docs).repartitionByRange(partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(lambda it: write_shard(it, path, tokenizer, end_id), "shard int, n_docs bigint, n_tokens bigint")
+    rows = texts(docs).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
+    return ordered.mapInArrow(freed(lambda it: write_shard(it, path, tokenizer, end_id)), "shard int, n_docs bigint, n_tokens bigint")
 
 
 def read_shard(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
