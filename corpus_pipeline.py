@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept.  All but the last return
 the columns of `documents`.  The mixing stage uses every source once at least, so it drops no document: sources with less
-than their weight go out again in further permutations.
+than their weight go out again in further permutations.  Their copies lie side by side, and the last stage encodes a text once for them.
+
+Defined results: null and empty texts, and very short ones, go in the first stage; rows with one doc_id are one document to near-dedup,
+which keeps or drops them together, and stay rows of their own afterwards, as do rows with a null doc_id; ties are broken by
+doc_id; a very long text is worked on whole; an empty table stays empty; further columns of the input pass through all stages but
+the last, whatever their names.  Stage folders lie in the cluster's shared folder and are the caller's to delete.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ def bad_lines(spark: SparkSession, paths) -> DataFrame:
 
 def numbered_bad_lines(spark: SparkSession, paths) -> DataFrame:
     """The same with line numbers from 1.  A file is read as one row, so this is for the files that bad_lines names."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     lines = whole.select("path", (F.col("line") + 1).alias("line"), F.rtrim("value").alias("value")).where(F.trim("value") != "")
     return lines.where(~is_json_object(F.col("value")))
 

@@ -217,3 +217,106 @@ def test_health_stream(spark, tmp_path):
     q = monitors.watch_health(monitors.history_stream(spark, f"{tmp_path}/in", schema), lambda df, n: seen.extend(df.collect()), f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert seen[0].n == 5 and seen[0].severity == "warning"
+
+
+def test_readers_refuse(spark, tmp_path):
+    from larkspur.sources.files import numbered_bad_lines, read_csv, read_jsonl, read_runs, read_tagged, refuse_keys, write_csv
+
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n[2]\n{"a": 1} x\n')
+    assert [(r.line, r.value) for r in numbered_bad_lines(spark, f"{tmp_path}/bad.jsonl").orderBy("line").collect()] == [(3, "[2]"), (4, '{"a": 1} x')]
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST|FAILED_READ_FILE"):
+        read_jsonl(spark, f"{tmp_path}/bad.jsonl", "a int").collect()
+    good = '{"schema_version": "position-group-v1", "sample_id": "%s"}\n'
+    (tmp_path / "good.jsonl").write_text(good % "s1" + good % "s2")
+    assert read_tagged(spark, f"{tmp_path}/good.jsonl", "position-group-v1").count() == 2
+    for text, tag in ((good % "s1" * 2, "position-group-v1"), (good % " ", "position-group-v1"), (good % "s1", "position-group-v2"), ('{"schema_version": "position-group-v1"}\n', "position-group-v1")):
+        (tmp_path / "odd.jsonl").write_text(text)
+        with pytest.raises(ValueError):
+            read_tagged(spark, f"{tmp_path}/odd.jsonl", tag)
+    runs = {"base": f"{tmp_path}/good.jsonl", "paired_answer": f"{tmp_path}/good.jsonl"}
+    assert read_runs(spark, runs, set(runs), "sample_id string", key="sample_id").count() == 4
+    (tmp_path / "odd.jsonl").write_text(good % "s1" * 2)
+    with pytest.raises(ValueError):
+        read_runs(spark, {"base": f"{tmp_path}/odd.jsonl"}, None, "sample_id string", key="sample_id")
+    with pytest.raises(ValueError):
+        refuse_keys(spark.createDataFrame([("a", None)], "k string, v string"), ["k", "v"])
+    df = spark.createDataFrame([(1, 0.5, "x"), (2, None, "")], "step int, loss double, note string")
+    write_csv(df, f"{tmp_path}/t.csv", ["step", "loss", "note"])
+    assert [tuple(r) for r in read_csv(spark, f"{tmp_path}/t.csv", "step int, loss double, note string").orderBy("step").collect()] == [(1, 0.5, "x"), (2, None, None)]
+    with pytest.raises(ValueError, match="eval_loss"):
+        read_csv(spark, f"{tmp_path}/t.csv", "step int, eval_loss double")
+    with pytest.raises(Exception):
+        read_csv(spark, f"{tmp_path}/t.csv", "step int, loss int, note int").collect()
+
+
+def test_sinks(spark, tmp_path):
+    import json
+
+    files.write_report(f"{tmp_path}/r.json", {"a": spark.createDataFrame([(1, "é")], "n int, t string")})
+    files.write_report(f"{tmp_path}/r.json", {"a": spark.createDataFrame([(2, "é")], "n int, t string")})
+    assert json.loads((tmp_path / "r.json").read_text()) == {"a": [{"n": 2, "t": "é"}]} and [p.name for p in tmp_path.iterdir()] == ["r.json"]
+    with pytest.raises(ValueError):
+        files.write_report(f"{tmp_path}/r.json", {"a": spark.range(5)}, most=4)
+    t = spark.createDataFrame([(0, [1, 2], [0, 1], "x"), (1, [3], [1], "y")], "row_index bigint, input_ids array<int>, completion_mask array<int>, more string")
+    files.write_tokens(t, f"{tmp_path}/tokens")
+    back = spark.read.parquet(f"{tmp_path}/tokens")
+    assert back.columns == ["row_index", "input_ids", "completion_mask"]
+    assert [r.row_index for r in files.select_rows(back, spark.createDataFrame([(1,), (1,), (9,)], "row_index bigint")).collect()] == [1]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "a.txt").write_text("abc")
+    m = files.manifest(spark, f"{tmp_path}/full")
+    assert tuple(files.manifest_totals(m).first()) == (1, 3)
+    with pytest.raises(Exception, match="no files"):
+        files.folder_fingerprint(m.limit(0), "x").collect()
+
+
+def test_choices(spark):
+    assert one(spark, text.target_option(F.lit(" b "))) == "B"
+    with pytest.raises(Exception, match="not one option"):
+        one(spark, text.target_option(F.lit("E")))
+    plain = spark.createDataFrame([("s", None)], "sample_id string, metadata struct<case_id: string>")
+    assert inference.cluster_choice(plain, True) == (None, None, None)
+    needle = spark.range(1050).selectExpr("named_struct('case_id', cast(id % 10 AS string)) AS metadata")
+    assert inference.cluster_choice(needle, True) == ("metadata.case_id", "task", 10) and inference.cluster_choice(needle, False)[2] is None
+    text.register_counter("one", lambda c: F.lit(1))
+    assert one(spark, text.count_tokens("one", F.lit("a b"))) == 1 and one(spark, text.count_tokens("blanks", F.lit(" a  b\n"))) == 2
+    with pytest.raises(ValueError):
+        text.count_tokens("none", F.lit("a"))
+
+
+def test_lookup_refuses_repeats(spark):
+    from larkspur.operators import align
+
+    rows = spark.createDataFrame([(1,), (1,), (3,)], "k int")
+    src = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert sorted((r.k, r.v) for r in align.look_up(rows, src.where("v <> 'c'"), "k", ["v"]).collect() if r.v) == [(1, "a"), (1, "a")]
+    with pytest.raises(Exception, match="repeats"):
+        align.look_up(rows.unionByName(spark.createDataFrame([(2,)], "k int")), src, "k", ["v"]).collect()
+    both, bad = align.attach(spark.createDataFrame([(1, "x"), (3, None)], "k int, v string"), src, "k", "v")
+    assert [tuple(r) for r in both.collect()] == [(1, "a")]
+    assert {tuple(r) for r in bad.collect()} == {("missing_in_source", "3"), ("missing_in_rows", "2"), ("repeated_in_source", "2"), ("conflict", "1")}
+
+
+def test_tail_warnings(spark):
+    rows = [("low", k, k, 1e-6, 0.5) for k in range(1, 6)] + [("sure", k, k, 0.5, 0.9999) for k in range(1, 6)] + [("fine", k, k, 0.5, 0.9) for k in range(1, 6)] + [("fine", 5, 9, 0.4, 0.9)]
+    x = spark.createDataFrame(rows, "variant string, step int, seq int, loss double, mean_token_accuracy double").withColumns({"eval_loss": F.lit(None), "learning_rate": F.lit(None)})
+    assert {tuple(r) for r in timeseries.completeness(x, "variant", 5).collect()} == {("saturated_loss", "low", 5), ("saturated_accuracy", "sure", 5), ("repeated_steps", "fine", 1)}
+
+
+def test_other_streams(spark, tmp_path):
+    from larkspur.streaming import monitors
+
+    schema = "run_name string, at timestamp, checkpoint int, used_mb int, busy double"
+    rows = [("r", f"2026-01-01 00:00:{s:02d}", s // 10, s, 0.5) for s in range(0, 60, 2)]
+    spark.createDataFrame(rows, "run_name string, at string, checkpoint int, used_mb int, busy double").write.json(f"{tmp_path}/in")
+    stream = monitors.history_stream(spark, f"{tmp_path}/in", schema)
+    seen = []
+    monitors.watch_telemetry(stream, lambda df, n: seen.extend(df.collect()), f"{tmp_path}/c1", seconds=5).awaitTermination(60)
+    assert sum(r.records for r in seen) <= 30 and len({r.at for r in seen}) == len(seen)
+    q = monitors.progress_counts(stream, "run_name").writeStream.outputMode("complete").format("memory").queryName("larkspur_progress").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("larkspur_progress").first().rows == 30
+    for _ in range(2):
+        monitors.resume(stream, f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 30
