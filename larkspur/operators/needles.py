@@ -10,15 +10,20 @@ from .audits import violations
 from .generate import fit_prefix
 
 
+#: Tokens kept free, as a needle may be put within a word and make two of it.
+ROOM = 4
+
+
 def needle_rows(books: DataFrame, cases: DataFrame, lengths: list[int], positions: list[float]) -> DataFrame:
     """books (book, text), cases (case_id, needle, answer, question): a group for each book, case and length, a row for each position.
 
-    The cases are a benchmark's and few: they are broadcast to the books.  All positions of a group share one fitted text.
+    The cases are a benchmark's and few: they are broadcast to the books.  All positions of a group share one fitted text; a text that does
+not come down to a length has no rows of it.
     """
     x = books.crossJoin(F.broadcast(cases)).withColumn("words", F.split("text", " ")).drop("text")
     out = None
     for n in lengths:
-        y = fit_prefix(x, "words", "needle", n).where("fitted is not null").withColumn("target_tokens", F.lit(n))
+        y = fit_prefix(x, "words", "needle", n - ROOM).where("fitted is not null").withColumn("target_tokens", F.lit(n))
         out = y if out is None else out.unionByName(y)
     g = out.select(F.concat_ws("-", "book", "case_id", "target_tokens").alias("group_id"), "book", "case_id", "needle", "answer", "question", "target_tokens", "fitted", F.sha2("fitted", 256).alias("base_sha256"))
     r = g.withColumn("target_position", F.explode(F.array(*map(F.lit, positions))))

@@ -8,6 +8,7 @@ from ..functions import arguments, hashing, text
 from ..operators import align, audits, design, failures, generate, ledger, needles
 from ..schemas import RUNS
 from .design import CROSS_SQL, FAIL_SQL, GROUP_SQL, ROW_SQL, failing
+from .generation import fitted_sql
 from .registry import query
 from .scoring import TOKEN_SQL
 from .views import GRID_SQL, grid, table
@@ -162,13 +163,19 @@ def needle_audit(spark, d):
     return needles.audit(rows, 3)
 
 
+CASES = (("c1", "A zebra was seen at the Old Quay by Quillan.", "Quillan", "Who saw the zebra?"), ("c2", "Marvolina left the Old Quay before noon.", "Marvolina", "Who left before noon?"))
+LENGTHS = (192, 256)
+
+
 def made_needles(spark, d):
     books = table(spark, d, "documents").where(F.size(F.split("text", " ")) >= 400).select(F.col("doc_id").cast("string").alias("book"), "text")
-    cases = spark.createDataFrame([("c1", "A zebra was seen at the Old Quay by Quillan.", "Quillan", "Who saw the zebra?"), ("c2", "Marvolina left the Old Quay before noon.", "Marvolina", "Who left before noon?")], "case_id string, needle string, answer string, question string")
-    return needles.needle_rows(books, cases, [192, 256], [0.0, 0.5, 1.0])
+    return needles.needle_rows(books, spark.createDataFrame(list(CASES), "case_id string, needle string, answer string, question string"), list(LENGTHS), [0.0, 0.5, 1.0])
+
+
+GROUPS_SQL = " UNION ALL ".join(f"SELECT doc_id, doc_id || '-{c[0]}-{n}' AS g FROM ({fitted_sql(n - needles.ROOM, c[1])}) WHERE fits AND doc_id IN (SELECT doc_id FROM documents WHERE len(string_split(text, ' ')) >= 400)" for c in CASES for n in LENGTHS)
 
 
-@query("needle_problems", "WITH b AS (SELECT doc_id, unnest(['c1', 'c2']) AS c FROM documents WHERE len(string_split(text, ' ')) >= 400), r AS (SELECT b.*, t FROM b, (SELECT unnest([192, 256]) AS t)), g AS (SELECT doc_id, c || '-' || t AS rest, doc_id || '-' || c || '-' || t AS g, t FROM r) SELECT 'every_position' AS rule, g AS key FROM g WHERE doc_id % 5 = 0 UNION ALL SELECT 'needle_present', g || '@p000' FROM g WHERE doc_id % 7 = 0 UNION ALL SELECT 'answer_once', g || '@p000' FROM g WHERE doc_id % 7 = 0 UNION ALL SELECT 'unique_id', g || '@p100' FROM g WHERE doc_id % 11 = 0 UNION ALL SELECT 'one_base', g FROM g WHERE doc_id % 13 = 0")
+@query("needle_problems", f"WITH g AS ({GROUPS_SQL}) SELECT 'every_position' AS rule, g AS key FROM g WHERE doc_id % 5 = 0 UNION ALL SELECT 'needle_present', g || '@p000' FROM g WHERE doc_id % 7 = 0 UNION ALL SELECT 'answer_once', g || '@p000' FROM g WHERE doc_id % 7 = 0 UNION ALL SELECT 'unique_id', g || '@p100' FROM g WHERE doc_id % 11 = 0 UNION ALL SELECT 'one_base', g FROM g WHERE doc_id % 13 = 0")
 def needle_problems(spark, d):
     """The same rows with a lost position, a lost needle, a repeated id and another base text in some."""
     r = made_needles(spark, d)
