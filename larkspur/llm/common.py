@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -55,6 +56,17 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect on the driver: shuffle files that a checkpoint has made needless go now, and not with the driver's next collection.
+
+    What refers to them goes in two turns: first the frames and their plans, then the exchanges of these.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 #: Ids of 8 bytes: a table of at most so many is broadcast, a larger one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

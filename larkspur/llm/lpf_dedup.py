@@ -8,21 +8,24 @@ pieces of it.
 1.  Anchors.  Of the K-grams in every L-byte window the one with the least hash (the leftmost of equals) is the window's
     anchor.  It depends on the window's bytes alone, so equal windows have equal anchors at equal offsets, and only windows
     with the same anchor key need to be compared.  Neighbouring windows mostly share an anchor: about one anchor goes out for
-    L - K + 1 over 2 windows, with its key and a 64-bit fingerprint of the stretch that its windows cover.
-2.  Anchors with one key and fingerprint cover the same bytes: all but the earliest lose their windows.  First within
-    a block of documents (so a common passage leaves a block once), then over all blocks.
-3.  Keys with several fingerprints (the rims of repeated passages) send the earliest stretch of each.  Stretches of a
-    key meet in a task, which sorts their suffixes to the depth of L by prefix doubling, in the order of bytes, and takes the
-    previous and next smaller positions among equal runs of that order: LPF >= L.  A key with more than HOT stretches is
-    dealt out anew by the windows' own bytes, so that no task holds all of a very common passage.
+    L - K + 1 over 2 windows, with its 64-bit key and a 96-bit BLAKE2b digest of the stretch that its windows cover.
+2.  Stretches of one key and digest are the same bytes, neighbours in suffix order whose LCP is all they have: all but the earliest
+    have LPF >= L everywhere.  Within a block of documents they are compared byte by byte, so a common passage leaves a block once.
+    Over the blocks, one exchange by key, sorted by (key, digest, position), shows them to a task that holds one row at a time:
+    a key has one row at most for each block and content, however common it is.
+3.  Keys with several digests (the rims of repeated passages) send the bytes of the earliest stretch of each.  The stretches of a
+    key meet in a task, which sorts their suffixes by prefix doubling to the depth of L, reads the LCPs of neighbours off the
+    doubling steps, and takes LPF from the previous and next smaller positions.  The stretches of a key with more than HOT contents
+    are dealt out anew by the windows' own digests, each window once for a block, and these are again met one row at a time, so no
+    task gathers a very common passage.  Both go through one pass over the blocks and one exchange.
 4.  Each block gets its removed windows back and takes the union of what they cover.
 
 Documents travel once, packed into compressed blocks of about BLOCK_BYTES, which both joins reread from one exchange.  Only
 block-sized things are collected; positions are (doc_id, block, offset) throughout.
 
-Defined results: a null or empty text has no bytes and nothing removed; texts shorter than L keep all; equal rows with one doc_id
-count as earlier and later in the order of their blocks; null doc_ids come first; an empty table gives no rows; `remove` keeps
-all other columns and cuts whole code points only.
+Defined results: a null or empty text has no bytes and nothing removed; texts shorter than L keep all; a text of more than BLOCK_BYTES is a
+block of its own; equal rows with one doc_id count as earlier and later in the order of their blocks; null doc_ids come first; an empty
+table gives no rows; `remove` keeps all other columns and cuts whole code points only.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, freed, table, texts
+from .common import batch_of, cut, freed, release, table, texts
 
 L, K = 100, 32
 BLOCK_BYTES, BLOCK_DOCS = 2_000_000, 8192
@@ -132,16 +135,22 @@ class Block:
         return np.searchsorted(self.ends, at, side="right")
 
     def reduced(self):
-        """Anchors that no earlier one of the block makes redundant (key, print, anchor, head, tail), and (head, tail) of the others."""
-        key, print_, a, head, tail = anchors(self.data, self.starts, self.ends)
+        """Stretches that no earlier one of the block equals (key, head, tail), and (head, tail) of the others."""
+        key, print_, _, head, tail = anchors(self.data, self.starts, self.ends)
         if len(key) == 0:
-            return (key, print_, a, head, tail), (head, tail)
+            return (key, head, tail), (head, tail)
         doc = self.doc_of(head)
         # Earlier: a smaller doc_id, then the place in the block.
         order = np.lexsort((head, self.ids[doc], print_, key))
         first = np.r_[True, (key[order][1:] != key[order][:-1]) | (print_[order][1:] != print_[order][:-1])]
-        keep, rest = np.sort(order[first]), np.sort(order[~first])
-        return tuple(x[keep] for x in (key, print_, a, head, tail)), (head[rest], tail[rest])
+        # Equal fingerprints only nominate: bytes decide, and what differs stays.
+        later, of = order[~first], order[first][(np.cumsum(first) - 1)[~first]]
+        raw = self.raw
+        equal = [raw[a : b + L] == raw[c : d + L] for a, b, c, d in zip(head[later].tolist(), tail[later].tolist(), head[of].tolist(), tail[of].tolist())]
+        rest = np.sort(later[np.array(equal, bool)])
+        keep = np.ones(len(key), bool)
+        keep[rest] = False
+        return (key[keep], head[keep], tail[keep]), (head[rest], tail[rest])
 
 
 BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary()), ("rest", pa.binary())])
@@ -185,8 +194,8 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], with_rest: bool) -> Iterator[
         yield done()
 
 
-ANCHOR = pa.schema([("key", pa.int64()), ("print", pa.int64()), ("doc", pa.int64()), ("block", pa.int64()), ("place", pa.int64())])
-ANCHOR_SQL = "key bigint, print bigint, doc bigint, block bigint, place bigint"
+ANCHOR = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int32()), ("doc", pa.int64()), ("block", pa.int64()), ("place", pa.int64())])
+ANCHOR_SQL = "key bigint, d1 bigint, d2 int, doc bigint, block bigint, place bigint"
 
 
 def place_of(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -194,58 +203,166 @@ def place_of(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return (head.astype(np.int64) << 7) | (tail - head).astype(np.int64)
 
 
+def digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of stretches, of 96 bits, as numbers d1 and d2."""
+    of = hashlib.blake2b
+    return np.frombuffer(b"".join([of(raw[a:b], digest_size=12).digest() for a, b in zip(begin.tolist(), end.tolist())]), [("d1", "<i8"), ("d2", "<i4")])
+
+
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
             block = Block(*row)
-            (key, print_, _, head, tail), _ = block.reduced()
+            (key, head, tail), _ = block.reduced()
             if len(key):
-                ids = block.ids[block.doc_of(head)]
-                yield batch_of(ANCHOR, key.view(np.int64), print_.view(np.int64), ids, np.full(len(key), block.block), place_of(head, tail))
+                d = digests(block.raw, head, tail + L)
+                yield batch_of(ANCHOR, key.view(np.int64), d["d1"], d["d2"], block.ids[block.doc_of(head)], np.full(len(key), block.block), place_of(head, tail))
+
+
+#: What becomes of a stretch: an earlier one has the same bytes; it meets others of its key; its windows meet others one by one.
+COPY, MEET, WINDOWS = 0, 1, 2
+JUDGED = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("kind", pa.int8())])
+JUDGED_SQL = "key bigint, block bigint, place bigint, kind tinyint"
+
+
+class Judge:
+    """Stretches in the order (key, digest, position), batch by batch -> what becomes of those that are not alone under their key.
+
+    It holds the last row, and of the key at hand the earliest stretch of each of the first HOT contents.
+    """
+
+    def __init__(self, hot: int):
+        self.hot = hot
+        self.last = None  # key and digest
+        self.contents = 0  # so far under the key at hand
+        self.first = np.zeros((0, 2), np.int64)  # block and place of the first stretches of these
+
+    def feed(self, key: np.ndarray, d1: np.ndarray, d2: np.ndarray, block: np.ndarray, place: np.ndarray) -> pa.RecordBatch | None:
+        hot = self.hot
+        k0, x0, y0 = self.last or (None, None, None)
+        same_key = np.r_[key[0] == k0, key[1:] == key[:-1]]
+        same = same_key & np.r_[(d1[0] == x0) & (d2[0] == y0), (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])]
+        run = np.cumsum(~same_key)  # 0 goes on from the batch before
+        at = np.flatnonzero(~same)
+        own = run[at]
+        total = np.bincount(own, minlength=run[-1] + 1)
+        nth = np.arange(len(at)) - (np.cumsum(total) - total)[own] + 1
+        before = self.contents
+        nth[own == 0] += before
+        total[0] += before
+        shown = total[own] > 1
+        parts = [(key[same], block[same], place[same], COPY), (key[at][shown & (nth <= hot)], block[at][shown & (nth <= hot)], place[at][shown & (nth <= hot)], MEET), (key[at][nth > hot], block[at][nth > hot], place[at][nth > hot], WINDOWS)]
+        if before == 1 and total[0] > 1:  # the first content was held back, as it was alone
+            parts.append((np.array([k0]), self.first[:, 0], self.first[:, 1], MEET))
+        held = np.stack([block[at], place[at]], 1)
+        for r in np.flatnonzero(total > hot).tolist():
+            if r == 0 and before > hot:
+                continue
+            few = held[(own == r) & (nth <= hot)]
+            if r == 0:
+                few = np.concatenate([self.first, few])
+            parts.append((np.full(len(few), key[np.searchsorted(run, r)]), few[:, 0], few[:, 1], WINDOWS))
+        end = int(run[-1])
+        last = held[(own == end) & (nth <= hot)]
+        self.first = np.concatenate([self.first, last]) if end == 0 else last
+        self.contents = int(total[end])
+        self.last = (int(key[-1]), int(d1[-1]), int(d2[-1]))
+        if not any(len(x[0]) for x in parts):
+            return None
+        return batch_of(JUDGED, *(np.concatenate([x[j] for x in parts]) for j in range(3)), np.concatenate([np.full(len(x[0]), x[3], np.int8) for x in parts]))
+
+
+def judge_batches(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    judge = Judge(hot)
+    for b in batches:
+        if b.num_rows:
+            out = judge.feed(*(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "d1", "d2", "block", "place")))
+            if out is not None:
+                yield out
+
+
+STRETCH = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int32()), ("doc", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+STRETCH_SQL = "kind tinyint, key bigint, d1 bigint, d2 int, doc bigint, block bigint, place bigint, bytes binary"
 
 
-STRETCH = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("offset", pa.int32()), ("bytes", pa.binary())])
-STRETCH_SQL = "key bigint, doc bigint, block bigint, place bigint, offset int, bytes binary"
+def runs_of(heads: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of runs of neighbouring windows, which are under L long, within documents.  heads rise."""
+    new = np.r_[True, (heads[1:] != heads[:-1] + 1) | (docs[1:] != docs[:-1])]
+    at = np.arange(len(heads)) - np.maximum.accumulate(np.where(new, np.arange(len(heads)), 0))
+    new |= at % L == 0
+    return heads[new], heads[np.r_[new[1:], True]]
 
 
 def stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the stretches asked of them -> the stretches; those of hot keys window by window, under keys of their own."""
+    """Blocks with the stretches asked of them -> the bytes of those that meet, and the windows of the others by their own digests."""
+
+    def rows(kind: int, block: Block, key, d1, d2, head, tail, pieces) -> pa.RecordBatch:
+        n = len(head)
+        return batch_of(STRETCH, np.full(n, kind, np.int8), key, d1, d2, block.ids[block.doc_of(head)], np.full(n, block.block), place_of(head, tail), pieces)
+
     for b in batches:
-        for *row, asked in zip(*(c.to_pylist() for c in b.columns)):
-            block = Block(*row)
-            want = np.frombuffer(asked, "<i8").reshape(-1, 3)
-            want = want[np.argsort(want[:, 1], kind="stable")]
-            hot = want[:, 2] > 0
-            heads, counts = want[:, 1] >> 7, (want[:, 1] & 127) + 1
-            cold = ~hot
-            if cold.any():
-                h, n = heads[cold], counts[cold]
-                ids = block.ids[block.doc_of(h)]
-                yield batch_of(STRETCH, want[cold, 0], ids, np.full(len(h), block.block), want[cold, 1], np.zeros(len(h), np.int32), [block.raw[a : a + c + L - 1] for a, c in zip(h.tolist(), n.tolist())])
-            if hot.any():
-                h = np.repeat(heads[hot], counts[hot]) + np.concatenate([np.arange(c) for c in counts[hot]])
-                for k in range(0, len(h), 20_000):
-                    some = h[k : k + 20_000]
-                    pieces = [block.raw[a : a + L] for a in some.tolist()]
-                    keys = np.array([int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in pieces], np.int64)
-                    yield batch_of(STRETCH, keys, block.ids[block.doc_of(some)], np.full(len(some), block.block), place_of(some, some), np.zeros(len(some), np.int32), pieces)
-
-
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first `depth` bytes, by prefix doubling; equal ranks are equal strings.  Zeros lie behind the end."""
+        lists = b.column(b.num_columns - 1)
+        for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns[:-1]))):
+            block, flat = Block(*row), lists.slice(i, 1).flatten()
+            key, place, kind = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+            meet = np.flatnonzero(kind == MEET)
+            if len(meet):
+                head, tail, none = place[meet] >> 7, (place[meet] >> 7) + (place[meet] & 127), np.zeros(len(meet), np.int64)
+                yield rows(MEET, block, key[meet], none, none, head, tail, [block.raw[x : y + L] for x, y in zip(head.tolist(), tail.tolist())])
+            place = place[kind == WINDOWS]
+            if not len(place):
+                continue
+            count = (place & 127) + 1
+            head = np.unique(np.repeat(place >> 7, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            d, doc = digests(block.raw, head, head + L), block.doc_of(head)
+            order = np.lexsort((head, block.ids[doc], d["d2"], d["d1"]))
+            first = np.ones(len(head), bool)
+            first[order[1:]] = d[order[1:]] != d[order[:-1]]
+            at = np.flatnonzero(first)
+            for k in range(0, len(at), 20_000):
+                some = at[k : k + 20_000]
+                yield rows(WINDOWS, block, d["d1"][some], d["d1"][some], d["d2"][some], head[some], head[some], [None] * len(some))
+            if len(at) < len(head):
+                x, y = runs_of(head[~first], doc[~first])
+                none = np.zeros(len(x), np.int64)
+                yield rows(COPY, block, d["d1"][np.searchsorted(head, x)], none, none, x, y, [None] * len(x))
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> tuple[list[int], list[np.ndarray]]:
+    """Ranks of all suffixes by their first bytes, by prefix doubling: the lengths compared in each step and the ranks after it.
+
+    Equal ranks are equal strings, and ranks follow the order of bytes.  Zeros lie behind the end.
+    """
     n = len(data)
     wide = np.r_[data.astype(np.int64) + 1, np.zeros(depth, np.int64)]
     # Seven bytes (of 1..256) make the first key.
     key, h = np.zeros(n, np.int64), 7
     for j in range(h):
         key = key * 257 + wide[j : j + n]
-    rank = dense(key)
+    lengths, ranks = [h], [dense(key)]
     while h < depth:
-        step = min(h, depth - h)
-        nxt = np.r_[rank[step:], np.zeros(step, np.int64)]
-        rank = dense(rank * (n + 2) + nxt)
+        step, rank = min(h, depth - h), ranks[-1]
+        nxt = np.r_[rank[step:], np.zeros(min(step, n), np.int64)]
         h += step
-    return rank
+        lengths.append(h)
+        ranks.append(dense(rank * (n + 2) + nxt))
+    return lengths, ranks
+
+
+def common_prefix(data: np.ndarray, lengths: list[int], ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """LCP of pairs of suffixes, up to the depth of the last ranks."""
+    out, depth, n = np.zeros(len(i), np.int64), lengths[-1], len(data)
+    for h, rank in zip(reversed(lengths), reversed(ranks)):
+        x, y = i + out, j + out
+        inside = (x < n) & (y < n) & (out + h <= depth)
+        out += h * (inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
+    going = np.flatnonzero(out < depth)
+    for _ in range(lengths[0]):
+        x, y = i[going] + out[going], j[going] + out[going]
+        same = (x < n) & (y < n) & (out[going] < depth) & (data[np.minimum(x, n - 1)] == data[np.minimum(y, n - 1)])
+        going = going[same]
+        out[going] += 1
+    return out
 
 
 def dense(key: np.ndarray) -> np.ndarray:
@@ -256,71 +373,92 @@ def dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def has_previous_factor(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """LPF >= depth for windows given in the order of positions.
+def previous_factors(position: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """LPF of the entries of a suffix order: the larger of their LCPs with the nearest entries on both sides that have a smaller position.
 
-    Suffix order by (group, rank, position): runs of it are equal to the depth.  The previous smaller position of an entry lies in its
-    run unless it is the run's first, and, as positions rise within a run, there is no next smaller one.
+    lcp[i] is that of the entries i - 1 and i, 0 where a group begins.  A walk to a side ends there, or where the LCP
+    falls under `least`; an LPF under `least` is given as 0.
     """
-    order = np.lexsort((rank, group))
-    g, r = group[order], rank[order]
-    previous = np.r_[False, (g[1:] == g[:-1]) & (r[1:] == r[:-1])]
-    out = np.empty(len(rank), bool)
-    out[order] = previous
+    n = len(position)
+    out = np.zeros(n, np.int64)
+    for side in (-1, 1):
+        at = np.arange(n)
+        beside, held = at + side, np.r_[lcp, 0][at + (side > 0)]
+        while len(at):
+            going = (held >= least) & (beside >= 0) & (beside < n)
+            at, beside, held = at[going], beside[going], held[going]
+            smaller = position[beside] < position[at]
+            out[at[smaller]] = np.maximum(out[at[smaller]], held[smaller])
+            at, beside, held = at[~smaller], beside[~smaller], held[~smaller]
+            held = np.minimum(held, np.r_[lcp, 0][beside + (side > 0)])
+            beside = beside + side
     return out
 
 
 REMOVED = pa.schema([("block", pa.int64()), ("place", pa.int64())])
 
 
-class Resolver:
-    """Stretches in the order (key, doc, block, place) -> runs of windows that also start earlier."""
-
-    def __init__(self):
-        self.key, self.seen = None, set()
-
-    def resolve(self, key: np.ndarray, block: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch | None:
-        head, count = place >> 7, (place & 127) + 1
-        size = np.array([len(p) for p in pieces], np.int64)
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        begin = np.cumsum(size) - size
-        rank = suffix_ranks(data, L)
-        row = np.repeat(np.arange(len(key)), count)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at = begin[row] + within
-        r = rank[at]
-        same = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-        drop = has_previous_factor(same[row], r)
-        # A key that goes on from the batch before: its windows so far are remembered by their bytes.
-        raw = data.tobytes()
-        if key[0] == self.key:
-            part = np.flatnonzero((same[row] == 0) & ~drop)
-            drop[part] = [raw[a : a + L] in self.seen for a in at[part].tolist()]
-        else:
-            self.seen = set()
-        if self.key != key[-1] and key[0] != key[-1]:
-            self.seen = set()
-        self.key = key[-1]
-        tail_rows = np.flatnonzero((same[row] == same[-1]) & ~drop)
-        self.seen.update(raw[a : a + L] for a in at[tail_rows].tolist())
-        if not drop.any():
-            return None
-        i = np.flatnonzero(drop)
-        run = np.r_[True, (i[1:] != i[:-1] + 1) | (row[i][1:] != row[i][:-1])]
-        first = i[run]
-        last = i[np.r_[run[1:], True]]
-        return batch_of(REMOVED, block[row[first]], place_of(head[row[first]] + within[first], head[row[last]] + within[last]))
+def resolve(key: np.ndarray, block: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch | None:
+    """Stretches of whole keys in the order (key, position) -> runs of their windows with LPF >= L among the windows of the key."""
+    head, count = place >> 7, (place & 127) + 1
+    size = np.array([len(p) for p in pieces], np.int64)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths, ranks = suffix_ranks(data, L)
+    row = np.repeat(np.arange(len(key)), count)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[row] + within
+    group = np.cumsum(np.r_[0, key[1:] != key[:-1]])[row]
+    order = np.lexsort((ranks[-1][at], group))
+    lcp = np.r_[0, common_prefix(data, lengths, ranks, at[order[:-1]], at[order[1:]])]
+    lcp[np.r_[True, group[order[1:]] != group[order[:-1]]]] = 0
+    factor = np.empty(len(row), np.int64)
+    factor[order] = previous_factors(order, lcp, L)  # entries came by position
+    i = np.flatnonzero(factor >= L)
+    if not len(i):
+        return None
+    run = np.r_[True, (i[1:] != i[:-1] + 1) | (row[i][1:] != row[i][:-1])]
+    first, last = i[run], i[np.r_[run[1:], True]]
+    return batch_of(REMOVED, block[row[first]], place_of(head[row[first]] + within[first], head[row[last]] + within[last]))
+
+
+#: Stretches that are resolved at a time, in whole keys (which have HOT at most).
+AT_ONCE = 4000
 
 
 def resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    resolver = Resolver()
+    """Rows of STRETCH in the order (kind, key, digest, position) -> (block, place) of windows that also start earlier."""
+    judge, waiting, held = Judge(1 << 62), [], 0
+
+    def column(rows, name: str) -> np.ndarray:
+        return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(name).to_numpy()
+
+    def resolved(rows: pa.Table) -> list[pa.RecordBatch]:
+        out = resolve(*(column(rows, c) for c in ("key", "block", "place")), rows.column("bytes").to_pylist()) if rows.num_rows else None
+        return [] if out is None else [out]
+
     for b in batches:
-        for k in range(0, b.num_rows, 8000):
-            p = b.slice(k, 8000)
-            key, block, place = (p.column(p.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "block", "place"))
-            out = resolver.resolve(key, block, place, p.column(p.schema.get_field_index("bytes")).to_pylist())
-            if out is not None:
-                yield out
+        kinds = column(b, "kind")
+        for kind in np.unique(kinds).tolist():
+            begin, end = np.searchsorted(kinds, [kind, kind + 1]).tolist()
+            rows = b.slice(begin, end - begin)
+            if kind == COPY:
+                yield batch_of(REMOVED, column(rows, "block"), column(rows, "place"))
+            elif kind == WINDOWS:
+                out = judge.feed(*(column(rows, c) for c in ("key", "d1", "d2", "block", "place")))
+                if out is not None and (same := column(out, "kind") == COPY).any():
+                    yield batch_of(REMOVED, column(out, "block")[same], column(out, "place")[same])
+            else:
+                for k in range(0, rows.num_rows, AT_ONCE):
+                    waiting.append(rows.slice(k, AT_ONCE))
+                    held += waiting[-1].num_rows
+                    if held >= AT_ONCE:
+                        table = pa.Table.from_batches(waiting)
+                        key = column(table, "key")
+                        whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                        yield from resolved(table.slice(0, whole))
+                        waiting, held = table.slice(whole).to_batches(), held - whole
+    if waiting:
+        yield from resolved(pa.Table.from_batches(waiting))
 
 
 def covered(block: Block, places: np.ndarray) -> np.ndarray:
@@ -374,29 +512,22 @@ def whole_points(data: np.ndarray, gone: np.ndarray) -> bytes:
     return data[stays[point]].tobytes()
 
 
-def removed_windows(blocks: DataFrame) -> DataFrame:
+def judged_anchors(blocks: DataFrame, hot: int) -> DataFrame:
+    ordered = blocks.mapInArrow(freed(anchor_batches), ANCHOR_SQL).repartition("key").sortWithinPartitions("key", "d1", "d2", "doc", "block", "place")
+    return ordered.mapInArrow(freed(lambda it: judge_batches(it, hot)), JUDGED_SQL)
+
+
+def removed_windows(blocks: DataFrame, hot: int) -> DataFrame:
     """(block, place) of the windows that also start earlier, as far as a block alone does not settle it."""
-    rows = blocks.mapInArrow(freed(anchor_batches), ANCHOR_SQL)
-    same = Window.partitionBy("key", "print").orderBy("doc", "block", "place")
-    of_key = Window.partitionBy("key")
-    judged = rows.withColumn("n", F.row_number().over(same)).withColumn("first_of_print", (F.col("n") == 1).cast("int")).withColumn("prints", F.sum("first_of_print").over(of_key))
-    judged = cut(judged.where("n > 1 or prints > 1").select("key", "doc", "block", "place", "n", "prints"))
-    copies = judged.where("n > 1").select("block", "place")
-    # Stretches of 24 bytes for each anchor of a block: at most the block's size in windows.
-    asked = judged.where("n = 1").select("block", "key", "place", (F.col("prints") > HOT).cast("bigint").alias("hot"))
-    asked = asked.groupBy("block").agg(F.collect_list(F.struct("key", "place", "hot")).alias("asked"))
-    stretches = blocks.join(asked, "block").select(*blocks.columns, "asked").mapInArrow(freed(asked_batches), STRETCH_SQL)
-    ordered = stretches.repartition("key").sortWithinPartitions("key", "doc", "block", "place")
-    rims = ordered.mapInArrow(freed(resolve_batches), "block bigint, place bigint")
-    return copies.unionByName(rims)
-
-
-def asked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists = b.column(b.num_columns - 1)
-        flat = [lists.slice(i, 1).flatten() for i in range(b.num_rows)]
-        asked = [np.stack([f.field(j).to_numpy(zero_copy_only=False) for j in range(3)], 1).astype("<i8").tobytes() for f in flat]
-        yield from stretch_batches([pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(asked, pa.binary())], names=b.schema.names)])
+    judged = cut(judged_anchors(blocks, hot))
+    release(blocks.sparkSession)  # the exchange of all anchors is the largest there is, and done with
+
+    # Two numbers for each anchor of a block: at most the block's size in windows.
+    lists = judged.where(F.col("kind") != COPY).groupBy("block").agg(F.collect_list(F.struct("key", "place", "kind")).alias("asked"))
+    stretches = blocks.join(lists, "block").select(*blocks.columns, "asked").mapInArrow(freed(stretch_batches), STRETCH_SQL)
+    met = stretches.repartition("key").sortWithinPartitions("kind", "key", "d1", "d2", "doc", "block", "place")
+    copies = judged.where(F.col("kind") == COPY).select("block", "place")
+    return copies.unionByName(met.mapInArrow(freed(resolve_batches), "block bigint, place bigint"))
 
 
 def place_batches(batches: Iterator[pa.RecordBatch], names: list[str] | None) -> Iterator[pa.RecordBatch]:
@@ -413,23 +544,23 @@ def place_batches(batches: Iterator[pa.RecordBatch], names: list[str] | None) ->
 MISSING = "__larkspur_null_text"
 
 
-def judged_blocks(rows: DataFrame, with_rest: bool) -> DataFrame:
+def judged_blocks(rows: DataFrame, with_rest: bool, hot: int) -> DataFrame:
     blocks = cut(rows.mapInArrow(freed(lambda it: pack_blocks(it, with_rest)), BLOCK_SQL))
-    gone = removed_windows(blocks.drop("rest")).groupBy("block").agg(F.collect_list("place").alias("places"))
+    gone = removed_windows(blocks.drop("rest"), hot).groupBy("block").agg(F.collect_list("place").alias("places"))
     return blocks.join(gone, "block", "left").select(*blocks.columns, "places")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    return judged_blocks(texts(docs), False).mapInArrow(freed(lambda it: place_batches(it, None)), RESULT_SQL)
+    return judged_blocks(texts(docs), False, hot).mapInArrow(freed(lambda it: place_batches(it, None)), RESULT_SQL)
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents without the bytes that also start earlier, with all their columns; n_chars, where there is one, follows the text."""
     names = docs.columns
     others = [F.col(f"`{c}`") for c in names if c != "text"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("__larkspur_id"), F.coalesce("text", F.lit("")).alias("__larkspur_text"), *others, F.col("text").isNull().alias(MISSING))
-    return judged_blocks(rows, True).mapInArrow(freed(lambda it: place_batches(it, names)), docs.schema)
+    return judged_blocks(rows, True, hot).mapInArrow(freed(lambda it: place_batches(it, names)), docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
