@@ -15,7 +15,8 @@ every text whole, in one pass, without a shuffle.
 
 Defined results: null and empty texts have structure features alone and get a score; repeated rows get equal
 scores; a table without labelled rows gives the score 0.5 everywhere; an empty table gives no rows; null labels are left out;
-a document with several labels counts once for each.
+a document with several labels counts once for each; a very long text is one row of features, one for each distinct word; a
+null doc_id has no label and gets a score; other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import freed, hash_sample, slices, table
 
 BUCKETS, RANK = 1 << 15, 8
 FIT_ROWS = 12_000
@@ -46,7 +47,7 @@ def bucket(name: str) -> int:
 def shape(word: str) -> str:
     """Classes of a word's characters, runs merged: Ab, AB, a#, a1 ..."""
     out = []
-    for c in word[:24]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "1" if c.isdigit() else c if c in SYMBOLS else "."
         if not out or out[-1] != k:
             out.append(k)
@@ -75,55 +76,61 @@ class Words:
 _WORDS = Words()
 
 
+MARKS, DIGITS, STOPS = (np.frombuffer("".join(sorted(x)).encode(), np.uint8) for x in (SYMBOLS, "0123456789", ".!?"))
+
+
 def structure(text: str, n_words: int, distinct: int, odd_words: int, upper_words: int, n_chars: int | None) -> list[int]:
     n = max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
-    digits = sum(map(text.count, "0123456789"))
-    marks = sum(map(text.count, SYMBOLS))
-    ends = sum(map(text.count, ".!?"))
+    # All characters that are counted are single bytes.
+    seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     shares = {
-        "digits": digits / n,
-        "symbols": marks / n,
-        "bang": text.count("!") / max(1, n_words),
-        "stops": ends / max(1, n_words),
+        "digits": int(seen[DIGITS].sum()) / n,
+        "symbols": int(seen[MARKS].sum()) / n,
+        "bang": int(seen[ord("!")]) / max(1, n_words),
+        "stops": int(seen[STOPS].sum()) / max(1, n_words),
         "odd": odd_words / max(1, n_words),
         "upper": upper_words / max(1, n_words),
         "repeat": 1 - distinct / max(1, n_words),
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "spaces": n_words / n,
-        "pipes": text.count("|") / max(1, n_words),
+        "pipes": int(seen[ord("|")]) / max(1, n_words),
     }
-    out = [bucket(f"{k}:{int(np.searchsorted(EDGES, v))}") for k, v in shares.items()]
+    out = [bucket(f"{k}:{int(i)}") for k, i in zip(shares, np.searchsorted(EDGES, list(shares.values())))]
     out.append(bucket(f"words:{int(np.log2(n_words + 1))}"))
     out.append(bucket(f"per_line:{int(np.log2(n_words / max(1, len(lines)) + 1))}"))
     out.append(bucket("chars:none" if n_chars is None else f"chars:{int(np.log2(max(0, n_chars) + 1))}"))
     return out
 
 
+def features_many(texts: list[str], n_chars: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Indices and values of each text's features.  Words are told apart once for all texts and counted by sorting pairs of numbers."""
+    words = [t.split() for t in texts]
+    n, size = len(texts), np.array([len(w) for w in words], np.int64)
+    flat = [w for x in words for w in x]
+    codes, names = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, np.int64), [])
+    known = np.array([_WORDS.of(w) for w in names], np.int64).reshape(-1, 3)
+    many = max(1, len(names))
+    pairs, count = np.unique(np.repeat(np.arange(n), size) * many + codes, return_counts=True)
+    doc, word = pairs // many, pairs % many
+    v = np.log1p(count)
+    v /= np.sqrt(np.bincount(doc, v * v, n))[doc]
+    shapes, at = np.unique(doc * BUCKETS + known[word, 1], return_inverse=True)
+    shape_doc = shapes // BUCKETS
+    sv = np.sqrt(np.bincount(at, count, len(shapes)) / np.maximum(1, size)[shape_doc])
+    of_kind = lambda k: np.bincount(doc, count * (known[word, 2] == k), n).astype(int).tolist()
+    st = [structure(t, *x) for t, *x in zip(texts, size.tolist(), np.bincount(doc, minlength=n).tolist(), of_kind(2), of_kind(1), n_chars)]
+    each = len(st[0]) if st else 0
+    own = np.r_[doc, shape_doc, np.repeat(np.arange(n), each)]
+    order = np.argsort(own, kind="stable")
+    idx = np.r_[known[word, 0], shapes % BUCKETS, np.array(st, np.int64).ravel()].astype(np.int32)[order]
+    val = np.r_[v, sv, np.full(n * each, 0.5)].astype(np.float32)[order]
+    ends = np.cumsum(np.bincount(own, minlength=n))
+    return [(idx[i:j], val[i:j]) for i, j in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+
+
 def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    words = text.split()
-    count: dict[str, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    idx: list[int] = []
-    val: list[float] = []
-    shapes: dict[int, int] = {}
-    odd = upper = 0
-    of = _WORDS.of
-    for w, c in count.items():
-        b, s, kind = of(w)
-        shapes[s] = shapes.get(s, 0) + c
-        if kind == 2:
-            odd += c
-        elif kind == 1:
-            upper += c
-        idx.append(b)
-        val.append(c)
-    v = np.log1p(np.array(val)) if val else np.zeros(0)
-    v /= np.sqrt((v * v).sum()) or 1.0
-    sv = np.sqrt(np.array(list(shapes.values()), float) / max(1, len(words))) if shapes else np.zeros(0)
-    st = structure(text, len(words), len(count), odd, upper, n_chars)
-    return np.r_[np.array(idx, np.int64), np.array(list(shapes), np.int64), np.array(st, np.int64)].astype(np.int32), np.r_[v, sv, np.full(len(st), 0.5)].astype(np.float32)
+    return features_many([text], [n_chars])[0]
 
 
 def margins(rows: list[tuple[np.ndarray, np.ndarray]], bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -176,14 +183,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 
 def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, most=1_000_000):
-        got = [features(t, n) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        got = features_many(b.column(0).to_pylist(), b.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary())], names=["label", "idx", "val"])
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     bias, w, v = model.value
     for b in slices(batches, most=1_000_000):
-        rows = [features(t, n) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        rows = features_many(b.column(1).to_pylist(), b.column(2).to_pylist())
         m = margins(rows, bias, w, v).astype(np.float64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))), pa.float64())], names=["doc_id", "score"])
 
@@ -194,10 +201,11 @@ def _n_chars(docs: DataFrame):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[float, np.ndarray, np.ndarray]:
     """labels: (doc_id, label) to learn from; at most FIT_ROWS of them are used."""
-    picked = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
+    picked = hash_sample(known, FIT_ROWS, "doc_id", "label")
     # The sample has at most FIT_ROWS rows of two numbers, so it is broadcast.
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _n_chars(docs)).join(F.broadcast(picked), "doc_id")
-    got = joined.select("text", "n_chars", "label").mapInArrow(fit_batches, "label double, idx binary, val binary").toPandas()
+    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _n_chars(docs)).join(F.broadcast(picked), "doc_id")
+    got = joined.select("text", "n_chars", "label").mapInArrow(freed(fit_batches), "label double, idx binary, val binary").toPandas()
     if len(got) == 0:
         return 0.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32)
     got = got.iloc[pd.Series([zlib.crc32(x) for x in got["idx"]]).argsort(kind="stable")]  # no order of arrival
@@ -208,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[f
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), _n_chars(docs))
-    return rows.mapInArrow(lambda it: score_batches(it, sent), "doc_id bigint, score double")
+    return rows.mapInArrow(freed(lambda it: score_batches(it, sent)), "doc_id bigint, score double")
 
 
 def held_out(i):
