@@ -28,13 +28,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, freed, near, slices, table, texts
+from .common import batch_of, cut, freed, near, partitions, slices, table, texts
 
 CHUNK, PAD = 16_384, 32
 #: Segments of up to so many characters take the model's merges (quadratic), longer ones the path of compatible pieces (linear).
@@ -42,7 +41,7 @@ SHORT = 48
 #: Pairs in a generation of what a worker remembers of compatibility; two generations are held.
 PAIR_MEMO = 50_000
 #: Bytes of text that are encoded at a time.
-BATCH = 4_000_000
+BATCH = 1_000_000
 #: Stands between segments in the text that is split; texts that hold it are split one by one.
 SEP = "\x01"
 #: Tokens from here on are characters that are no pieces.
@@ -153,7 +152,7 @@ class Model:
     def _tables(self) -> None:
         """Pieces by character, merges by pair of tokens in a hash table, and the pieces' bytes, as arrays."""
         token = lambda t: self.id[t] if t in self.id else LOOSE + ord(t) if len(t) == 1 else None
-        self.char = np.arange(LOOSE, LOOSE + 0x110000, dtype=np.int64)
+        self.char = np.arange(LOOSE, LOOSE + 0x110000, dtype=np.int32)
         for p, i in self.id.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
@@ -174,7 +173,7 @@ class Model:
             rest = np.ones(len(row), bool)
             rest[first] = False
             row, at = row[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-        self.merged, self.merged_score = (np.array([m[j] for m in merges.values()], t) for j, t in ((0, np.int64), (1, np.float64)))
+        self.merged, self.merged_score = (np.array([m[j] for m in merges.values()], t) for j, t in ((0, np.int32), (1, np.float32)))
         self.piece_size = np.array([len(x) for x in self.bytes], np.int64)
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
         self.piece_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -184,7 +183,7 @@ class Model:
 
     def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rows of merged and merged_score for pairs of tokens, -1 for those that do not merge."""
-        keys = left << 22 | right
+        keys = left.astype(np.int64) << 22 | right
         at, out = self.slot(keys), np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
         while len(open_):
@@ -195,42 +194,49 @@ class Model:
             at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def merge_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many short texts by the model's merges, one of each text in a turn: all ids, and how many each text has."""
-        size = np.array([len(t) for t in texts], np.int64)
+    def merge_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of many short texts by the model's merges, one of each text in a turn."""
         tok = self.char[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
-        text = np.repeat(np.arange(len(texts)), size)
-        row = np.full(len(tok), -1, np.int64)  # the merge of a token with the next one of its text
-        inner = np.flatnonzero(text[:-1] == text[1:])
-        row[inner] = self.look(tok[inner], tok[inner + 1])
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), list(map(len, texts)))
+        # The merge of a token with the next one of its text: what it gives, and its score.
+        into, score = np.full(len(tok), -1, np.int32), np.full(len(tok), NEVER, np.float32)
+
+        def renew(k: np.ndarray) -> None:
+            row = self.look(tok[k], tok[k + 1])
+            into[k] = self.merged[row]
+            score[k] = np.where(row >= 0, self.merged_score[row], NEVER)
+
+        renew(np.flatnonzero(text[:-1] == text[1:]))
         done_tok, done_text = [], []
         while len(tok):
-            score = np.where(row >= 0, self.merged_score[row], NEVER)
             begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
             best = np.maximum.reduceat(score, begin)
             count = np.diff(np.r_[begin, len(tok)])
-            alive = np.repeat(best > NEVER, count)
+            alive = best > NEVER
             if not alive.all():
-                done_tok.append(tok[~alive])
-                done_text.append(text[~alive])
-                tok, text, row, score = tok[alive], text[alive], row[alive], score[alive]
-                best, count = best[best > NEVER], count[best > NEVER]
+                ended = ~np.repeat(alive, count)
+                done_tok.append(tok[ended])
+                done_text.append(text[ended])
+                ended = ~ended
+                tok, text, into, score = tok[ended], text[ended], into[ended], score[ended]
+                best, count = best[alive], count[alive]
                 if not len(tok):
                     break
             at = np.flatnonzero(score == np.repeat(best, count))
             at = at[np.r_[True, text[at[1:]] != text[at[:-1]]]]
-            tok[at] = self.merged[row[at]]
+            tok[at] = into[at]
+            score[at] = NEVER
             stay = np.ones(len(tok), bool)
             stay[at + 1] = False
-            tok, text, row = tok[stay], text[stay], row[stay]
+            tok, text, into, score = tok[stay], text[stay], into[stay], score[stay]
             at -= np.arange(len(at))
-            row[at] = -1
-            for k in (at[at > 0] - 1, at):
-                k = k[k + 1 < len(tok)]
-                k = k[text[k] == text[k + 1]]
-                row[k] = self.look(tok[k], tok[k + 1])
+            before = at[at > 0] - 1
+            renew(before[text[before] == text[before + 1]])
+            after = at[at + 1 < len(tok)]
+            same = text[after] == text[after + 1]
+            renew(after[same])
         if not done_tok:
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+            return [b""] * len(texts)
         tok, text = np.concatenate(done_tok), np.concatenate(done_text)
         order = np.argsort(text, kind="stable")
         tok, text = tok[order], text[order]
@@ -242,23 +248,21 @@ class Model:
             many[loose] = [len(x) for x in ids]
             tok, text = np.repeat(tok, many), np.repeat(text, many)
             tok[tok >= LOOSE] = [i for x in ids for i in x]
-        return tok, np.bincount(text, minlength=len(texts))
+        raw, ends = tok.astype("<i4", copy=False).tobytes(), (4 * np.cumsum(np.bincount(text, minlength=len(texts)))).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def long_segment(self, s: str) -> bytes:
         """Ids of any number of blanks and what follows up to the next blank or newline."""
         parts = scan_text(self, s, CHUNK) if len(s) > CHUNK else self.trace(self.chain(s, 0, len(s), None), 0, len(s))
         return np.array(self.ids_of(parts), "<i4").tobytes()
 
-    def segments(self, values: list[str]) -> pa.Array:
+    def segments(self, values: pa.Array) -> pa.Array:
         """Ids of distinct segments, as binary."""
-        long = [k for k, s in enumerate(values) if len(s) > SHORT]
-        tok, count = self.merge_all([("" if len(s) > SHORT else s) for s in values] if long else values)
-        ids = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer((4 * np.r_[0, np.cumsum(count)]).astype("<i4").tobytes()), pa.py_buffer(tok.astype("<i4").tobytes())])
-        if long:
-            mask = np.zeros(len(values), bool)
-            mask[long] = True
-            ids = pa.compute.replace_with_mask(ids, pa.array(mask), pa.array([self.long_segment(values[k]) for k in long], pa.binary()))
-        return ids
+        texts, long = values.to_pylist(), pa.compute.greater(pa.compute.utf8_length(values), SHORT)
+        if not pa.compute.any(long).as_py():
+            return pa.array(self.merge_all(texts), pa.binary())
+        got = self.merge_all(["" if x else t for t, x in zip(texts, long.to_pylist())])
+        return pa.array([self.long_segment(t) if x else i for t, i, x in zip(texts, got, long.to_pylist())], pa.binary())
 
     def plain_many(self, texts: pa.Array) -> pa.Array:
         """Ids of texts in which blanks stand for U+2581 and that begin and end at a forced cut; texts of about BATCH bytes at most."""
@@ -268,7 +272,7 @@ class Model:
         if any(odd):
             split = pa.array([SEGMENT.findall(t) if o else x for o, t, x in zip(odd, texts.to_pylist(), split.to_pylist())], pa.list_(pa.string()))
         flat = split.flatten().dictionary_encode()
-        ids = self.segments(flat.dictionary.to_pylist()).take(flat.indices)
+        ids = self.segments(flat.dictionary).take(flat.indices)
         ends = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, "<i4")
         at = np.r_[0, np.cumsum(c.list_value_length(split).to_numpy(zero_copy_only=False))]
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[at], "<i4").tobytes()), ids.buffers()[2] or pa.py_buffer(b"")])
@@ -288,7 +292,7 @@ class Model:
         flat = np.frombuffer(ids.buffers()[2], "<i4", (size[-1] - size[0]) // 4, size[0]) if size[-1] > size[0] else np.zeros(0, "<i4")
         n = self.piece_size[flat]
         end = np.r_[0, np.cumsum(n)]
-        data = self.piece_bytes[np.arange(end[-1]) + np.repeat(self.piece_start[flat] - end[:-1], n)]
+        data = self.piece_bytes[np.arange(end[-1], dtype=np.int32) + np.repeat((self.piece_start[flat] - end[:-1]).astype(np.int32), n)]
         return data.tobytes(), end[(size - size[0]) // 4]
 
     def raw(self, ids: bytes) -> bytes:
@@ -478,12 +482,16 @@ def matrix_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([uid, k, pa.array([x.shape[0] for x in m], pa.int32()), pa.array([x.tobytes() for x in m], pa.binary())], names=["uid", "k", "height", "matrix"])
 
 
-def combine(group: pd.DataFrame) -> pd.DataFrame:
-    """States left and right of every chunk of one document."""
-    group = group.sort_values("k")
-    m = [np.frombuffer(x, float).reshape(h, -1) for x, h in zip(group["matrix"], group["height"])]
-    inner = best_states(m)
-    return pd.DataFrame({"uid": group["uid"], "k": group["k"], "a": np.array([0, *inner], np.int32), "b": np.array([*inner, 0], np.int32)})
+def combine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, matrices) -> states left and right of every chunk of each document."""
+    for b in batches:
+        for uid, parts in zip(b.column(0).to_pylist(), b.column(1)):
+            parts = sorted(parts.as_py(), key=lambda p: p["k"])
+            inner = best_states([np.frombuffer(p["matrix"], float).reshape(p["height"], -1) for p in parts])
+            yield batch_of(PICKED, np.full(len(parts), uid), np.arange(len(parts), dtype=np.int32), np.array([0, *inner], np.int32), np.array([*inner, 0], np.int32))
+
+
+PICKED = pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def trace_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -515,7 +523,8 @@ def encode_chunked(rows: DataFrame, path: str, size: int) -> DataFrame:
     # The checkpoint holds the ids of rows, which name a row for what follows.
     chunks = cut(rows.mapInArrow(freed(lambda it: chunk_batches(it, size)), CHUNK_SQL).repartition("uid", "k"))
     matrices = chunks.select("uid", "k", "pad", "size", "piece").mapInArrow(freed(lambda it: matrix_batches(it, path)), "uid bigint, k int, height int, matrix binary")
-    picks = near(cut(matrices.groupBy("uid").applyInPandas(combine, "uid bigint, k int, a int, b int")))
+    dealt = matrices.repartition(partitions(rows.sparkSession), "uid").groupBy("uid").agg(F.collect_list(F.struct("k", "height", "matrix")).alias("parts"))
+    picks = near(cut(dealt.mapInArrow(freed(combine_batches), "uid bigint, k int, a int, b int")))
     traced = chunks.join(picks, ["uid", "k"]).select(*chunks.columns, "a", "b").mapInArrow(freed(lambda it: trace_batches(it, path)), "uid bigint, doc_id bigint, k int, ids binary, fine boolean")
     whole = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids")).alias("parts"), F.min("fine").alias("fine"))
     return whole.select("doc_id", "parts", "fine").mapInArrow(freed(join_batches), ENCODED_SQL)
