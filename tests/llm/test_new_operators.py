@@ -80,3 +80,95 @@ def test_pivots_skip_what_cannot_enter():
     shard.impacts = type("Seen", (), {"__getitem__": lambda self, k: (touched.append(np.size(inner[k])), inner[k])[1]})()
     heap = shard.search(np.array([0, 1, 2]), np.ones(3, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64)), 1)
     assert heap[1].tolist() == [1] and sum(touched) < 3 * wand.FIRST_WINDOW
+
+
+def alignment_of(texts):
+    """Tokens of whole texts by the libraries, groups by common byte offsets, every link one by one."""
+    import hashlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    alphabet = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    spelt = {i: bytes(alphabet[c] for c in t) for t, i in tok.get_vocab().items() if all(c in alphabet for c in t)}
+    piece = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+    docs = []
+    for t in texts:
+        a, b = (tok.encode(" " + t, add_special_tokens=False).ids, sp.encode(t)) if t else ([], [])
+        x, y = [spelt[i] for i in a], [piece(i) for i in b]
+        if not t or b"".join(x) != (" " + t).encode() or b"".join(y) != (" " + t).encode():
+            docs.append(None)
+            continue
+        ends = [[sum(map(len, s[: k + 1])) for k in range(len(s))] for s in (x, y)]
+        groups, i, j = [], 0, 0
+        for end in sorted(set(ends[0]) & set(ends[1])):
+            k, m = ends[0].index(end) + 1, ends[1].index(end) + 1
+            groups.append((a[i:k], b[j:m]))
+            i, j = k, m
+        docs.append((len(a), len(b), groups, [(p, q) for g, h in groups for p in g for q in h]))
+    counts = collections.Counter(link for d in docs if d for link in set(d[3]))
+    most = {}
+    for (p, _), n in counts.items():
+        most[p] = max(n, most.get(p, 0))
+    for d in docs:
+        if d is None:
+            yield (0, 0, 0, 0, 0, 0, "")
+        else:
+            name = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in d[2])
+            best = sum(counts[x] == most[x[0]] for x in d[3])
+            yield (d[0], d[1], len(d[2]), len(d[3]), best, sum(counts[x] for x in d[3]), hashlib.sha256(name.encode()).hexdigest())
+
+
+ODD_TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  b", "\n", "a\n b\t c", "foo▁bar baz", "<|endoftext|> x<s>y </s>", "naïve café 北京 \U0001f600\U0001f600 x", "\0 a\0b", "\x85a \x85b", "　x y",
+             "a\x1c b", "don't we'll", "zz" * 400, "é" * 300, "0" * 77, " \n \n", "a\r\nb", "﻿a b", "ﬁ é x", "==== ====", "x" * 41 + " y", "a b  c"]
+
+
+def test_alignment_equals_byte_offsets(spark):
+    from larkspur.llm import token_align
+
+    r = random.Random(8)
+    vocabulary = ["the", "tion", "anthropology", "Zürich", "naïve", "x=1;", "\n", "  ", "日本", "12345", "!?", "Rare", "\t", "😀", "'s", "wh", "ééé"]
+    texts = ODD_TEXTS + ["".join(r.choice(vocabulary) + r.choice([" ", " ", " ", "", "\n"]) for _ in range(r.randrange(1, 40))) for _ in range(150)]
+    texts += [texts[-1], texts[-2], "the tion Rare " * 2_000]
+    rows = list(enumerate(texts)) + [(None, "the x=1;"), (3, "the x=1;"), (3, "the x=1;")]
+    got = token_align.align(documents(spark, rows, 5), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    want = [(i, *x) for (i, _), x in zip(rows, alignment_of([t for _, t in rows]))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    for none in (documents(spark, rows).limit(0), documents(spark, [(1, None), (2, "")])):
+        got = token_align.align(none, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).collect()
+        assert all(tuple(x)[1:] == (0, 0, 0, 0, 0, 0, "") for x in got)
+
+
+def test_transducer_states():
+    from larkspur.llm.token_align import Transducer
+
+    t = Transducer([b"ab", b"c", b"abc", b"x"], [b"a", b"bc", b"abc", b"bcx"])
+    assert t.groups([0, 1], [0, 1]) == [(2, 2)] and t.groups([2, 3], [0, 3]) == [(2, 2)]
+    assert t.groups([2, 2], [2, 0, 1]) == [(1, 1), (2, 3)] and t.groups([], []) == []
+    assert t.groups([3], [0]) is None is t.groups([0], [0]) is t.groups([2], [2, 2]) is t.groups([2], [])
+    before = dict(t.memo)
+    assert t.groups([0, 1], [0, 1]) == [(2, 2)] and t.memo == before
+
+
+def test_arrays_find_what_is_there(tmp_path):
+    import numpy as np
+
+    from larkspur.llm.hash_arrays import Arrays, write_part
+
+    path, r = f"file://{tmp_path}/x", np.random.default_rng(0)
+    keys = np.unique(r.integers(0, 1 << 64, 5_000, np.uint64))
+    values = r.integers(1, 9, len(keys))
+    for part, at in ((4, slice(0, 2_000)), (1, slice(2_000, 2_001)), (2, slice(2_001, None))):
+        for _ in range(2):  # a second attempt leaves the same
+            write_part(path, part, keys[at], values[at].astype("<i4"))
+    found = Arrays(path, "<i4", [(4, int(keys[0])), (1, int(keys[2_000])), (2, int(keys[2_001]))])
+    asked = np.unique(np.r_[keys[::3], r.integers(0, 1 << 64, 2_000, np.uint64), np.uint64(0)])
+    known = dict(zip(keys.tolist(), values.tolist()))
+    assert found.find(asked).tolist() == [known.get(k, 0) for k in asked.tolist()]
+    assert Arrays(path, "<i4", []).find(asked).sum() == 0 == len(found.find(asked[:0]))
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == [f"part-0000{k}.{e}" for k in (1, 2, 4) for e in ("key", "val")]
