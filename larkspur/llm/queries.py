@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filter", "record_files", "repetition", "mixing", "fm_quality", "lang_fusion", "adscan", "lpf_dedup", "circulant", "spm_scan", "wand", "token_align")
+_MODULES = ("url_filter", "record_files", "repetition", "mixing", "fm_quality", "lang_fusion", "adscan", "lpf_dedup", "circulant", "spm_scan", "wand", "token_align", "kneser_ney")
 
 
 def _found(prefix: str):

@@ -172,3 +172,106 @@ def test_arrays_find_what_is_there(tmp_path):
     assert found.find(asked).tolist() == [known.get(k, 0) for k in asked.tolist()]
     assert Arrays(path, "<i4", []).find(asked).sum() == 0 == len(found.find(asked[:0]))
     assert sorted(p.name for p in (tmp_path / "x").iterdir()) == [f"part-0000{k}.{e}" for k in (1, 2, 4) for e in ("key", "val")]
+
+
+def kneser_ney(train, texts, n):
+    """Scores by dictionaries, straight from the definition."""
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [""]
+    levels = {n: collections.Counter()}
+    for t in train:
+        s = [" "] * (n - 1) + tokens(t)
+        levels[n].update(tuple(s[i - n + 1 : i + 1]) for i in range(n - 1, len(s)))
+    for k in range(n - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    raw = collections.Counter(w for t in train for w in tokens(t))
+    d = {}
+    for k, c in levels.items():
+        n1, n2, n3, n4 = (sum(v == x for v in c.values()) for x in (1, 2, 3, 4))
+        d[k] = (0, 0.5, 1, 1.5)
+        if min(n1, n2, n3):
+            y = n1 / (n1 + 2 * n2)
+            own = (0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+            d[k] = own if all(0 < x < i for i, x in enumerate(own) if i) else d[k]
+    follows = {k: collections.defaultdict(list) for k in levels}
+    for k, c in levels.items():
+        for g, v in c.items():
+            follows[k][g[:-1]].append(v)
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(raw) + 1)
+        seen = follows[k].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        c = levels[k].get(g, 0)
+        return (c - d[k][min(c, 3)] + sum(d[k][min(v, 3)] for v in seen) * p(g[1:])) / sum(seen)
+
+    for t in texts:
+        s = [" "] * (n - 1) + tokens(t)
+        grams = [tuple(s[i - n + 1 : i + 1]) for i in range(n - 1, len(s))]
+        total = sum(raw.values())
+        base = sum(math.log10((raw[g[-1]] + 1) / (total + len(raw) + 1)) for g in grams)
+        yield len(grams), sum(raw[g[-1]] > 0 for g in grams), base, sum(math.log10(p(g)) for g in grams), total
+
+
+@pytest.mark.parametrize("n, share, gather", [(1, 0.25, 1_500_000), (2, 0.25, 1_500_000), (2, 0.001, 20), (3, 0.01, 50), (4, 0.25, 1_500_000)])
+def test_kneser_ney_equals_definition(spark, rows, monkeypatch, n, share, gather):
+    from larkspur.llm import kneser_ney as model
+
+    monkeypatch.setattr(model, "HOT_SHARE", share)
+    monkeypatch.setattr(model, "GATHER", gather)
+    monkeypatch.setattr(model, "BATCH", 6 * gather)
+    docs = documents(spark, [r for r in rows if r[0] != 903] + [(906, "a\x0bb\x1cc \x85 é É I İ"), (903, "the x1 " * 300)], 4)
+    held = model.held_out(model.F.col("doc_id"))
+    known = docs.where(~held).collect()
+    got = model.score(docs, model.train(docs.where(~held), n))
+    assert got.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens"]
+    every = docs.collect()
+    want = [(r.doc_id, *x) for r, x in zip(every, kneser_ney([r.text for r in known], [r.text for r in every], n))]
+    found = sorted(map(tuple, got.collect()), key=lambda x: (str(x[0]), x[1], x[3]))
+    assert len(found) == len(want) and 0 < len(known) < len(every)
+    for x, y in zip(found, sorted(want, key=lambda x: (str(x[0]), x[1], x[3]))):
+        assert x[:3] == y[:3] and x[5] == y[5] and x[3:5] == pytest.approx(y[3:5], rel=1e-9)
+
+
+def test_kneser_ney_is_a_distribution(spark, rows):
+    import numpy as np
+    import pyarrow as pa
+
+    from larkspur.llm import kneser_ney as model
+
+    m = model.train(documents(spark, rows).where("doc_id < 300"), 2)
+    words = sorted({w for i, t in rows if i is not None and i < 300 and t for w in re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))})
+    assert len(words) + 1 == m.vocabulary
+    for context in ("the", "rare3", "neverseen"):
+        g = model.Grams(pa.array([f"{context} {w}" for w in [*words, "unheard"]] + [context]), 2)
+        p, _ = m.probabilities(g)
+        # The second token after each start and context; the end follows the bare context.
+        places = np.flatnonzero(g.at)[g.starts + 1]
+        assert p[places].sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_kneser_ney_without_texts(spark, rows):
+    from larkspur.llm import kneser_ney as model
+
+    docs = documents(spark, rows)
+    assert model.score(docs.limit(0), model.train(docs)).count() == 0
+    got = model.score(docs, model.train(docs.limit(0))).collect()
+    assert len(got) == len(rows) and all((r.n_known, r.base_score, r.score, r.train_tokens) == (0, 0, 0, 0) for r in got)
+
+
+@pytest.mark.parametrize("name", ["op11_wand_ranking", "op13_kneser_ney"])
+def test_equals_sql(spark, sf_dir, name):
+    import duckdb
+
+    from larkspur.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    df = queries.queries()[name](spark, sf_dir)
+    theirs = con.execute(queries.oracle_sql()[name])
+    columns = [x[0] for x in theirs.description]
+    plain = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
+    assert sorted(map(plain, df.select(columns).collect())) == sorted(map(plain, theirs.fetchall())) and sorted(columns) == sorted(df.columns)
