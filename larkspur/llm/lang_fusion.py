@@ -48,7 +48,7 @@ def trigrams(word: str) -> list[int]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts by language of a task's documents: BUCKETS numbers a language."""
+    """(language, bucket, count) of the trigrams of a task's documents, of those that occur."""
     sums: dict[str, np.ndarray] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -56,23 +56,27 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for w in WORDS.findall(text.lower()):
                 for t in trigrams(w):
                     at[t] += 1
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "counts"])
+    for lang, n in sums.items():
+        seen = np.flatnonzero(n) if n.any() else np.zeros(1, np.int64)  # a language without trigrams is one, too
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["lang", "bucket", "n"])
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and log P(trigram | language) as an array (BUCKETS, languages)."""
+    """Languages by name, and log P(trigram | language) as an array (BUCKETS, languages).
+
+    It learns from FIT_DOCS rows of documents at most, or from all rows of their ids where ids repeat.  The driver gets one row for each
+    language and trigram bucket of these.
+    """
     known = docs.where("lang is not null and text is not null")
     picked = hash_sample(known.select("doc_id"), FIT_DOCS, "doc_id").distinct()
     # At most FIT_DOCS ids are broadcast.
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id")
-    sums: dict[str, np.ndarray] = {}
-    for r in sample.select("lang", "text").mapInArrow(count_batches, "lang string, counts binary").toLocalIterator():
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    langs = sorted(sums)
+    counted = sample.select("lang", "text").mapInArrow(count_batches, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(counted["lang"].unique())
     if not langs:
         return [], np.zeros((BUCKETS, 0))
-    m = np.stack([sums[k] for k in langs], 1) + 0.5
+    m = np.full((BUCKETS, len(langs)), 0.5)
+    m[counted["bucket"], [langs.index(x) for x in counted["lang"]]] += counted["n"]
     return langs, np.log(m / m.sum(0))
 
 
