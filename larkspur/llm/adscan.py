@@ -9,7 +9,7 @@ found so far, |q - x| must not exceed some t.  After d of D columns the test is
 rotation it is near sqrt(d/D) |q - x|, and beyond sqrt(d/D) (1 + EPSILON / sqrt(d)) t the candidate is abandoned: its
 distance exceeds t with the confidence that EPSILON sets. What survives is scored exactly, in double precision on the original vectors.
 
-Lists are split by a hash of vec_id into parts of about PART vectors, and the queries of a list by another into parts of about
+Lists are split by a hash of their rows into parts of about PART vectors, and the queries of a list by another into parts of about
 QUERY_PART, so that a list with a third of all vectors is many parts and a task holds one part of each.  Each pair of
 parts gives the k best for each query; a window over these takes the k best of all.  There are about sqrt(n) / 2 lists, but no
 more than a sixteenth of the sample: beyond 4 million vectors lists grow longer, and FIT_ROWS should grow with them.
@@ -183,7 +183,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | None
     def list_of(e: pd.Series) -> pd.Series:
         return pd.Series(nearest_list(matrix(e), centroids.value) if len(e) else [], dtype="int32")
 
-    placed = cut(good.withColumn("list", list_of("embedding")))
+    # The checkpoint holds the numbers of rows, which deal out rows that repeat a vec_id.
+    placed = cut(good.withColumn("list", list_of("embedding")).withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # a row for each list
         counts[r["list"]] = r["count"]
@@ -208,7 +209,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int | None
     of = lambda n: F.element_at(F.array(*(F.lit(int(p)) for p in n)), F.col("list") + 1)
     n_parts, n_slices = of(np.maximum(1, -(-counts // PART))), of(np.maximum(1, -(-queried // QUERY_PART)))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = placed.select("list", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int").alias("part"), every(n_slices).alias("slice"), "vec_id", "embedding")
+    base = placed.select("list", F.pmod(F.xxhash64("row"), n_parts).cast("int").alias("part"), every(n_slices).alias("slice"), "vec_id", "embedding")
     slice_of = F.pmod(F.xxhash64("vec_id", "query_key"), n_slices).cast("int")
     dealt = asked.withColumn("list", F.explode("lists")).select("list", every(n_parts).alias("part"), slice_of.alias("slice"), "vec_id", "query_key", "embedding")
     keys = ["list", "part", "slice"]

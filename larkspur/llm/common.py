@@ -77,16 +77,18 @@ def near(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> DataFrame:
-    """The n rows with the least hash of some columns.
+    """The n rows with the least hash of some columns, or all if there are fewer; cut, so that it is taken once.
 
     Their number, counted here if it is not given, tells which hashes can be among them; so all tasks send about 2 n rows in
-    all, and not n each.  Rows that are equal in the columns have one hash, so with very many of these there may be fewer than n.
+    all, and not n each.  Where few distinct columns fill many rows, too few of these may have such a hash; then tasks do send n each.
     """
     rows = df.count() if rows is None else rows
     h = F.xxhash64(*keys)
     if rows > 2 * n:
-        df = df.where(h < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / rows))))
-    return df.orderBy(h, *keys).limit(n)
+        found = cut(df.where(h < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / rows)))).orderBy(h, *keys).limit(n))
+        if found.count() == n:
+            return found
+    return cut(df.orderBy(h, *keys).limit(n))
 
 
 def new_dir(spark: SparkSession, what: str) -> str:

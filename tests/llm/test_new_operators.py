@@ -275,3 +275,37 @@ def test_equals_sql(spark, sf_dir, name):
     columns = [x[0] for x in theirs.description]
     plain = lambda row: tuple(round(x, 6) if isinstance(x, float) else x for x in row)
     assert sorted(map(plain, df.select(columns).collect())) == sorted(map(plain, theirs.fetchall())) and sorted(columns) == sorted(df.columns)
+
+
+def test_samples_hold_as_many_rows_as_there_are(spark):
+    from larkspur.llm.common import hash_sample
+
+    few = spark.range(40_000).selectExpr("CASE id % 4 WHEN 0 THEN 40 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 13 END AS vec_id", "id")
+    for n in (100, 16_384, 39_999, 40_000, 50_000):
+        assert hash_sample(few, n, "vec_id").count() == min(n, 40_000)
+    assert hash_sample(few.limit(0), 10, "vec_id").count() == 0
+    many = spark.range(5_000)
+    assert [r.id for r in hash_sample(many, 50, "id").collect()] == [r.id for r in many.orderBy(wand.F.xxhash64("id"), "id").limit(50).collect()]
+
+
+def test_neighbours_where_few_ids_fill_many_rows(spark):
+    import numpy as np
+
+    from larkspur.llm import adscan
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((9_000, 8))
+    x[:200] = x[200]  # one vector in many rows
+    ids = np.array([40, 5, 6, 13])[np.arange(9_000) % 4]
+    ids[:300] = 40
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>").repartition(6)
+    got = adscan.search(rows, wand.F.col("vec_id") % 20 == 0, 5)
+    found = {}
+    for q in got.collect():
+        found.setdefault(q.query_id, []).append(q)
+    queries = np.unique(x[ids == 40], axis=0)
+    assert list(found) == [40] and len(found[40]) == 5 * len(queries)
+    assert {q.vec_id for q in found[40]} <= {5, 6, 13}
+    best = np.sort(queries @ x[ids != 40].T, axis=1)[:, -5:]
+    mine, want = (collections.Counter(np.round(v, 7).tolist()) for v in ([q.score for q in found[40]], best.ravel()))
+    assert (mine & want).total() > 0.9 * want.total()
