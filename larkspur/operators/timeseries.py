@@ -78,14 +78,29 @@ def ewma(rows: DataFrame, by: str, value: str, order: str, span: int) -> DataFra
     return x.select(by, order, F.coalesce("_odd", "smooth").alias("smooth"))
 
 
-def health(rows: DataFrame, by: str, n: int = 100) -> DataFrame:
-    """Alerts on the last n rows that have a loss, and a severity; other metrics drop their nulls afterwards."""
-    t = last_n(rows.where("loss is not null"), [by], n)
+def _alerts() -> tuple[list[Column], Column, Column]:
+    """Aggregates of a tail, and from them the alerts and the severity.  Nulls of other metrics than the loss drop out."""
     fine = lambda c: F.col(c).isNull() | is_finite(F.col(c))
-    g = t.groupBy(by).agg(F.bool_and(fine("loss") & fine("grad_norm") & fine("learning_rate")).alias("finite"), F.max("grad_norm").alias("g"), F.median("loss").alias("loss_median"), F.max("loss").alias("loss_max"), nearest_rank("loss", 0.95).alias("loss_p95"), F.median("mean_token_accuracy").alias("accuracy_median"), F.count(F.lit(1)).alias("n"))
-    alerts = F.array_compact(F.array(F.when(~F.col("finite"), F.lit("non_finite_metric")), F.when(F.col("g") > 100, F.lit("gradient_norm_above_100")), F.when((F.col("loss_median") < 1e-4) & (F.col("accuracy_median") > 0.999), F.lit("training_distribution_saturated")), F.when((F.col("loss_median") > 0) & (F.col("loss_max") / F.col("loss_median") > 1000), F.lit("loss_outlier_above_1000x_median"))))
+    sums = [F.bool_and(fine("loss") & fine("grad_norm") & fine("learning_rate")).alias("finite"), F.max("grad_norm").alias("g"), F.median("loss").alias("loss_median"), F.max("loss").alias("loss_max"), nearest_rank("loss", 0.95).alias("loss_p95"), F.median("mean_token_accuracy").alias("accuracy_median"), F.count(F.lit(1)).alias("n")]
+    alerts = F.array_compact(F.array(F.when(~F.col("finite"), F.lit("non_finite_metric")), F.when(F.col("g") > 100, F.lit("gradient_norm_above_100")), F.when((F.col("loss_median") < 1e-4) & (F.col("accuracy_median") > 0.999), F.lit("training_distribution_saturated_check_generalization")), F.when((F.col("loss_median") > 0) & (F.col("loss_max") / F.col("loss_median") > 1000), F.lit("loss_outlier_above_1000x_median"))))
     severity = F.when(~F.col("finite"), "critical").when(F.size(alerts) > 0, "warning").otherwise("ok")
-    return g.select(by, "n", "loss_median", "loss_max", "loss_p95", "accuracy_median", F.array_join(alerts, ",").alias("alerts"), severity.alias("severity"))
+    return sums, F.array_join(alerts, ",").alias("alerts"), severity.alias("severity")
+
+
+def health(rows: DataFrame, by: str, n: int = 100) -> DataFrame:
+    """Alerts on the last n rows that have a loss, and a severity."""
+    sums, alerts, severity = _alerts()
+    g = last_n(rows.where("loss is not null"), [by], n).groupBy(by).agg(*sums)
+    return g.select(by, "n", "loss_median", "loss_max", "loss_p95", "accuracy_median", alerts, severity)
+
+
+def health_records(rows: DataFrame, by: str, n: int = 100, recent: int = 20) -> DataFrame:
+    """The record of a checkpoint: `health`, the last row's step and metrics, the mean loss of the most recent rows and the gradient's median."""
+    sums, alerts, severity = _alerts()
+    t = rows.where("loss is not null").withColumn("_back", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("step")))).where(F.col("_back") <= n)
+    last = F.max_by(F.struct("step", "loss", "grad_norm", "learning_rate"), "step").alias("last")
+    g = t.groupBy(by).agg(*sums, last, F.avg(F.when(F.col("_back") <= recent, F.col("loss"))).alias("loss_mean_recent"), F.median("grad_norm").alias("grad_norm_median"))
+    return g.select(by, F.col("last.step").alias("checkpoint_step"), "n", F.col("last.loss").alias("loss_last"), "loss_mean_recent", "loss_median", "loss_p95", "loss_max", F.col("last.grad_norm").alias("grad_norm_last"), "grad_norm_median", F.col("last.learning_rate").alias("learning_rate_last"), "accuracy_median", "finite", alerts, severity)
 
 
 def completeness(rows: DataFrame, by: str, expected: int, tail: int = 100) -> DataFrame:

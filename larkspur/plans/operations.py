@@ -52,11 +52,16 @@ def smoothed_losses(spark, d):
     return timeseries.ewma(history(spark, d).where("loss is not null"), "variant", "loss", "step", 10).withColumn("smooth", F.round("smooth", 8))
 
 
-@query("training_health", f"WITH {HISTORY_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM history WHERE loss IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY loss) - 1 AS r FROM t WHERE k <= 100), g AS (SELECT variant, count(*) AS n, median(loss) AS loss_median, max(loss) AS loss_max, max(loss) FILTER (r = CAST(round_even(99 * 0.95, 0) AS INT)) AS loss_p95, median(mean_token_accuracy) AS accuracy_median, max(grad_norm) AS g FROM o GROUP BY variant) SELECT variant, n, loss_median, loss_max, loss_p95, accuracy_median, array_to_string(list_filter([CASE WHEN g > 100 THEN 'gradient_norm_above_100' END, CASE WHEN loss_median < 1e-4 AND accuracy_median > 0.999 THEN 'training_distribution_saturated' END, CASE WHEN loss_median > 0 AND loss_max / loss_median > 1000 THEN 'loss_outlier_above_1000x_median' END], lambda x: x IS NOT NULL), ',') AS alerts, CASE WHEN g > 100 OR (loss_median < 1e-4 AND accuracy_median > 0.999) OR (loss_median > 0 AND loss_max / loss_median > 1000) THEN 'warning' ELSE 'ok' END AS severity FROM g")
+@query("training_health", f"WITH {HISTORY_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM history WHERE loss IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY loss) - 1 AS r FROM t WHERE k <= 100), g AS (SELECT variant, count(*) AS n, median(loss) AS loss_median, max(loss) AS loss_max, max(loss) FILTER (r = CAST(round_even(99 * 0.95, 0) AS INT)) AS loss_p95, median(mean_token_accuracy) AS accuracy_median, max(grad_norm) AS g FROM o GROUP BY variant) SELECT variant, n, loss_median, loss_max, loss_p95, accuracy_median, array_to_string(list_filter([CASE WHEN g > 100 THEN 'gradient_norm_above_100' END, CASE WHEN loss_median < 1e-4 AND accuracy_median > 0.999 THEN 'training_distribution_saturated_check_generalization' END, CASE WHEN loss_median > 0 AND loss_max / loss_median > 1000 THEN 'loss_outlier_above_1000x_median' END], lambda x: x IS NOT NULL), ',') AS alerts, CASE WHEN g > 100 OR (loss_median < 1e-4 AND accuracy_median > 0.999) OR (loss_median > 0 AND loss_max / loss_median > 1000) THEN 'warning' ELSE 'ok' END AS severity FROM g")
 def training_health(spark, d):
     return timeseries.health(history(spark, d), "variant")
 
 
+@query("health_records", f"WITH {HISTORY_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM history WHERE loss IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY loss) - 1 AS r FROM t WHERE k <= 100), g AS (SELECT variant, max(step) AS checkpoint_step, count(*) AS n, round(avg(loss) FILTER (k <= 20), 9) AS loss_mean_recent, median(loss) AS loss_median, max(loss) AS loss_max, max(loss) FILTER (r = CAST(round_even(99 * 0.95, 0) AS INT)) AS loss_p95, median(mean_token_accuracy) AS accuracy_median, max(grad_norm) AS g, median(grad_norm) AS grad_norm_median, bool_and(isfinite(loss) AND coalesce(isfinite(grad_norm), true) AND coalesce(isfinite(learning_rate), true)) AS finite FROM o GROUP BY variant), s AS (SELECT *, list_filter([CASE WHEN NOT finite THEN 'non_finite_metric' END, CASE WHEN g > 100 THEN 'gradient_norm_above_100' END, CASE WHEN loss_median < 1e-4 AND accuracy_median > 0.999 THEN 'training_distribution_saturated_check_generalization' END, CASE WHEN loss_median > 0 AND loss_max / loss_median > 1000 THEN 'loss_outlier_above_1000x_median' END], lambda x: x IS NOT NULL) AS a FROM g) SELECT s.variant, checkpoint_step, n, t.loss AS loss_last, loss_mean_recent, loss_median, loss_p95, loss_max, t.grad_norm AS grad_norm_last, grad_norm_median, t.learning_rate AS learning_rate_last, accuracy_median, finite, array_to_string(a, ',') AS alerts, CASE WHEN NOT finite THEN 'critical' WHEN len(a) > 0 THEN 'warning' ELSE 'ok' END AS severity FROM s JOIN t ON t.variant = s.variant AND t.k = 1")
+def health_records(spark, d):
+    return timeseries.health_records(history(spark, d), "variant").withColumn("loss_mean_recent", F.round("loss_mean_recent", 9))
+
+
 @query("history_completeness", f"WITH {HISTORY_SQL}, x AS (SELECT * FROM history WHERE {SOME}), m AS (SELECT variant, max(step) AS top, count(*) AS n FROM x GROUP BY variant), t AS (SELECT variant, loss, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM x WHERE loss IS NOT NULL), a AS (SELECT variant, mean_token_accuracy AS c, row_number() OVER (PARTITION BY variant ORDER BY step DESC) AS k FROM x WHERE mean_token_accuracy IS NOT NULL) SELECT 'missing_steps' AS rule, variant AS key, top - n AS detail FROM m WHERE top > n UNION ALL SELECT 'last_step', variant, CAST(top AS BIGINT) FROM m WHERE top <> 2000 UNION ALL SELECT 'saturated_loss', variant, count(*) FROM t WHERE k <= 100 GROUP BY variant HAVING median(loss) < 1e-4 UNION ALL SELECT 'saturated_accuracy', variant, count(*) FROM a WHERE k <= 100 GROUP BY variant HAVING median(c) > 0.999")
 def history_completeness(spark, d):
     return timeseries.completeness(history(spark, d), "variant", 2000)

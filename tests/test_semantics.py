@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import random
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,16 +212,58 @@ def test_files(spark, tmp_path):
     assert files.parse_seed_input("f:1:pilot:/p") == ("f", 1, "pilot", "/p")
 
 
+HEALTH = "variant string, step int, loss double, grad_norm double, learning_rate double, mean_token_accuracy double"
+
+
 def test_health_stream(spark, tmp_path):
+    """Each record equals that of all rows so far, over files that come one by one, with a restart, repeats, late rows, NaN and nulls."""
     from larkspur.streaming import monitors
 
-    schema = "variant string, step int, loss double, grad_norm double, learning_rate double, mean_token_accuracy double"
-    rows = [("v", k, 0.5, 200.0 if k == 3 else 1.0, 0.1, 0.5) for k in range(5)]
-    spark.createDataFrame(rows + rows, schema).write.json(f"{tmp_path}/in")
-    seen = []
-    q = monitors.watch_health(monitors.history_stream(spark, f"{tmp_path}/in", schema), lambda df, n: seen.extend(df.collect()), f"{tmp_path}/cp")
-    q.awaitTermination(60)
-    assert seen[0].n == 5 and seen[0].severity == "warning"
+    r = random.Random(6)
+    row = lambda v, k: (v, k, r.choice([0.5, 1.0, None]) if k % 7 else r.random(), r.random() * 9, None if k % 5 else 0.1, r.random())
+    parts = [
+        [("a", k, 1.0, 1.0, 0.1, 0.5) for k in range(100)] + [row("b", k) for k in range(30)],
+        [("a", 100, 5000.0, 1.0, 0.1, 0.5), ("a", 101, 5000.0, 1.0, 0.1, None)],
+        [row("b", k) for k in range(40, 180)] + [("a", 50, 9e9, 1.0, 0.1, 0.5)],  # a step again: the first counts
+        [row("b", k) for k in range(30, 40)],  # late: no new checkpoint of b
+        [("a", 102, float("nan"), None, None, None), ("c", 1, 0.5, 101.0, 0.1, 0.5), (None, 5, 0.5, 1.0, 0.1, 0.5)],
+    ]
+    seen, so_far = [], []
+
+    def run(k):
+        spark.createDataFrame(parts[k], HEALTH).coalesce(1).write.json(f"{tmp_path}/in{k}", ignoreNullFields=False)
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        for f in glob.glob(f"{tmp_path}/in{k}/*.json"):
+            shutil.copy(f, f"{tmp_path}/in/{k}.json")
+        stream = monitors.history_stream(spark, f"{tmp_path}/in", HEALTH, 1)
+        sink = monitors.once_by_batch(f"{tmp_path}/out")
+        monitors.watch_health(stream, lambda df, n: (sink(df, n), seen.append(sorted((str(x) for x in df.collect())))), f"{tmp_path}/cp").awaitTermination(120)
+
+    steps: dict = {}
+    for k, part in enumerate(parts):
+        run(k)  # a new query each time: a restart
+        known = {(v, s) for v, s, *_ in so_far}
+        so_far += [x for x in part if x[2] is not None and (x[0], x[1]) not in known]
+        want = timeseries.health_records(spark.createDataFrame(so_far, HEALTH).withColumn("step", F.col("step").cast("bigint")), "variant").collect()
+        grown = [x for x in want if steps.get(x.variant, -1) < x.checkpoint_step]
+        steps |= {x.variant: x.checkpoint_step for x in want}
+        assert seen[k] == sorted(str(x) for x in grown), k
+    assert len(seen) == 5 and not seen[3] and "loss_outlier_above_1000x_median" in seen[1][0]
+    assert any("critical" in x for x in seen[4])
+    told = [(x.variant, x.checkpoint_step) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(told) == len(set(told)) == sum(map(len, seen))
+    assert spark.read.parquet(f"{tmp_path}/cp/tails-0").groupBy("variant").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_health_stream_replays_and_forgets(spark):
+    from larkspur.streaming.monitors import merged_tails
+
+    rows = lambda v, ks: spark.createDataFrame([(v, k, 1.0, 1.0, 0.1, 0.5) for k in ks], HEALTH)
+    first = merged_tails(None, rows("a", range(9)), "variant", 4, 0, 2)
+    assert sorted(r.step for r in first.collect()) == [5, 6, 7, 8]
+    second = merged_tails(first, rows("b", [1, 1]), "variant", 4, 1, 2)
+    assert sorted((r.variant, r.step, r.touched) for r in second.collect()) == [*(("a", k, 0) for k in (5, 6, 7, 8)), ("b", 1, 1)]
+    assert {r.variant for r in merged_tails(second, rows("c", [1]), "variant", 4, 3, 2).collect()} == {"b", "c"}
 
 
 def test_readers_refuse(spark, tmp_path):
