@@ -112,13 +112,6 @@ def balanced_prefix(rows: DataFrame, cell: list[str], cap: str, sample: str) ->
     return violations(x, "k", one_row_a_cap=(F.col("n") == F.col("caps")) & (F.col("c") == F.col("caps")), one_sample=F.col("s") == 1, tokens_rise_with_cap=rising)
 
 
-def forbidden_keys(rows: DataFrame, key: str, json: str, names) -> DataFrame:
-    """(key, name) of forbidden field names at any depth of JSON texts.  Every string of a text is read in turn; those before a colon are names."""
-    strings = F.regexp_extract_all(F.col(json), F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
-    found = F.transform(F.filter(strings, lambda x: F.endswith(x, F.lit(":"))), lambda x: F.regexp_extract(x, r'^"(.*)"\s*:\z', 1))
-    return rows.select(key, F.explode(F.array_intersect(found, F.array(*map(F.lit, names)))).alias("name"))
-
-
 def chat_protocol(rows: DataFrame) -> DataFrame:
     """By tokenizer, from renderings (tokenizer, protocol, prompt_ids, full_ids, text, sentinels): the first protocol that passes.
 

@@ -95,7 +95,18 @@ def rates(rows: DataFrame, base: str = "base", key: str = "sample_id") -> DataFr
 
 
 #: Fields that a catalog without raw text may not hold, at any depth.
-FORBIDDEN = ("prompt", "generated_text", "answer", "evidence_quotes", "target", "messages")
+FORBIDDEN = (
+    "prompt", "question", "target", "generated_text", "parsed", "answer", "evidence_quote", "sample_id", "group_id", "case_id", "book_id",
+    "generated_text_sha256", "parsed_answer_sha256", "base_generated_text_sha256", "treatment_generated_text_sha256",
+)
+
+
+def tampered(stored: DataFrame, rows: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Stored examples (scope, category, run_name, group_sha256, sample_sha256) that no source row gives when it is categorised and hashed again."""
+    fresh = catalog(rows, key).distinct()
+    columns = ("scope", "category", "run_name", "group_sha256", "sample_sha256")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in columns]
+    return stored.alias("s").join(fresh.alias("f"), same, "left_anti")
 
 
 def catalog_problems(stored: DataFrame, rows: DataFrame, most: int) -> DataFrame:

@@ -44,16 +44,6 @@ def blank_bootstrap_keys(spark, d):
     return arguments.blank_keys(x, "o_orderkey", "metadata.case_id")
 
 
-NESTED = """'{"rows": [' || props || ', {"note": "say \\"target\\": x", "' || CASE event_id % 6 WHEN 0 THEN 'prompt' WHEN 1 THEN 'answer' WHEN 2 THEN 'messages' ELSE 'safe' END || '" : [1, {"k2": "prompt"}]}]}'"""
-
-
-@query("forbidden_keys", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'prompt' WHEN 1 THEN 'answer' ELSE 'messages' END AS name FROM events WHERE event_id % 6 < 3")
-def forbidden_keys(spark, d):
-    """Forbidden names two levels down, beside values that look like them."""
-    x = table(spark, d, "events").select("event_id", F.expr(NESTED.replace("\\", "\\\\")).alias("json"))
-    return audits.forbidden_keys(x, "event_id", "json", failures.FORBIDDEN)
-
-
 STORED_SQL = f"""{FAIL_SQL}, {ROW_SQL}, {GROUP_SQL}, {CROSS_SQL}, al AS (SELECT 'row' AS scope, category FROM rc UNION ALL SELECT 'group', category FROM gc UNION ALL SELECT 'cross_run', category FROM cc), ct AS (SELECT scope, category, count(*) AS count FROM al GROUP BY ALL)"""
 
 
