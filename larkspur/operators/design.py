@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def ranked(rows: DataFrame, stratum: list[str], *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(*order)))
@@ -25,14 +27,13 @@ def short_strata(facts: DataFrame, stratum: list[str], k: int) -> DataFrame:
 
 def round_robin(rows: DataFrame, stratum: list[str], order: str, n: int) -> DataFrame:
     """n rows, in turn from each stratum: by rank within the stratum, then by the strata's names."""
-    r = ranked(rows, stratum, order)
+    r = ranked(rows, stratum, order).where(F.col("rank") <= n)  # so that no task gets more than n rows of a stratum from another
     return r.orderBy("rank", *(F.col(c).cast("string") for c in stratum)).limit(n)
 
 
 def evenly_spread(rows: DataFrame, stratum: list[str], order: str, n: int) -> DataFrame:
     """Rows floor(i * N / n) for i below n, of each stratum in its order."""
-    w = Window.partitionBy(*stratum)
-    x = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    x = numbered(rows, stratum, [order], "_i", "_n").withColumn("_i", F.col("_i") - 1)
     # Row j is taken if some i has floor(i N / n) = j.
     i = F.ceil(F.col("_i") * F.lit(n) / F.col("_n"))
     taken = (F.floor(i * F.col("_n") / F.lit(n)) == F.col("_i")) & (i < n)
@@ -41,7 +42,7 @@ def evenly_spread(rows: DataFrame, stratum: list[str], order: str, n: int) -> Da
 
 def hash_split(groups: DataFrame, stratum: list[str], group: str, paired: int, independent: int, positions: list[str], seed: int) -> DataFrame:
     """First `paired` groups of each stratum by hash, then `independent` with one position each in turn."""
-    x = ranked(groups, stratum, hash_order(seed, F.col(group).cast("string"), prefix="split"), group)
+    x = ranked(groups, stratum, hash_order(seed, F.col(group).cast("string"), prefix="split"), group).where(F.col("rank") <= paired + independent)
     kind = F.when(F.col("rank") <= paired, "paired").when(F.col("rank") <= paired + independent, "independent")
     at = F.element_at(F.array(*map(F.lit, positions)), ((F.col("rank") - paired - 1) % len(positions) + 1).cast("int"))
     return x.withColumn("kind", kind).where("kind is not null").withColumn("position_label", F.when(F.col("kind") == "independent", at))
@@ -55,8 +56,7 @@ def latin_assignment(rows: DataFrame, stratum: list[str], fact: str, replica: st
     quoted = [F.concat(F.lit("'"), F.col(c), F.lit("'")) if dict(rows.dtypes)[c] == "string" else F.col(c).cast("string") for c in stratum]
     text = F.concat(F.lit(f"{seed}:("), F.concat_ws(", ", *quoted), F.lit("):"), F.col(fact).cast("string"))
     # Facts are ranked, not rows: a stratum has one row a fact there.
-    facts = rows.select(*stratum, fact).distinct().withColumn("_h", F.sha2(text, 256))
-    facts = facts.withColumn("_f", F.row_number().over(Window.partitionBy(*stratum).orderBy("_h", fact)) - 1).drop("_h")
+    facts = numbered(rows.select(*stratum, fact).distinct(), stratum, [F.sha2(text, 256), fact], "_f").withColumn("_f", F.col("_f") - 1)
     x = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy(*stratum, fact).orderBy(replica)) - 1)
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*stratum, fact)]
     label = lambda k: F.element_at(F.array(*map(F.lit, positions)), (k % len(positions) + 1).cast("int"))
@@ -155,6 +155,7 @@ def expand_cases(needles: DataFrame) -> DataFrame:
     """Every question and test of each needle (nested maps), with {i} placeholders filled in; leftovers come back flagged."""
     q = needles.select("id", "needle", F.explode("questions").alias("question_type", "question"), "tests")
     t = q.select("id", "needle", "question_type", "question", F.explode("tests").alias("test", "args"))
-    fill = lambda c: F.aggregate(F.sequence(F.lit(1), F.size("args")), F.col(c), lambda acc, i: F.replace(acc, F.concat(F.lit("{"), i.cast("string"), F.lit("}")), F.element_at("args", i)))
+    places = F.when(F.size("args") > 0, F.sequence(F.lit(1), F.size("args"))).otherwise(F.array().cast("array<int>"))
+    fill = lambda c: F.aggregate(places, F.col(c), lambda acc, i: F.replace(acc, F.concat(F.lit("{"), i.cast("string"), F.lit("}")), F.element_at("args", i)))
     x = t.withColumn("needle", fill("needle")).withColumn("question", fill("question"))
     return x.select(F.concat_ws("_", "id", "test", "question_type").alias("case_id"), "needle", "question", (F.col("needle").rlike(r"\{\d+\}") | F.col("question").rlike(r"\{\d+\}")).alias("unresolved"))

@@ -1,17 +1,25 @@
 """Bootstrap, contrasts, multiple testing, non-inferiority and seed-level intervals.
 
-A bootstrap never replays rows.  Each resampling unit is one row of sums; a draw picks units within a stratum, all runs
-share it, and statistics are taken on sums of picked rows.  Draws come from hashes of (seed, replicate, stratum, number), so any
-engine gives the same.  They are made where they are used: (stratum, replicate) pairs are dealt out over the cluster, meet the
-units in a broadcast join if a count shows that these are few, and are summed by replicate before anything is shuffled.
+A bootstrap never replays rows.  Each resampling unit is one row of sums; a replicate is how often it picks each unit of a stratum, the same for all
+runs, and statistics are taken on the product of these counts and the sums.  Draws come from hashes of (seed, replicate, stratum,
+number), so any engine gives the same (`resample`); or counts are split over blocks of units by hashes of the blocks, which works for any
+number of units (`resample_by_counts`).  Tasks multiply in Arrow batches and sum by replicate before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schemas import RUNS
+from .ranks import numbered
 
 #: The 97.5 % points of Student's t for 1 to 10 degrees of freedom; beyond, 1.96.
 T_975 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228)
@@ -81,9 +89,8 @@ def holm(tests: DataFrame, family: list[str], p: str = "p", order: str = "ordina
 
 def ordinals(units: DataFrame, stratum: str, unit: str) -> DataFrame:
     """stratum, unit, its number from 0 within the stratum, and the stratum's size."""
-    u = units.select(stratum, unit).distinct()
-    w = Window.partitionBy(stratum)
-    return u.withColumn("idx", (F.row_number().over(w.orderBy(unit)) - 1).cast("bigint")).withColumn("n_units", F.count(F.lit(1)).over(w))
+    u = numbered(units.select(stratum, unit).distinct(), [stratum], [unit], "idx", "n_units")
+    return u.withColumn("idx", F.col("idx") - 1)
 
 
 #: Draws from one hash, and the hex digits of each (60 bits).
@@ -103,18 +110,174 @@ def draws(numbered: DataFrame, stratum: str, replicates: int, seed: int) -> Data
 
 #: Numbers in a table of units up to which it is broadcast (32 MB).
 BROADCAST_NUMBERS = 4_000_000
+#: Counts of draws that a task holds at a time.
+COUNTS = 2_000_000
+
+
+def drawn_counts(text: str, n: int, first: int, stop: int, seed: int) -> np.ndarray:
+    """(replicates from first to stop, units): how often `draws` picks each of the n units of a stratum."""
+    blocks = [str(b).encode() for b in range(-(-n // DRAWS_A_HASH))]
+    out = np.empty((stop - first, n))
+    low = np.uint64((1 << 60) - 1)
+    for r in range(first, stop):
+        head = f"{seed}:{r}:{text}:".encode()
+        raw = np.frombuffer(b"".join([sha256(head + b).digest() for b in blocks]), np.uint8).reshape(-1, 32)
+        at = lambda k: np.ascontiguousarray(raw[:, k : k + 8]).view(">u8")[:, 0].astype(np.uint64)
+        # 60 bits each, which begin at bits 0, 60, 120 and 180.
+        picked = np.stack([at(0) >> np.uint64(4), at(7) & low, at(15) >> np.uint64(4), at(22) & low], 1).ravel()[:n]
+        out[r - first] = np.bincount((picked % np.uint64(n)).astype(np.int64), minlength=n)
+    return out
+
+
+def product(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Sums over the picked units; whole numbers stay exact."""
+    if sums.dtype.kind != "i":
+        return counts @ sums
+    if len(sums) and float(np.abs(sums).max()) * counts.sum(1).max() < 1 << 52:
+        return np.rint(counts @ sums.astype(float)).astype(np.int64)
+    return counts.astype(np.int64) @ sums
+
+
+def _shape(sums: DataFrame, keys: list[str], values: list[str]) -> tuple[T.StructType, np.dtype]:
+    """The schema of replicate, keys and values, and the type of the values: all whole numbers, or all doubles."""
+    whole = all(isinstance(sums.schema[v].dataType, T.IntegralType) for v in values)
+    kind = T.LongType() if whole else T.DoubleType()
+    fields = [T.StructField("replicate", T.IntegerType()), *(T.StructField(k, sums.schema[k].dataType) for k in keys), *(T.StructField(v, kind) for v in values)]
+    return T.StructType(fields), np.dtype(np.int64 if whole else np.float64)
+
+
+def _matrix(t: pa.Table, values: list[str], kind: np.dtype) -> np.ndarray:
+    return np.stack([t[v].to_numpy().astype(kind) for v in values], 1) if t.num_rows else np.zeros((0, len(values)), kind)
+
+
+def _codes(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """A number for each distinct combination of values in a row, nulls included."""
+    out = np.zeros(t.num_rows, np.int64)
+    for c in columns:
+        own = t[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        out = np.unique(out * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+    return out
+
+
+def _rows(first: int, found: np.ndarray, heads: pa.Table, values: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    """found: (replicates, groups, values) -> rows; heads: the keys of the groups."""
+    r, g, _ = found.shape
+    which = pa.array(np.tile(np.arange(g), r))
+    columns = [pa.array(np.repeat(np.arange(first, first + r, dtype=np.int32), g)), *(heads[k].combine_chunks().take(which) for k in heads.column_names), *(pa.array(found[:, :, k].ravel()) for k in range(len(values)))]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=schema)
+
+
+def _by_matrix(t: pa.Table, sums: DataFrame, keys: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
+    """Few units: their table goes to all tasks, and a task multiplies the counts of some replicates of a stratum with it."""
+    spark = sums.sparkSession
+    shape, kind = _shape(sums, keys, values)
+    t = t.sort_by([("_s", "ascending"), ("_u", "ascending")])
+    s = _codes(t, ["_s"])
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if t.num_rows else np.zeros(0, np.int64)
+    strata, work = [], []
+    for k, (i, j) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows])):
+        part = t.slice(i, j - i)
+        u, group = _codes(part, ["_u"]), _codes(part, keys)
+        idx = np.cumsum(np.r_[0, u[1:] != u[:-1]])
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+        n = int(idx[-1]) + 1
+        strata.append((part["_t"][0].as_py(), n, np.split(idx[order], cuts[1:]), np.split(_matrix(part, values, kind)[order], cuts[1:]), part.select(keys).take(pa.array(order[cuts]))))
+        step = max(1, min(replicates, COUNTS // n))
+        work += [(k, r, min(r + step, replicates)) for r in range(0, replicates, step)]
+    sent, schema = spark.sparkContext.broadcast((strata, work)), to_arrow_schema(shape)
+
+    def run(batches):
+        strata, work = sent.value
+        for b in batches:
+            for item in b.column(0).to_pylist():
+                k, first, stop = work[item]
+                text, n, units, matrices, heads = strata[k]
+                counts = drawn_counts(text, n, first, stop, seed)
+                yield _rows(first, np.stack([product(counts[:, i], m) for i, m in zip(units, matrices)], 1), heads, values, schema)
+
+    tasks = max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, len(work), 1, tasks).mapInArrow(run, shape)
 
 
 def resample(sums: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
-    """Sums of `values` over the picked units by replicate and keys.  sums: a row for each (stratum, unit, keys)."""
-    numbered = ordinals(sums, stratum, unit)
-    placed = sums.join(numbered.select(stratum, unit, "idx"), [stratum, unit]).select(stratum, "idx", *(k for k in keys if k != stratum), *values)
-    drawn = draws(numbered, stratum, replicates, seed)
-    if sums.count() * (len(values) + len(keys)) <= BROADCAST_NUMBERS:
-        x = drawn.withColumn("times", F.lit(1)).join(F.broadcast(placed), [stratum, "idx"])
-    else:
-        x = drawn.groupBy("replicate", stratum, "idx").agg(F.count(F.lit(1)).cast("int").alias("times")).join(placed, [stratum, "idx"])
-    return x.groupBy("replicate", *keys).agg(*(F.sum(F.col("times") * F.col(v)).alias(v) for v in values))
+    """Sums of `values` over the picked units by replicate and keys.  sums: a row for each (stratum, unit, keys).
+
+    The picks are those of `draws`.  Up to BROADCAST_NUMBERS numbers the sums go to all tasks, which count a replicate's picks and take the
+    product of counts and sums; beyond, every pick is a row that meets its unit.  `resample_by_counts` needs neither.  Rows without
+    a stratum or unit take no part.
+    """
+    sums = sums.where(F.col(stratum).isNotNull() & F.col(unit).isNotNull())
+    most = BROADCAST_NUMBERS // (len(keys) + len(values) + 3)
+    few = sums.select(F.col(stratum).alias("_s"), F.col(unit).alias("_u"), F.col(stratum).cast("string").alias("_t"), *keys, *values).limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        found = _by_matrix(few, sums, keys, values, replicates, seed)
+        return found.groupBy("replicate", *keys).agg(*(F.sum(v).alias(v) for v in values))
+    units = ordinals(sums, stratum, unit)
+    placed = sums.join(units.select(stratum, unit, "idx"), [stratum, unit]).select(stratum, "idx", *(k for k in keys if k != stratum), *values)
+    drawn = draws(units, stratum, replicates, seed).groupBy("replicate", stratum, "idx").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return drawn.join(placed, [stratum, "idx"]).groupBy("replicate", *keys).agg(*(F.sum(F.col("times") * F.col(v)).alias(v) for v in values))
+
+
+#: Units of a block.
+BLOCK = 4096
+
+
+def _generator(*parts) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(sha256(":".join(map(str, parts)).encode()).digest(), "big"))
+
+
+def block_totals(text: str, n: int, block: int, size: int, replicates: int, seed: int) -> np.ndarray:
+    """How many of the n draws of each replicate fall on a block of units.
+
+    The draws of a range of blocks are split between its halves by binomial numbers, which a hash of the range decides, from all blocks
+    down to this one.  So every block finds its own total and no other block's, and those of all blocks sum to n.
+    """
+    low, high = 0, -(-n // size)
+    total = np.full(replicates, n)
+    while high - low > 1:
+        mid = (low + high) // 2
+        units = min(n, high * size) - low * size
+        left = _generator(seed, text, low, high).binomial(total, (mid - low) * size / units)
+        low, high, total = (low, mid, left) if block < mid else (mid, high, total - left)
+    return total
+
+
+def block_counts(text: str, n: int, block: int, size: int, replicates: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, counts of its units by replicate) of a block, for some replicates at a time."""
+    units = min(n, (block + 1) * size) - block * size
+    totals, own = block_totals(text, n, block, size, replicates, seed), _generator(seed, text, block)
+    step = max(1, COUNTS // units)
+    for first in range(0, replicates, step):
+        some = totals[first : first + step]
+        at = np.repeat(np.arange(len(some)), some) * units + own.integers(0, units, int(some.sum()))
+        yield first, np.bincount(at, minlength=len(some) * units).reshape(len(some), units).astype(float)
+
+
+def resample_by_counts(sums: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], replicates: int, seed: int, size: int = BLOCK) -> DataFrame:
+    """The same sums for any number of units, with draws of its own: as many in a replicate as a stratum has units, each unit as likely.
+
+    A task has a block of a stratum's units, draws how often each replicate picks them and multiplies that with their sums.  No row
+    stands for a draw: blocks give rows of sums, which are added up by replicate before they are shuffled.
+    """
+    sums = sums.where(F.col(stratum).isNotNull() & F.col(unit).isNotNull())
+    shape, kind = _shape(sums, keys, values)
+    units = ordinals(sums, stratum, unit).select(F.col(stratum).alias("_s"), F.col(unit).alias("_u"), "idx", "n_units")
+    placed = sums.join(units, (F.col(stratum) == F.col("_s")) & (F.col(unit) == F.col("_u")))
+    placed = placed.select(F.col(stratum).cast("string").alias("_t"), "n_units", F.floor(F.col("idx") / size).alias("_b"), (F.col("idx") % size).alias("_i"), *(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), *values)
+    schema = to_arrow_schema(shape)
+
+    def run(head, t):
+        text, n, block = (x.as_py() for x in head)
+        own = [f"_k{k}" for k in range(len(keys))]
+        group, at, m = _codes(t, own), t["_i"].to_numpy(), _matrix(t, values, kind)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+        parts, heads = np.split(order, cuts[1:]), t.select(own).take(pa.array(order[cuts]))
+        found = [_rows(first, np.stack([product(counts[:, at[p]], m[p]) for p in parts], 1), heads, values, schema) for first, counts in block_counts(text, n, block, size, replicates, seed)]
+        return pa.Table.from_batches(found, schema)
+
+    return placed.groupBy("_t", "n_units", "_b").applyInArrow(run, shape).groupBy("replicate", *keys).agg(*(F.sum(v).alias(v) for v in values))
 
 
 def summarize(points: DataFrame, replicates: DataFrame, by: list[str], value: str, digits: int = 9) -> DataFrame:

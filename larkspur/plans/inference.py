@@ -180,6 +180,21 @@ def bootstrap_draws(spark, d, b=B):
     return x.groupBy("stratum", "replicate").agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("idx").alias("distinct_units"), F.sum("idx").alias("index_sum"))
 
 
+SQL_BRAND = "SELECT p_brand AS stratum, count(*) AS n, sum(CAST(p_size AS BIGINT)) AS size FROM part GROUP BY p_brand"
+
+
+@query("bootstrap_counts", f"SELECT stratum, replicate, n AS drawn, n AS drawn_twice, true AS in_reach FROM ({SQL_BRAND}), (SELECT unnest(range({B}))::INT AS replicate)")
+def bootstrap_counts(spark, d, b=B):
+    """Counts split over blocks: every replicate draws as many units of a stratum as it has, and the same for all keys."""
+    p = table(spark, d, "part").selectExpr("p_brand AS stratum", "p_partkey AS unit", "CAST(p_size AS BIGINT) AS size", "1 AS one", "explode(array('x', 'y')) AS key")
+    r = inference.resample_by_counts(p, "stratum", "unit", ["stratum", "key"], ["one", "size"], b, SEED, 64)
+    of = lambda k, c: F.max(F.when(F.col("key") == k, F.col(c)))
+    g = r.groupBy("stratum", "replicate").agg(of("x", "one").alias("drawn"), of("y", "one").alias("drawn_twice"), (of("x", "size") == of("y", "size")).alias("same"), of("x", "size").alias("size"))
+    low = table(spark, d, "part").groupBy(F.col("p_brand").alias("stratum")).agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    reach = F.col("same") & F.col("size").between(F.col("low") * F.col("drawn"), F.col("high") * F.col("drawn"))
+    return g.join(F.broadcast(low), "stratum").select("stratum", "replicate", "drawn", "drawn_twice", reach.alias("in_reach"))
+
+
 @query("cluster_integrity", f"WITH {GRID_SQL}, g AS (SELECT unit, count(DISTINCT cluster) AS c, count(DISTINCT task) AS s FROM grid GROUP BY unit), k AS (SELECT cluster, count(DISTINCT filler_type) AS s FROM grid GROUP BY cluster) SELECT 'group_not_constant' AS rule, CAST(unit AS VARCHAR) AS key, greatest(c, s) AS detail FROM g WHERE c > 1 OR s > 1 UNION ALL SELECT 'cluster_in_several_strata', CAST(cluster AS VARCHAR), s FROM k WHERE s > 1 UNION ALL SELECT 'number_of_clusters', '*', n FROM (SELECT count(DISTINCT cluster) AS n FROM grid) WHERE n < 2 OR n <> 31")
 def cluster_integrity(spark, d):
     return inference.cluster_problems(grid(spark, d), "cluster", "filler_type", "unit", expected=31)
