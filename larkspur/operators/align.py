@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,35 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def run_names(rows: DataFrame, run: str = "run_name") -> list:
+    """The distinct runs, in order: as many bits has a membership."""
+    return sorted(r[0] for r in rows.where(F.col(run).isNotNull()).select(run).distinct().collect())
+
+
+def memberships(rows: DataFrame, key: str, runs: list, run: str = "run_name") -> DataFrame:
+    """For each key which runs have it, and which more than once, as bits of 64-bit words by the runs' places in the list.
+
+    One aggregation that combines before its shuffle, with a row for each key: no row stands for a key and a run that should be there.
+    """
+    words = range(-(-max(1, len(runs)) // 63))
+    bit = lambda w: F.coalesce(*(F.when(F.col(run) == r, F.lit(1 << (k % 63))) for k, r in enumerate(runs) if k // 63 == w), F.lit(0)).cast("bigint")
+    once = rows.groupBy(F.col(key).alias("key"), F.col(run).alias(run)).agg(F.count(F.lit(1)).alias("_c"))
+    has = [F.bit_or(bit(w)).alias(f"has{w}") for w in words]
+    again = [F.bit_or(F.when(F.col("_c") > 1, bit(w)).otherwise(F.lit(0).cast("bigint"))).alias(f"again{w}") for w in words]
+    return once.groupBy("key").agg(*has, *again, F.sum("_c").alias("n"))
+
+
+def held_by(k: int, what: str = "has") -> Column:
+    """Whether the bit of run k is set."""
+    return F.getbit(F.col(f"{what}{k // 63}"), F.lit(k % 63)) == 1
+
+
 def misaligned(rows: DataFrame, key: str, n_runs: int) -> DataFrame:
     """Samples that not every run has exactly once."""
-    g = rows.groupBy(key).agg(F.count_distinct("run_name").alias("runs"), F.count(F.lit(1)).alias("n"))
-    return g.where((F.col("runs") != n_runs) | (F.col("n") != n_runs))
+    g = memberships(rows, key, run_names(rows))
+    runs = sum((F.bit_count(c) for c in g.columns if c.startswith("has")), F.lit(0)).cast("bigint")
+    x = g.select(F.col("key").alias(key), runs.alias("runs"), "n")
+    return x.where((F.col("runs") != n_runs) | (F.col("n") != n_runs))
 
 
 def incomplete_groups(rows: DataFrame, group: list[str], positions: int, condition: list[str]) -> DataFrame:
@@ -54,14 +79,16 @@ def transitions(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def set_differences(rows: DataFrame, key: str, expected: DataFrame) -> DataFrame:
-    """By run: expected ids that are missing, and extra ids."""
-    runs = rows.select("run_name").distinct()
-    want = expected.select(key).distinct().crossJoin(F.broadcast(runs))  # a few runs
-    got = rows.select("run_name", key).distinct()
-    missing = want.join(got, ["run_name", key], "left_anti").groupBy("run_name").agg(F.count(F.lit(1)).alias("missing"))
-    extra = got.join(expected.select(key).distinct(), key, "left_anti").groupBy("run_name").agg(F.count(F.lit(1)).alias("extra"))
-    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return runs.join(missing, "run_name", "left").join(extra, "run_name", "left").select("run_name", z("missing"), z("extra"))
+    """By run: expected ids that are missing, and extra ids.  An id is one row of bits on either side, so one join settles all runs."""
+    runs = run_names(rows)
+    if not runs:
+        return rows.sparkSession.createDataFrame([], rows.select("run_name").schema.add("missing", "long").add("extra", "long"))
+    got, want = memberships(rows, key, runs), expected.select(F.col(key).alias("key")).distinct().withColumn("wanted", F.lit(True))
+    x = got.join(want, got["key"].eqNullSafe(want["key"]), "full_outer")
+    wanted = F.coalesce("wanted", F.lit(False))
+    sums = [f(c).alias(f"{name}{k}") for k in range(len(runs)) for name, f, c in (("m", F.count_if, wanted & ~F.coalesce(held_by(k), F.lit(False))), ("e", F.count_if, ~wanted & F.coalesce(held_by(k), F.lit(False))))]
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("run_name"), F.col(f"m{k}").alias("missing"), F.col(f"e{k}").alias("extra")) for k, r in enumerate(runs))))
+    return x.agg(*sums).select(each.alias("x")).select("x.*")
 
 
 def cell_differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -147,6 +147,11 @@ def execution_report(rows: DataFrame, batch: int = 8) -> DataFrame:
 
 
 def gate_metrics(rows: DataFrame, cap: str, fields: list[str]) -> DataFrame:
-    """By cap: rows, length stops, valid share, and a hash of the rows that does not hang on their order and is summed where they lie."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *fields), 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    return rows.groupBy(F.col(cap).alias("cap")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "length").alias("length_stops"), F.avg(F.col("valid_json").cast("int")).alias("valid_rate"), F.sum(h).cast("string").alias("rows_hash"))
+    """By cap: rows, length stops, valid share, and a hash of the rows that does not hang on their order and is summed where they lie.
+
+    A row is written with the length of each field, and a null as a dash; two words of 60 bits of its hash are summed.
+    """
+    text = [F.col(c).cast("string") for c in fields]
+    digest = F.sha2(F.concat(*(F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in text)), 256)
+    word = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return rows.groupBy(F.col(cap).alias("cap")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "length").alias("length_stops"), F.avg(F.col("valid_json").cast("int")).alias("valid_rate"), F.concat_ws(":", word(0), word(1)).alias("rows_hash"))

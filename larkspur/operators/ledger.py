@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def unique_events(events: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row for each event id, and the ids whose copies disagree (which plain deduplication would hide)."""
@@ -58,16 +60,14 @@ def projection(rate: DataFrame, samples: Column, tokens_ratio: Column, fixed_sec
 
 
 def order_statistics(rows: DataFrame, by: str, tokens: str, key: str) -> DataFrame:
-    """Least, upper median, 95 % by lower index, and largest prompt with its id: order statistics, not interpolated.
-
-    Counts by length come first, so what is ordered are the distinct lengths of a group and never its rows.
-    """
-    lengths = rows.groupBy(by, tokens).agg(F.count(F.lit(1)).alias("c"), F.max(key).alias("k"))
-    w = Window.partitionBy(by)
-    x = lengths.withColumn("upto", F.sum("c").over(w.orderBy(F.asc_nulls_first(tokens)).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(w))
-    t = F.col(tokens)
-    at = lambda i: F.min(F.when(F.col("upto") > i, t))
-    return x.groupBy(by).agg(F.max("n").cast("int").alias("n"), F.min(t).alias("least"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(0.95) * (F.col("n") - 1))).alias("p95"), F.max(t).alias("most"), F.max_by("k", t).alias("longest"))
+    """Least, upper median, 95 % by lower index, and largest prompt with its id: order statistics, not interpolated.  Null lengths come first."""
+    t = F.coalesce(F.col(tokens), F.lit(-(1 << 62))).alias("_t")
+    x = rows.select(by, t, F.col(key).alias("_k"))
+    n = F.col("n")
+    found = ranks.order_statistics(x, [by], "_t", {"least": n * 0, "median": F.floor(n / 2), "p95": F.floor(F.lit(0.95) * (n - 1)), "most": n - 1})
+    longest = x.groupBy(F.col(by).alias("_by")).agg(F.max(F.struct("_t", "_k"))["_k"].alias("longest"))
+    shown = lambda c: F.when(F.col(c) > -(1 << 62), F.col(c)).alias(c)
+    return found.join(longest, F.col(by).eqNullSafe(F.col("_by"))).select(by, n.cast("int").alias("n"), *map(shown, ("least", "median", "p95", "most")), "longest")
 
 
 def progress(counts: DataFrame, by: list[str], done: str, expected: str) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import is_finite
+from ..lineage import cut
+from .ranks import numbered, order_statistics
 
 
 def nearest_rank_of(rows: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
-    """The order statistic at rank (n - 1) p, rounded half to even, of each group, over counts of equal values."""
-    w = Window.partitionBy(by)
-    c = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
-    x = c.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("_c").over(w))
-    return x.groupBy(by).agg(F.min(F.when(F.col("_upto") > F.bround((F.col("_n") - 1) * F.lit(p)), F.col(value))).alias(name))
+    """The order statistic at rank (n - 1) p, rounded half to even, of each group."""
+    return order_statistics(rows, [by], value, {name: F.bround((F.col("n") - 1) * F.lit(p))}).drop("n")
 
 
 def nearest_rank(value, p: float) -> Column:
@@ -40,11 +45,37 @@ def duplicates(rows: DataFrame, by: str, key: str) -> DataFrame:
     return some.groupBy(by).agg(F.count(F.lit(1)).alias("records"), (F.count(F.lit(1)) - F.count_distinct(key)).alias("duplicates"))
 
 
+def islands(rows: DataFrame, by: list[str], step: str = "step") -> DataFrame:
+    """Stretches (first, last) of consecutive steps of a series.  Repeated steps count once; null steps are left out.
+
+    A step less its rank is one number within a stretch, so stretches are a grouping, and no series is walked in one task.
+    """
+    x = numbered(rows.where(F.col(step).isNotNull()).select(*by, F.col(step).cast("bigint").alias("_s")).distinct(), by, ["_s"], "_k")
+    return x.groupBy(*by, (F.col("_s") - F.col("_k")).alias("_g")).agg(F.min("_s").alias("first"), F.max("_s").alias("last")).drop("_g")
+
+
+def missing_ranges(rows: DataFrame, by: list[str], step: str = "step", upto: Column | None = None) -> DataFrame:
+    """Ranges (first, last, n) of whole numbers from 1 to a series' largest step, or to `upto`, that it lacks.
+
+    Series whose largest step is below 1 lack none of it.
+    """
+    x = islands(rows.where(F.col(step) >= 1), by, step)
+    if upto is not None:  # a stretch without steps beyond the end closes the last range
+        series = rows.select(*by).distinct().where(upto >= 1)
+        x = x.where(F.col("first") <= upto).unionByName(series.select(*by, (upto + 1).cast("bigint").alias("first"), (upto + 1).cast("bigint").alias("last")))
+    x = numbered(x, by, ["first"], "_k")
+    same = F.col("a._k") + 1 == F.col("b._k")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    after = x.alias("b").join(x.alias("a"), same, "left").select(*(F.col(f"b.{c}").alias(c) for c in by), (F.coalesce(F.col("a.last"), F.lit(0)) + 1).alias("first"), (F.col("b.first") - 1).alias("last"))
+    return after.where("first <= last").withColumn("n", F.col("last") - F.col("first") + 1)
+
+
 def missing_steps(rows: DataFrame, by: str, step: str = "step") -> DataFrame:
-    """Integers from 1 to a series' largest step that it lacks."""
-    top = rows.groupBy(by).agg(F.max(step).alias("top"))
-    every = top.select(by, F.explode(F.sequence(F.lit(1), F.col("top"))).alias(step))
-    return every.join(rows.select(by, step), [by, step], "left_anti")
+    """The same, a row for each missing step."""
+    kind = rows.schema[step].dataType
+    each = F.explode(F.sequence(F.col("first").cast(kind), F.col("last").cast(kind)))
+    return missing_ranges(rows, [by], step).select(by, each.alias(step))
 
 
 def first_last_best(rows: DataFrame, by: str) -> DataFrame:
@@ -58,24 +89,84 @@ def tail_statistics(rows: DataFrame, by: str, n: int) -> DataFrame:
     return t.groupBy(by).agg(F.median("loss").alias("median_loss"), F.round(F.avg("loss"), 9).alias("mean_loss"), F.max("loss").alias("max_loss"), F.count(F.lit(1)).alias("n"))
 
 
+#: Values of a series that are smoothed by one product.
+SCAN = 256
+
+
+def _smoothed(batches: Iterator[pa.RecordBatch], alpha: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(by, order, value), sorted -> also the partition, the weighted sum of a stretch's values that begins with 0, how many of them
+    there are, and the sum of those that are not finite."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    keep = 1 - alpha
+    lags = np.subtract.outer(np.arange(SCAN), np.arange(SCAN))
+    weights = np.where(lags >= 0, alpha * keep ** np.maximum(lags, 0).astype(float), 0.0)
+    decay = keep ** np.arange(1.0, SCAN + 1)
+    series, y, n, odd = object(), 0.0, 0, None
+    for b in batches:
+        by, x = b.column(0).to_pylist(), b.column(2)
+        valid = x.is_valid().to_numpy(zero_copy_only=False)
+        v = x.fill_null(0.0).to_numpy(zero_copy_only=False)
+        local, count, odds = np.zeros(len(v)), np.zeros(len(v), np.int64), np.full(len(v), None, object)
+        cuts = [0, *(k for k in range(1, len(by)) if by[k] != by[k - 1]), len(by)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if by[i] != series:
+                series, y, n, odd = by[i], 0.0, 0, None
+            at = np.flatnonzero(valid[i:j]) + i
+            own, strange = v[at], ~np.isfinite(v[at])
+            if odd is not None or strange.any():
+                upto = np.cumsum(np.r_[odd or 0.0, np.where(strange, own, 0.0)])[1:]
+                seen = np.logical_or.accumulate(strange) | (odd is not None)
+                odds[at[seen]] = upto[seen]
+                odd = upto[-1] if len(seen) and seen[-1] else odd
+                own = np.where(strange, 0.0, own)
+            out = np.empty(len(own))
+            for k in range(0, len(own), SCAN):
+                z = own[k : k + SCAN]
+                out[k : k + SCAN] = weights[: len(z), : len(z)] @ z + decay[: len(z)] * y
+                y = float(out[min(k + SCAN, len(own)) - 1])
+            local[at], count[at] = out, n + np.arange(1, len(own) + 1)
+            n += len(own)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x, pa.array(np.full(len(v), part, np.int32)), pa.array(local), pa.array(count), pa.array(odds, pa.float64(), from_pandas=False)], schema=schema)
+
+
 def ewma(rows: DataFrame, by: str, value: str, order: str, span: int) -> DataFrame:
     """Exponentially weighted mean with alpha = 2 / (span + 1), started at the first value, over whole series.
 
-    y_k = sum over j <= k of (1 - alpha)^(k - j) b_j is summed by doubling: after the step with distance h it holds the last 2 h
-    terms.  It ends when (1 - alpha)^h is 0 as a double.  The windows share one sort and hold no series in memory.
+    A value x takes the mean y to alpha x + (1 - alpha) y.  Such steps compose: those of a stretch of a series take any y to a number of their own
+    plus (1 - alpha)^n y.  Series are dealt out by range; a task finds that number for each place of its stretches, the ends of a
+    series' stretches are composed in order, and the mean before a stretch then enters all its places.
+
+    A null value has no mean, and the next goes on from the last one; what is not finite stays in the mean for ever.
     """
-    a = 2.0 / (span + 1)
-    w = Window.partitionBy(by).orderBy(order, value)
-    x = rows.select(by, order, F.col(value).cast("double").alias("_x"), F.row_number().over(w).alias("_k"))
-    w = Window.partitionBy(by).orderBy("_k")
-    # What is not finite stays in the mean for ever.
-    odd = F.sum(F.when(~is_finite(F.col("_x")), F.col("_x"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("_odd", odd).withColumn("smooth", F.when(F.col("_k") == 1, F.col("_x")).otherwise(F.lit(a) * F.col("_x")))
-    h = 1
-    while (1 - a) ** h > 0:
-        x = x.withColumn("smooth", F.col("smooth") + F.lit((1 - a) ** h) * F.lag("smooth", h, 0.0).over(w))
-        h *= 2
-    return x.select(by, order, F.coalesce("_odd", "smooth").alias("smooth"))
+    alpha = 2.0 / (span + 1)
+    x = rows.select(by, order, F.col(value).cast("double").alias("_x"))
+    shape = T.StructType([*x.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_l", T.DoubleType()), T.StructField("_n", T.LongType()), T.StructField("_odd", T.DoubleType())])
+    schema = to_arrow_schema(shape)
+    ordered = x.repartitionByRange(by, order, "_x").sortWithinPartitions(by, order, "_x")
+    placed = cut(ordered.mapInArrow(lambda it: _smoothed(it, alpha, schema), shape))
+    some = placed.where("_x is not null")
+    place = F.struct("_n").alias("place")
+    ends = some.groupBy(by, "_p").agg(F.max("_n").alias("n"), F.max_by(F.struct("_l", "_odd"), "_n").alias("end"), F.min_by("_x", place).alias("first"))
+    # A row for each stretch: at most as many of a series as there are partitions.
+    fold = lambda s, e: F.struct(
+        F.array_append(s["out"], F.struct(e["_p"].alias("p"), s["y"].alias("y"), s["odd"].alias("odd"))).alias("out"),
+        (F.pow(F.lit(1 - alpha), e["n"].cast("double")) * s["y"] + e["end"]["_l"]).alias("y"),
+        F.when(e["end"]["_odd"].isNotNull(), e["end"]["_odd"] + F.coalesce(s["odd"], F.lit(0.0))).otherwise(s["odd"]).alias("odd"),
+    )
+    none = F.array().cast("array<struct<p: int, y: double, odd: double>>")
+    listed = ends.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("_p", "n", "end", "first"))).alias("s"))
+    first = F.col("s")[0]["first"]
+    # What is not finite counts as 0 in the means and is kept apart.
+    start = F.struct(none.alias("out"), F.when(is_finite(first), first).otherwise(F.lit(0.0)).alias("y"), F.lit(None).cast("double").alias("odd"))
+    carried = listed.select("_by", F.explode(F.aggregate("s", start, fold)["out"]).alias("c")).select("_by", "c.*")
+    y = placed.join(carried, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("p")), "left")
+    mean = F.col("_l") + F.pow(F.lit(1 - alpha), F.col("_n").cast("double")) * F.col("y")
+    strange = F.when(F.col("_odd").isNotNull() & F.col("odd").isNotNull(), F.col("_odd") + F.col("odd")).otherwise(F.coalesce("_odd", "odd"))
+    return y.select(by, order, F.when(F.col("_x").isNotNull(), F.coalesce(strange, mean)).alias("smooth"))
 
 
 def _alerts() -> tuple[list[Column], Column, Column]:
@@ -109,7 +200,7 @@ def completeness(rows: DataFrame, by: str, expected: int, tail: int = 100) -> Da
     x = keep_last(rows, [by, "step"], "seq")
     named = lambda y, rule: y.select(F.lit(rule).alias("rule"), F.col(by).alias("key"), F.col("detail").cast("bigint").alias("detail"))
     count = F.count(F.lit(1)).alias("detail")
-    out = named(missing_steps(x, by).groupBy(by).agg(count), "missing_steps")
+    out = named(missing_ranges(x, [by]).groupBy(by).agg(F.sum("n").alias("detail")), "missing_steps")
     out = out.unionByName(named(x.groupBy(by).agg(F.max("step").alias("detail")).where(F.col("detail") != expected), "last_step"))
     out = out.unionByName(named(x.where(F.col("loss").isNotNull() & ~is_finite(F.col("loss"))).groupBy(by).agg(count), "non_finite_loss"))
     out = out.unionByName(named(duplicates(rows, by, "step").where("duplicates > 0").withColumn("detail", F.col("duplicates")), "repeated_steps"))
@@ -123,13 +214,10 @@ def metric_matrix_problems(rows: DataFrame, by: list[str], steps: int | None, me
     """Violations (by, step, rule) over every row: a metric that is missing, not finite or not positive, a step outside 1..steps,
     a step that comes more than once, and expected steps that are missing.  With steps None the largest step of any series is expected."""
     x = rows.select(*by, "step", F.col(metric).alias("m"))
-    top = rows.agg(F.max("step").alias("top")) if steps is None else None
-    want = rows.select(*by).distinct()
-    # The largest step is one row.
-    want = want.withColumn("top", F.lit(steps)) if top is None else want.crossJoin(F.broadcast(top))
-    want = want.where("top >= 1").select(*by, F.explode(F.sequence(F.lit(1), F.col("top"))).alias("step"))
-    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"x.{c}")) for c in by] + [F.col("w.step") == F.col("x.step")]
-    missing = want.alias("w").join(x.alias("x"), same, "left_anti").select(*by, "step", F.lit("missing").alias("rule"))
+    upto = F.lit(steps if steps is not None else rows.agg(F.max("step")).first()[0] or 0)
+    kind = rows.schema["step"].dataType
+    each = F.explode(F.sequence(F.col("first").cast(kind), F.col("last").cast(kind)))
+    missing = missing_ranges(rows, by, "step", upto).select(*by, each.alias("step"), F.lit("missing").alias("rule"))
     bad = F.when(~is_finite(F.col("m")), "not_finite").when(F.col("m") <= 0, "not_positive")
     out_of_range = F.col("step").isNull() | (F.col("step") < 1) | (F.lit(False) if steps is None else F.col("step") > steps)
     found = x.select(*by, "step", F.explode(F.array_compact(F.array(bad, F.when(out_of_range, "unexpected_step")))).alias("rule"))

@@ -167,7 +167,11 @@ def token_length_totals(spark, d):
     return audits.selected_summary(x, ["source"], "ids", "mask")
 
 
-@query("gate_metrics", f"WITH {RESULTS_SQL} SELECT target_tokens AS cap, count(*) AS n, count(*) FILTER (finish_reason = 'length') AS length_stops, avg(CAST(valid_json AS INT)) AS valid_rate, CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws(chr(31), run_name, group_id, position_label, answer)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS rows_hash FROM results GROUP BY target_tokens")
+GATE_ROW = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("run_name", "group_id", "position_label", "answer"))
+GATE_WORD = "CAST(sum(CAST(CAST('0x' || substr(h, {}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+
+
+@query("gate_metrics", f"WITH {RESULTS_SQL}, x AS (SELECT *, sha256({GATE_ROW}) AS h FROM results) SELECT target_tokens AS cap, count(*) AS n, count(*) FILTER (finish_reason = 'length') AS length_stops, avg(CAST(valid_json AS INT)) AS valid_rate, {GATE_WORD.format(1)} || ':' || {GATE_WORD.format(16)} AS rows_hash FROM x GROUP BY target_tokens")
 def gate_metrics(spark, d):
     return cells.gate_metrics(results(spark, d), "target_tokens", ["run_name", "group_id", "position_label", "answer"])
 

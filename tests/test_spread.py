@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import design, inference
-from larkspur.operators.ranks import numbered
+from larkspur.operators import design, inference, timeseries
+from larkspur.operators.ranks import numbered, order_statistics, percentiles
 
 
 def test_ranks_equal_windows(spark):
@@ -98,3 +98,124 @@ def test_resample_holds_odd_keys(spark, monkeypatch):
     # A row stands for picked keys only there; the product also has those that a replicate never picks, as zeros.
     rows = sorted(map(tuple, inference.resample(s, "stratum", "unit", ["key"], ["v", "one"], 20, 7).collect()), key=str)
     assert [x for x in few if x[3]] == rows and all(x[2] == 0 for x in few if not x[3])
+
+
+def recursive(xs, span):
+    a, y, out = 2.0 / (span + 1), None, []
+    for x in xs:
+        if x is None:
+            out.append(None)
+            continue
+        y = x if y is None else a * x + (1 - a) * y
+        out.append(y)
+    return out
+
+
+def test_scan_equals_recursion(spark):
+    r = np.random.default_rng(2)
+    million = [1e6, *r.standard_normal(1_000_000).tolist()]
+    rows = spark.createDataFrame([("long", k, x) for k, x in enumerate(million[:3])], "s string, k bigint, x double").limit(0)
+    import pandas as pd
+
+    rows = rows.unionByName(spark.createDataFrame(pd.DataFrame({"s": "long", "k": np.arange(len(million)), "x": million})))
+    got = timeseries.ewma(rows.repartition(8), "s", "x", "k", 10).orderBy("k").toPandas()["smooth"].to_numpy()
+    want = np.array(recursive(million, 10))
+    assert len(got) == len(want) and np.abs(got - want).max() <= 1e-12 * np.abs(want).max()
+    assert (np.abs(got - want)[1000:] <= 1e-12).all()
+
+
+def test_scan_of_odd_series(spark):
+    nan, inf = float("nan"), float("inf")
+    r = random.Random(5)
+    series = {
+        "gap": [1.0, None, 1.0, 1.0], "none": [None, None], "first": [None, 3.0, None, 5.0], "nan": [1.0, nan, 2.0, None, 2.0], "inf": [2.0, inf, 1.0], "both": [1.0, inf, 1.0, -inf, 1.0],
+        "begins": [inf, 1.0], "wide": [r.choice([None, r.random()]) for _ in range(3000)], "one": [7.0], None: [1.0, 2.0],
+    }
+    rows = spark.createDataFrame([(s, k, x) for s, xs in series.items() for k, x in enumerate(xs)], "s string, k int, x double").repartition(5)
+    got = collections.defaultdict(dict)
+    for v in timeseries.ewma(rows, "s", "x", "k", 3).collect():
+        got[v.s][v.k] = v.smooth
+    for s, xs in series.items():
+        for k, y in enumerate(recursive(xs, 3)):
+            assert (got[s][k] is None) == (y is None) and (y is None or got[s][k] == pytest.approx(y, rel=1e-12, nan_ok=True)), (s, k)
+    assert timeseries.ewma(rows.limit(0), "s", "x", "k", 3).count() == 0
+
+
+def test_gaps_are_ranges(spark):
+    r = random.Random(4)
+    series = {"far": [3, 10**9], "zero": [0], "below": [-5, -1], "whole": [1, 2, 3], "some": sorted(r.sample(range(1, 500), 200)) + [3, 3], "null": [None], "late": [None, -2, 0, 4]}
+    rows = spark.createDataFrame([(s, k) for s, ks in series.items() for k in ks], "variant string, step bigint").repartition(6)
+    got = collections.defaultdict(list)
+    for v in timeseries.missing_ranges(rows, ["variant"]).collect():
+        got[v.variant].append((v["first"], v["last"], v.n))
+    assert sorted(got.pop("far")) == [(1, 2, 2), (4, 10**9 - 1, 10**9 - 4)]
+    for s, ks in series.items():
+        if s != "far":
+            steps = {k for k in ks if k is not None and k >= 1}
+            lacking = sorted(set(range(1, max(steps, default=0) + 1)) - steps)
+            found = sorted(got[s])
+            assert [k for a, b, _ in found for k in range(a, b + 1)] == lacking and all(n == b - a + 1 for a, b, n in found)
+            assert all(b + 1 in steps for _, b, _ in found) and all(a - 1 in steps or a == 1 for a, _, _ in found)
+    assert timeseries.missing_steps(rows.where("variant in ('zero', 'below')"), "variant").count() == 0
+    upto = timeseries.missing_ranges(rows.where("variant in ('whole', 'zero', 'null', 'far')"), ["variant"], "step", F.lit(5)).collect()
+    assert sorted(map(tuple, upto)) == [("far", 1, 2, 2), ("far", 4, 5, 2), ("null", 1, 5, 5), ("whole", 4, 5, 2), ("zero", 1, 5, 5)]
+    x = timeseries.completeness(rows.where("variant = 'zero'").withColumns({"seq": F.col("step"), "loss": F.lit(0.5), "eval_loss": F.lit(None), "learning_rate": F.lit(None), "mean_token_accuracy": F.lit(0.5)}), "variant", 0)
+    assert x.count() == 0
+
+
+def test_order_statistics(spark):
+    nan = float("nan")
+    r = random.Random(9)
+    groups = {"a": [r.choice([1.5, 2.0, 7.0, r.random() * 9]) for _ in range(2001)], "b": [5.0], "c": [nan, 1.0, None, nan, -0.0], "n": [None], None: [3.0, 4.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(6)
+    x = order_statistics(rows, ["g"], "v", {"least": F.lit(0), "upper": F.floor(F.col("n") / 2), "last": F.col("n") - 1, "beyond": F.col("n"), "below": F.lit(-1)})
+    got = {v.g: tuple(v)[1:] for v in x.collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, (n, least, upper, last, beyond, below) in got.items():
+        vs = sorted((v for v in groups[g] if v is not None), key=lambda v: (v != v, v))
+        assert n == len(vs) and (least, upper) == pytest.approx((vs[0], vs[n // 2]), nan_ok=True) and last == pytest.approx(vs[-1], nan_ok=True) and beyond is None is below
+    shares = {"p0": 0.0, "p1": 0.025, "p2": 0.5, "p3": 0.975, "p4": 1.0}
+    mine = {v.g: v for v in percentiles(rows.where("g <> 'c'"), ["g"], "v", shares).collect()}
+    theirs = rows.where("g <> 'c' and v is not null").groupBy("g").agg(*(F.percentile("v", F.lit(p)).alias(k) for k, p in shares.items())).collect()
+    assert len(theirs) == len(mine) and all(mine[t.g][k] == pytest.approx(t[k], rel=1e-12) for t in theirs for k in shares)
+    assert order_statistics(rows.limit(0), ["g"], "v", {"x": F.lit(0)}).count() == 0
+    assert [v.p95 for v in timeseries.nearest_rank_of(rows.where("g = 'a'"), "g", "v", 0.95, "p95").collect()] == [sorted(groups["a"])[1900]]
+
+
+def test_memberships(spark):
+    from larkspur.operators import align
+
+    r = random.Random(7)
+    runs = [f"run{k:03d}" for k in range(130)]  # more than fit into two words
+    rows = [(run, i) for run in runs for i in range(40) if r.random() < 0.9] + [("run000", 7), ("run129", None), (None, 3)]
+    x = spark.createDataFrame(rows, "run_name string, sample string").repartition(4)
+    x = x.withColumn("sample", F.col("sample").cast("bigint"))
+    wanted = spark.createDataFrame([(i,) for i in range(5, 45)], "sample bigint")
+    got = {v.run_name: (v.missing, v.extra) for v in align.set_differences(x, "sample", wanted).collect()}
+    for run in runs:
+        own = {i for n, i in rows if n == run}
+        assert got[run] == (len(set(range(5, 45)) - own), len(own - set(range(5, 45))))
+    assert set(got) == set(runs)
+    few = x.where("run_name in ('run000', 'run001') and sample is not null")
+    bad = {v["sample"]: (v.runs, v.n) for v in align.misaligned(few, "sample", 2).collect()}
+    count = collections.Counter((n, i) for n, i in rows if n in ("run000", "run001") and i is not None)
+    want = {i: (len({n for n, j in count if j == i}), sum(c for (_, j), c in count.items() if j == i)) for i in {j for _, j in count}}
+    assert bad == {i: v for i, v in want.items() if v != (2, 2)} and 7 in bad
+    assert align.set_differences(x.limit(0), "sample", wanted).count() == 0
+
+
+def test_rows_hash_keeps_nulls(spark):
+    from larkspur.operators import cells
+
+    def of(*rows):
+        x = spark.createDataFrame([(1, *r, "stop", True) for r in rows], "cap int, a string, b string, c string, finish_reason string, valid_json boolean")
+        return cells.gate_metrics(x, "cap", ["a", "b", "c"]).first().rows_hash
+
+    assert of(("a", None, "b")) != of(("a", "b", None)) and of(("ab", "", None)) != of(("a", "b", None)) and of(("-", None, "x")) != of((None, "-", "x"))
+    assert of(("a", "b", "c"), ("d", None, None)) == of(("d", None, None), ("a", "b", "c")) != of(("a", "b", "c"), ("a", "b", "c"))
+
+
+def test_cases_without_arguments(spark):
+    n = spark.createDataFrame([("1", "A {1} x", {"q": "Who {1}?"}, {"t0": [], "t1": ["Ann"]})], "id string, needle string, questions map<string, string>, tests map<string, array<string>>")
+    got = {v.case_id: (v.needle, v.question, v.unresolved) for v in design.expand_cases(n).collect()}
+    assert got == {"1_t0_q": ("A {1} x", "Who {1}?", True), "1_t1_q": ("A Ann x", "Who Ann?", False)}
