@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,18 +58,25 @@ def safe_context(columns, always_hashed=()) -> list[Column]:
     return out
 
 
-#: Fixed patterns: what a release may not hold, and ordered rewrites of machine paths.
-CREDENTIAL = r"(?i)(?:api[_-]?key|secret|token|password)\s*[=:]\s*\S+"
-PRIVATE_KEY = r"BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY"
-REWRITES = ((r"/home/[A-Za-z0-9_.-]+", "<home>"), (r"/root\b", "<root>"), (r"/mnt/[A-Za-z0-9_.-]+", "<mount>"))
-ABSOLUTE = r"(?:^|\s)/(?:home|root|mnt|Users)/"
+#: Patterns of credentials, which a release refuses, and of machine paths that no rewrite has taken.
+SECRETS = (r"(?i)(?:password|密码)\s*[:：=]", r"BEGIN (?:RSA |OPENSSH )?PRIVATE KEY")
+ABSOLUTE = r"(?<![A-Za-z0-9_])/(?:root|home)/[^\s\"'{}]+"
+
+
+def release_rewrites(project: str, runtime: str, homes: str, name: str, run: str) -> list[tuple[str, str]]:
+    """Ordered (pattern, replacement) of machine paths: the project's folder, its runs under the runtime's folder, its checkouts in homes
+    (a folder that ends in a slash), models, and the runtime's folder itself.  `name` is the folder of a checkout, `run` that of the runs."""
+    q = re.escape
+    return [(q(f"{project}/"), ""), (q(f"{runtime}/{run}/"), ""), (q(homes) + r"[^/]+/(?:[^/]+/)*" + q(name) + "/", ""), (q(f"{runtime}/models/"), "models/"), (q(runtime) + r"(?=/|\s|[\"'{}]|$)", "runtime")]
 
 
-def sanitize(c: Column) -> tuple[Column, Column, Column]:
-    """Rewritten text (null if refused), number of rewrites, and whether it is refused."""
+def sanitize(c: Column, rewrites: list[tuple[str, str]]) -> tuple[Column, Column, Column]:
+    """Rewritten text (null if refused), number of rewrites, and whether it is refused: for a credential before or a machine path after."""
     count, text = F.lit(0), c
-    for pattern, new in REWRITES:
+    for pattern, new in rewrites:
         count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, new)
-    refused = c.rlike(CREDENTIAL) | c.rlike(PRIVATE_KEY) | text.rlike(ABSOLUTE)
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(new))
+    refused = text.rlike(ABSOLUTE)
+    for pattern in SECRETS:
+        refused = refused | c.rlike(pattern)
     return F.when(~refused, text), count, refused

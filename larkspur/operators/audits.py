@@ -104,12 +104,11 @@ def selected_summary(rows: DataFrame, by: list[str], ids: str, mask: str) -> Dat
 
 
 def balanced_prefix(rows: DataFrame, cell: list[str], cap: str, sample: str) -> DataFrame:
-    """Cap diagnostics: one row for each (cap, cell), the same sample in a cell under every cap, and no fewer tokens under a larger cap."""
+    """Cap diagnostics: one row for each (cap, cell), and the same sample in a cell under every cap."""
     caps = rows.select(cap).distinct().agg(F.count(F.lit(1)).alias("caps"))
-    g = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cap).alias("c"), F.count_distinct(sample).alias("s"), F.array_sort(F.collect_set(F.struct(F.col(cap).alias("cap"), F.col("output_tokens").alias("t")))).alias("by_cap"))
-    rising = F.transform("by_cap", lambda x: x["t"]) == F.array_sort(F.transform("by_cap", lambda x: x["t"]))
+    g = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cap).alias("c"), F.count_distinct(sample).alias("s"))
     x = g.crossJoin(F.broadcast(caps)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in cell)))  # one row
-    return violations(x, "k", one_row_a_cap=(F.col("n") == F.col("caps")) & (F.col("c") == F.col("caps")), one_sample=F.col("s") == 1, tokens_rise_with_cap=rising)
+    return violations(x, "k", one_row_a_cap=(F.col("n") == F.col("caps")) & (F.col("c") == F.col("caps")), one_sample=F.col("s") == 1)
 
 
 def chat_protocol(rows: DataFrame) -> DataFrame:

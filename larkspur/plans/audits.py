@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..functions import arguments, hashing, text
+from ..functions import arguments, text
 from ..operators import align, audits, design, failures, generate, ledger, needles
 from ..schemas import RUNS
 from .design import CROSS_SQL, FAIL_SQL, GROUP_SQL, ROW_SQL, failing
-from .generation import fitted_sql
+from .generation import fitted_sql, tokens_sql
 from .registry import query
 from .scoring import TOKEN_SQL
 from .views import GRID_SQL, grid, table
@@ -38,24 +40,37 @@ def position_list_problems(spark, d):
     return arguments.list_problems(x, "o_orderkey", "t", arguments.position, unique=True)
 
 
-@query("blank_bootstrap_keys", "SELECT 'key_present' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 11 = 0")
+CASE_ID = "CASE WHEN o_orderkey % 10 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN concat(' ', o_orderstatus, ' ') ELSE substr(o_orderpriority, 8, o_orderkey % 4) END"
+
+
+@query("blank_bootstrap_keys", f"SELECT 'key_present' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE coalesce(trim({CASE_ID}), '') = ''")
 def blank_bootstrap_keys(spark, d):
-    x = table(spark, d, "orders").selectExpr("o_orderkey", "named_struct('case_id', CASE WHEN o_orderkey % 10 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END) AS metadata")
+    x = table(spark, d, "orders").selectExpr("o_orderkey", f"named_struct('case_id', {CASE_ID}) AS metadata")
     return arguments.blank_keys(x, "o_orderkey", "metadata.case_id")
 
 
 STORED_SQL = f"""{FAIL_SQL}, {ROW_SQL}, {GROUP_SQL}, {CROSS_SQL}, al AS (SELECT 'row' AS scope, category FROM rc UNION ALL SELECT 'group', category FROM gc UNION ALL SELECT 'cross_run', category FROM cc), ct AS (SELECT scope, category, count(*) AS count FROM al GROUP BY ALL)"""
 
 
-@query("stored_catalog_audit", f"WITH {STORED_SQL} SELECT CASE WHEN category = 'answer_wrong' THEN 'same_count' WHEN category = 'treatment_quote_recovery' THEN 'same_scope' WHEN category = 'invalid_json' THEN 'in_both' ELSE 'within_limit' END AS rule, category AS key FROM ct WHERE category IN ('answer_wrong', 'treatment_quote_recovery', 'invalid_json', 'generation_hit_length_cap') UNION ALL SELECT 'in_both', 'made_up'")
+#: What a stored catalog says of each category, from the right count n, rate r and scope.
+TOLD = {
+    "scope": "CASE WHEN category = 'treatment_quote_recovery' THEN 'row' ELSE scope END",
+    "count": "CASE WHEN category = 'answer_wrong' THEN count + 1 ELSE count END",
+    "rate": "CASE WHEN category LIKE '%quote%' THEN rate + 1e-10 ELSE rate END",
+    "listed": "CASE WHEN category = 'generation_hit_length_cap' THEN 26 ELSE least(25, count + CASE WHEN category = 'middle_success_edge_failure' THEN 30 ELSE 0 END) END",
+}
+STORED_RULES = (("in_both", "paired"), ("same_scope", "NOT paired OR s.scope = ct.scope"), ("same_count", "NOT paired OR s.count = ct.count"), ("same_rate", "NOT paired OR abs(s.rate - ct.rate) <= 1e-12"), ("within_limit", "NOT paired OR s.listed <= least(25, ct.count)"))
+
+
+@query("stored_catalog_audit", f"""WITH {STORED_SQL.replace("count(*) AS count FROM al GROUP BY ALL)", "count(*) AS n FROM al GROUP BY ALL)")}, dn AS (SELECT 'row' AS scope, (SELECT count(*) FROM fl) AS denominator UNION ALL SELECT 'group', (SELECT count(*) FROM (SELECT 1 FROM fl GROUP BY run_name, group_id HAVING count(*) >= 3)) UNION ALL SELECT 'cross_run', (SELECT count(*) FROM fl t JOIN fl b ON b.run_name = 'base' AND t.run_name <> 'base' AND t.sample_id = b.sample_id)),
+ fresh AS (SELECT category, scope, n AS count, n / denominator AS rate FROM ct JOIN dn USING (scope)), s AS (SELECT category, {', '.join(f'{v} AS {k}' for k, v in TOLD.items())} FROM fresh WHERE category <> 'invalid_json' UNION ALL SELECT 'made_up', 'row', 1, 0.5, 1),
+ x AS (SELECT coalesce(s.category, ct.category) AS key, s.count IS NOT NULL AND ct.count IS NOT NULL AS paired, {', '.join(f"{c} AS {n}" for n, c in STORED_RULES[1:]).replace("NOT paired", "s.count IS NULL OR ct.count IS NULL")} FROM s FULL JOIN fresh ct USING (category)) SELECT {some(("in_both", "paired"), *((n, n) for n, _ in STORED_RULES[1:]))}, key FROM x""")
 def stored_catalog_audit(spark, d):
-    """A stored catalog with a wrong count, a wrong scope, a lost category, a foreign one and too many examples."""
+    """A stored catalog with wrong counts, rates and a scope, a lost category, a foreign one and too many examples."""
     rows = failing(spark, d)
-    r = failures.rates(rows).where("category <> 'invalid_json'")
-    c = F.col("category")
-    stored = r.select(c, F.when(c == "treatment_quote_recovery", "row").otherwise(F.col("scope")).alias("scope"), F.when(c == "answer_wrong", F.col("count") + 1).otherwise(F.col("count")).alias("count"), "rate", F.when(c == "generation_hit_length_cap", 26).otherwise(F.least(F.lit(25), F.col("count"))).cast("bigint").alias("listed"))
+    stored = failures.rates(rows).where("category <> 'invalid_json'").selectExpr("category", *(f"{v} AS {k}" for k, v in TOLD.items()))
     foreign = spark.createDataFrame([("made_up", "row", 1, 0.5, 1)], "category string, scope string, count bigint, rate double, listed bigint")
-    return failures.catalog_problems(stored.unionByName(foreign), rows, 25)
+    return failures.catalog_problems(stored.withColumn("listed", F.col("listed").cast("bigint")).unionByName(foreign), rows, 25)
 
 
 SOURCE_SQL = "s AS (SELECT c_custkey AS k, c_name AS m FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 50 = 0), r AS (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 100 = 1 THEN 1000000 ELSE 0 END AS k, CASE WHEN o_orderkey % 40 = 2 THEN 'other' END AS m FROM orders)"
@@ -78,13 +93,19 @@ def looked_up_names(spark, d):
 MODE = "CASE p_partkey % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'evidence_id' WHEN 2 THEN 'evidence' ELSE 'unknown' END"
 
 
-@query("sft_audit", f"WITH x AS (SELECT p_partkey AS k FROM part) SELECT 'roles' AS rule, CAST(k AS VARCHAR) AS key FROM x WHERE k % 13 = 0 UNION ALL SELECT 'payload', CAST(k AS VARCHAR) FROM x WHERE k % 5 = 0 UNION ALL SELECT 'supervision', CAST(k AS VARCHAR) FROM x WHERE k % 5 <> 0 AND (k % 4 = 3 OR k % 7 = 0)")
+SFT_SQL = f"""p AS (SELECT p_partkey AS k, {MODE} AS mode, p_name AS answer FROM part), q AS (SELECT *, CASE WHEN k % 7 = 0 THEN CASE WHEN mode = 'answer' THEN 'evidence' ELSE 'answer' END ELSE mode END AS shown FROM p),
+ r AS (SELECT *, (CASE WHEN k % 5 = 0 THEN '{{"extra": 1, ' ELSE '{{' END) || '"answer": ' || to_json(answer) || ', "confidence": 1.0, "evidence_ids": ' || CASE WHEN shown IN ('evidence_id', 'evidence') THEN '["e1"]' ELSE '[]' END || ', "evidence_quotes": ' || CASE WHEN shown = 'evidence' THEN '["a quote"]' ELSE '[]' END || '}}' AS body,
+   CASE WHEN k % 13 = 0 THEN ['user', 'system', 'assistant'] ELSE ['system', 'user', 'assistant'] END AS roles FROM q),
+ t AS (SELECT *, json_valid(body) AND list_sort(json_keys(body)) = ['answer', 'confidence', 'evidence_ids', 'evidence_quotes'] AS exact, json_array_length(body, '$.evidence_ids') > 0 AS ids, json_array_length(body, '$.evidence_quotes') > 0 AS quotes FROM r)"""
+
+
+@query("sft_audit", f"WITH {SFT_SQL} SELECT {some(('roles', "roles = ['system', 'user', 'assistant']"), ('payload', 'exact'), ('supervision', "NOT exact OR (mode = 'answer' AND NOT ids AND NOT quotes) OR (mode = 'evidence_id' AND ids AND NOT quotes) OR (mode = 'evidence' AND ids AND quotes)"))}, CAST(k AS VARCHAR) AS key FROM t")
 def sft_audit(spark, d):
     """Training rows with foreign roles, an extra field, an unknown mode, and evidence that a mode does not give."""
     x = table(spark, d, "part").selectExpr("p_partkey", f"{MODE} AS mode", "p_name AS answer")
     k = F.col("p_partkey")
     shown = F.when(k % 7 == 0, F.when(F.col("mode") == "answer", "evidence").otherwise("answer")).otherwise(F.col("mode"))
-    body = text.assistant_payload(shown, F.col("answer"), F.array(F.lit("e1")), F.array(F.lit('a "quote"')))
+    body = text.assistant_payload(shown, F.col("answer"), F.array(F.lit("e1")), F.array(F.lit("a quote")))
     body = F.when(k % 5 == 0, F.concat(F.lit('{"extra": 1, '), F.substring(body, F.lit(2), F.length(body)))).otherwise(body)
     m = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     usual = F.array(m("system", F.lit("s")), m("user", F.lit("u")), m("assistant", body))
@@ -122,23 +143,41 @@ def matched_cell_audit(spark, d):
     return audits.matched_cells(x, "fact", 3, "tokens", "filler", 0.02)
 
 
-@query("cap_audit", f"WITH {GRID_SQL}, x AS (SELECT task, unit, run_name, cap, CASE WHEN unit % 25 = 0 THEN 'other' || cap ELSE 's' || unit END AS sample, CASE WHEN unit % 30 = 0 THEN 500 - cap ELSE cap / 2 END AS output_tokens FROM grid, (SELECT unnest([128, 256]) AS cap) WHERE position_label = 'p000' AND NOT (cap = 256 AND unit % 35 = 0)), g AS (SELECT task || '/' || unit || '/' || run_name AS key, count(*) AS n, count(DISTINCT cap) AS c, count(DISTINCT sample) AS s, max(output_tokens) FILTER (cap = 128) AS t1, max(output_tokens) FILTER (cap = 256) AS t2 FROM x GROUP BY ALL) SELECT {some(('one_row_a_cap', 'n = 2 AND c = 2'), ('one_sample', 's = 1'), ('tokens_rise_with_cap', 't2 IS NULL OR t1 <= t2'))}, key FROM g")
+CAP_SQL = f"{GRID_SQL}, x AS (SELECT task, unit, run_name, position_label, cap, CASE WHEN unit % 25 = 0 THEN 'other' || cap ELSE 's' || unit END AS sample FROM grid, (SELECT unnest([128, 256]) AS cap) WHERE NOT (cap = 256 AND unit % 35 = 0 AND run_name < 'p') UNION ALL SELECT task, unit, run_name, position_label, 128, 's' || unit FROM grid WHERE unit % 45 = 0 AND position_label = 'p100')"
+
+
+@query("cap_audit", f"WITH {CAP_SQL}, g AS (SELECT task || '/' || unit || '/' || run_name || '/' || position_label AS key, count(*) AS n, count(DISTINCT cap) AS c, count(DISTINCT sample) AS s FROM x GROUP BY ALL) SELECT {some(('one_row_a_cap', 'n = 2 AND c = 2'), ('one_sample', 's = 1'))}, key FROM g")
 def cap_audit(spark, d):
-    """Two output caps over the same cells, some with another sample, a missing row, or more tokens under the smaller cap."""
-    x = grid(spark, d).where("position_label = 'p000'").select("task", "unit", "run_name", F.explode(F.array(F.lit(128), F.lit(256))).alias("cap")).where("NOT (cap = 256 AND unit % 35 = 0)")
-    x = x.selectExpr("task", "unit", "run_name", "cap", "CASE WHEN unit % 25 = 0 THEN concat('other', cap) ELSE concat('s', unit) END AS sample", "CASE WHEN unit % 30 = 0 THEN 500 - cap ELSE cap / 2 END AS output_tokens")
-    return audits.balanced_prefix(x, ["task", "unit", "run_name"], "cap", "sample")
+    """Two output caps over all cells, some with another sample, a missing row or a row too many."""
+    g = grid(spark, d).select("task", "unit", "run_name", "position_label")
+    x = g.withColumn("cap", F.explode(F.array(F.lit(128), F.lit(256)))).where("NOT (cap = 256 AND unit % 35 = 0 AND run_name < 'p')")
+    x = x.withColumn("sample", F.expr("CASE WHEN unit % 25 = 0 THEN concat('other', cap) ELSE concat('s', unit) END"))
+    again = g.where("unit % 45 = 0 AND position_label = 'p100'").selectExpr("*", "128 AS cap", "concat('s', unit) AS sample")
+    return audits.balanced_prefix(x.unionByName(again), ["task", "unit", "run_name", "position_label"], "cap", "sample")
+
+
+#: Renderings: the length of the whole, a prompt that may be no prefix of it, and sentinels that may be lost.
+RENDERED = {
+    "native": ("transform(sequence(1, 4 + p_partkey % 3), i -> i * (p_partkey % 5))", "CASE WHEN p_partkey % 3 = 0 THEN array(9, 2) ELSE transform(sequence(1, 2), i -> i * (p_partkey % 5)) END", "CASE WHEN p_partkey % 7 = 0 THEN 'USR' ELSE 'SYS USR' END"),
+    "merge_system": ("transform(sequence(1, 3), i -> i)", "transform(sequence(1, 1 + p_partkey % 4), i -> i)", "CASE WHEN p_partkey % 2 = 0 THEN 'USR' ELSE 'SYS USR' END"),
+}
+
 
+def rendered_sql(protocol: str) -> str:
+    whole, prompt, shown = (re.sub(r"transform\(sequence\(1, ([^()]*(?:\([^()]*\))?)\), i -> ", r"list_transform(range(1, \1 + 1), lambda i: ", t).replace("array(9, 2)", "[9, 2]::BIGINT[]") for t in RENDERED[protocol])
+    return f"SELECT p_partkey AS k, '{protocol}' AS protocol, {whole} AS whole, {prompt} AS prompt, {shown} AS shown FROM part"
 
-@query("protocol_audit", "SELECT 't' || p_partkey AS tokenizer, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN p_partkey % 3 <> 0 THEN 'native' WHEN p_partkey % 2 <> 0 THEN 'merge_system' END AS selected_protocol, CASE WHEN p_partkey % 3 <> 0 THEN 'passed' ELSE 'failed' END AS native_status, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 2 WHEN p_partkey % 2 <> 0 THEN 1 END AS INT) AS completion_tokens FROM part")
+
+@query("protocol_audit", f"""WITH r AS ({rendered_sql('native')} UNION ALL {rendered_sql('merge_system')}), o AS (SELECT k, protocol, len(whole) - len(prompt) AS more, len(prompt) <= len(whole) AND whole[1:len(prompt)] = prompt AND contains(shown, 'SYS') AND contains(shown, 'USR') AS ok FROM r),
+ g AS (SELECT k, bool_or(ok AND protocol = 'native') AS native, bool_or(ok AND protocol = 'merge_system') AS merged, max(more) FILTER (ok AND protocol = 'native') AS n1, max(more) FILTER (ok AND protocol = 'merge_system') AS n2 FROM o GROUP BY k)
+ SELECT 't' || k AS tokenizer, CASE WHEN native OR merged THEN 'passed' ELSE 'failed' END AS status, CASE WHEN native THEN 'native' WHEN merged THEN 'merge_system' END AS selected_protocol, CASE WHEN native THEN 'passed' ELSE 'failed' END AS native_status, CAST(CASE WHEN native THEN n1 ELSE n2 END AS INT) AS completion_tokens FROM g""")
 def protocol_audit(spark, d):
     """Renderings by two protocols, with prompts that are no prefix and sentinels that are lost."""
-    k = F.col("p_partkey")
-    p = table(spark, d, "part").select(F.concat(F.lit("t"), k.cast("string")).alias("tokenizer"), k)
-    ints = lambda *xs: F.array(*map(F.lit, xs))
-    native = p.select("tokenizer", F.lit("native").alias("protocol"), F.when(k % 3 == 0, ints(9, 2)).otherwise(ints(1, 2)).alias("prompt_ids"), ints(1, 2, 3, 4).alias("full_ids"), F.lit("SYS USR").alias("text"), F.array(F.lit("SYS"), F.lit("USR")).alias("sentinels"))
-    merged = p.select("tokenizer", F.lit("merge_system").alias("protocol"), ints(1, 2).alias("prompt_ids"), ints(1, 2, 3).alias("full_ids"), F.when(k % 2 == 0, "USR").otherwise("SYS USR").alias("text"), F.array(F.lit("SYS"), F.lit("USR")).alias("sentinels"))
-    return audits.chat_protocol(native.unionByName(merged))
+    p, out = table(spark, d, "part"), None
+    for protocol, (whole, prompt, shown) in RENDERED.items():
+        x = p.selectExpr("concat('t', p_partkey) AS tokenizer", f"'{protocol}' AS protocol", f"cast({whole} AS array<bigint>) AS full_ids", f"cast({prompt} AS array<bigint>) AS prompt_ids", f"{shown} AS text", "array('SYS', 'USR') AS sentinels")
+        out = x if out is None else out.unionByName(x)
+    return audits.chat_protocol(out)
 
 
 @query("token_counters", f"SELECT doc_id, CAST(len(regexp_extract_all(text, {TOKEN_SQL})) AS INT) AS words_and_marks, CAST(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS INT) AS blanks, CAST(ceil(length(text) / 4) AS INT) AS quarter_characters FROM documents".replace("\\\\", "\\"))
@@ -146,47 +185,63 @@ def token_counters(spark, d):
     return table(spark, d, "documents").select("doc_id", *(text.count_tokens(n, F.col("text")).alias(n) for n in ("words_and_marks", "blanks", "quarter_characters")))
 
 
-@query("needle_audit", "SELECT 'none' AS rule, 'none' AS key FROM documents WHERE false")
-def needle_audit(spark, d):
-    """Needle rows as they are made: the audit finds nothing."""
-    rows = made_needles(spark, d)
-    return needles.audit(rows, 3)
-
-
 CASES = (("c1", "A zebra was seen at the Old Quay by Quillan.", "Quillan", "Who saw the zebra?"), ("c2", "Marvolina left the Old Quay before noon.", "Marvolina", "Who left before noon?"))
-LENGTHS = (192, 256)
+LENGTHS = (96, 256, 1024)
+PLACES = (0.0, 0.25, 0.5, 1.0)
 
 
 def made_needles(spark, d):
-    books = table(spark, d, "documents").where(F.size(F.split("text", " ")) >= 400).select(F.col("doc_id").cast("string").alias("book"), "text")
-    return needles.needle_rows(books, spark.createDataFrame(list(CASES), "case_id string, needle string, answer string, question string"), list(LENGTHS), [0.0, 0.5, 1.0])
+    """Needle rows of every text; those that do not come down to a length have none of it."""
+    books = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("book"), "text")
+    return needles.needle_rows(books, spark.createDataFrame(list(CASES), "case_id string, needle string, answer string, question string"), list(LENGTHS), list(PLACES))
+
+
+def needles_sql() -> str:
+    """The same rows: fitted texts, insertion by the nearest newline, and what is counted of them."""
+    fitted = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS case_id, '{needle}' AS needle, '{answer}' AS answer, {n} AS target, fitted FROM ({fitted_sql(n - needles.ROOM, needle)}) WHERE fits" for c, needle, answer, _ in CASES for n in LENGTHS)
+    return f"""f AS ({fitted}), i AS (SELECT *, doc_id || '-' || case_id || '-' || target AS g, sha256(fitted) AS base, unnest([{', '.join(map(str, PLACES))}]::DOUBLE[]) AS p FROM f), m AS (SELECT *, CAST(round_even(length(fitted) * p, 0) AS INT) AS t FROM i),
+ n AS (SELECT *, CASE WHEN strpos(substr(fitted, 1, t + 1), chr(10)) > 0 THEN length(substr(fitted, 1, t + 1)) - strpos(reverse(substr(fitted, 1, t + 1)), chr(10)) ELSE -1 END AS pr, CASE WHEN strpos(substr(fitted, t + 1), chr(10)) > 0 THEN t + strpos(substr(fitted, t + 1), chr(10)) - 1 ELSE -1 END AS fo FROM m),
+ o AS (SELECT *, CAST(CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN length(fitted) WHEN pr >= 0 AND fo >= 0 THEN CASE WHEN t - pr <= fo - t THEN pr ELSE fo END WHEN pr >= 0 THEN pr WHEN fo >= 0 THEN fo ELSE t END AS INT) AS spot FROM n),
+ made AS (SELECT *, CASE p WHEN 0 THEN 'p000' WHEN 0.25 THEN 'p025' WHEN 0.5 THEN 'p050' ELSE 'p100' END AS label, substr(fitted, 1, spot) || chr(10) || needle || chr(10) || substr(fitted, spot + 1) AS context FROM o)"""
 
 
-GROUPS_SQL = " UNION ALL ".join(f"SELECT doc_id, doc_id || '-{c[0]}-{n}' AS g FROM ({fitted_sql(n - needles.ROOM, c[1])}) WHERE fits AND doc_id IN (SELECT doc_id FROM documents WHERE len(string_split(text, ' ')) >= 400)" for c in CASES for n in LENGTHS)
+NEEDLES_SQL = needles_sql()
+#: Rules of one row and of a group, as conditions over what is counted.
+ROW_RULES = (("fits", "actual <= target"), ("little_slack", "target - actual <= 192"), ("needle_present", "contains(context, needle)"), ("answer_once", "len(string_split(context, answer)) = 2"))
+GROUP_RULES = (("every_position", f"p = {len(PLACES)}"), ("one_target", "a = 1"), ("one_base", "b = 1"))
 
 
-@query("needle_problems", f"WITH g AS ({GROUPS_SQL}) SELECT 'every_position' AS rule, g AS key FROM g WHERE doc_id % 5 = 0 UNION ALL SELECT 'needle_present', g || '@p000' FROM g WHERE doc_id % 7 = 0 UNION ALL SELECT 'answer_once', g || '@p000' FROM g WHERE doc_id % 7 = 0 UNION ALL SELECT 'unique_id', g || '@p100' FROM g WHERE doc_id % 11 = 0 UNION ALL SELECT 'one_base', g FROM g WHERE doc_id % 13 = 0")
+def needle_rules_sql(rows: str) -> str:
+    return f"""c AS (SELECT *, {tokens_sql('context')} AS actual, g || '@' || label AS id FROM {rows}), q AS (SELECT g, count(DISTINCT label) AS p, count(DISTINCT answer || needle) AS a, count(DISTINCT base) AS b FROM c GROUP BY g), w AS (SELECT id, count(*) AS n FROM c GROUP BY id)
+ SELECT {some(*ROW_RULES)}, id AS key FROM c UNION ALL SELECT {some(('unique_id', 'n = 1'))}, id FROM w UNION ALL SELECT {some(*GROUP_RULES)}, g FROM q"""
+
+
+@query("needle_audit", f"WITH {NEEDLES_SQL}, {needle_rules_sql('made')}")
+def needle_audit(spark, d):
+    """Needle rows as they are made."""
+    return needles.audit(made_needles(spark, d), len(PLACES))
+
+
+#: What is done to some rows, by the text's id and the position: texts, hashes and needles change, rows go or come again.
+CHANGED = {"context": "CASE WHEN doc_id % 7 = 0 AND label = 'p000' THEN replace(context, needle, '') WHEN doc_id % 17 = 0 THEN concat(context, ' ', answer) WHEN doc_id % 19 = 0 THEN replace(context, ' ', ' , ') ELSE context END", "base": "CASE WHEN doc_id % 13 = 0 AND label = 'p100' THEN 'other' ELSE base END", "answer": "CASE WHEN doc_id % 23 = 0 AND label = 'p050' THEN 'the' ELSE answer END"}
+
+
+@query("needle_problems", f"WITH {NEEDLES_SQL}, some_made AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in CHANGED.items())}) FROM made WHERE NOT (doc_id % 5 = 0 AND label = 'p050')), twice AS (SELECT * FROM some_made UNION ALL SELECT * FROM some_made WHERE doc_id % 11 = 0 AND label = 'p100'), {needle_rules_sql('twice')}")
 def needle_problems(spark, d):
-    """The same rows with a lost position, a lost needle, a repeated id and another base text in some."""
-    r = made_needles(spark, d)
-    k = F.col("book").cast("bigint")
-    at = lambda p: F.col("position_label") == p
-    r = r.where(~((k % 5 == 0) & at("p050")))
-    r = r.withColumn("context", F.when((k % 7 == 0) & at("p000"), F.replace("context", "needle", F.lit(""))).otherwise(F.col("context")))
-    r = r.withColumn("base_sha256", F.when((k % 13 == 0) & at("p100"), F.lit("other")).otherwise(F.col("base_sha256")))
-    return needles.audit(r.unionByName(r.where((k % 11 == 0) & at("p100"))), 3)
+    """The same rows with changed texts, answers and base hashes, lost positions and repeated ids."""
+    r = made_needles(spark, d).withColumnsRenamed({"position_label": "label", "base_sha256": "base"}).withColumn("doc_id", F.col("book").cast("bigint")).where("NOT (doc_id % 5 = 0 AND label = 'p050')")
+    r = r.withColumns({k: F.expr(v) for k, v in CHANGED.items()}).withColumn("actual_tokens", text.token_count(F.col("context")))
+    r = r.unionByName(r.where("doc_id % 11 = 0 AND label = 'p100'")).withColumnsRenamed({"label": "position_label", "base": "base_sha256"})
+    return needles.audit(r, len(PLACES))
 
 
-@query("finish_stamps", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1767323045 END::BIGINT AS seconds FROM events")
-def finish_stamps(spark, d):
-    x = table(spark, d, "events").selectExpr("event_id", "CASE event_id % 3 WHEN 0 THEN 'state=done finished_at=2026-01-02T03:04:05Z code=0' WHEN 1 THEN 'finished_at=2026-01-02T03:04:05' ELSE 'unfinished' END AS t")
-    return x.select("event_id", F.unix_seconds(ledger.finished_at(F.col("t"))).alias("seconds"))
+STATUS = "concat(CASE event_id % 5 WHEN 0 THEN 'state=done ' WHEN 1 THEN 'un' ELSE '' END, 'finished_at=', CASE event_id % 4 WHEN 0 THEN concat(substr(cast(ts AS STRING), 1, 10), 'T', substr(cast(ts AS STRING), 12, 8), 'Z') WHEN 1 THEN concat(substr(cast(ts AS STRING), 1, 10), 'T', substr(cast(ts AS STRING), 12, 8), '+02:00') WHEN 2 THEN concat(substr(cast(ts AS STRING), 1, 10), 'T', substr(cast(ts AS STRING), 12, 8)) ELSE 'soon' END, CASE event_id % 3 WHEN 0 THEN ' code=0' WHEN 1 THEN ';x' ELSE '' END)"
 
 
-@query("refused_texts", "SELECT p_partkey, p_partkey % 4 < 3 AS refused FROM part")
-def refused_texts(spark, d):
-    x = table(spark, d, "part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN '-----BEGIN OPENSSH PRIVATE KEY-----' WHEN 1 THEN 'password: x1' WHEN 2 THEN 'BEGIN PRIVATE KEY' ELSE 'the key of /home/me/x' END AS t")
-    return x.select("p_partkey", hashing.sanitize(F.col("t"))[2].alias("refused"))
+@query("finish_stamps", f"WITH x AS (SELECT event_id, regexp_extract({STATUS}, '\\bfinished_at=([^\\s,;]+)', 1) AS t FROM events) SELECT event_id, CASE WHEN regexp_matches(t, '(Z|[+-]\\d\\d:\\d\\d)$') THEN CAST(epoch(TRY_CAST(t AS TIMESTAMPTZ)) AS BIGINT) END AS seconds FROM x".replace("\\\\", "\\"))
+def finish_stamps(spark, d):
+    x = table(spark, d, "events").selectExpr("event_id", f"{STATUS} AS t")
+    return x.select("event_id", F.unix_seconds(ledger.finished_at(F.col("t"))).alias("seconds"))
 
 
 @query("design_histograms", "SELECT l_returnflag, 'l_linenumber' AS field, CAST(l_linenumber AS VARCHAR) AS value, count(*) AS rows FROM lineitem GROUP BY ALL UNION ALL SELECT l_returnflag, 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY ALL")

@@ -162,11 +162,12 @@ def fitted_sql(target: int, needle: str) -> str:
  b AS (SELECT *, least(len(w), greatest(1, {target} - {tokens_sql(f"'{needle}'")} - 16)) AS n1 FROM a), b1 AS (SELECT *, {tokens('n1')} AS c1 FROM b),
  b2 AS (SELECT *, {after('n1', 'c1')} AS n2 FROM b1), b3 AS (SELECT *, {tokens('n2')} AS c2 FROM b2),
  b4 AS (SELECT *, {after('n2', 'c2')} AS n3 FROM b3), b5 AS (SELECT *, {tokens('n3')} AS c3 FROM b4),
- x AS (SELECT doc_id, CASE WHEN c1 <= {target} AND n1 > 0 THEN c1 WHEN c2 <= {target} AND n2 > 0 THEN c2 WHEN c3 <= {target} AND n3 > 0 THEN c3 END AS c FROM b5)
- SELECT doc_id, c IS NOT NULL AS fits, CAST(c AS INT) AS tokens FROM x"""
+ x AS (SELECT doc_id, CASE WHEN c1 <= {target} AND n1 > 0 THEN c1 WHEN c2 <= {target} AND n2 > 0 THEN c2 WHEN c3 <= {target} AND n3 > 0 THEN c3 END AS c,
+   CASE WHEN c1 <= {target} AND n1 > 0 THEN {cut('n1')} WHEN c2 <= {target} AND n2 > 0 THEN {cut('n2')} WHEN c3 <= {target} AND n3 > 0 THEN {cut('n3')} END AS fitted FROM b5)
+ SELECT doc_id, c IS NOT NULL AS fits, CAST(c AS INT) AS tokens, fitted FROM x"""
 
 
-@query("fitted_prefixes", fitted_sql(256, "the needle is here"))
+@query("fitted_prefixes", f"SELECT doc_id, fits, tokens FROM ({fitted_sql(256, 'the needle is here')})")
 def fitted_prefixes(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("words"), F.lit("the needle is here").alias("needle"))
     f = generate.fit_prefix(x, "words", "needle", 256)

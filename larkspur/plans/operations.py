@@ -135,10 +135,15 @@ def budget_totals(spark, d):
     return ledger.budget(workloads(spark, d), 0.25, 10)[1]
 
 
-@query("budget_overrides", f"WITH {WORK_SQL} SELECT name, CASE WHEN name LIKE '%A%' THEN 9 ELSE runs END AS runs FROM w")
+OVERRIDES = "SELECT n_name AS name, CASE WHEN n_regionkey = 2 THEN NULL ELSE 9 + n_nationkey END AS runs FROM nation WHERE n_name LIKE '%A%' UNION ALL SELECT concat(n_name, '?'), 1 FROM nation"
+
+
+@query("budget_overrides", f"WITH {WORK_SQL}, o AS ({OVERRIDES}) SELECT w.name, coalesce(o.runs, w.runs) AS runs FROM w LEFT JOIN o ON o.name = w.name")
 def budget_overrides(spark, d):
-    o = workloads(spark, d).where("name like '%A%'").select("name", F.lit(9).cast("bigint").alias("runs"))
-    return ledger.overridden(workloads(spark, d), o, "name", "runs").select("name", F.col("runs").alias("runs"))
+    """Runs of some workloads replaced; a null replaces nothing, and names that no workload has are left out."""
+    table(spark, d, "nation").createOrReplaceTempView("larkspur_nation")
+    o = spark.sql(OVERRIDES.replace("FROM nation", "FROM larkspur_nation"))
+    return ledger.overridden(workloads(spark, d), o, "name", "runs").select("name", "runs")
 
 
 @query("budget_problems", f"WITH {WORK_SQL} SELECT 'positive_runs' AS rule, name AS key FROM w WHERE runs - 1 <= 0")
@@ -190,10 +195,11 @@ def remaining_estimates(spark, d):
     return ledger.remaining(work, o.where("family <> '5-LOW'").withColumn("seconds_per_unit", F.col("o_totalprice") / 1000), "family", 2.78, 0.25)
 
 
-STAMP = "CASE event_id % 4 WHEN 0 THEN '2026-01-02T03:04:05Z' WHEN 1 THEN '2026-01-02T03:04:05+02:00' WHEN 2 THEN '2026-01-02T03:04:05' ELSE 'run-20260102T030405Z.log' END"
+DAY, CLOCK = "substr(cast(ts AS STRING), 1, 10)", "substr(cast(ts AS STRING), 12, 8)"
+STAMP = f"CASE event_id % 5 WHEN 0 THEN concat({DAY}, 'T', {CLOCK}, 'Z') WHEN 1 THEN concat({DAY}, 'T', {CLOCK}, '.25+02:00') WHEN 2 THEN concat({DAY}, 'T', {CLOCK}) WHEN 3 THEN concat('2026-13-01T', {CLOCK}, 'Z') ELSE concat('run-', replace({DAY}, '-', ''), 'T', replace({CLOCK}, ':', ''), 'Z.log') END"
 
 
-@query("timestamps", f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1767323045 WHEN 1 THEN 1767315845 END::BIGINT AS iso_seconds, CASE WHEN event_id % 4 = 3 THEN 1767323045 END::BIGINT AS log_seconds, epoch_us(ts) + CAST(1.5 * 3.6e9 AS BIGINT) AS done_micros FROM events")
+@query("timestamps", f"WITH x AS (SELECT event_id, ts, {STAMP} AS t FROM events) SELECT event_id, CASE WHEN regexp_matches(t, '^[0-9]{{4}}-.*(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN CAST(floor(epoch(TRY_CAST(t AS TIMESTAMPTZ))) AS BIGINT) END AS iso_seconds, CAST(epoch(try_strptime(nullif(regexp_extract(t, '([0-9]{{8}}T[0-9]{{6}})Z', 1), ''), '%Y%m%dT%H%M%S')) AS BIGINT) AS log_seconds, epoch_us(ts) + CAST(1.5 * 3.6e9 AS BIGINT) AS done_micros FROM x")
 def timestamps(spark, d):
     x = table(spark, d, "events").selectExpr("event_id", "ts", f"{STAMP} AS t")
     done, _ = ledger.completion(F.col("ts").cast("timestamp"), F.lit(1.5), 0.25)

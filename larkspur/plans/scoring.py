@@ -180,12 +180,36 @@ def safe_contexts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", *hashing.safe_context(["role", "text"]))
 
 
-PATHS = "concat('see /home/user', page_id % 5, '/data and /root/x ', CASE WHEN page_id % 6 = 0 THEN 'api_key = 123' WHEN page_id % 6 = 1 THEN 'on /Users/me' ELSE url END)"
-SQL_PATH = "regexp_replace(regexp_replace(regexp_replace(t, '/home/[A-Za-z0-9_.-]+', '<home>', 'g'), '/root\\b', '<root>', 'g'), '/mnt/[A-Za-z0-9_.-]+', '<mount>', 'g')"
+#: The folders of a made-up machine, and texts with its paths, look-alikes and credentials.
+FOLDERS = ("/srv/tree", "/root/runtime", "/home/", "checkout", "pilot")
+PATHS = (
+    "concat('see ', CASE page_id % 7 WHEN 0 THEN '/srv/tree/a.py' WHEN 1 THEN '/home/ann/x/y/checkout/b.py' WHEN 2 THEN '/root/runtime/models/m1 /root/runtime/models/m2' WHEN 3 THEN '\"/root/runtime\"' "
+    "WHEN 4 THEN '/root/runtime/pilot/c' WHEN 5 THEN 'x/root/y a/home/z /homes/b' ELSE '/srv/trees' END, ' in ', CASE page_id % 5 WHEN 0 THEN '/home/bob/notes' WHEN 1 THEN '/root/runtimes' WHEN 2 THEN '/root/runtime' WHEN 3 THEN '_/root/q' ELSE url END, "
+    "CASE page_id % 11 WHEN 0 THEN ' PassWord : x' WHEN 1 THEN ' BEGIN OPENSSH PRIVATE KEY' WHEN 2 THEN ' BEGIN EC PRIVATE KEY' WHEN 3 THEN ' passwords = x' WHEN 4 THEN ' 密码：1' ELSE '' END)"
+)
+REWRITES_SQL = ((r"/srv/tree/", ""), (r"/root/runtime/pilot/", ""), (r"/home/[^/]+/(?:[^/]+/)*checkout/", ""), (r"/root/runtime/models/", "models/"), (r"/root/runtime(/|\s|[\"''{}]|$)", r"runtime\1"))
+
+
+def rewritten_sql() -> str:
+    """Texts t0 to t5 after each rewrite, and the rewrites so far."""
+    out = f"t0 AS (SELECT page_id, {PATHS} AS raw, raw AS t, 0 AS n FROM pages)"
+    for k, (pattern, new) in enumerate(REWRITES_SQL):
+        out += f", t{k + 1} AS (SELECT page_id, raw, regexp_replace(t, '{pattern}', '{new}', 'g') AS t, n + len(regexp_extract_all(t, '{pattern}')) AS n FROM t{k})"
+    return out + r""", x AS (SELECT *, regexp_matches(t, '(?:^|[^A-Za-z0-9_])/(?:root|home)/[^\s"''{}]+') AS path, regexp_matches(raw, '(?i)(?:password|密码)\s*[:：=]') OR regexp_matches(raw, 'BEGIN (?:RSA |OPENSSH )?PRIVATE KEY') AS secret FROM t5)"""
 
 
-@query("sanitized_paths", f"WITH x AS (SELECT page_id, {PATHS} AS t FROM pages), y AS (SELECT page_id, t, {SQL_PATH} AS s, regexp_matches(t, '(?i)(?:api[_-]?key|secret|token|password)\\s*[=:]\\s*\\S+') OR regexp_matches({SQL_PATH}, '(?:^|\\s)/(?:home|root|mnt|Users)/') AS refused FROM x) SELECT page_id, CASE WHEN NOT refused THEN s END AS text, 2 AS rewrites, refused FROM y".replace("\\\\", "\\"))
+@query("sanitized_paths", f"WITH {rewritten_sql()} SELECT page_id, CASE WHEN NOT (path OR secret) THEN t END AS text, n::INT AS rewrites, path OR secret AS refused FROM x")
 def sanitized_paths(spark, d):
     x = table(spark, d, "pages").selectExpr("page_id", f"{PATHS} AS t")
-    t, n, refused = hashing.sanitize(F.col("t"))
-    return x.select("page_id", t.alias("text"), n.alias("rewrites"), refused.alias("refused"))
+    t, n, refused = hashing.sanitize(F.col("t"), hashing.release_rewrites(*FOLDERS))
+    return x.select("page_id", t.alias("text"), n.cast("int").alias("rewrites"), refused.alias("refused"))
+
+
+@query("refused_texts", f"WITH {rewritten_sql()} SELECT path, secret, count(*) AS n FROM x GROUP BY path, secret")
+def refused_texts(spark, d):
+    """How many texts are refused, and why."""
+    x = table(spark, d, "pages").selectExpr("page_id", f"{PATHS} AS t")
+    secret = F.col("t").rlike(hashing.SECRETS[0]) | F.col("t").rlike(hashing.SECRETS[1])
+    refused = hashing.sanitize(F.when(~secret, F.col("t")).otherwise(F.lit("")), hashing.release_rewrites(*FOLDERS))[2]
+    free = hashing.sanitize(F.regexp_replace("t", "(?i)password|密码|PRIVATE", "x"), hashing.release_rewrites(*FOLDERS))[2]
+    return x.select(free.alias("path"), secret.alias("secret"), refused.alias("r")).groupBy("path", "secret").agg(F.count(F.lit(1)).alias("n"))
