@@ -71,6 +71,83 @@ def matched_cells(rows: DataFrame, fact: str, variants: int, tokens: str, filler
     return violations(g, "cell", every_variant=F.col("v") == variants, same_fillers=F.col("f") == 1).unionByName(violations(t, "all", token_gap=F.col("gap") <= most_gap))
 
 
+def _cell(*columns: str) -> Column:
+    return F.concat_ws("/", *(F.col(c).cast("string") for c in columns))
+
+
+def matched_variants(rows: DataFrame, pairings: tuple[str, str], modes: tuple[str, ...], fact: str, replica: str, most_gap: float) -> DataFrame:
+    """Violations (rule, key) of a matched design over its variants: rows with pairing, supervision, position_label, filler_fingerprint,
+    fact_fingerprint and actual_tokens.
+
+    Every pairing has every mode (complete_matrix).  Within a pairing a (fact, replica) is there once in every mode (unique_cell,
+    every_mode), with one position, filler, fact and length (same_input).  Between the pairings, in the first mode, it is there in both
+    (both_pairings) with one fact, filler and length.  Facts are exposed alike within a pairing (equal_exposures); under the first pairing a fact
+    stays at one position, under the second each exposure has its own.  The pairings' tokens differ by no more than a share.
+    """
+    key = _cell("pairing", fact, replica).alias("key")
+    inputs = F.struct("position_label", "filler_fingerprint", "fact_fingerprint", "actual_tokens")
+    c = rows.groupBy("pairing", fact, replica).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("supervision").alias("m"), F.count_distinct(inputs).alias("d")).select("*", key)
+    out = violations(c, "key", unique_cell=F.col("n") == F.col("m"), every_mode=F.col("m") == len(modes), same_input=F.col("d") == 1)
+    first = rows.where(F.col("supervision") == modes[0])
+    across = ("fact_fingerprint", "filler_fingerprint", "actual_tokens")
+    b = first.groupBy(fact, replica).agg(F.count_distinct("pairing").alias("p"), *(F.count_distinct(f).alias(f) for f in across)).select("*", _cell(fact, replica).alias("key"))
+    out = out.unionByName(violations(b, "key", both_pairings=F.col("p") == 2, **{f"same_{f}": F.col(f) == 1 for f in across}))
+    e = first.groupBy("pairing", fact).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("position_label").alias("positions"))
+    is_first = F.col("pairing") == pairings[0]
+    each = e.select("*", _cell("pairing", fact).alias("key"))
+    out = out.unionByName(violations(each, "key", independent_at_one_position=~is_first | (F.col("positions") == 1), paired_at_every_position=is_first | (F.col("positions") == F.col("n"))))
+    alike = e.groupBy("pairing").agg(F.count_distinct("n").alias("n"))
+    out = out.unionByName(violations(alike, "pairing", equal_exposures=F.col("n") == 1))
+    tokens = first.groupBy("pairing").agg(F.sum("actual_tokens").alias("t")).agg(((F.max("t") - F.min("t")) / F.greatest(F.avg("t"), F.lit(1.0))).alias("gap")).withColumn("key", F.lit("*"))
+    known = F.col("pairing").isin(*pairings) & F.col("supervision").isin(*modes)
+    matrix = rows.agg(F.count_distinct(F.when(known, F.struct("pairing", "supervision"))).alias("n"), F.bool_and(known).alias("known")).withColumn("key", F.lit("*"))
+    out = out.unionByName(violations(tokens, "key", token_gap=F.col("gap") <= most_gap))
+    return out.unionByName(violations(matrix, "key", complete_matrix=(F.col("n") == len(pairings) * len(modes)) & F.col("known")))
+
+
+def realized_pairing(left: DataFrame, right: DataFrame, by: str, index: str, fact: str, replica: str, positions: int, most_gap: float) -> DataFrame:
+    """By group, how strictly two realized subsets match: left independent, right paired, both with fact_fingerprint, filler_fingerprint,
+    task, filler_type, target_tokens, position_label and prompt_tokens.
+
+    Rows are compared place by place (`index`): same (fact, replica), fact and filler.  Rows by task, filler type, length and replica, and by position,
+    are as many on both sides.  Every fact of the right side has all positions.  strict is all of this and a token gap within a share.
+    """
+    side = lambda x, n: x.select(F.col(by).alias("by"), F.col(index).alias("at"), F.struct(fact, replica).alias(f"id{n}"), F.col("fact_fingerprint").alias(f"fact{n}"), F.col("filler_fingerprint").alias(f"filler{n}"), F.col("prompt_tokens").alias(f"t{n}"))
+    pairs = side(left, 1).join(side(right, 2), ["by", "at"], "full_outer")
+    same = lambda c: F.bool_and(F.coalesce(F.col(f"{c}1") == F.col(f"{c}2"), F.lit(False)))
+    t1, t2 = F.coalesce(F.sum("t1"), F.lit(0)), F.coalesce(F.sum("t2"), F.lit(0))
+    g = pairs.groupBy("by").agg(same("id").alias("same_ordered_identities"), same("fact").alias("same_facts"), same("filler").alias("same_fillers"), t1.alias("independent_tokens"), t2.alias("paired_tokens"))
+    g = g.withColumn("token_gap", F.round(F.abs(F.col("independent_tokens") - F.col("paired_tokens")) / F.greatest((F.col("independent_tokens") + F.col("paired_tokens")) / 2, F.lit(1.0)), 9))
+    fields = {"task": "task", "filler_type": "filler_type", "target_tokens": "target_tokens", "replica": replica, "position": "position_label"}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("value")) for k, c in fields.items())))
+    long = lambda x, sign: x.select(F.col(by).alias("by"), F.lit(sign).alias("sign"), each.alias("x")).select("by", "sign", "x.*")
+    excess = long(left, 1).unionByName(long(right, -1)).groupBy("by", "field", "value").agg(F.sum("sign").alias("excess"))
+    place = F.col("field") == "position"
+    h = excess.groupBy("by").agg(F.bool_and(place | (F.col("excess") == 0)).alias("same_counts"), F.bool_and(~place | (F.col("excess") == 0)).alias("same_positions"))
+    blocks = right.groupBy(F.col(by).alias("by"), fact).agg(F.count_distinct("position_label").alias("p")).groupBy("by").agg(F.bool_and(F.col("p") == positions).alias("complete_blocks"))
+    x = g.join(h, "by").join(blocks, "by", "left").withColumn("complete_blocks", F.coalesce("complete_blocks", F.lit(False)))
+    conditions = ("same_ordered_identities", "same_facts", "same_fillers", "same_counts", "same_positions", "complete_blocks")
+    strict = F.col("token_gap") <= most_gap
+    for c in conditions:
+        strict = strict & F.col(c)
+    return x.select(F.col("by").alias(by), *conditions, "independent_tokens", "paired_tokens", "token_gap", strict.alias("strict"))
+
+
+def ordered_identities(rows: DataFrame, variant: str, reference: str, index: str, wanted: DataFrame, fact: str, replica: str) -> DataFrame:
+    """Violations (rule, key) of variants whose rows are picked by one list of places: another number of rows than the reference (same_rows),
+    and places at which a variant lacks a row or holds another (fact, replica) than the reference (same_identity)."""
+    n = rows.groupBy(variant).agg(F.count(F.lit(1)).alias("n"))
+    whole = n.where(F.col(variant) == reference).select(F.col("n").alias("whole"))  # one row
+    out = violations(n.crossJoin(F.broadcast(whole)), variant, same_rows=F.col("n") == F.col("whole"))
+    identity = F.struct(fact, replica).alias("id")
+    ours = rows.where(F.col(variant) == reference).select(F.col(index).alias("at"), identity).join(wanted.select(F.col(index).alias("at")).distinct(), "at")
+    others = rows.select(variant).distinct().where(F.col(variant) != reference)  # a few variants
+    asked = ours.crossJoin(F.broadcast(others))
+    theirs = rows.select(variant, F.col(index).alias("at"), identity.alias("other"))
+    x = asked.join(theirs, [variant, "at"], "left").withColumn("key", _cell(variant, "at"))
+    return out.unionByName(violations(x, "key", same_identity=F.col("id") == F.col("other")))
+
+
 def siblings(rows: DataFrame, key: list[str], fields: list[str], modes: int) -> DataFrame:
     """A realized subset: rows that differ in supervision only have one value of each field, and every mode once."""
     g = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("supervision").alias("m"), *(F.count_distinct(f).alias(f"d_{f}") for f in fields)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in key)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_json_object
@@ -106,6 +106,27 @@ def select_rows(df: DataFrame, wanted: DataFrame, index: str = "row_index") -> D
     return df.join(wanted.select(index), index, "left_semi")
 
 
+def indexed_rows(spark: SparkSession, path: str, index: str = "row_index") -> DataFrame:
+    """The rows of Parquet files with their places from 0: files in order of path, rows in the order of the file, by what the reader knows of them."""
+    x = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = x.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    # A row for each file.
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return x.join(F.broadcast(offsets), "_file").withColumn(index, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def take_rows(df: DataFrame, wanted: DataFrame, order: str, index: str = "row_index") -> DataFrame:
+    """The rows at a list of places (order, index), in the order of the list and as often as it names them.
+
+    A place that no row has is an error when the rows are read.
+    """
+    there = df.withColumn("_there", F.lit(True))
+    x = wanted.select(order, index).join(there, index, "left")
+    lost = F.raise_error(F.concat(F.lit("no row at "), F.coalesce(F.col(index).cast("string"), F.lit("null"))))
+    return x.where(F.when(F.col("_there"), F.lit(True)).otherwise(lost)).drop("_there").orderBy(order)
+
+
 def line_counts(spark: SparkSession, paths) -> DataFrame:
     lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value")
     return lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.length(F.trim("value")) > 0).alias("non_blank"))
