@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from hashlib import sha256
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.text import is_json_object
 from ..schemas import SCHEMAS
@@ -24,11 +30,25 @@ def bad_lines(spark: SparkSession, paths) -> DataFrame:
     return lines.where(~is_json_object(F.col("value")))
 
 
+def numbered_lines(spark: SparkSession, paths, bad: bool = False) -> DataFrame:
+    """path, line (from 1) and value of every line, or of the bad ones, however files are split.
+
+    A task reads the lines that begin in its block of a file, in order.  Lines are counted by block first; the counts of the blocks before, and
+    a line's place in its own block, give its number.  Ends of line are those of the reader: LF, CR LF or CR.
+    """
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), place.alias("_i"))
+    blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    # A row for each block; a window has those of one file.
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("path", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    some = lines.where((F.trim("value") != "") & ~is_json_object(F.col("value"))) if bad else lines
+    return some.join(offsets, ["path", "_block"]).select("path", (F.col("_i") + F.col("_shift")).alias("line"), "value")
+
+
 def numbered_bad_lines(spark: SparkSession, paths) -> DataFrame:
-    """The same with line numbers from 1.  A file is read as one row, so this is for the files that bad_lines names."""
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    lines = whole.select("path", (F.col("line") + 1).alias("line"), F.rtrim("value").alias("value")).where(F.trim("value") != "")
-    return lines.where(~is_json_object(F.col("value")))
+    """The lines of bad_lines with their numbers."""
+    return numbered_lines(spark, paths, bad=True)
 
 
 def read_tagged(spark: SparkSession, paths, tag: str, key: str = "sample_id") -> DataFrame:
@@ -132,21 +152,65 @@ def line_counts(spark: SparkSession, paths) -> DataFrame:
     return lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.length(F.trim("value")) > 0).alias("non_blank"))
 
 
-def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, bytes and SHA-256 of every file below a folder.  For small artefacts: a file is read whole."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that are read at a time.
+CHUNK = 1 << 20
+
+
+def _fed(digest, path: str, chunk: int) -> None:
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        while piece := f.read(chunk):
+            digest.update(piece)
+
+
+def listed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path and bytes of every file below a folder, empty ones too, or of a file; contents are not read.  The driver lists, as for any scan."""
+    store, at = fs.FileSystem.from_uri(path)
+    prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
+    found = store.get_file_info(at)
+    found = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+    rows = [(prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatchcase(f.base_name, pattern)]
+    return spark.createDataFrame(rows, "path string, bytes bigint")
+
+
+def manifest(spark: SparkSession, path: str, pattern: str = "*", chunk: int = CHUNK) -> DataFrame:
+    """path, bytes and SHA-256 of every file below a folder.  Files are dealt out and each is read in chunks, whatever its size."""
+
+    def hashed(batches):
+        for b in batches:
+            sums = []
+            for p in b.column(0).to_pylist():
+                digest = sha256()
+                _fed(digest, p, chunk)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return listed_files(spark, path, pattern).repartition(tasks, "path").mapInArrow(hashed, "path string, bytes bigint, sha256 string")
 
 
 def manifest_totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
-def folder_fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """One hash of a folder's manifest: relative paths and file hashes in order of path; an empty folder is an error when the row is read."""
-    rel = F.replace("path", F.lit(root), F.lit(""))
-    xs = F.array_sort(F.collect_list(F.struct(rel.alias("p"), "sha256")))
-    return files.agg(F.when(F.count(F.lit(1)) > 0, F.sha2(F.array_join(F.transform(xs, lambda x: F.concat(x["p"], F.lit("\x1f"), x["sha256"])), "\n"), 256)).otherwise(F.raise_error(F.lit(f"no files below {root}"))).alias("fingerprint"))
+def folder_fingerprint(files: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
+    """The SHA-256 of a folder: for each file in order of its path, folder by folder, the relative path, a NUL and the bytes.
+
+    It is one digest over all bytes, so one task reads them, in chunks.  An empty folder is an error when the row is read.
+    """
+    top = root.rstrip("/") + "/"
+
+    def whole(batches):
+        digest, paths = sha256(), [p for b in batches for p in b.column(0).to_pylist() if p is not None]
+        if not paths:
+            raise ValueError(f"no files below {root}")
+        for p in sorted(paths, key=lambda p: p.removeprefix(top).split("/")):
+            digest.update(p.removeprefix(top).encode() + b"\0")
+            _fed(digest, p, chunk)
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["fingerprint"])
+
+    one = files.sparkSession.range(1).select(F.lit(None).cast("string").alias("path"))  # so that the task also runs for no files
+    return files.select("path").unionByName(one).repartition(1).mapInArrow(whole, "fingerprint string")
 
 
 def latest_checkpoint(files: DataFrame) -> DataFrame:
@@ -156,16 +220,108 @@ def latest_checkpoint(files: DataFrame) -> DataFrame:
     return x.agg(F.max_by("path", "step").alias("path"), F.max("step").alias("step"))
 
 
-def write_report(path: str, frames: dict[str, DataFrame], most: int = 100_000) -> None:
-    """A report: small tables as lists of records in one JSON document on the driver.  A table of over `most` rows is refused."""
-    out = {}
-    for name, df in frames.items():
-        rows = df.limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"{name} is no report table: it has over {most} rows")
-        out[name] = [r.asDict(recursive=True) for r in rows]
-    # Written beside its place and then renamed: a reader sees the old report or the new one.
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        f.write(json.dumps(out, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
-    os.replace(part, path)
+class OneFile(DataSource):
+    """A sink of texts as one file: tasks write parts beside it, and the commit joins them in order of their partitions.
+
+    The file appears at once, under its name and whole; if a task fails for good, parts go and nothing is left.  Options: path, and
+    `head`, `between` and `tail` around the texts.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "larkspur_file"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return OneFileWriter(self.options, overwrite)
+
+
+class OneFileWriter(DataSourceWriter):
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
+        self.head, self.between, self.tail = (options.get(k, "").encode() for k in ("head", "between", "tail"))
+        self.parts = f"{self.path}._parts-{uuid.uuid4().hex}"
+
+    def write(self, rows) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(self.parts)
+        store.create_dir(folder, recursive=True)
+        number, n = TaskContext.get().partitionId(), 0
+        name = f"{number:08d}-{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{folder}/{name}") as f:
+            for row in rows:
+                f.write((self.between if n else b"") + row[0].encode())
+                n += 1
+        return PartWritten(name, n)
+
+    def commit(self, messages) -> None:
+        store, at = fs.FileSystem.from_uri(self.path)
+        folder = fs.FileSystem.from_uri(self.parts)[1]
+        if not self.overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
+            self.abort(messages)
+            raise FileExistsError(self.path)
+        whole = f"{folder}/whole"
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(whole) as out:
+            out.write(self.head)
+            seen = False
+            for m in sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.name):
+                out.write(self.between if seen else b"")
+                seen = True
+                with store.open_input_stream(f"{folder}/{m.name}") as part:
+                    while piece := part.read(CHUNK):
+                        out.write(piece)
+            out.write(self.tail)
+        store.move(whole, at)
+        store.delete_dir(folder)
+
+    def abort(self, messages) -> None:
+        store, folder = fs.FileSystem.from_uri(self.parts)
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
+
+
+@dataclass
+class PartWritten(WriterCommitMessage):
+    name: str
+    rows: int
+
+
+def sorted_json(df: DataFrame) -> Column:
+    """A row as JSON with names in order, nulls included."""
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"})
+
+
+def write_file(texts: DataFrame, path: str, overwrite: bool = True, **options: str) -> None:
+    """One file of the texts of a frame's only column, in order of its partitions; see OneFile."""
+    texts.sparkSession.dataSource.register(OneFile)
+    texts.write.format("larkspur_file").options(path=path, **options).mode("overwrite" if overwrite else "append").save()
+
+
+def write_jsonl_file(df: DataFrame, path: str, overwrite: bool = True) -> None:
+    """One JSONL file with sorted names."""
+    write_file(df.select(F.concat(sorted_json(df), F.lit("\n"))), path, overwrite)
+
+
+def write_report(path: str, frames: dict[str, DataFrame]) -> None:
+    """A report: tables by name, in order, each a list of records with sorted names, in one JSON document."""
+    out = None
+    for k, name in enumerate(sorted(frames)):
+        df = frames[name]
+        opening = ("" if k == 0 else ",\n") + json.dumps(name, ensure_ascii=False) + ": ["
+        edge = lambda t, o: df.sparkSession.createDataFrame([(2 * k, o, t)], "k int, o int, t string").coalesce(1)  # noqa: B023, E731
+        rows = df.select(F.lit(2 * k).alias("k"), F.lit(1).alias("o"), sorted_json(df).alias("t"))
+        # The first record of each partition begins a line, all others follow a comma; empty texts stand for none.
+        lines = edge(opening, 0).unionByName(_separated(rows)).unionByName(edge("]", 2))
+        out = lines if out is None else out.unionByName(lines)
+    if out is None:
+        raise ValueError("a report has one table at least")
+    write_file(out.select("t"), path, head="{", tail="}\n")
+
+
+def _separated(rows: DataFrame) -> DataFrame:
+    """Records with a comma before each but the first of all, which is told by the first partition that has rows."""
+    placed = rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    first = placed.agg(F.min("_i").alias("_first"))  # one row
+    comma = F.when(F.col("_i") == F.col("_first"), "\n").otherwise(",\n")
+    return placed.join(F.broadcast(first), F.lit(True), "left").select("k", "o", F.concat(comma, "t").alias("t"))
