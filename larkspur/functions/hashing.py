@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: letters and digits of generated codes.
 ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
@@ -37,6 +38,38 @@ def fingerprint(c: Column) -> Column:
     return F.when(c.isNotNull(), F.sha2(json_text(c), 256))
 
 
+def canonical_json(c: Column, kind: T.DataType) -> Column:
+    """A value as canonical JSON: names in order, nothing between tokens, UTF-8 as it is.  kind: its type.
+
+    Structs have all their fields, nulls as null; the names of maps are texts.  Fractions are written as they read shortest, and those of 10^7 and more or under 10^-3, for which writers differ, are an
+    error; so are types that JSON lacks.
+    """
+    if isinstance(kind, T.StringType):
+        out = json_text(c)
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        out = c.cast("string")
+    elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        plain = (c == 0) | ((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7))
+        out = F.when(plain, c.cast("double").cast("string")).otherwise(F.raise_error(F.concat(F.lit("no canonical form: "), c.cast("string"))))
+    elif isinstance(kind, T.StructType):
+        parts = [F.concat(json_text(F.lit(f.name)), F.lit(":"), canonical_json(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        entries = F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(":"), canonical_json(e["value"], kind.valueType))), ","), F.lit("}"))
+    else:
+        raise TypeError(f"no canonical JSON of {kind.simpleString()}")
+    return F.when(c.isNull(), F.lit("null")).otherwise(out)
+
+
+def record_fingerprint(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of the canonical JSON of some columns of a frame as one object."""
+    kind = T.StructType([df.schema[k] for k in columns])
+    return F.sha2(canonical_json(F.struct(*columns), kind), 256)
+
+
 def random_code(prefix: str, width: int, *parts) -> Column:
     letters = [F.substring(F.lit(ALPHABET), (draw(F.lit(len(ALPHABET)), *parts, F.lit(str(k))) + 1).cast("int"), F.lit(1)) for k in range(width)]
     return F.concat(F.lit(prefix + "-"), *letters)

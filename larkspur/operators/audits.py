@@ -15,12 +15,38 @@ def violations(rows: DataFrame, key: str, **rules: Column) -> DataFrame:
 
 
 def raw_samples(samples: DataFrame, length_error: float = 0.02, position_error: float = 0.03) -> DataFrame:
-    """Length and position errors, evidence in the prompt, and the invariants of a group."""
+    """Length and position errors, evidence and quotes in the prompt, ids that come once, and the invariants of a group.
+
+    Rows with an evaluation_mode, where there is such a column, are diagnostics: of their length it is only asked that there are tokens.
+    """
     ids = F.forall("evidence", lambda e: F.contains(F.col("prompt"), render_document(e["id"], e["text"])))
-    one = violations(samples, "sample_id", length_error=F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= length_error * F.col("target_tokens"), position_error=F.abs(F.col("actual_position") - F.col("target_position")) <= position_error, evidence_in_prompt=ids, room_for_fillers=F.col("base_tokens") < F.col("target_tokens"))
+    length = F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= length_error * F.col("target_tokens")
+    room = F.col("base_tokens") < F.col("target_tokens")
+    if "evaluation_mode" in samples.columns:
+        diagnostic = F.col("evaluation_mode").isNotNull()
+        length, room = F.when(diagnostic, F.col("actual_tokens") > 0).otherwise(length), diagnostic | room
+    rules = {"length_error": length, "position_error": F.abs(F.col("actual_position") - F.col("target_position")) <= position_error, "evidence_in_prompt": ids, "room_for_fillers": room}
+    if "quotes" in samples.columns:
+        rules["quotes_in_prompt"] = F.forall(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: F.contains(F.col("prompt"), q))
+    one = violations(samples, "sample_id", **rules)
+    again = violations(samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")), "sample_id", unique_id=F.col("n") == 1)
     same = {c: F.count_distinct(c) == 1 for c in ("answer", "filler_fingerprint", "task", "filler_type", "target_tokens")}
     g = samples.groupBy("group_id").agg(*(v.alias(k) for k, v in same.items()), (F.count_distinct("position_label") == F.count(F.lit(1))).alias("labels"))
-    return one.unionByName(violations(g, "group_id", **{f"one_{c}": F.col(c) for c in same}, unique_labels=F.col("labels")))
+    return one.unionByName(again).unionByName(violations(g, "group_id", **{f"one_{c}": F.col(c) for c in same}, unique_labels=F.col("labels")))
+
+
+def sample_counts(samples: DataFrame, condition: list[str]) -> DataFrame:
+    """(field, value, rows): rows by condition and by position, the number of rows and that of groups."""
+    what = F.array(F.struct(F.lit("condition").alias("field"), F.concat_ws("|", *(F.col(c).cast("string") for c in condition)).alias("value")), F.struct(F.lit("position").alias("field"), F.col("position_label").alias("value")), F.struct(F.lit("rows").alias("field"), F.lit("*").alias("value")))
+    rows = samples.select(F.explode(what).alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("rows"))
+    groups = samples.select("group_id").distinct().agg(F.count(F.lit(1)).alias("rows")).select(F.lit("groups").alias("field"), F.lit("*").alias("value"), "rows")
+    return rows.unionByName(groups)
+
+
+def replica_histogram(samples: DataFrame, fact: str, replica: str) -> DataFrame:
+    """Facts by how many replicas they have."""
+    n = samples.select(fact, replica).distinct().groupBy(fact).agg(F.count(F.lit(1)).alias("replicas"))
+    return n.groupBy("replicas").agg(F.count(F.lit(1)).alias("facts"))
 
 
 def matched_bank(samples: DataFrame, fact: str, replica: str) -> DataFrame:

@@ -42,3 +42,9 @@ def audit(rows: DataFrame, labels: int, slack: int = 192) -> DataFrame:
     again = violations(rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")), "sample_id", unique_id=F.col("n") == 1)
     g = rows.groupBy("group_id").agg(F.count_distinct("position_label").alias("p"), F.count_distinct("answer", "needle").alias("t"), F.count_distinct("base_sha256").alias("b"))
     return one.unionByName(again).unionByName(violations(g, "group_id", every_position=F.col("p") == labels, one_target=F.col("t") == 1, one_base=F.col("b") == 1))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Rows and groups by length, the most tokens, and the largest error of a position."""
+    g = rows.groupBy("target_tokens", "group_id").agg(F.count(F.lit(1)).alias("n"), F.max("actual_tokens").alias("t"), F.max(F.abs(F.col("actual_position") - F.col("target_position"))).alias("e"))
+    return g.groupBy("target_tokens").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.max("t").alias("most_tokens"), F.round(F.max("e"), 9).alias("position_error"))

@@ -210,6 +210,38 @@ def completeness(rows: DataFrame, by: str, expected: int, tail: int = 100) -> Da
     return out
 
 
+def completed_training(rows: DataFrame, completions: DataFrame, by: list[str], steps: int, recent: int = 20) -> DataFrame:
+    """A record for each finished series: completions (by, global_step, elapsed_seconds, seconds_per_step) at `steps`, whose loss rows have just the
+    steps from 1 on.  First, final and median loss, medians of the last finite values, final accuracy and rate, and whether all is finite.
+    """
+    x = rows.where("loss is not null")
+    done = completions.where(F.col("global_step") == steps)
+    finite = lambda c: F.when(is_finite(F.col(c)), F.col(c))
+    place = Window.partitionBy(*by).orderBy(F.desc("step"))
+    # The last finite values of a metric, by their own order.
+    back = lambda c: F.when(is_finite(F.col(c)), F.sum(is_finite(F.col(c)).cast("int")).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = x.withColumns({"_loss": back("loss"), "_grad": back("grad_norm")})
+    fine = lambda c: F.col(c).isNull() | is_finite(F.col(c))
+    g = x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("metric_rows"),
+        F.count_distinct("step").alias("_steps"),
+        F.min("step").alias("_low"),
+        F.max("step").alias("_high"),
+        F.min_by("loss", F.when(is_finite(F.col("loss")), F.col("step"))).alias("first_loss"),
+        F.max_by("loss", F.when(is_finite(F.col("loss")), F.col("step"))).alias("final_loss"),
+        F.median(finite("loss")).alias("median_loss"),
+        F.median(F.when(F.col("_loss") <= recent, F.col("loss"))).alias("median_loss_recent"),
+        F.max_by("mean_token_accuracy", F.when(is_finite(F.col("mean_token_accuracy")), F.col("step"))).alias("final_accuracy"),
+        F.median(finite("mean_token_accuracy")).alias("median_accuracy"),
+        F.max_by("learning_rate", "step").alias("final_learning_rate"),
+        F.median(F.when(F.col("_grad") <= recent, F.col("grad_norm"))).alias("median_grad_recent"),
+        F.bool_and(fine("loss") & fine("learning_rate") & fine("grad_norm")).alias("all_finite"),
+    )
+    g = g.where((F.col("_steps") == steps) & (F.col("_low") == 1) & (F.col("_high") == steps)).drop("_steps", "_low", "_high")
+    saturated = F.coalesce((F.col("median_loss") < 1e-4) & (F.col("median_accuracy") > 0.999), F.lit(False))
+    return done.join(g, by).withColumn("saturated", saturated)
+
+
 def metric_matrix_problems(rows: DataFrame, by: list[str], steps: int | None, metric: str) -> DataFrame:
     """Violations (by, step, rule) over every row: a metric that is missing, not finite or not positive, a step outside 1..steps,
     a step that comes more than once, and expected steps that are missing.  With steps None the largest step of any series is expected."""

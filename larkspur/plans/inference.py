@@ -200,9 +200,10 @@ def cluster_integrity(spark, d):
     return inference.cluster_problems(grid(spark, d), "cluster", "filler_type", "unit", expected=31)
 
 
-@query("contrast_weights", f"WITH {sql_values(inference.contrasts_two_by_three())} SELECT contrast, count(*) AS runs, round(sum(weight), 9) AS total, round(sum(abs(weight)), 9) AS magnitude FROM w GROUP BY contrast")
+@query("contrast_weights", f"WITH {RESULTS_SQL}, {sql_values(inference.contrasts_two_by_three())} SELECT contrast, count(*) AS runs, round(sum(weight), 9) AS total, round(sum(abs(weight)), 9) AS magnitude FROM w WHERE run_name IN (SELECT run_name FROM results) GROUP BY contrast")
 def contrast_weights(spark, d):
-    w = inference.weights(spark, inference.contrasts_two_by_three())
+    """Weights of the contrasts over the runs that the results have."""
+    w = inference.weights(spark, inference.contrasts_two_by_three()).join(results(spark, d).select("run_name").distinct(), "run_name")
     return w.groupBy("contrast").agg(F.count(F.lit(1)).alias("runs"), F.round(F.abs(F.round(F.sum("weight"), 9)), 9).alias("total"), F.round(F.sum(F.abs("weight")), 9).alias("magnitude"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("cells", "scoring", "inference", "design", "generation", "operations", "audits", "nested", "matched")
+_MODULES: tuple[str, ...] = ("cells", "scoring", "inference", "design", "generation", "operations", "audits", "nested", "matched", "completion")
 
 
 def query(name: str, sql: str | None = None):
