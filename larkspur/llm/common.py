@@ -91,6 +91,16 @@ def hash_sample(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> D
     return cut(df.orderBy(h, *keys).limit(n))
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches of at most so many bytes go between executors and Python workers in this session, unless it sets a size itself.
+
+    Batches of 10,000 long texts are large, and both sides and the buffers between them hold one or more.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf(spark, key) == "67108864b":  # Spark's own
+        spark.conf.set(key, most)
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/larkspur-{what}-{uuid.uuid4().hex[:12]}"
 
