@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,8 @@ GATHER = 2_000_000
 BLANK = "▁"
 #: Where units part in texts with further white space.
 PART = re.compile(r"(?<=\S) (?=\S)")
-UNIT = np.dtype([("n_a", "<i8"), ("n_b", "<i8"), ("n_groups", "<i8"), ("n_links", "<i8"), ("bad", "<i8")])
+#: A unit whose tokens do not spell it.
+BAD = (b"", (0, 0, 0, 0, 1), b"", b"")
 
 ALIGNED_SQL = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
 FOUND_SQL = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -141,34 +143,55 @@ class Aligner:
         assert not any(BLANK in p.lstrip(BLANK) for p in pieces)
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.a_bytes, self.n_b = a_bytes, len(b_bytes)
+        self.sizes = np.array([len(x) for x in a_bytes])
+        #: Strings of groups of one token each.
+        self.names: dict[int, str] = {}
         self.transducer = Transducer(a_bytes, b_bytes)
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def pair(self, a, b):
-        return a * self.n_b + b
+    def _name(self, a: list[int], b: list[int]) -> str:
+        return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
 
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        """(string of the groups, numbers, pairs of ids, times that each is linked) of a unit."""
-        ends = self.transducer.groups(a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == b" " + unit.encode() else None
+    def _aligned(self, a: list[int], b: list[int]) -> tuple:
+        """(string of the groups, numbers, pairs of ids, times that each is linked, or nothing if that is once) of a unit."""
+        ends = self.transducer.groups(a, b)
         if ends is None:
-            return b"", (0, 0, 0, 0, 1), b"", b""
-        names, pairs, n_links, i, j = [], {}, 0, 0, 0
+            return BAD
+        names, pairs, times, i, j, n_b, known = [], [], None, 0, 0, self.n_b, self.names
         for k, m in ends:
-            x, y = a[i:k], b[j:m]
-            names.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-            n_links += len(x) * len(y)
-            if len(x) * len(y) < 64:
-                for p in x:
-                    for q in y:
-                        key = p * self.n_b + q
-                        pairs[key] = pairs.get(key, 0) + 1
+            if k - i == 1 == m - j:
+                key = a[i] * n_b + b[j]
+                name = known.get(key)
+                if name is None:
+                    if len(known) >= TRANSITIONS:
+                        known.clear()
+                    name = known[key] = f"{a[i]}|{b[j]}"
+                names.append(name)
+                pairs.append(key)
             else:
-                (p, s), (q, t) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-                for key, times in zip((p[:, None] * self.n_b + q).ravel().tolist(), (s[:, None] * t).ravel().tolist()):
-                    pairs[key] = pairs.get(key, 0) + times
+                x, y = a[i:k], b[j:m]
+                names.append(self._name(x, y))
+                if len(x) * len(y) < 64:
+                    pairs += [p * n_b + q for p in x for q in y]
+                else:
+                    (p, s), (q, t) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+                    times = times or {}
+                    for key, n in zip((p[:, None] * n_b + q).ravel().tolist(), (s[:, None] * t).ravel().tolist()):
+                        times[len(pairs)] = n
+                        pairs.append(key)
             i, j = k, m
-        return ";".join(names).encode(), (len(a), len(b), len(ends), n_links, 0), np.array(list(pairs), "<i8").tobytes(), np.array(list(pairs.values()), "<i8").tobytes()
+        often = array("q", [times.get(k, 1) for k in range(len(pairs))]) if times else None
+        return ";".join(names).encode(), (len(a), len(b), len(ends), sum(often) if often else len(pairs), 0), array("q", pairs).tobytes(), often.tobytes() if often else b""
+
+    def _spells(self, units: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the tokens of A spell a space and the unit, as they do without a normalizer: all at once, or else one by one."""
+        flat = np.fromiter((t for x in ids for t in x), np.int32)
+        spelt = b"".join(pa.array([" " + u for u in units]).cast(pa.binary()).to_pylist())
+        sizes = np.add.reduceat(self.sizes[flat], np.cumsum([0, *map(len, ids[:-1])])) if len(flat) and all(ids) else None
+        if sizes is not None and sizes.tolist() == [len(u.encode()) + 1 for u in units] and b"".join(map(self.a_bytes.__getitem__, flat.tolist())) == spelt:
+            return [True] * len(units)
+        return [b"".join(map(self.a_bytes.__getitem__, x)) == b" " + u.encode() for u, x in zip(units, ids)]
 
     def units(self, units: list[str]) -> list[tuple]:
         memo, old = self.memo, self.old.get
@@ -180,8 +203,10 @@ class Aligner:
         one = [k for k in missing if " " not in units[k]]
         rest = [k for k in missing if " " in units[k]]
         for at, ids in ((one, self.a._spaced([units[k] for k in one])), (rest, self.a._raw([" " + units[k] for k in rest]))):
-            for k, x, y in zip(at, ids, self.b.encode([units[k] for k in at], num_threads=1) if at else []):
-                got[k] = self._aligned(units[k], np.frombuffer(x, self.a.kind).tolist(), y)
+            if at:
+                some, a = [units[k] for k in at], [np.frombuffer(x, self.a.kind).tolist() for x in ids]
+                for k, fine, x, y in zip(at, self._spells(some, a), a, self.b.encode(some, num_threads=1)):
+                    got[k] = self._aligned(x, y) if fine else BAD
         if len(memo) >= MEMO:
             self.old, self.memo = memo, {}
         self.memo.update((units[k], got[k]) for k in fresh if len(units[k]) <= LONGEST)
@@ -205,7 +230,10 @@ class Aligner:
         strings = [g[0] for g in got]
         numbers = np.array([g[1] for g in got], np.int64).reshape(-1, 5)
         sizes = np.array([len(g[2]) // 8 for g in got])
-        pairs, times = (np.frombuffer(b"".join(g[k] for g in got), "<i8") for k in (2, 3))
+        pairs = np.frombuffer(b"".join(g[2] for g in got), "<i8")
+        times = np.ones(len(pairs), np.int64)
+        for k, first in zip([k for k, g in enumerate(got) if g[3]], (np.cumsum(sizes) - sizes)[[k for k, g in enumerate(got) if g[3]]].tolist()):
+            times[first : first + sizes[k]] = np.frombuffer(got[k][3], "<i8")
         doc = np.repeat(np.arange(len(found)), np.diff(cuts))
         # A unit counts once for each text, as often as it occurs there.
         both, often = np.unique(doc * len(units) + at, return_counts=True)
