@@ -43,6 +43,8 @@ ORDER = 2
 GATHER, BATCH = 1_500_000, 6_000_000
 #: A context with this share of the tokens of a part is dealt out.
 HOT_SHARE = 0.25
+#: Counts of an n-gram are one byte; those from here on are in arrays of their own.
+MANY = 255
 #: Bits of an n-gram's key that tell its part.
 HIGH = 20
 LOW = np.uint64((1 << (64 - HIGH)) - 1)
@@ -118,7 +120,7 @@ def unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def dealt(kind: int, part: np.ndarray, arrays: list[np.ndarray], words: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of packs by part.  The first `words` arrays are hashes of words and share a dictionary."""
+    """Rows of packs by part.  The first `words` arrays are hashes of words and share a dictionary; the first of all is kept as runs."""
     order = np.argsort(part, kind="stable")
     arrays, cuts = [x[order] for x in arrays], np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
     numbers = part[order][cuts[:-1]].tolist() if len(part) else []
@@ -126,7 +128,9 @@ def dealt(kind: int, part: np.ndarray, arrays: list[np.ndarray], words: int = 0)
         own = [x[i:j] for x in arrays]
         if words:
             found, back = np.unique(np.concatenate(own[:words]), return_inverse=True)
-            own = [found, *np.split(back, words), *own[words:]]
+            lead, *rest = np.split(back, words)
+            runs = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+            own = [found, lead[runs], np.diff(np.r_[runs, len(lead)]), *rest, *own[words:]]
         yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([number], pa.int32()), pa.array([pack(*own)], pa.binary())], schema=SENT)
 
 
@@ -135,7 +139,10 @@ def gathered(packs: list[bytes], words: int) -> list[np.ndarray]:
     rows = []
     for p in packs:
         got = unpack(p)
-        rows.append([got[0][ix.astype(np.int64)] for ix in got[1 : words + 1]] + got[words + 1 :] if words else got)
+        if words:
+            lead = np.repeat(got[1], got[2].astype(np.int64))
+            got = [*(got[0][ix.astype(np.int64)] for ix in (lead, *got[3 : words + 2])), *got[words + 2 :]]
+        rows.append(got)
     return [np.concatenate(x) for x in zip(*rows)]
 
 
@@ -221,16 +228,18 @@ def share_batches(batches: Iterator[pa.RecordBatch], n: int, share: float) -> It
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["level", "hash", "n"])
 
 
-def hot_contexts(rows: DataFrame, n: int, parts: int) -> tuple[list[np.ndarray], int]:
-    """For each level the contexts with a large share of the tokens, and the number of tokens.
+def hot_contexts(rows: DataFrame, n: int, parts: int) -> list[np.ndarray]:
+    """For each length the contexts with a large share of the tokens.
 
-    A context with a share of all tokens has it in one chunk at least.  There are at most 2 parts / HOT_SHARE of a level.
+    A context with a share of all tokens has it in one chunk at least.  There are at most 2 parts / HOT_SHARE of a length.
     """
+    if n == 1:
+        return [np.zeros(0, np.uint64)]
     share = HOT_SHARE / parts
-    found = rows.mapInArrow(freed(lambda it: share_batches(it, n, share)), "level int, hash bigint, n bigint").groupBy("level", "hash").agg(F.sum("n").alias("n"))
+    found = cut(rows.mapInArrow(freed(lambda it: share_batches(it, n, share)), "level int, hash bigint, n bigint").groupBy("level", "hash").agg(F.sum("n").alias("n")))
     total = found.where("level = 0").agg(F.sum("n")).first()[0] or 0
     picked = found.where((F.col("level") > 0) & (F.col("n") >= share * total / 2)).collect()
-    return [np.array([r.hash for r in picked if r.level == k], np.int64).view(np.uint64) for k in range(n)], total
+    return [np.array([r.hash for r in picked if r.level == k], np.int64).view(np.uint64) for k in range(n)]
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -239,17 +248,18 @@ def count_batches(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, pa
         seen, count = g.counted(n)
         context = g.hashes[n - 2][g.contexts[n - 1][seen]] if n > 1 else np.zeros(len(seen), np.uint64)
         key = keys_of(context, g.hashes[n - 1][seen], hot) if n > 1 else g.hashes[0][seen]
-        yield from dealt(GRAMS, part_of(key, parts), [*g.spelt(n, seen), count, count], n)
+        yield from dealt(GRAMS, part_of(key, parts), [*g.spelt(n, seen), count], n)
 
 
-def level_batches(batches: Iterator[pa.RecordBatch], k: int, hot: list[np.ndarray], parts: int, path: str, wide: bool) -> Iterator[pa.RecordBatch]:
+def level_batches(batches: Iterator[pa.RecordBatch], k: int, hot: list[np.ndarray], parts: int, path: str) -> Iterator[pa.RecordBatch]:
     """The packs of a part -> its sorted arrays, and packs for the level below and for contexts.  hot: contexts by their length."""
     packs: dict[int, list[bytes]] = {}
     for b in batches:
         for number, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             packs.setdefault(number, []).append(p)
     for number in sorted(packs):
-        *words, a, raw = gathered(packs.pop(number), k)
+        columns = gathered(packs.pop(number), k)
+        words, a, raw = columns[:k], columns[k], columns[-1]  # at the highest level both are the count
         whole = hash_of(words)
         context = hash_of(words[:-1]) if k > 1 else np.zeros(len(whole), np.uint64)
         keys, first, (a, raw) = sums(keys_of(context, whole, hot[k - 1]) if k > 1 else whole, a, raw)
@@ -258,9 +268,12 @@ def level_batches(batches: Iterator[pa.RecordBatch], k: int, hot: list[np.ndarra
             values = np.zeros(len(keys), UNIGRAM)
             values["a"], values["raw"] = a, raw
         else:
-            values = a.astype("<u8" if wide else "<u4")
+            values, large = np.minimum(a, MANY).astype("<u1"), a >= MANY
+            if large.any():
+                write_part(f"{path}/large-{k}", number, keys[large], a[large].astype("<u8"))
         write_part(f"{path}/grams-{k}", number, keys, values)
-        numbers = [int(keys[0]), len(keys), int(a.sum()), int(raw.sum()), *(int((a == c).sum()) for c in (1, 2, 3, 4))]
+        above = keys[a >= MANY][:1].tolist() if k > 1 else []
+        numbers = [int(keys[0]), len(keys), int(a.sum()), int(raw.sum()), *(int((a == c).sum()) for c in (1, 2, 3, 4)), *above]
         yield pa.RecordBatch.from_arrays([pa.array([NUMBERS], pa.int32()), pa.array([number], pa.int32()), pa.array([pack(np.array(numbers, np.uint64))], pa.binary())], schema=SENT)
         if k > 1:
             below = hash_of(words[1:])
@@ -307,6 +320,7 @@ class Model:
     total: int = 0
     spare: float = 0.0
     grams: dict[int, Arrays] = field(default_factory=dict)
+    large: dict[int, Arrays] = field(default_factory=dict)
     contexts: dict[int, Arrays] = field(default_factory=dict)
     discounts: dict[int, tuple] = field(default_factory=dict)
 
@@ -322,7 +336,9 @@ class Model:
             keys, back = np.unique(context, return_inverse=True)
             told = self.contexts[k].find(keys)[back][g.contexts[k - 1]]
             keys, back = np.unique(keys_of(context[g.contexts[k - 1]], g.hashes[k - 1], self.hot[k - 1]), return_inverse=True)
-            a = self.grams[k].find(keys)[back]
+            a = self.grams[k].find(keys).astype(np.uint64)
+            a[a == MANY] = self.large[k].find(keys[a == MANY])
+            a = a[back]
             total = np.maximum(told["total"], 1).astype(float)
             own = (a.astype(float) - np.take(self.discounts[k], np.minimum(a, 3).astype(int))) / total
             rest = np.where(told["total"] > 0, told["spare"] / total, 1.0)
@@ -336,17 +352,19 @@ def train(docs: DataFrame, order: int = ORDER, path: str | None = None) -> Model
     spark = docs.sparkSession
     path, parts = path or new_dir(spark, "ngrams"), partitions(spark)
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    hot, tokens = hot_contexts(rows, order, parts)
-    model, wide = Model(order, hot), tokens >= 1 << 32
+    hot = hot_contexts(rows, order, parts)
+    model = Model(order, hot)
     sent = rows.mapInArrow(freed(lambda it: count_batches(it, order, hot[order - 1], parts)), SENT_SQL)
     for k in range(order, 0, -1):
         by_part = sent.where(F.col("kind") == GRAMS).repartitionById(parts, F.col("part"))
-        sent = cut(by_part.mapInArrow(freed(lambda it, k=k: level_batches(it, k, hot, parts, path, wide)), SENT_SQL))
+        sent = cut(by_part.mapInArrow(freed(lambda it, k=k: level_batches(it, k, hot, parts, path)), SENT_SQL))
+        # A row for each part: its first key, sums, and the first of its keys with a large count, if there is one.
         told = sorted((int(x[0]), r.part, *(int(v) for v in x[1:])) for r in sent.where(F.col("kind") == NUMBERS).collect() for x in unpack(r.pack))
-        _, _, types, total, raw, n1, n2, n3, n4 = map(sum, zip(*told)) if told else [0] * 9
+        types, total, raw, n1, n2, n3, n4 = (sum(x[i] for x in told) for i in range(2, 9))
         d = model.discounts[k] = discounts_of(n1, n2, n3, n4)
-        model.grams[k] = Arrays(f"{path}/grams-{k}", UNIGRAM if k == 1 else "<u8" if wide else "<u4", [(number, first) for first, number, *_ in told])
+        model.grams[k] = Arrays(f"{path}/grams-{k}", UNIGRAM if k == 1 else "<u1", [(number, first) for first, number, *_ in told])
         if k > 1:
+            model.large[k] = Arrays(f"{path}/large-{k}", "<u8", [(x[1], x[9]) for x in told if len(x) > 9])
             dealt_out = sent.where(F.col("kind") == CONTEXTS).repartitionById(parts, F.col("part"))
             written = dealt_out.mapInArrow(freed(lambda it, k=k, d=d: context_batches(it, f"{path}/contexts-{k}", d)), SENT_SQL).collect()  # a row for each part
             firsts = sorted((int(unpack(r.pack)[0][0]), r.part) for r in written)

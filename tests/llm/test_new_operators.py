@@ -222,6 +222,7 @@ def test_kneser_ney_equals_definition(spark, rows, monkeypatch, n, share, gather
     monkeypatch.setattr(model, "HOT_SHARE", share)
     monkeypatch.setattr(model, "GATHER", gather)
     monkeypatch.setattr(model, "BATCH", 6 * gather)
+    monkeypatch.setattr(model, "MANY", 255 if share == 0.25 else 3)
     docs = documents(spark, [r for r in rows if r[0] != 903] + [(906, "a\x0bb\x1cc \x85 é É I İ"), (903, "the x1 " * 300)], 4)
     held = model.held_out(model.F.col("doc_id"))
     known = docs.where(~held).collect()
