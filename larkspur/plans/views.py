@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ranks import numbered
 from ..schemas import GRID, POSITIONS, RUNS
 
 
@@ -89,7 +90,9 @@ HISTORY_COLUMNS = {
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*(f"{v} AS {k}" for k, v in HISTORY_COLUMNS.items()))
+    """The order of time is a rank over ranges: no event type is sorted in one task."""
+    ranked = numbered(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "_step")
+    return ranked.selectExpr(*(f"{'CAST(_step AS INT)' if k == 'step' else v} AS {k}" for k, v in HISTORY_COLUMNS.items()))
 
 
 HISTORY_SQL = "history AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in HISTORY_COLUMNS.items()) + " FROM events)"
