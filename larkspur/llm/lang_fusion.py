@@ -15,7 +15,8 @@ host; Spark splits a host with many pages.  Text is read whole.
 Defined results: a null or empty page has no text evidence (a flat likelihood); a null url or one without :// has the
 host '' and only the priors of all pages; an unknown declared language counts as 'other', none as ''; repeated
 rows count each (a copy is evidence for the other) and get equal results up to rounding; a very long page is read whole; without any labelled document the language is null; equal posteriors go to the
-language that is first by name; an empty table gives no rows; other columns are ignored.
+language that is first by name; an empty table gives no rows; other columns are ignored.  Every language of the fitted sample is two
+columns beside each page (likelihood and posterior), so this is for tens of languages; rows that share a doc_id of the sample are all learnt from.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ token start within the file for every frame, so that any record can be read by o
 
 Documents are range-partitioned by doc_id and a hash of the text, so the sample that finds the ranges holds 16 bytes a row and an id
 with very many rows is split.  The tasks encode and write them, each to a name of its own attempt that is
-then renamed: a task that runs again leaves the same files.  The folder lies in the shared folder of the cluster.
+then renamed: a task that runs again leaves the same files.  That a rename replaces a file of an earlier attempt is asked of the folder's store.  The folder lies in the shared folder of the cluster.
 
 Defined results: a null text is an empty document of only the end id; null doc_ids come first; rows with one doc_id
 stay separate records in the order of that hash; a very long text is one record; the model's added tokens are

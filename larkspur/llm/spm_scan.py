@@ -9,7 +9,7 @@ where it lies.  The chunks of a longer document are rows dealt out over the
 tasks, each with PAD characters of its neighbours.  The state at a cut is the piece that ends there or spans it; both
 sides list the same states from those characters.  A chunk yields its transfer matrix, the weight of the best path from
 each left to each right state.  The matrices of a document are combined by max-plus products, in a tree, upwards and
-downwards again, which gives the state at every cut on the best path.  Then each chunk is traced back alone from its two states.
+downwards again, which gives the state at every cut on the best path; one task holds the matrices of a document, some KB for a chunk.  Then each chunk is traced back alone from its two states.
 
 Pieces hold a blank only in front, so no piece spans the place between another character and a blank, nor a newline's sides.  There
 paths are cut in any case: a chunk's matrix depends on its ends alone, and the distinct segments between such places are encoded
