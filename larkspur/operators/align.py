@@ -73,8 +73,9 @@ def incomplete_groups(rows: DataFrame, group: list[str], positions: int, conditi
 
 
 def transitions(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """How often each value of a becomes each value of b, by key."""
-    x = a.select(key, F.col(value).alias("before")).join(b.select(key, F.col(value).alias("after")), key)
+    """How often each value of a becomes each value of b, by key.  The sides are as large as the runs: the join is told to shuffle, as the
+    planner takes rows that an explode has multiplied for small, and would broadcast them."""
+    x = a.select(key, F.col(value).alias("before")).join(b.select(key, F.col(value).alias("after")).hint("merge"), key)
     return x.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -166,11 +166,12 @@ def ordered_identities(rows: DataFrame, variant: str, reference: str, index: str
     whole = n.where(F.col(variant) == reference).select(F.col("n").alias("whole"))  # one row
     out = violations(n.crossJoin(F.broadcast(whole)), variant, same_rows=F.col("n") == F.col("whole"))
     identity = F.struct(fact, replica).alias("id")
-    ours = rows.where(F.col(variant) == reference).select(F.col(index).alias("at"), identity).join(wanted.select(F.col(index).alias("at")).distinct(), "at")
+    ours = rows.where(F.col(variant) == reference).select(F.col(index).alias("at"), identity).join(wanted.select(F.col(index).alias("at")).distinct().hint("merge"), "at")
     others = rows.select(variant).distinct().where(F.col(variant) != reference)  # a few variants
     asked = ours.crossJoin(F.broadcast(others))
     theirs = rows.select(variant, F.col(index).alias("at"), identity.alias("other"))
-    x = asked.join(theirs, [variant, "at"], "left").withColumn("key", _cell(variant, "at"))
+    # Both sides are as large as a variant, whatever size the planner takes them for: no broadcast.
+    x = asked.join(theirs.hint("merge"), [variant, "at"], "left").withColumn("key", _cell(variant, "at"))
     return out.unionByName(violations(x, "key", same_identity=F.col("id") == F.col("other")))
 
 
@@ -207,11 +208,18 @@ def selected_summary(rows: DataFrame, by: list[str], ids: str, mask: str) -> Dat
 
 
 def balanced_prefix(rows: DataFrame, cell: list[str], cap: str, sample: str) -> DataFrame:
-    """Cap diagnostics: one row for each (cap, cell), and the same sample in a cell under every cap."""
-    caps = rows.select(cap).distinct().agg(F.count(F.lit(1)).alias("caps"))
-    g = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cap).alias("c"), F.count_distinct(sample).alias("s"))
-    x = g.crossJoin(F.broadcast(caps)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in cell)))  # one row
-    return violations(x, "k", one_row_a_cap=(F.col("n") == F.col("caps")) & (F.col("c") == F.col("caps")), one_sample=F.col("s") == 1)
+    """Cap diagnostics: one row for each (cap, cell), and the same sample in a cell under every cap.
+
+    The caps that a cell has are bits of 64-bit words, so that samples alone are counted as distinct values: rows are not multiplied for that.
+    """
+    found = [r[0] for r in rows.select(cap).distinct().collect()]  # a few settings; null is one, which no cell counts
+    known = sorted(c for c in found if c is not None)
+    words = range(-(-max(1, len(known)) // 63))
+    bit = lambda w: F.coalesce(*(F.when(F.col(cap) == c, F.lit(1 << (k % 63))) for k, c in enumerate(known) if k // 63 == w), F.lit(0)).cast("bigint")
+    g = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *(F.bit_or(bit(w)).alias(f"has{w}") for w in words), F.count_distinct(sample).alias("s"))
+    caps = sum((F.bit_count(f"has{w}") for w in words), F.lit(0))
+    x = g.withColumn("c", caps).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in cell)))
+    return violations(x, "k", one_row_a_cap=(F.col("n") == len(found)) & (F.col("c") == len(found)), one_sample=F.col("s") == 1)
 
 
 def chat_protocol(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint
+from ..lineage import cut
 
 ROW, GROUP, CROSS = "row", "group", "cross_run"
 
@@ -56,7 +57,8 @@ def cross_run_categories(rows: DataFrame, base: str = "base", key: str = "sample
 
 def _pairs(flags: DataFrame, base: str, key: str) -> DataFrame:
     b = flags.where(F.col("run_name") == base).select(key, F.col("answer_correct").alias("base_right"), F.col("evidence_quotes_correct").alias("base_quote"))
-    return flags.where(F.col("run_name") != base).join(b, key)
+    # The base is a whole run, whatever size the planner takes it for: no broadcast.
+    return flags.where(F.col("run_name") != base).join(b.hint("merge"), key)
 
 
 def cross_kinds() -> dict[str, Column]:
@@ -101,12 +103,22 @@ FORBIDDEN = (
 )
 
 
+#: Stored examples up to which they are broadcast.
+LISTED = 100_000
+
+
 def tampered(stored: DataFrame, rows: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Stored examples (scope, category, run_name, group_sha256, sample_sha256) that no source row gives when it is categorised and hashed again."""
-    fresh = catalog(rows, key).distinct()
+    """Stored examples (scope, category, run_name, group_sha256, sample_sha256) that no source row gives when it is categorised and hashed again.
+
+    The examples go to the rows and not the rows to the examples: up to LISTED of them are broadcast, and no row that is not among them is shuffled.
+    """
     columns = ("scope", "category", "run_name", "group_sha256", "sample_sha256")
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in columns]
-    return stored.alias("s").join(fresh.alias("f"), same, "left_anti")
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+    stored = cut(stored)
+    asked = stored.select(*columns).distinct()
+    asked = asked.hint("broadcast" if stored.count() <= LISTED else "merge")
+    found = catalog(rows, key).alias("f").join(asked.alias("q"), same("f", "q"), "left_semi").distinct()
+    return stored.alias("s").join(found.hint("merge").alias("f"), same("s", "f"), "left_anti")
 
 
 def catalog_problems(stored: DataFrame, rows: DataFrame, most: int) -> DataFrame:

@@ -150,10 +150,11 @@ CAP_SQL = f"{GRID_SQL}, x AS (SELECT task, unit, run_name, position_label, cap,
 def cap_audit(spark, d):
     """Two output caps over all cells, some with another sample, a missing row or a row too many."""
     g = grid(spark, d).select("task", "unit", "run_name", "position_label")
-    x = g.withColumn("cap", F.explode(F.array(F.lit(128), F.lit(256)))).where("NOT (cap = 256 AND unit % 35 = 0 AND run_name < 'p')")
-    x = x.withColumn("sample", F.expr("CASE WHEN unit % 25 = 0 THEN concat('other', cap) ELSE concat('s', unit) END"))
-    again = g.where("unit % 45 = 0 AND position_label = 'p100'").selectExpr("*", "128 AS cap", "concat('s', unit) AS sample")
-    return audits.balanced_prefix(x.unionByName(again), ["task", "unit", "run_name", "position_label"], "cap", "sample")
+    # A cap of 0 stands for the row too many, which is made in place: a union would read the cells twice and lose how they are dealt out.
+    more = F.array_compact(F.array(F.lit(128), F.expr("CASE WHEN NOT (unit % 35 = 0 AND run_name < 'p') THEN 256 END"), F.expr("CASE WHEN unit % 45 = 0 AND position_label = 'p100' THEN 0 END")))
+    x = g.withColumn("c", F.explode(more)).withColumn("cap", F.expr("CASE WHEN c = 0 THEN 128 ELSE c END"))
+    x = x.withColumn("sample", F.expr("CASE WHEN c <> 0 AND unit % 25 = 0 THEN concat('other', cap) ELSE concat('s', unit) END")).drop("c")
+    return audits.balanced_prefix(x, ["task", "unit", "run_name", "position_label"], "cap", "sample")
 
 
 #: Renderings: the length of the whole, a prompt that may be no prefix of it, and sentinels that may be lost.

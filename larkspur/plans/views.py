@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import dealt
 from ..operators.ranks import numbered
 from ..schemas import GRID, POSITIONS, RUNS
 
@@ -63,8 +64,13 @@ GRID_COLUMNS = {
 }
 
 
+#: Parts in a partition of the grid, with 49 rows each.
+PARTS = 4_000
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    """Dealt out by unit before rows multiply, so a task has about PARTS units, and whole ones."""
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand"), PARTS, "p_partkey")
     wide = part.selectExpr("*", "explode(sequence(0, 6)) AS run_no").selectExpr("*", "explode(sequence(0, 6)) AS pos_no")
     roll = "conv(substring(sha2(concat_ws(':', run_no, p_partkey, pos_no), 256), 1, 8), 16, 10)"
     return wide.selectExpr(*(f"{v} AS {k}" for k, v in GRID_COLUMNS.items()), f"CAST({roll} AS BIGINT) % 100 < 55 + 5 * run_no - CASE WHEN pos_no IN (2, 3, 4) THEN 12 ELSE 0 END AS correct", f"CAST({roll} AS BIGINT) % 1000 / 1000 AS score", "p_brand AS subject")
