@@ -2,7 +2,7 @@
 
 A bootstrap never replays rows.  Each resampling unit is one row of sums; a replicate is how often it picks each unit of a stratum, the same for all
 runs, and statistics are taken on the product of these counts and the sums.  Draws come from hashes of (seed, replicate, stratum,
-number), so any engine gives the same (`resample`); or counts are split over blocks of units by hashes of the blocks, which works for any
+number), so any engine gives the same (`resample`, whose tasks count a replicate's draws and send the counts to blocks of units); or counts are split over blocks of units by hashes of the blocks, which works for any
 number of units (`resample_by_counts`).  Tasks multiply in Arrow batches and sum by replicate before anything is shuffled.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..lineage import dealt
 from ..schemas import RUNS
 from .ranks import numbered
 
@@ -110,22 +111,25 @@ def draws(numbered: DataFrame, stratum: str, replicates: int, seed: int) -> Data
 
 #: Numbers in a table of units up to which it is broadcast (32 MB).
 BROADCAST_NUMBERS = 4_000_000
-#: Counts of draws that a task holds at a time.
-COUNTS = 2_000_000
+#: Counts of draws that a task holds at a time, or those of one replicate of a stratum, and hashes that it holds.
+COUNTS, HASHES = 2_000_000, 100_000
+#: Units of a block to which counts are sent.
+SENT = 16_384
 
 
 def drawn_counts(text: str, n: int, first: int, stop: int, seed: int) -> np.ndarray:
     """(replicates from first to stop, units): how often `draws` picks each of the n units of a stratum."""
-    blocks = [str(b).encode() for b in range(-(-n // DRAWS_A_HASH))]
-    out = np.empty((stop - first, n))
+    out = np.zeros((stop - first, n))
     low = np.uint64((1 << 60) - 1)
-    for r in range(first, stop):
-        head = f"{seed}:{r}:{text}:".encode()
-        raw = np.frombuffer(b"".join([sha256(head + b).digest() for b in blocks]), np.uint8).reshape(-1, 32)
-        at = lambda k: np.ascontiguousarray(raw[:, k : k + 8]).view(">u8")[:, 0].astype(np.uint64)
-        # 60 bits each, which begin at bits 0, 60, 120 and 180.
-        picked = np.stack([at(0) >> np.uint64(4), at(7) & low, at(15) >> np.uint64(4), at(22) & low], 1).ravel()[:n]
-        out[r - first] = np.bincount((picked % np.uint64(n)).astype(np.int64), minlength=n)
+    for start in range(0, -(-n // DRAWS_A_HASH), HASHES):
+        blocks = [str(b).encode() for b in range(start, min(start + HASHES, -(-n // DRAWS_A_HASH)))]
+        for r in range(first, stop):
+            head = f"{seed}:{r}:{text}:".encode()
+            raw = np.frombuffer(b"".join([sha256(head + b).digest() for b in blocks]), np.uint8).reshape(-1, 32)
+            at = lambda k: np.ascontiguousarray(raw[:, k : k + 8]).view(">u8")[:, 0].astype(np.uint64)  # noqa: B023, E731
+            # 60 bits each, which begin at bits 0, 60, 120 and 180.
+            picked = np.stack([at(0) >> np.uint64(4), at(7) & low, at(15) >> np.uint64(4), at(22) & low], 1).ravel()[: n - start * DRAWS_A_HASH]
+            np.add.at(out[r - first], (picked % np.uint64(n)).astype(np.int64), 1.0)
     return out
 
 
@@ -204,8 +208,8 @@ def resample(sums: DataFrame, stratum: str, unit: str, keys: list[str], values:
     """Sums of `values` over the picked units by replicate and keys.  sums: a row for each (stratum, unit, keys).
 
     The picks are those of `draws`.  Up to BROADCAST_NUMBERS numbers the sums go to all tasks, which count a replicate's picks and take the
-    product of counts and sums; beyond, every pick is a row that meets its unit.  `resample_by_counts` needs neither.  Rows without
-    a stratum or unit take no part.
+    product of counts and sums; beyond, see `_by_blocks`.  Rows without a stratum or unit take no part.  sums is read several times: cut it
+    if it is dear.
     """
     sums = sums.where(F.col(stratum).isNotNull() & F.col(unit).isNotNull())
     most = BROADCAST_NUMBERS // (len(keys) + len(values) + 3)
@@ -213,10 +217,96 @@ def resample(sums: DataFrame, stratum: str, unit: str, keys: list[str], values:
     if few.num_rows <= most:
         found = _by_matrix(few, sums, keys, values, replicates, seed)
         return found.groupBy("replicate", *keys).agg(*(F.sum(v).alias(v) for v in values))
+    return _by_blocks(sums, stratum, unit, keys, values, replicates, seed).groupBy("replicate", *keys).agg(*(F.sum(v).alias(v) for v in values))
+
+
+def _ranges(strata: DataFrame, replicates: int) -> DataFrame:
+    """strata (with n_units) with the first and stop of ranges of replicates, of about COUNTS draws each or one replicate, dealt out."""
+    step = F.greatest(F.lit(1), F.least(F.lit(replicates), F.floor(F.lit(COUNTS) / F.col("n_units")))).cast("int")
+    each = strata.withColumn("_step", step).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("_step"))))
+    each = each.withColumn("stop", F.least(F.col("first") + F.col("_step"), F.lit(replicates))).drop("_step")
+    return dealt(each, 8, *each.columns)
+
+
+def _placed(sums: DataFrame, units: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], size: int) -> DataFrame:
+    """sums by block of `size` units: _t (the stratum as text), n_units, _b, the unit's place _i in the block, the keys as _k0.., the values."""
+    u = units.select(F.col(stratum).alias("_s"), F.col(unit).alias("_u"), "idx", "n_units").hint("merge")
+    placed = sums.join(u, (F.col(stratum) == F.col("_s")) & (F.col(unit) == F.col("_u")))
+    return placed.select(F.col(stratum).cast("string").alias("_t"), "n_units", F.floor(F.col("idx") / size).alias("_b"), (F.col("idx") % size).alias("_i"), *(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), *values)
+
+
+def _grouped(t: pa.Table, keys: int, values: list[str], kind: np.dtype) -> tuple[list[np.ndarray], list[np.ndarray], pa.Table]:
+    """The rows of a block by their keys: places in the block and values of each group, and the groups' keys."""
+    own = [f"_k{k}" for k in range(keys)]
+    group, at, m = _codes(t, own), t["_i"].to_numpy(), _matrix(t, values, kind)
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    parts = np.split(order, cuts[1:])
+    return [at[p] for p in parts], [m[p] for p in parts], t.select(own).take(pa.array(order[cuts]))
+
+
+def _by_blocks(sums: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
+    """Any number of units: tasks count the picks of some replicates of a stratum and send the counts, a byte or less for a unit and
+    replicate, to blocks of SENT units, where the product with the sums is taken.
+
+    No row stands for a pick.  A task holds the counts of one replicate of a stratum, 8 bytes a unit, or COUNTS; a block all replicates' counts of
+    its units, compressed.
+    """
+    shape, kind = _shape(sums, keys, values)
     units = ordinals(sums, stratum, unit)
-    placed = sums.join(units.select(stratum, unit, "idx"), [stratum, unit]).select(stratum, "idx", *(k for k in keys if k != stratum), *values)
-    drawn = draws(units, stratum, replicates, seed).groupBy("replicate", stratum, "idx").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    return drawn.join(placed, [stratum, "idx"]).groupBy("replicate", *keys).agg(*(F.sum(F.col("times") * F.col(v)).alias(v) for v in values))
+    placed = _placed(sums, units, stratum, unit, keys, values, SENT)
+    schema = to_arrow_schema(shape)
+    sent = T.StructType([T.StructField(n, k()) for n, k in (("_t", T.StringType), ("n_units", T.LongType), ("_b", T.LongType), ("first", T.IntegerType), ("stop", T.IntegerType), ("width", T.IntegerType), ("counts", T.BinaryType))])
+    sent_schema = to_arrow_schema(sent)
+
+    def count(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for b in batches:
+            for row in b.to_pylist():
+                text, n, first, stop = row["_t"], row["n_units"], row["first"], row["stop"]
+                counts = drawn_counts(text, n, first, stop, seed)
+                width = np.uint8 if counts.max(initial=0) < 256 else np.uint32
+                starts = range(0, n, SENT)
+                packed = [codec.compress(np.ascontiguousarray(counts[:, s : s + SENT].astype(width)), asbytes=True) for s in starts]
+                same = lambda v: [v] * len(starts)
+                columns = (same(text), same(n), list(range(len(starts))), same(first), same(stop), same(width().itemsize), packed)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, sent_schema)], schema=sent_schema)
+
+    strata = units.groupBy(F.col(stratum).cast("string").alias("_t")).agg(F.max("n_units").alias("n_units"))
+    picked = _ranges(strata, replicates).mapInArrow(count, sent)
+
+    def multiply(t, c):
+        places, matrices, heads = _grouped(t, len(keys), values, kind)
+        codec, found = pa.Codec("zstd"), []
+        for row in c.to_batches(max_chunksize=64):
+            for x in row.to_pylist():
+                size = min(SENT, x["n_units"] - x["_b"] * SENT)
+                raw = codec.decompress(x["counts"], (x["stop"] - x["first"]) * size * x["width"])
+                counts = np.frombuffer(raw, np.uint8 if x["width"] == 1 else np.uint32).reshape(-1, size).astype(float)
+                found.append(_rows(x["first"], np.stack([product(counts[:, i], m) for i, m in zip(places, matrices)], 1), heads, values, schema))
+        return pa.Table.from_batches(found, schema)
+
+    by = ("_t", "n_units", "_b")
+    return placed.groupBy(*by).cogroup(picked.groupBy(*by)).applyInArrow(multiply, shape)
+
+
+def draw_totals(strata: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """stratum, replicate, draws, distinct_units and index_sum of what `draws` gives, from strata (stratum, n_units): no row stands for a draw."""
+    x = strata.where("stratum is not null and n_units > 0").select("stratum", F.col("stratum").cast("string").alias("_t"), F.col("n_units").cast("bigint").alias("n_units"))
+    shape = T.StructType([x.schema["stratum"], T.StructField("replicate", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("draws", "distinct_units", "index_sum"))])
+    schema = to_arrow_schema(shape)
+
+    def run(batches):
+        for b in batches:
+            for k, row in enumerate(b.select(["_t", "n_units", "first", "stop"]).to_pylist()):
+                counts = drawn_counts(row["_t"], row["n_units"], row["first"], row["stop"], seed)
+                # Whole numbers below 2^53 at each step: a share of the counts at a time.
+                index = sum(((counts[:, s : s + SENT] @ (np.arange(s, min(s + SENT, counts.shape[1])) - s).astype(float)).astype(np.int64) + s * counts[:, s : s + SENT].sum(1).astype(np.int64) for s in range(0, counts.shape[1], SENT)), np.zeros(len(counts), np.int64))
+                heads = b.column("stratum").take(pa.array([k] * len(counts)))
+                columns = (pa.array(np.arange(row["first"], row["stop"], dtype=np.int32)), pa.array(counts.sum(1).astype(np.int64)), pa.array(np.count_nonzero(counts, axis=1).astype(np.int64)), pa.array(index))
+                yield pa.RecordBatch.from_arrays([heads, *columns], schema=schema)
+
+    return _ranges(x, replicates).mapInArrow(run, shape)
 
 
 #: Units of a block.
@@ -262,19 +352,13 @@ def resample_by_counts(sums: DataFrame, stratum: str, unit: str, keys: list[str]
     """
     sums = sums.where(F.col(stratum).isNotNull() & F.col(unit).isNotNull())
     shape, kind = _shape(sums, keys, values)
-    units = ordinals(sums, stratum, unit).select(F.col(stratum).alias("_s"), F.col(unit).alias("_u"), "idx", "n_units")
-    placed = sums.join(units, (F.col(stratum) == F.col("_s")) & (F.col(unit) == F.col("_u")))
-    placed = placed.select(F.col(stratum).cast("string").alias("_t"), "n_units", F.floor(F.col("idx") / size).alias("_b"), (F.col("idx") % size).alias("_i"), *(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), *values)
+    placed = _placed(sums, ordinals(sums, stratum, unit), stratum, unit, keys, values, size)
     schema = to_arrow_schema(shape)
 
     def run(head, t):
         text, n, block = (x.as_py() for x in head)
-        own = [f"_k{k}" for k in range(len(keys))]
-        group, at, m = _codes(t, own), t["_i"].to_numpy(), _matrix(t, values, kind)
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-        parts, heads = np.split(order, cuts[1:]), t.select(own).take(pa.array(order[cuts]))
-        found = [_rows(first, np.stack([product(counts[:, at[p]], m[p]) for p in parts], 1), heads, values, schema) for first, counts in block_counts(text, n, block, size, replicates, seed)]
+        places, matrices, heads = _grouped(t, len(keys), values, kind)
+        found = [_rows(first, np.stack([product(counts[:, i], m) for i, m in zip(places, matrices)], 1), heads, values, schema) for first, counts in block_counts(text, n, block, size, replicates, seed)]
         return pa.Table.from_batches(found, schema)
 
     return placed.groupBy("_t", "n_units", "_b").applyInArrow(run, shape).groupBy("replicate", *keys).agg(*(F.sum(v).alias(v) for v in values))

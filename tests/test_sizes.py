@@ -65,3 +65,27 @@ def test_caps_as_bits(spark, caps):
     with_null = audits.balanced_prefix(x.unionByName(spark.createDataFrame([("null", None, "s")], x.schema)), ["cell"], "cap", "sample").where("rule = 'one_row_a_cap'")
     assert {r.key for r in with_null.collect()} == {"all", "twice", "other", "lost", "null"} | ({"less"} if caps > 1 else set())
     assert "Expand" not in plan(audits.balanced_prefix(x, ["cell"], "cap", "sample"))
+
+
+@pytest.mark.parametrize("sent, counts, hashes", [(16, 50, 3), (1000, 2_000_000, 100_000), (7, 1, 1)])
+def test_counts_sent_to_blocks_are_the_draws(spark, monkeypatch, sent, counts, hashes):
+    from larkspur.operators import inference
+
+    monkeypatch.setattr(inference, "SENT", sent)
+    monkeypatch.setattr(inference, "COUNTS", counts)
+    monkeypatch.setattr(inference, "HASHES", hashes)
+    s = spark.createDataFrame([(t, u, g, u * 3 % 7, u % 2) for t, n in (("a", 1), ("b", 37), ("c", 130)) for u in range(n) for g in ("x", None, "y")[: 1 + u % 3]], "stratum string, unit int, g string, v long, w int")
+    keys, values, b = ["stratum", "g"], ["v", "w"], 9
+    few = inference.resample(s, "stratum", "unit", keys, values, b, 5)
+    monkeypatch.setattr(inference, "BROADCAST_NUMBERS", 10)
+    many = inference.resample(s, "stratum", "unit", keys, values, b, 5)
+    drawn = inference.draws(inference.ordinals(s, "stratum", "unit"), "stratum", b, 5)
+    rows = drawn.join(inference.ordinals(s, "stratum", "unit"), ["stratum", "idx"]).join(s, ["stratum", "unit"]).groupBy("replicate", *keys).agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    kept = rows.where("v <> 0 or w <> 0").count()
+    as_rows = lambda df: sorted(str(r) for r in df.select("replicate", *keys, *values).where("v <> 0 or w <> 0").collect())
+    assert len(as_rows(many)) == kept and as_rows(many) == as_rows(few) == as_rows(rows)
+    # No row stands for a draw, and the sums are multiplied where their blocks are.
+    assert "FlatMapCoGroupsInArrow" in plan(many) and "Generate explode(array" not in plan(many)
+    totals = inference.draw_totals(s.groupBy("stratum").agg(F.count_distinct("unit").alias("n_units")), b, 5)
+    want = drawn.groupBy("stratum", "replicate").agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("idx").alias("distinct_units"), F.sum("idx").alias("index_sum"))
+    assert sorted(map(str, totals.collect())) == sorted(map(str, want.collect()))
