@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import render_document
+from ..lineage import cut
+
+
+def broken(**rules: Column) -> Column:
+    """Names of the rules that do not hold, as an array; null counts as broken."""
+    return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in rules.items())))
 
 
 def violations(rows: DataFrame, key: str, **rules: Column) -> DataFrame:
     """One row for each rule that a row breaks; a rule is a condition that must hold, and null counts as broken."""
-    named = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in rules.items())))
-    return rows.select(F.explode(named).alias("rule"), F.col(key).cast("string").alias("key"))
+    return rows.select(F.explode(broken(**rules)).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
 def raw_samples(samples: DataFrame, length_error: float = 0.02, position_error: float = 0.03) -> DataFrame:
@@ -28,9 +33,12 @@ def raw_samples(samples: DataFrame, length_error: float = 0.02, position_error:
     rules = {"length_error": length, "position_error": F.abs(F.col("actual_position") - F.col("target_position")) <= position_error, "evidence_in_prompt": ids, "room_for_fillers": room}
     if "quotes" in samples.columns:
         rules["quotes_in_prompt"] = F.forall(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: F.contains(F.col("prompt"), q))
-    one = violations(samples, "sample_id", **rules)
+    invariant = ("answer", "filler_fingerprint", "task", "filler_type", "target_tokens")
+    # Samples are dear and read three times: what is asked of them is cut, without their texts.
+    samples = cut(samples.select("sample_id", "group_id", "position_label", *invariant, broken(**rules).alias("bad")))
+    one = samples.select(F.explode("bad").alias("rule"), F.col("sample_id").cast("string").alias("key"))
     again = violations(samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")), "sample_id", unique_id=F.col("n") == 1)
-    same = {c: F.count_distinct(c) == 1 for c in ("answer", "filler_fingerprint", "task", "filler_type", "target_tokens")}
+    same = {c: F.min(c) == F.max(c) for c in invariant}  # one value that is not null; none gives null, which is broken
     g = samples.groupBy("group_id").agg(*(v.alias(k) for k, v in same.items()), (F.count_distinct("position_label") == F.count(F.lit(1))).alias("labels"))
     return one.unionByName(again).unionByName(violations(g, "group_id", **{f"one_{c}": F.col(c) for c in same}, unique_labels=F.col("labels")))
 

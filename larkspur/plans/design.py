@@ -103,7 +103,7 @@ def misaligned_samples(spark, d):
 
 @query("incomplete_groups", f"WITH {RESULTS_SQL} SELECT run_name, group_id, count(DISTINCT position_label) AS labels, count(*) AS n, count(DISTINCT task || filler_type || target_tokens) AS conditions FROM results GROUP BY run_name, group_id HAVING count(DISTINCT position_label) <> 7 OR count(*) <> 7 OR count(DISTINCT task || filler_type || target_tokens) <> 1")
 def incomplete_groups(spark, d):
-    return align.incomplete_groups(results(spark, d), ["run_name", "group_id"], len(GRID), ["task", "filler_type", "target_tokens"])
+    return align.incomplete_groups(results(spark, d, by_group=True), ["run_name", "group_id"], len(GRID), ["task", "filler_type", "target_tokens"])
 
 
 @query("run_transitions", f"WITH {GRID_SQL} SELECT a.correct AS before, b.correct AS after, count(*) AS n FROM grid a JOIN grid b ON a.unit = b.unit AND a.position_label = b.position_label AND a.run_name = 'base' AND b.run_name = 'paired_evidence' GROUP BY ALL")

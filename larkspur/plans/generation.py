@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.hashing import ALPHABET, random_code
+from ..lineage import dealt
 from ..operators import audits, generate
 from ..schemas import GRID
 from .registry import query
@@ -41,7 +42,7 @@ def random_codes(spark, d):
 
 @query("task_facts", f"SELECT CAST(p_partkey AS VARCHAR) AS group_id, CASE WHEN p_partkey % 2 = 0 THEN {code_sql('VALUE', 8, FACT_SEED, chr(39) + 'VALUE' + chr(39))} END AS kv_answer, CASE WHEN p_partkey % 2 = 0 THEN 'Which value does the register hold for ' || {code_sql('KEY', 10, FACT_SEED, chr(39) + 'KEY' + chr(39))} || '?' ELSE 'Which shade belongs to ' || {code_sql('ENTITY', 8, FACT_SEED, chr(39) + 'ENTITY' + chr(39))} || '?' END AS query, CAST(1 + p_partkey % 2 AS INT) AS documents FROM part")
 def task_facts(spark, d):
-    f = generate.facts(groups(spark, d))
+    f = generate.facts(dealt(groups(spark, d), 20_000, "group_id"))
     return f.select("group_id", F.when(F.col("task") == "kv", F.col("answer")).alias("kv_answer"), "query", F.size("evidence").alias("documents"))
 
 

@@ -45,8 +45,12 @@ RESULT_COLUMNS = {
 }
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in RESULT_COLUMNS.items()))
+def results(spark: SparkSession, sf_dir: str, by_group: bool = False) -> DataFrame:
+    """by_group: dealt out by order, so that groups need no other shuffle."""
+    rows = table(spark, sf_dir, "lineitem")
+    if by_group:
+        rows = dealt(rows, 200_000, "l_orderkey")
+    return rows.selectExpr(*(f"{v} AS {k}" for k, v in RESULT_COLUMNS.items()))
 
 
 RESULTS_SQL = "results AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in RESULT_COLUMNS.items()) + " FROM lineitem)"
