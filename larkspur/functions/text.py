@@ -69,6 +69,11 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(TOKEN))
 
 
+def cuts_token(text: Column, at: Column) -> Column:
+    """Whether a place (characters before it) lies within a run of letters, digits and underscores, which a break there makes two tokens of."""
+    return F.substring(text, at, F.lit(2)).rlike(r"^[\p{L}\p{N}_]{2}\z") & (at > 0)
+
+
 def chat_tokens(system: Column, user: Column) -> Column:
     return token_count(F.concat(system, F.lit("\n\n"), user))
 
@@ -118,10 +123,14 @@ def render_document(i: Column, text: Column) -> Column:
     return F.concat(F.lit("[Document "), i, F.lit("]\n"), text)
 
 
+#: What a prompt begins with.
+CONTEXT = "<context>\n"
+
+
 # The template of a prompt, which split_prompt reads again.
 def render_prompt(documents: Column, query: Column) -> Column:
     body = F.array_join(F.transform(documents, lambda x: render_document(x["id"], x["text"])), "\n\n")
-    return F.concat(F.lit("<context>\n"), body, F.lit("\n</context>\n\nQuestion: "), query, F.lit("\nResponse:"))
+    return F.concat(F.lit(CONTEXT), body, F.lit("\n</context>\n\nQuestion: "), query, F.lit("\nResponse:"))
 
 
 def insert_cluster(filler: Column, evidence: Column, index: Column) -> Column:

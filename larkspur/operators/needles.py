@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import insert_block, insertion_index, position_label, token_count
+from ..functions.text import cuts_token, insert_block, insertion_index, position_label, token_count
 from ..lineage import cut, dealt
 from .audits import broken, violations
 from .generate import fit_prefix
@@ -27,13 +27,16 @@ def needle_rows(books: DataFrame, cases: DataFrame, lengths: list[int], position
     words = F.slice(F.split("text", " ", most + 1), F.lit(1), F.lit(most))
     x = dealt(books, BOOKS, "book").select("book", words.alias("words")).crossJoin(F.broadcast(cases)).withColumn("target_tokens", F.explode(F.array(*map(F.lit, lengths))))
     out = fit_prefix(x, "words", "needle", F.col("target_tokens") - ROOM).where("fitted is not null")
-    g = out.select(F.concat_ws("-", "book", "case_id", "target_tokens").alias("group_id"), "book", "case_id", "needle", "answer", "question", "target_tokens", "fitted", F.sha2("fitted", 256).alias("base_sha256"))
+    g = out.select(F.concat_ws("-", "book", "case_id", "target_tokens").alias("group_id"), "book", "case_id", "needle", "answer", "question", "target_tokens", "fitted", "fitted_tokens", F.sha2("fitted", 256).alias("base_sha256"))
     r = g.withColumn("target_position", F.explode(F.array(*map(F.lit, positions))))
     at = insertion_index(F.col("fitted"), F.col("target_position"))
     r = r.withColumn("at", at.cast("int")).withColumn("context", insert_block(F.col("fitted"), F.col("needle"), F.col("at")))
-    prefix = token_count(F.substring(F.col("context"), F.lit(1), F.col("at")))
+    # The needle's newlines part tokens: those of text and needle are known, and one more comes where a token is cut.
+    total = F.col("fitted_tokens") + cuts_token(F.col("fitted"), F.col("at")).cast("int")
+    end = F.col("at") >= F.length("fitted")
+    prefix = F.when(F.col("at") <= 0, 0).when(end, F.col("fitted_tokens") - token_count(F.col("needle"))).otherwise(token_count(F.substring(F.col("fitted"), F.lit(1), F.col("at"))))
     label = position_label(F.col("target_position"))
-    return r.select(F.concat_ws("@", "group_id", label).alias("sample_id"), "group_id", "book", "case_id", "target_tokens", token_count(F.col("context")).alias("actual_tokens"), label.alias("position_label"), "target_position", (prefix / F.greatest(token_count(F.col("context")), F.lit(1))).alias("actual_position"), "context", "needle", "answer", "question", "base_sha256")
+    return r.select(F.concat_ws("@", "group_id", label).alias("sample_id"), "group_id", "book", "case_id", "target_tokens", total.alias("actual_tokens"), label.alias("position_label"), "target_position", (prefix / F.greatest(total, F.lit(1))).alias("actual_position"), "context", "needle", "answer", "question", "base_sha256")
 
 
 def audit(rows: DataFrame, labels: int, slack: int = 192) -> DataFrame:

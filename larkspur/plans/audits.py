@@ -231,7 +231,8 @@ CHANGED = {"context": "CASE WHEN doc_id % 7 = 0 AND label = 'p000' THEN replace(
 def needle_problems(spark, d):
     """The same rows with changed texts, answers and base hashes, lost positions and repeated ids."""
     r = made_needles(spark, d).withColumnsRenamed({"position_label": "label", "base_sha256": "base"}).withColumn("doc_id", F.col("book").cast("bigint")).where("NOT (doc_id % 5 = 0 AND label = 'p050')")
-    r = r.withColumns({k: F.expr(v) for k, v in CHANGED.items()}).withColumn("actual_tokens", text.token_count(F.col("context")))
+    r = r.withColumn("made", F.col("context")).withColumns({k: F.expr(v) for k, v in CHANGED.items()})
+    r = r.withColumn("actual_tokens", F.when(F.col("context") == F.col("made"), F.col("actual_tokens")).otherwise(text.token_count(F.col("context")))).drop("made")
     r = r.unionByName(r.where("doc_id % 11 = 0 AND label = 'p100'")).withColumnsRenamed({"label": "position_label", "base": "base_sha256"})
     return needles.audit(r, len(PLACES))
 

@@ -89,3 +89,25 @@ def test_counts_sent_to_blocks_are_the_draws(spark, monkeypatch, sent, counts, h
     totals = inference.draw_totals(s.groupBy("stratum").agg(F.count_distinct("unit").alias("n_units")), b, 5)
     want = drawn.groupBy("stratum", "replicate").agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("idx").alias("distinct_units"), F.sum("idx").alias("index_sum"))
     assert sorted(map(str, totals.collect())) == sorted(map(str, want.collect()))
+
+
+def test_token_counts_add_up(spark, sf_dir, monkeypatch):
+    """What is counted of parts equals what is counted of whole prompts and contexts, also where a needle cuts a token."""
+    from larkspur.functions.text import cuts_token, token_count
+    from larkspur.operators import generate, needles
+
+    g = spark.createDataFrame([(str(k), ("kv", "two_hop")[k % 2], ("neutral", "same_format", "answer_bearing")[k % 3], (20, 200, 384)[k % 3], f"f{k}", f"x{k}") for k in range(12)], "group_id string, task string, filler_type string, target_tokens int, fact_seed string, filler_seed string")
+    s = generate.position_groups(g, (0.0, 0.25, 0.5, 1.0))
+    whole = F.concat(F.lit(generate.SYSTEM + "\n\n"), "prompt")
+    at = F.instr(whole, F.concat(F.lit("[Document "), F.col("evidence")[0]["id"], F.lit("]")))
+    off = s.where((F.col("actual_tokens") != token_count(whole)) | (F.abs(F.col("actual_position") - token_count(F.substring(whole, F.lit(1), at - 1)) / token_count(whole)) > 1e-12))
+    assert s.count() == 48 and off.count() == 0
+    texts = ["ab cd-ef_g1 été " * 40, "x" * 300, "中文\U0001d7d8 a, b\nc " * 30, "line one\nline two\n" * 20, "! ?" * 50]
+    books = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "book string, text string")
+    cases = spark.createDataFrame([("c", "The needle, here.", "needle", "?")], "case_id string, needle string, answer string, question string")
+    r = needles.needle_rows(books, cases, [40, 64, 200], [0.0, 0.25, 0.33, 0.5, 1.0])
+    assert r.count() > 50 and r.where(F.col("actual_tokens") != token_count(F.col("context"))).count() == 0
+    cut = spark.createDataFrame([("ab", 1, True), ("ab", 0, False), ("ab", 2, False), ("a-", 1, False), ("中_", 1, True), (" b", 1, False)], "t string, at int, want boolean")
+    assert cut.where(cuts_token(F.col("t"), F.col("at")) != F.col("want")).count() == 0
+    # Books are read once, and so are the cases.
+    assert plan(r).count("Scan ExistingRDD") == 2
