@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..lineage import dealt
+from ..lineage import cut
 from ..schemas import RUNS
 from .ranks import numbered
 
@@ -113,6 +113,8 @@ def draws(numbered: DataFrame, stratum: str, replicates: int, seed: int) -> Data
 BROADCAST_NUMBERS = 4_000_000
 #: Counts of draws that a task holds at a time, or those of one replicate of a stratum, and hashes that it holds.
 COUNTS, HASHES = 2_000_000, 100_000
+#: Ranges of replicates in a task.
+RANGES = 8
 #: Units of a block to which counts are sent.
 SENT = 16_384
 
@@ -221,11 +223,15 @@ def resample(sums: DataFrame, stratum: str, unit: str, keys: list[str], values:
 
 
 def _ranges(strata: DataFrame, replicates: int) -> DataFrame:
-    """strata (with n_units) with the first and stop of ranges of replicates, of about COUNTS draws each or one replicate, dealt out."""
+    """strata (with n_units) with the first and stop of ranges of replicates, of about COUNTS draws each or one replicate, dealt out.
+
+    Ranges are dear and alike, so they are dealt in turn, a few to a task: by a hash, some tasks would have twice as many as others.
+    """
     step = F.greatest(F.lit(1), F.least(F.lit(replicates), F.floor(F.lit(COUNTS) / F.col("n_units")))).cast("int")
     each = strata.withColumn("_step", step).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("_step"))))
     each = each.withColumn("stop", F.least(F.col("first") + F.col("_step"), F.lit(replicates))).drop("_step")
-    return dealt(each, 8, *each.columns)
+    n, least = each.count(), 4 * strata.sparkSession.sparkContext.defaultParallelism
+    return each.repartition(max(1, min(n, least), -(-n // RANGES)))
 
 
 def _placed(sums: DataFrame, units: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], size: int) -> DataFrame:
@@ -239,17 +245,25 @@ def _grouped(t: pa.Table, keys: int, values: list[str], kind: np.dtype) -> tuple
     """The rows of a block by their keys: places in the block and values of each group, and the groups' keys."""
     own = [f"_k{k}" for k in range(keys)]
     group, at, m = _codes(t, own), t["_i"].to_numpy(), _matrix(t, values, kind)
-    order = np.argsort(group, kind="stable")
+    order = np.lexsort((at, group))
     cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
     parts = np.split(order, cuts[1:])
     return [at[p] for p in parts], [m[p] for p in parts], t.select(own).take(pa.array(order[cuts]))
 
 
+def _alike(places: list[np.ndarray], matrices: list[np.ndarray], kind: np.dtype) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Groups with the same places, their values side by side: one product for all of them.  Doubles stay apart, as the order of adding must."""
+    same: dict[object, list[int]] = {}
+    for g, p in enumerate(places):
+        same.setdefault(p.tobytes() if kind.kind == "i" else g, []).append(g)
+    return [(places[gs[0]], np.concatenate([matrices[g] for g in gs], 1), gs) for gs in same.values()]
+
+
 def _by_blocks(sums: DataFrame, stratum: str, unit: str, keys: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
     """Any number of units: tasks count the picks of some replicates of a stratum and send the counts, a byte or less for a unit and
     replicate, to blocks of SENT units, where the product with the sums is taken.
 
-    No row stands for a pick.  A task holds the counts of one replicate of a stratum, 8 bytes a unit, or COUNTS; a block all replicates' counts of
+    No row stands for a pick, nor for keys that a replicate does not pick.  A task holds the counts of one replicate of a stratum, 8 bytes a unit, or COUNTS; a block all replicates' counts of
     its units, compressed.
     """
     shape, kind = _shape(sums, keys, values)
@@ -272,22 +286,30 @@ def _by_blocks(sums: DataFrame, stratum: str, unit: str, keys: list[str], values
                 columns = (same(text), same(n), list(range(len(starts))), same(first), same(stop), same(width().itemsize), packed)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, sent_schema)], schema=sent_schema)
 
-    strata = units.groupBy(F.col(stratum).cast("string").alias("_t")).agg(F.max("n_units").alias("n_units"))
+    strata = cut(units.groupBy(F.col(stratum).cast("string").alias("_t")).agg(F.max("n_units").alias("n_units")))  # a row for each stratum
     picked = _ranges(strata, replicates).mapInArrow(count, sent)
 
     def multiply(t, c):
         places, matrices, heads = _grouped(t, len(keys), values, kind)
+        alike, every = _alike(places, matrices, kind), np.arange(SENT)
         codec, found = pa.Codec("zstd"), []
         for row in c.to_batches(max_chunksize=64):
             for x in row.to_pylist():
                 size = min(SENT, x["n_units"] - x["_b"] * SENT)
                 raw = codec.decompress(x["counts"], (x["stop"] - x["first"]) * size * x["width"])
                 counts = np.frombuffer(raw, np.uint8 if x["width"] == 1 else np.uint32).reshape(-1, size).astype(float)
-                found.append(_rows(x["first"], np.stack([product(counts[:, i], m) for i, m in zip(places, matrices)], 1), heads, values, schema))
+                out, picked = np.empty((len(counts), len(places), len(values)), kind), np.empty((len(counts), len(places)), bool)
+                for at, m, groups in alike:
+                    own = counts if np.array_equal(at, every[:size]) else counts[:, at]
+                    out[:, groups], picked[:, groups] = product(own, m).reshape(len(counts), len(groups), -1), own.any(1)[:, None]
+                found.append(_rows(x["first"], out, heads, values, schema).filter(pa.array(picked.ravel())))
         return pa.Table.from_batches(found, schema)
 
-    by = ("_t", "n_units", "_b")
-    return placed.groupBy(*by).cogroup(picked.groupBy(*by)).applyInArrow(multiply, shape)
+    # A block is much work and few bytes: as many partitions as blocks, which the planner does not put together by their bytes.
+    by, spark = ("_t", "n_units", "_b"), sums.sparkSession
+    blocks = strata.agg(F.sum(F.ceil(F.col("n_units") / SENT))).first()[0] or 0
+    n = max(4 * spark.sparkContext.defaultParallelism, blocks)
+    return placed.repartition(n, *by).groupBy(*by).cogroup(picked.repartition(n, *by).groupBy(*by)).applyInArrow(multiply, shape)
 
 
 def draw_totals(strata: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -306,7 +328,7 @@ def draw_totals(strata: DataFrame, replicates: int, seed: int) -> DataFrame:
                 columns = (pa.array(np.arange(row["first"], row["stop"], dtype=np.int32)), pa.array(counts.sum(1).astype(np.int64)), pa.array(np.count_nonzero(counts, axis=1).astype(np.int64)), pa.array(index))
                 yield pa.RecordBatch.from_arrays([heads, *columns], schema=schema)
 
-    return _ranges(x, replicates).mapInArrow(run, shape)
+    return _ranges(cut(x), replicates).mapInArrow(run, shape)
 
 
 #: Units of a block.

@@ -124,3 +124,25 @@ def test_no_more_candidates_than_may_fit(spark):
     per = c.groupBy("group_id").agg(F.sum("tokens").alias("all"), F.max("idx").alias("most"), F.first("target_tokens").alias("target"), F.first("filler_type").alias("kind"))
     assert per.where("50 + all <= target").count() == 0  # candidates never run out before the budget
     assert per.where("kind = 'neutral'").agg(F.max("most")).first()[0] <= 11
+
+
+def test_ranges_of_replicates_are_dealt_evenly(spark, monkeypatch):
+    from larkspur.operators import inference
+
+    monkeypatch.setattr(inference, "COUNTS", 400)
+    strata = spark.createDataFrame([("a", 100), ("b", 40), ("c", 1)], "_t string, n_units bigint")
+    ranges = inference._ranges(strata, 200)
+    sizes = [len(p) for p in ranges.rdd.glom().collect()]
+    rows = sorted(tuple(r) for r in ranges.collect())
+    assert len(rows) == 50 + 20 + 1 and all(r[3] - r[2] == {100: 4, 40: 10, 1: 200}[r[1]] for r in rows)
+    assert max(sizes) - min(sizes) <= 1 and max(sizes) <= inference.RANGES
+
+
+def test_groups_of_the_same_units_share_a_product():
+    import numpy as np
+    from larkspur.operators import inference
+
+    places, sums = [np.arange(3), np.array([0, 2]), np.arange(3)], [np.array([[1], [2], [3]]), np.array([[4], [5]]), np.array([[6], [7], [8]])]
+    found = inference._alike(places, sums, np.dtype(np.int64))
+    assert [gs for _, _, gs in found] == [[0, 2], [1]] and found[0][1].tolist() == [[1, 6], [2, 7], [3, 8]]
+    assert [gs for _, _, gs in inference._alike(places, sums, np.dtype(float))] == [[0], [1], [2]]
