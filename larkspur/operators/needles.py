@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cuts_token, insert_block, insertion_index, position_label, token_count
 from ..lineage import cut, dealt
 from .audits import broken, violations
-from .generate import fit_prefix
+from .generate import fit_prefix, word_tokens
 
 
 #: Books in a task, each with a text for each case, length and position.
@@ -21,12 +21,12 @@ def needle_rows(books: DataFrame, cases: DataFrame, lengths: list[int], position
     """books (book, text), cases (case_id, needle, answer, question): a group for each book, case and length, a row for each position.
 
     The cases are a benchmark's and few: they are broadcast to the books.  All positions of a group share one fitted text; a text that does
-    not come down to a length has no rows of it.  Books are dealt out before they multiply, with as many words as the longest length can take.
+    not come down to a length has no rows of it.  Books are dealt out before they multiply, with as many words as the longest length can take, and the tokens of words are counted once a book.
     """
     most = max(lengths)
     words = F.slice(F.split("text", " ", most + 1), F.lit(1), F.lit(most))
-    x = dealt(books, BOOKS, "book").select("book", words.alias("words")).crossJoin(F.broadcast(cases)).withColumn("target_tokens", F.explode(F.array(*map(F.lit, lengths))))
-    out = fit_prefix(x, "words", "needle", F.col("target_tokens") - ROOM).where("fitted is not null")
+    x = dealt(books, BOOKS, "book").select("book", words.alias("words")).withColumn("counts", word_tokens(F.col("words"))).crossJoin(F.broadcast(cases)).withColumn("target_tokens", F.explode(F.array(*map(F.lit, lengths))))
+    out = fit_prefix(x, "words", "needle", F.col("target_tokens") - ROOM, counts="counts").where("fitted is not null")
     g = out.select(F.concat_ws("-", "book", "case_id", "target_tokens").alias("group_id"), "book", "case_id", "needle", "answer", "question", "target_tokens", "fitted", "fitted_tokens", F.sha2("fitted", 256).alias("base_sha256"))
     r = g.withColumn("target_position", F.explode(F.array(*map(F.lit, positions))))
     at = insertion_index(F.col("fitted"), F.col("target_position"))

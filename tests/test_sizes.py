@@ -146,3 +146,27 @@ def test_groups_of_the_same_units_share_a_product():
     found = inference._alike(places, sums, np.dtype(np.int64))
     assert [gs for _, _, gs in found] == [[0, 2], [1]] and found[0][1].tolist() == [[1, 6], [2, 7], [3, 8]]
     assert [gs for _, _, gs in inference._alike(places, sums, np.dtype(float))] == [[0], [1], [2]]
+
+
+def test_words_of_a_book_are_counted_once(spark):
+    from larkspur.functions.text import token_count
+    from larkspur.operators import generate, needles
+
+    texts = ["a-b c, d\ne  f " * 30, "été_1 中文 \U0001d7d8 !? " * 20, "one", "", None, "x.y.z " * 400]
+    books = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "book string, text string")
+    cases = spark.createDataFrame([("c", "The needle, here.", "needle", "?")], "case_id string, needle string, answer string, question string")
+    assert plan(needles.needle_rows(books, cases, [40, 64], [0.0, 1.0]).select("group_id")).split("== Initial")[0].count("regexp_extract_all(concat(") == 0
+    x = books.select("book", F.split("text", " ").alias("words"), F.lit("a needle.").alias("needle"))
+    for target in (10, 40, 300):
+        got = {r.book: r for r in generate.fit_prefix(x, "words", "needle", target).withColumn("again", token_count(F.concat("fitted", F.lit("\n"), "needle"))).collect()}
+        for r in x.collect():
+            count = lambda s: spark.range(1).select(token_count(F.lit(s))).first()[0]
+            n, want = min(len(r.words or []), max(1, target - 3 - 16)), None
+            for _ in range(3):
+                text = None if r.words is None else " ".join(r.words[: max(n, 1)])
+                c = None if text is None else count(text + "\na needle.")
+                if c is not None and c <= target and n > 0:
+                    want = (text, c)
+                    break
+                n -= max(1, (c or 0) - target + 8)
+            assert (None if got[r.book].fitted is None else (got[r.book].fitted, got[r.book].fitted_tokens)) == want and (want is None or got[r.book].again == want[1])
