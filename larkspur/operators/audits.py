@@ -184,9 +184,13 @@ def ordered_identities(rows: DataFrame, variant: str, reference: str, index: str
 
 
 def siblings(rows: DataFrame, key: list[str], fields: list[str], modes: int) -> DataFrame:
-    """A realized subset: rows that differ in supervision only have one value of each field, and every mode once."""
-    g = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("supervision").alias("m"), *(F.count_distinct(f).alias(f"d_{f}") for f in fields)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in key)))
-    return violations(g, "k", every_mode_once=(F.col("n") == modes) & (F.col("m") == modes), **{f"same_{f}": F.col(f"d_{f}") == 1 for f in fields})
+    """A realized subset: rows that differ in supervision only have one value of each field, and every mode once.
+
+    One value is a least that is the greatest: with one distinct count only, rows are not multiplied, and those dealt out by a part of the key stay.
+    """
+    one = lambda f: F.coalesce(F.min(f) == F.max(f), F.lit(False)).alias(f"d_{f}")
+    g = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("supervision").alias("m"), *map(one, fields)).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in key)))
+    return violations(g, "k", every_mode_once=(F.col("n") == modes) & (F.col("m") == modes), **{f"same_{f}": F.col(f"d_{f}") for f in fields})
 
 
 def pairing_comparison(rows: DataFrame, fact: str, position: str, tokens: str, most_gap: float = 0.02) -> DataFrame:
