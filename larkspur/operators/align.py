@@ -98,16 +98,17 @@ def cell_differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[s
     return x.where(~F.col("va").eqNullSafe(F.col("vb"))).select(*keys, F.when(F.col("va").isNull(), "only_right").when(F.col("vb").isNull(), "only_left").otherwise("differs").alias("kind"))
 
 
-def mechanism_records(rows: DataFrame, positions: int = 7) -> DataFrame:
+def mechanism_records(rows: DataFrame, positions: int = 7, within: str | None = None) -> DataFrame:
     """One record for each (run, group) that has 7 free, 7 locate, 1 oracle-long and 1 oracle-short row.
 
-    The derived group keys carry a suffix; cut off, one aggregation replaces three joins.
+    The derived group keys carry a suffix; cut off, one aggregation replaces three joins.  within: a column that is the same in all rows of a
+    group, by which rows are dealt out already; then they are not shuffled.
     """
     g = F.regexp_replace("group_id", "@diag-.*$", "").alias("group_id")
     is_ = lambda mode: F.col("evaluation_mode") == mode
     right, quote, support = (F.coalesce(F.col(c), F.lit(False)) for c in ("answer_correct", "evidence_quotes_correct", "all_predicted_quotes_supported"))
     share = lambda mode, c: F.sum(F.when(is_(mode), c.cast("int"))) / positions
-    x = rows.groupBy("run_name", g).agg(
+    x = rows.groupBy("run_name", g, *([] if within is None else [within])).agg(
         *(F.count_if(is_(m)).alias(f"n_{m}") for m in ("free", "locate_only", "oracle_long", "oracle_short")),
         share("free", right).alias("free_answer"),
         share("free", quote).alias("free_quote"),
@@ -119,7 +120,7 @@ def mechanism_records(rows: DataFrame, positions: int = 7) -> DataFrame:
         F.max(F.when(is_("oracle_short"), right.cast("int"))).alias("oracle_short_answer"),
     )
     whole = (F.col("n_free") == positions) & (F.col("n_locate_only") == positions) & (F.col("n_oracle_long") == 1) & (F.col("n_oracle_short") == 1)
-    return x.where(whole).drop("n_free", "n_locate_only", "n_oracle_long", "n_oracle_short")
+    return x.where(whole).drop("n_free", "n_locate_only", "n_oracle_long", "n_oracle_short", *([] if within is None else [within]))
 
 
 def with_derived(x: DataFrame) -> DataFrame:

@@ -138,8 +138,8 @@ SQL_MECH = f"""{GRID_SQL}, mr AS ({MECH} FROM grid, (SELECT unnest(['free', 'loc
 @query("mechanism_records", f"WITH {SQL_MECH}")
 def mechanism_records(spark, d):
     modes = spark.createDataFrame([(m,) for m in ("free", "locate_only", "oracle_long", "oracle_short")], "m string")
-    rows = grid(spark, d).crossJoin(F.broadcast(modes)).where(MECH_WHERE).selectExpr(*MECH_COLUMNS)
-    x = align.with_derived(align.mechanism_records(rows))
+    rows = grid(spark, d).crossJoin(F.broadcast(modes)).where(MECH_WHERE).selectExpr(*MECH_COLUMNS, "unit")
+    x = align.with_derived(align.mechanism_records(rows, within="unit"))
     return x.withColumn("residual_reasoning_error", F.col("residual_reasoning_error").cast("double"))
 
 

@@ -170,3 +170,19 @@ def test_words_of_a_book_are_counted_once(spark):
                     break
                 n -= max(1, (c or 0) - target + 8)
             assert (None if got[r.book].fitted is None else (got[r.book].fitted, got[r.book].fitted_tokens)) == want and (want is None or got[r.book].again == want[1])
+
+
+@pytest.mark.parametrize("name", ["sibling_audit", "mechanism_records"])
+def test_groups_within_a_unit_are_not_shuffled_again(spark, sf_dir, name):
+    from larkspur.plans import registry
+
+    found = plan(registry.queries()[name](spark, sf_dir)).split("== Initial")[0]
+    assert found.count("Exchange hashpartitioning") == found.count("REPARTITION_BY_NUM") == 1 and "Expand" not in found
+
+
+def test_siblings_of_null_fields(spark):
+    from larkspur.operators import audits
+
+    rows = [(k, m, h) for k, hs in (("same", "aaa"), ("other", "aab"), ("null", (None,) * 3), ("some", ("a", None, "a"))) for m, h in zip("xyz", hs)] + [("less", "x", "a"), ("twice", "x", "a"), ("twice", "x", "a"), ("twice", "y", "a")]
+    got = {(r.key, r.rule) for r in audits.siblings(spark.createDataFrame(rows, "k string, supervision string, h string"), ["k"], ["h"], 3).collect()}
+    assert got == {("other", "same_h"), ("null", "same_h"), ("less", "every_mode_once"), ("twice", "every_mode_once")}
