@@ -144,14 +144,15 @@ class Aligner:
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.a_bytes, self.n_b = a_bytes, len(b_bytes)
         self.sizes = np.array([len(x) for x in a_bytes])
-        #: Strings of groups of one token each.
+        #: Strings of ids, and of groups of one token each.
+        self.numbers = list(map(str, range(max(len(a_bytes), len(b_bytes)))))
         self.names: dict[int, str] = {}
         self.transducer = Transducer(a_bytes, b_bytes)
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
     def _name(self, a: list[int], b: list[int]) -> str:
-        return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+        return ",".join(map(self.numbers.__getitem__, a)) + "|" + ",".join(map(self.numbers.__getitem__, b))
 
     def _aligned(self, a: list[int], b: list[int]) -> tuple:
         """(string of the groups, numbers, pairs of ids, times that each is linked, or nothing if that is once) of a unit."""
@@ -159,6 +160,13 @@ class Aligner:
         if ends is None:
             return BAD
         names, pairs, times, i, j, n_b, known = [], [], None, 0, 0, self.n_b, self.names
+        n = len(ends)
+        if n == len(a) == len(b):  # groups of one token each
+            pairs = [p * n_b + q for p, q in zip(a, b)]
+            names = list(map(known.get, pairs))
+            if None not in names:
+                return ";".join(names).encode(), (n, n, n, n, 0), array("q", pairs).tobytes(), b""
+            names, pairs = [], []
         for k, m in ends:
             if k - i == 1 == m - j:
                 key = a[i] * n_b + b[j]
@@ -204,7 +212,9 @@ class Aligner:
         rest = [k for k in missing if " " in units[k]]
         for at, ids in ((one, self.a._spaced([units[k] for k in one])), (rest, self.a._raw([" " + units[k] for k in rest]))):
             if at:
-                some, a = [units[k] for k in at], [np.frombuffer(x, self.a.kind).tolist() for x in ids]
+                some, flat = [units[k] for k in at], np.frombuffer(b"".join(ids), self.a.kind).tolist()
+                cuts = np.cumsum([0, *map(len, ids)]) // self.a.width
+                a = [flat[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
                 for k, fine, x, y in zip(at, self._spells(some, a), a, self.b.encode(some, num_threads=1)):
                     got[k] = self._aligned(x, y) if fine else BAD
         if len(memo) >= MEMO:

@@ -310,3 +310,15 @@ def test_neighbours_where_few_ids_fill_many_rows(spark):
     best = np.sort(queries @ x[ids != 40].T, axis=1)[:, -5:]
     mine, want = (collections.Counter(np.round(v, 7).tolist()) for v in ([q.score for q in found[40]], best.ravel()))
     assert (mine & want).total() > 0.9 * want.total()
+
+
+def test_aligned_units_are_the_same_when_their_names_are_known():
+    import public_tokenizers
+    from larkspur.llm import token_align
+
+    own = token_align.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    units = ["the", "house", "tokenizers", "été", "x1y2", "中文", "a", "incomprehensibilities", "!?", "of"]
+    first = own.units(units)
+    own.memo, own.old = {}, {}
+    again = own.units(units)
+    assert first == again and any(g[1][0] == g[1][1] == g[1][2] for g in first) and any(g[1][0] != g[1][2] for g in first)
