@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -448,6 +449,58 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, monkeypatch):
     assert {x.doc_id for x in kept} == {null(i) for i in ids if root(i) == i}
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_shingle_sets_of_arrow_texts(size):
+    # Words that differ in the last byte, by a NUL, at the edges of eight bytes and of LONG; blanks are only the six.
+    words = [x for k in (1, 7, 8, 9, 16, 63, 64, 65, 72, 200) for x in ("a" * k, "a" * (k - 1) + "b", "a" * k + "\0")] + ["É", "é", "x\x1cy", "x\x85y", "x\u00a0y", "Aa"]
+    r = random.Random(4)
+    values = ["", " ", "\t\r\n\x0b\x0c ", "lone", " Two  words ", *("".join(r.choice(words) + r.choice([" ", "\n\t", "\x0b", "\x0c\r"]) for _ in range(n)) for n in (1, 2, 4, 5, 90, 90, 90)), None, "lone"]
+    got = circulant.shingle_sets(pa.array([v or "" for v in values]).slice(1), size)
+    want = []
+    for v in values[1:]:
+        w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), v or ""))
+        want.append({tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set())
+    assert all((np.diff(g.astype(object)) > 0).all() for g in got)
+    for g, x in zip(got, want):
+        assert [len(np.intersect1d(g, h)) for h in got] == [len(x & y) for y in want]
+
+
+def test_band_keys_cost_less_than_their_definition():
+    r = np.random.default_rng(1)
+    sets = [np.sort(r.integers(0, 1 << 64, 500, np.uint64)) for _ in range(120)]
+
+    def plain():
+        with np.errstate(over="ignore"):
+            at, flat = np.arange(0, 60_000, 500), circulant.permute((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32))
+            for k in range(circulant.BANDS * circulant.ROWS):
+                np.minimum.reduceat(circulant.permute(flat - np.uint32(k)), at)
+
+    def seconds(f):
+        begin = time.process_time()
+        f()
+        return time.process_time() - begin
+
+    assert min(seconds(lambda: circulant.band_keys(sets)) for _ in range(7)) < 0.85 * min(seconds(plain) for _ in range(7))
+
+
+def test_band_keys_match_as_often_as_the_sets_are_alike():
+    r = np.random.default_rng(2)
+    for inter, own in ((16, 2), (400, 50), (200, 100)):
+        x = r.integers(0, 1 << 64, (1500, inter + 2 * own), np.uint64)
+        keys = circulant.band_keys([np.sort(s) for y in x for s in (y[: inter + own], np.r_[y[:inter], y[inter + own :]])])
+        met, p = (keys[::2] == keys[1::2]).sum(1), (inter / (inter + 2 * own)) ** circulant.ROWS
+        assert abs(met.mean() - circulant.BANDS * p) < 5 * (circulant.BANDS * p * (1 - p) / 1500) ** 0.5
+        assert inter / (inter + 2 * own) < 0.8 or met.min() > 0
+
+
+def test_shared_bands_are_looked_up_and_rows_not_sorted(spark):
+    classes = spark.createDataFrame([(i, 9, [i, 100 + i % 7, 200 + i // 4]) for i in range(40)], "node bigint, n bigint, bands array<bigint>")
+    got = circulant.shared_buckets(classes)
+    assert sorted(map(tuple, got.select("band", "node").collect())) == sorted((b, i) for i in range(40) for b in (100 + i % 7, 200 + i // 4))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_near_duplicates_empty(odd_df):
     assert circulant.near_duplicates(empty(odd_df)).count() == 0 and circulant.keep(empty(odd_df)).count() == 0
 
